@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, media, packing, simhash_dedup, token_store
+from . import decontamination, language_id, line_dedup, media, packing, simhash_dedup, token_store, toxicity
 from .common import read_table
 
 
@@ -21,6 +21,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest_lines(line_dedup.drop_repeated_lines(read_table(spark, sf_dir, "documents"), min_docs=10))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit_scorer(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit_classifier(docs))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -34,7 +44,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_token_store, op4_line_dedup, op8_packing, op9_media, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_token_store, op4_line_dedup, op5_toxicity, op6_language_id, op8_packing, op9_media, op10_simhash)}
 
 ORACLE = {
     "op4_line_dedup": r"""
