@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, media, packing, simhash_dedup, token_store, toxicity
+from . import decontamination, language_id, licence_scan, line_dedup, media, packing, pii, simhash_dedup, token_store, toxicity
 from .common import read_table
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return licence_scan.scan_documents(docs, licence_scan.fit_model(docs))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +36,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit_classifier(docs))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(read_table(spark, sf_dir, "documents")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -44,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_token_store, op4_line_dedup, op5_toxicity, op6_language_id, op8_packing, op9_media, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_decontamination, op3_token_store, op4_line_dedup, op5_toxicity, op6_language_id, op7_pii, op8_packing, op9_media, op10_simhash)}
 
 ORACLE = {
     "op4_line_dedup": r"""
