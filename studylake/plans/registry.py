@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import catalog_queries, log_queries, text_queries  # noqa: F401  they register themselves
+from .base import ORACLE, QUERIES  # noqa: F401
+
 FLAGSHIP = "wrong_questions"
