@@ -8,9 +8,11 @@ result.  Where that setting is absent the session's warehouse folder is used
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,8 @@ ROWS_PER_BATCH = 1000
 CHARS_PER_PASS = 4_000_000
 
 _local_scratch: str | None = None
+_shipped: str | None = None
+_archive: tempfile.TemporaryDirectory | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -56,13 +60,28 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each context: they need no copy of their own."""
+    global _archive, _shipped
+    context = spark.sparkContext
+    if _shipped == context.applicationId:
+        return
+    if _archive is None:
+        package = Path(__file__).resolve().parents[1]
+        _archive = tempfile.TemporaryDirectory(prefix="studylake-")  # a local mode reads it from there while the process lives
+        shutil.make_archive(f"{_archive.name}/{package.name}", "zip", package.parent, package.name)
+    context.addPyFile(str(next(Path(_archive.name).iterdir())))
+    _shipped = context.applicationId
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch: whole documents are wide rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; small Arrow batches are set on the way."""
+    """One of the given tables; workers get this package and small Arrow batches."""
+    ship(spark)
     arrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
