@@ -224,8 +224,8 @@ def recorded_seconds(spark, sf_dir):
     return S.seconds_per_question(rows, starts)
 
 
-@query("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS session_id, o_orderdate AS at, (SELECT min(o_orderdate) FROM orders) AS start FROM orders)
-SELECT session_id, id, greatest(0, date_diff('second', coalesce(lag(at) OVER (PARTITION BY session_id ORDER BY at, id), start), at)) AS seconds FROM o""")
+@query("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS session_id, o_orderdate AS t, (SELECT min(o_orderdate) FROM orders) AS start FROM orders)
+SELECT session_id, id, greatest(0, date_diff('second', coalesce(lag(t) OVER (PARTITION BY session_id ORDER BY t, id), start), t)) AS seconds FROM o""")
 def elapsed_seconds(spark, sf_dir):
     orders = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("session_id"), F.col("o_orderdate").alias("answered_at"), F.lit(None).cast("long").alias("seconds"))
     first = orders.agg(F.min("answered_at").alias("created_at"))
