@@ -15,7 +15,7 @@ def in_order(wanted: DataFrame, questions: DataFrame) -> DataFrame:
     """
     first = wanted.groupBy("id").agg(F.min("position").alias("position"))
     known = first.join(questions.select("id"), "id", "left_semi")
-    return known.select("id", F.row_number().over(Window.orderBy("position")).alias("place"))
+    return known.select("id", F.row_number().over(Window.orderBy("position", "id")).alias("place"))
 
 
 def draw(pool: DataFrame, count: int, seed: int, done: DataFrame | None = None) -> DataFrame:
@@ -39,6 +39,21 @@ def draw(pool: DataFrame, count: int, seed: int, done: DataFrame | None = None)
     return rows.join(F.broadcast(chosen.select("unit", "before")), "unit").select("id", "unit", "before")
 
 
+def sequence(pool: DataFrame, count: int) -> DataFrame:
+    """Questions in book order until ``count`` is reached: single ones by number, then materials whole.
+
+    The first count units are enough, so what is ordered in one place is bounded.
+    """
+    unit = F.coalesce(F.concat(F.lit("m"), F.col("material_id").cast("string")), F.concat(F.lit("q"), F.col("id").cast("string")))
+    rows = pool.withColumn("unit", unit)
+    order = [F.col("grouped"), F.asc_nulls_last("first"), F.col("first_id")]
+    units = rows.groupBy("unit").agg(F.count("*").alias("size"), F.max(F.col("material_id").isNotNull()).alias("grouped"), F.min("number").alias("first"), F.min("id").alias("first_id"))
+    some = units.orderBy(*order).limit(count)
+    placed = some.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < count)
+    inside = Window.partitionBy("unit").orderBy(F.asc_nulls_last("number"), "id")
+    return rows.join(F.broadcast(placed.select("unit", "before")), "unit").select("id", (F.col("before") + F.row_number().over(inside)).alias("place"))
+
+
 def report(session_questions: DataFrame, questions: DataFrame, records: DataFrame) -> DataFrame:
     """Per session: questions, answered, correct, earned, most, rate."""
     last = records.groupBy("session_id", "question_id").agg(F.max_by(F.struct("grade", "self_score"), F.struct("answered_at", "id")).alias("r"))

@@ -1,0 +1,186 @@
+"""Queries over texts: lines, addresses, messages, and exam texts made of benchmark items."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from studylake.functions import text as X
+from studylake.operators import search as Q
+from studylake.sources import bindings as B
+
+from .base import query
+
+#: An exam of five questions for each benchmark item: numbers, options, answers, an image mark, noise.
+EXAM = r"""x AS (SELECT item_id AS id, list_transform(range(1, 6), lambda i: '第' || i || '部分' || chr(10) || i || CASE WHEN i % 2 = 0 THEN '、' ELSE '. ' END || substr(text, CAST(i * 20 AS INT), 30) || ' [[IMG:' || (i * 3) || ']]' || chr(10) || 'A. one' || chr(10) || 'B. two' || chr(10) || 'page foot' || chr(10) || i || ': ' || (['A', 'b', 'CD', 'A', 'E'])[i]) AS parts FROM benchmark),
+exam AS (SELECT id, array_to_string(parts, chr(10)) AS text FROM x)"""
+
+
+def exams(spark, sf_dir):
+    """id, text: the exams."""
+    answers = F.array(*[F.lit(a) for a in ("A", "b", "CD", "A", "E")])
+
+    def part(i):
+        n = i.cast("string")
+        head = F.concat(F.lit("第"), n, F.lit("部分\n"), n, F.when(i % 2 == 0, "、").otherwise(". "), F.substring(F.col("text"), i * 20, F.lit(30)))
+        return F.concat(head, F.lit(" [[IMG:"), (i * 3).cast("string"), F.lit("]]\nA. one\nB. two\npage foot\n"), n, F.lit(": "), F.element_at(answers, i))
+
+    return B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), part), "\n").alias("text"))
+
+
+# --- lines -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT trim(line) AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY 1 HAVING count(*) >= 3")
+def line_frequency(spark, sf_dir):
+    return X.line_frequency(B.table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("SELECT doc_id, trim(line) AS line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY 1, 2 HAVING count(*) >= 3")
+def repeated_lines_inside(spark, sf_dir):
+    return X.repeated_inside(B.table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), u AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM l),
+c AS (SELECT *, CASE WHEN trim(line) = '' THEN 0 ELSE count(*) OVER (PARTITION BY doc_id, trim(line)) END AS n FROM u)
+SELECT doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(*) FILTER (WHERE n < 3) AS INT) AS n_kept, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE n < 3), '')) AS digest FROM c GROUP BY 1""")
+def cleaned_pages(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return X.without_repeats(docs, "doc_id").select("doc_id", "n_lines", "n_kept", F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id, CAST(coalesce(length(trim(text)), 0) AS INT) AS characters, coalesce(length(trim(text)), 0) < 200 AS cover FROM documents")
+def cover_pages(spark, sf_dir):
+    size = F.coalesce(F.length(F.trim("text")), F.lit(0))
+    return B.table(spark, sf_dir, "documents").select("doc_id", size.alias("characters"), (size < 200).alias("cover"))
+
+
+@query("SELECT conv_id, count(*) AS messages, CAST(sum(n) AS BIGINT) AS characters FROM (SELECT conv_id, length(CASE WHEN length(text) > 400 THEN substr(text, 1, 200) || chr(10) || '…' || chr(10) || substr(text, -200) ELSE text END) AS n FROM conversations) GROUP BY 1")
+def shortened_dialogues(spark, sf_dir):
+    rows = B.messages(spark, sf_dir).select(F.col("session_id").alias("conv_id"), F.length(X.head_and_tail(F.col("content"), 400)).alias("n"))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum("n").alias("characters"))
+
+
+# --- exam texts ------------------------------------------------------------------------------------------
+
+
+@query(rf"""WITH {EXAM}, l AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM exam)
+SELECT id, CAST(regexp_extract(line, '^\s*(\d{{1,3}})', 1) AS INT) AS number, line FROM l WHERE regexp_matches(line, '^\s*\d{{1,3}}\s*[.、．]\s*[^\s\d]')""")
+def question_starts(spark, sf_dir):
+    rows = X.lines(exams(spark, sf_dir), "id").withColumn("number", X.question_number(F.col("line")))
+    return rows.filter("number IS NOT NULL").filter(~F.col("line").rlike(r"^\s*\d{1,3}\s*[.、．]\s*\d")).select("id", "number", "line")
+
+
+@query(rf"WITH {EXAM} SELECT id, i AS question, (['A', 'B', 'CD', 'A', 'E'])[i] AS answer FROM exam, unnest(range(1, 6)) t(i)")
+def dotted_answers(spark, sf_dir):
+    rows = X.lines(exams(spark, sf_dir), "id").filter(X.is_answer_line(F.col("line")))
+    # "3: CD" is an answer line; "A. one" is not.
+    number = F.regexp_extract("line", r"^\s*(\d+)", 1).cast("int")
+    return rows.select("id", number.cast("long").alias("question"), X.answer_of(F.col("line"), number).alias("answer"))
+
+
+@query("WITH r AS (SELECT p_partkey AS id, p_size % 9 + 1 AS number FROM part) SELECT id, CASE WHEN number <= 8 THEN substr('BDCCBABD', number, 1) END AS answer FROM r")
+def range_answers(spark, sf_dir):
+    rows = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 9 + 1).alias("number"))
+    return rows.select("id", X.answer_of(F.lit("1-8：B D C C B A B D"), F.col("number")).alias("answer"))
+
+
+@query(rf"WITH {EXAM} SELECT id, [3, 6, 9, 12, 15] AS images, CAST(length(regexp_replace(text, '\[\[IMG:(\d+)\]\]', '', 'g')) AS INT) AS n_plain FROM exam")
+def image_marks(spark, sf_dir):
+    return exams(spark, sf_dir).select("id", X.images(F.col("text")).alias("images"), F.length(X.without_images(F.col("text"))).alias("n_plain"))
+
+
+@query(rf"""WITH {EXAM}, l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM exam),
+n AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\d{{1,3}}\s*[.、．]\s*[^\s\d]') THEN CAST(regexp_extract(line, '^\s*(\d{{1,3}})', 1) AS INT) END AS number FROM l),
+s AS (SELECT *, count(number) OVER (PARTITION BY id ORDER BY place) AS section FROM n)
+SELECT id, max(number) AS question, count(*) AS n_lines FROM s WHERE section > 0 GROUP BY id, section""")
+def question_bodies(spark, sf_dir):
+    found = X.questions_in(exams(spark, sf_dir), "id")
+    return found.select("id", "question", F.size(F.split("body", "\n")).cast("long").alias("n_lines"))
+
+
+@query("WITH f AS (SELECT p_brand AS paper, p_size AS number FROM part WHERE p_partkey % 4 = 0), h AS (SELECT paper, min(number) AS lo, max(number) AS hi FROM f GROUP BY 1 HAVING count(DISTINCT number) >= 5), m AS (SELECT paper, i AS missing, row_number() OVER (PARTITION BY paper ORDER BY i) AS n FROM h, unnest(range(lo, hi + 1)) t(i) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.paper = h.paper AND f.number = i)) SELECT paper, CAST(missing AS INT) AS missing FROM m WHERE n <= 12")
+def missing_numbers(spark, sf_dir):
+    found = B.table(spark, sf_dir, "part").filter("p_partkey % 4 = 0").select(F.col("p_brand").alias("paper"), F.col("p_size").alias("number"))
+    return X.missing_numbers(found, "paper", "number")
+
+
+@query("WITH l AS (SELECT p_brand AS page, p_retailprice AS y, p_partkey AS id, CASE WHEN p_retailprice - lag(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) > 2 THEN 1 ELSE 0 END AS far FROM part), c AS (SELECT page, sum(far) OVER (PARTITION BY page ORDER BY y, id ROWS UNBOUNDED PRECEDING) AS cluster FROM l) SELECT page, CAST(cluster AS BIGINT) AS cluster, count(*) AS n FROM c GROUP BY 1, 2")
+def row_clusters(spark, sf_dir):
+    rows = B.table(spark, sf_dir, "part").select(F.col("p_brand").alias("page"), F.struct("p_retailprice", "p_partkey").alias("at"), F.col("p_retailprice").alias("y"))
+    return X.clusters(rows, "page", "y", 2.0).groupBy("page", F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n"))
+
+
+@query("WITH o AS (SELECT doc_id, (doc_id * 37) % 5000 AS spot FROM documents), s AS (SELECT doc_id, unnest([0, 300, 900, 2000 + doc_id % 7]) AS start FROM documents) SELECT doc_id, CAST(count(*) AS INT) AS page FROM o JOIN s USING (doc_id) WHERE start <= spot GROUP BY 1")
+def page_of_offset(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents").select("doc_id")
+    starts = docs.select("doc_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(300).cast("long"), F.lit(900).cast("long"), 2000 + F.col("doc_id") % 7)).alias("start"))
+    offsets = docs.select("doc_id", ((F.col("doc_id") * 37) % 5000).alias("offset"))
+    return X.page_of(offsets, starts, "doc_id").select("doc_id", "page")
+
+
+# --- keys, quality, copies -------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT p_partkey AS place, lower(regexp_replace(p_name || p_type, '[\\s_]+', '', 'g')) AS key, p_size % 5 * 10 + CASE WHEN p_size % 4 <> 0 THEN 5 ELSE 0 END AS quality FROM part),
+b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY quality DESC, place) AS rn, min(place) OVER (PARTITION BY key) AS first_place FROM r) SELECT key, place, CAST(quality AS INT) AS quality, first_place FROM b WHERE rn = 1""")
+def best_of_copies(spark, sf_dir):
+    p = B.table(spark, sf_dir, "part")
+    options = F.slice(F.array(*[F.lit(x) for x in "ABCD"]), F.lit(1), F.col("p_size") % 5)
+    rows = p.select(F.col("p_partkey").alias("place"), X.question_key(F.col("p_name"), F.array("p_type")).alias("key"), X.quality(F.col("p_name"), options, F.when(F.col("p_size") % 4 != 0, "B")).alias("quality"))
+    return X.best_of(rows, ["key"], "quality", "place").select("key", "place", "quality", "first_place")
+
+
+@query("SELECT md5(lower(regexp_replace(text, '[\\s_]+', '', 'g'))) AS key, min(doc_id) AS first, count(*) AS copies FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*') GROUP BY 1 HAVING count(*) > 1")
+def equal_texts(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
+    rows = docs.select("doc_id", F.md5(X.question_key(F.col("text"), F.array().cast("array<string>"))).alias("key"))
+    return rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+
+
+# --- scalars ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, count(*) AS pages, bool_or(regexp_matches(url, '^https?://(localhost|127\\.|10\\.|192\\.168\\.)')) AS private FROM pages GROUP BY 1")
+def hosts(spark, sf_dir):
+    h = X.host(F.col("url"))
+    return B.table(spark, sf_dir, "pages").select(h.alias("host")).groupBy("host").agg(F.count("*").alias("pages"), F.bool_or(X.private_host(F.col("host"))).alias("private"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '[\\\\/:*?\"<>|]', '_', 'g'), '[. ]+$', '') AS name FROM (SELECT page_id, substr(url, 1, 80) AS url FROM pages WHERE length(url) <= 80)")
+def file_names(spark, sf_dir):
+    return B.table(spark, sf_dir, "pages").filter(F.length("url") <= 80).select("page_id", X.file_name(F.col("url")).alias("name"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) > 90 THEN 90 ELSE CAST(json_extract_string(props, '$.k') AS INT) END AS clamped FROM events")
+def json_walk(spark, sf_dir):
+    k = F.from_json("props", "k int", {"mode": "PERMISSIVE"})["k"]
+    return B.table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.greatest(F.lit(0), F.least(F.lit(90), k)).alias("clamped"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN regexp_matches(m, 'timeout|timed out') THEN 'TIMEOUT' WHEN regexp_matches(m, '401|403|unauthor|forbidden') THEN 'AUTH' WHEN regexp_matches(m, '429|rate limit|quota') THEN 'LIMIT' WHEN regexp_matches(m, 'json|parse') THEN 'FORMAT' ELSE 'OTHER' END AS class FROM (SELECT o_orderkey, lower((['Timed out', 'HTTP 401', 'Quota exceeded', 'bad JSON', '5-LOW'])[o_orderkey % 5 + 1] || o_orderpriority) AS m FROM orders)")
+def failure_classes(spark, sf_dir):
+    said = F.element_at(F.array(*[F.lit(x) for x in ("Timed out", "HTTP 401", "Quota exceeded", "bad JSON", "5-LOW")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), X.failure_class(F.concat(said, F.col("o_orderpriority"))).alias("class"))
+
+
+@query("SELECT c_custkey AS id, 'api_key=*** for ' || c_name AS message FROM customer")
+def redacted(spark, sf_dir):
+    return B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), X.redact(F.concat(F.lit("api_key="), F.md5("c_name"), F.lit(" for "), F.col("c_name"))).alias("message"))
+
+
+@query("SELECT p_partkey AS id, '$x$ and $$' || p_name || '$$ a b' AS formula FROM part")
+def formulas(spark, sf_dir):
+    made = F.concat(F.lit("\\(x\\) and \\["), F.col("p_name"), F.lit("\\] a　​b"))
+    return B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.latex(X.tidy(made)).alias("formula"))
+
+
+@query("SELECT p_partkey AS id, regexp_full_match(p_brand || '-' || p_size, '[\\p{L}\\p{N}._-]{1,100}') AS fine, CASE WHEN p_size % 3 = 0 THEN 'MULTIPLE' WHEN p_size % 3 = 1 THEN 'SUBJECTIVE' ELSE 'SINGLE' END AS kind FROM part")
+def inferred_types(spark, sf_dir):
+    m = F.col("p_size") % 3
+    kind = X.question_type(F.when(m != 1, F.array(F.lit("A"), F.lit("B"))), F.when(m == 0, "二、多选题"), F.lit("B"))
+    return B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.valid_key(F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string"))).alias("fine"), kind.alias("kind"))
+
+
+@query("SELECT conv_id, turn, 'x' AS kind FROM conversations WHERE contains(text, 'the') AND role = 'user'")
+def message_search(spark, sf_dir):
+    return B.table(spark, sf_dir, "conversations").filter(Q.all_of(Q.contains("the", "text"), Q.equals("role", "user"))).select("conv_id", "turn", F.lit("x").alias("kind"))
