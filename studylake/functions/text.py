@@ -69,7 +69,7 @@ def fenced(x: Column) -> Column:
     """What a code fence holds, else the outermost braces or brackets, else the text."""
     fence = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(x, r"(?s)([\[{].*[\]}])", 1)
-    return F.trim(F.when(fence != "", fence).when(braces != "", braces).otherwise(x))
+    return F.regexp_replace(F.when(fence != "", fence).when(braces != "", braces).otherwise(x), r"^\s+|\s+$", "")
 
 
 def images(x: Column) -> Column:
