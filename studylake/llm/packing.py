@@ -54,7 +54,7 @@ def cut(length: int, capacity: int, sizes: list[int], slack: float = 0.02, least
     while rest:
         k = class_of(rest, capacity, sizes)
         full = capacity // (k + 1)  # the longest piece of the class below
-        if rest <= least or rest * k >= capacity * (1 - slack) or rest - full < least:
+        if rest <= least or rest * k >= capacity * (1 - slack):
             pieces.append((rest, k))
             break
         pieces.append((full, k + 1 if k + 1 in sizes else class_of(full, capacity, sizes)))
