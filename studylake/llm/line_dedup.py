@@ -93,8 +93,8 @@ def seen_filters(docs: DataFrame, bits: int) -> DataFrame:
     return met.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, kind).select("segment", "twice")
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = 10, bits_per_line: int = 16, max_filter_bits: int = 1 << 26) -> DataFrame:
-    """Keys in at least ``min_docs`` documents: key, n_docs, first_doc (smallest doc_id)."""
+def suspected_lines(docs: DataFrame, bits_per_line: int = 16, max_filter_bits: int = 1 << 26) -> DataFrame:
+    """(doc_id, key), once each, of keys whose bits are all in the second filter; a written table."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)).first()[0] or 1
     bits = min(max(SEGMENT_BITS, 1 << (lines * bits_per_line - 1).bit_length()), max_filter_bits)
@@ -121,9 +121,13 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, bits_per_line: int = 16,
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(suspects, f"doc_id {kind}, key binary")
-    # Two steps, so that a line of a third of all documents is counted by many tasks.
-    one = rows.distinct()
-    return one.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") >= min_docs)
+    # By document and key, so that a line of a third of all documents is spread over all tasks.
+    return stage(rows.distinct(), "line-suspects")
+
+
+def repeated_lines(suspected: DataFrame, min_docs: int = 10) -> DataFrame:
+    """Keys in at least ``min_docs`` documents: key, n_docs, first_doc (smallest doc_id)."""
+    return suspected.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") >= min_docs)
 
 
 def _rest(text: str, doc_id, dropped: dict, first: bool) -> tuple[int, int, str]:
@@ -140,7 +144,7 @@ def _rest(text: str, doc_id, dropped: dict, first: bool) -> tuple[int, int, str]
     return len(lines), len(lines) - len(kept), "\n".join(kept)
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", broadcast_keys: int = 2_000_000, **filters) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", broadcast_keys: int = 200_000, **filters) -> DataFrame:
     """``docs`` with the column ``text`` less its repeated lines, and n_lines, n_dropped.
 
     keep: "none" drops every occurrence, "first" leaves the first line of the
@@ -148,7 +152,8 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none",
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
-    repeated = stage(repeated_lines(docs, min_docs, **filters).select("key", "first_doc"), "line-keys")
+    suspected = suspected_lines(docs, **filters)
+    repeated = stage(repeated_lines(suspected, min_docs).select("key", "first_doc"), "line-keys")
     first = keep == "first"
     docs = docs.drop("n_lines", "n_dropped").withColumn("text", F.col("text").cast("string"))
     names = docs.columns
@@ -159,17 +164,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none",
         shared = docs.sparkSession.sparkContext.broadcast(table)
     else:
         # Each document with its own repeated keys, met by document.
-        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, keys = [], []
-                for i, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                    mine = {k for k in line_keys(t) if k}
-                    keys += mine
-                    ids += [i] * len(mine)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), pa.array(keys, pa.binary())], ["doc_id", "key"])
-
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        mine = docs.select("doc_id", "text").mapInArrow(held, f"doc_id {kind}, key binary").distinct().join(repeated, "key")
+        mine = suspected.join(repeated, "key")
         per = mine.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("key").alias("_keys"), F.collect_list(F.coalesce(F.col("first_doc") == F.col("doc_id"), F.lit(False))).alias("_mine"))
         docs = docs.join(per, docs["doc_id"].eqNullSafe(per["_doc"]), "left").drop("_doc")
 
