@@ -8,8 +8,8 @@ claim is confirmed if the paragraph shares ``overlap`` of the word trigrams of
 the shorter of itself and one of the family's templates.
 
 The fit is small: templates, their parts, lines that are no notices, and at most
-``negatives`` lines of the corpus (shorter than ``longest`` characters, chosen
-by hash, those that resemble a template left out).  It runs in numpy on the
+``negatives`` lines of about ``documents`` documents (lines of at most ``longest``
+characters, chosen by hash, those that resemble a template left out).  It runs in numpy on the
 driver; scanning is DataFrame functions only.
 
 Scanning reads every whole text once.  A family can claim a paragraph only if
@@ -41,6 +41,7 @@ SPLIT = "[^a-z0-9]+"
 class Fit:
     """Bounds and settings of the fit."""
 
+    documents: int = 2000
     negatives: int = 2000
     longest: int = 2000
     steps: int = 400
@@ -169,11 +170,13 @@ def _anchors(model: Model, common: dict[str, float]) -> list[str]:
 
 
 def fit_model(docs: DataFrame, fit: Fit | None = None) -> Model:
-    """Train with a bounded number of corpus lines, chosen by hash."""
+    """Train with a bounded number of lines from about ``fit.documents`` documents, chosen by hash."""
     fit = fit or Fit()
-    line = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")).filter(F.length("line").between(1, fit.longest))
-    mark = F.xxhash64(F.lit("licence"), "line")
-    found = line.orderBy(mark, "line").limit(fit.negatives).collect()
+    share = F.lit(fit.documents / max(1, docs.count()))  # the count comes from the files' own statistics
+    mark = F.pmod(F.xxhash64(F.lit("licence"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000)) / 1_000_000
+    some = docs.filter(mark < share)
+    line = some.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")).filter(F.length("line").between(1, fit.longest))
+    found = line.orderBy(F.xxhash64(F.lit("licence"), "line"), "line").limit(fit.negatives).collect()
     return train([r["line"] for r in found], fit)
 
 
