@@ -17,6 +17,8 @@ from .conftest import frame
 from .test_exact_operators import _components, _fingerprint
 
 MEDIUM = "/root/testdata/sf0.01"
+#: Enough toxic labels (about 500) to learn from.
+LARGE = "/root/testdata/sf0.1"
 
 
 def _held(i):
@@ -27,14 +29,14 @@ def _held(i):
 
 
 def test_toxicity_of_held_out_rows(spark):
-    rows = {r["doc_id"]: r for r in Q.op5_toxicity(spark, MEDIUM).collect()}
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{MEDIUM}/labels.parquet").collect()}
+    rows = {r["doc_id"]: r for r in Q.op5_toxicity(spark, LARGE).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{LARGE}/labels.parquet").collect()}
     assert all(r["held_out"] == _held(i) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for i, r in rows.items())
     held = [(rows[i]["score"], t) for i, t in labels.items() if _held(i) and i in rows]
     good, bad = [s for s, t in held if t == 0], [s for s, t in held if t == 1]
     order = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
-    assert order > 0.85
-    assert np.mean([(s >= 0.5) == t for s, t in held]) > 0.85
+    assert order > 0.95
+    assert np.mean([(s >= 0.5) == t for s, t in held]) > 0.95
 
 
 def test_gradients_agree_with_differences():
@@ -50,7 +52,7 @@ def test_gradients_agree_with_differences():
         flat = p[name].reshape(-1)
         places = np.flatnonzero(np.abs(got[name].reshape(-1)) > 1e-4)
         for at in rng.permutation(places)[:4]:
-            kept, step = flat[at], 1e-4
+            kept, step = flat[at], 3e-3  # states are single floats
             flat[at] = kept + step
             high = toxicity.forward(p, batch, vocab)[0] @ weight
             flat[at] = kept - step
