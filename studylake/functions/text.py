@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks of images inside texts (fixed format).
-IMAGE = r"\[\[IMG:(\d+)\]\]"
+IMAGE = r"\[图片(\d+)\]"
 #: Zero-width and byte-order characters (fixed values).
-ZERO_WIDTH = "[​‌‍⁠﻿]"
-#: An answer line: number, separator, one or more letters (fixed grammar).
-DOTTED_ANSWER = r"^\s*(\d{1,3})\s*[.、．:：)）]\s*([A-Ha-h]{1,8})\s*$"
-RANGE_ANSWER = r"^\s*(\d{1,3})\s*[-~—～]\s*(\d{1,3})\s*[：:]?\s*([A-Ha-h](?:[\s,，、]*[A-Ha-h])*)\s*$"
-QUESTION_START = r"^\s*(\d{1,3})\s*[.、．](?!\d)\s*\S"
+ZERO_WIDTH = "[\u200b\u200c\u200d\u2060\ufeff]"
+#: Answer letters and marks, and the lines that hold them (fixed grammar).
+MARK = "A-Ha-h√×对错"
+DOTTED_ANSWER = rf"^\s*(\d{{1,3}})\s*[.．、:：)）]\s*([{MARK}]{{1,6}})\s*$"
+BRACKET_ANSWER = rf"^\s*【\s*(?:第)?\s*(\d{{1,3}})\s*题\s*(?:的)?\s*答案\s*】\s*[:：]?\s*([{MARK}]{{1,6}})\s*$"
+RANGE_ANSWER = rf"^\s*(\d{{1,3}})\s*[-~—～]\s*(\d{{1,3}})\s*[:：]?\s*([{MARK}][{MARK}\s,，、;；]*)\s*$"
+ANSWER_LINE = rf"^\s*(?:\d{{1,3}}\s*[.．、:：)）]?\s*[{MARK}]{{1,6}}|【\s*(?:第)?\s*\d{{1,3}}\s*题\s*(?:的)?\s*答案\s*】\s*[:：]?.*)\s*$"
+QUESTION_START = r"^\s*(\d{1,3})\s*[.．、)）]"
+NUMBER_ALONE = r"^\d{1,3}\s*[.．、)）]\s*$"
+DECIMAL = r"^\d{1,3}\.\d"
+YEARS = r"^\d{1,3}\.\d{4}(\s*[-—~～]\s*\d{4})?\s*年"
 
 
 def blank_to_null(x: Column) -> Column:
@@ -93,31 +99,42 @@ def quality(content: Column, options: Column, answer: Column) -> Column:
 
 
 def answer_of(line: Column, number: Column) -> Column:
-    """The answer of a question in an answer line, dotted or a range; null if it has none."""
-    dotted = F.when(F.regexp_extract(line, DOTTED_ANSWER, 1).try_cast("int") == number, F.regexp_extract(line, DOTTED_ANSWER, 2))
+    """The answer of a question in an answer line (bracketed, dotted or a range); null if it has none.
+
+    A range's answers stand apart by blanks and marks, in the order of the numbers.
+    """
+
+    def single(pattern: str) -> Column:
+        return F.when(F.regexp_extract(line, pattern, 1).try_cast("int") == number, F.regexp_extract(line, pattern, 2))
+
     start, end = (F.regexp_extract(line, RANGE_ANSWER, i).try_cast("int") for i in (1, 2))
-    letters = F.regexp_extract_all(F.regexp_extract(line, RANGE_ANSWER, 3), F.lit("([A-Ha-h])"), F.lit(1))
-    ranged = F.when((number >= start) & (number <= end) & (F.size(letters) == end - start + 1), F.try_element_at(letters, (number - start + 1).cast("int")))
-    return F.upper(F.coalesce(dotted, ranged))
+    apart = F.filter(F.split(F.regexp_extract(line, RANGE_ANSWER, 3), r"[\s,，、;；]+"), lambda t: t != "")
+    ranged = F.when((number >= start) & (number <= end), F.try_element_at(apart, (number - start + 1).cast("int")))
+    return F.coalesce(single(BRACKET_ANSWER), single(DOTTED_ANSWER), ranged)
 
 
 def is_answer_line(line: Column) -> Column:
-    """Whether a line is an answer line of either form."""
-    return line.rlike(DOTTED_ANSWER) | line.rlike(RANGE_ANSWER)
+    """Whether a line is an answer line of any form."""
+    return line.rlike(ANSWER_LINE) | line.rlike(RANGE_ANSWER)
+
+
+def decimal_like(line: Column) -> Column:
+    """Whether a line begins with a decimal number (a number before a year isn't one)."""
+    return line.rlike(DECIMAL) & ~line.rlike(YEARS)
 
 
 def question_number(line: Column) -> Column:
-    """The number that a line begins a question with (not a decimal), else null."""
-    return F.regexp_extract(line, QUESTION_START, 1).try_cast("int")
+    """The number that a line begins a question with, else null (decimals and answer lines aren't questions)."""
+    bare = F.trim(F.regexp_replace(line, rf"^(\s*{IMAGE})+", ""))
+    starts = bare.rlike(QUESTION_START) & ~decimal_like(bare) & (bare.rlike(NUMBER_ALONE) | ~bare.rlike(ANSWER_LINE))
+    return F.when(starts, F.regexp_extract(bare, QUESTION_START, 1).try_cast("int"))
 
 
-def question_type(options: Column, heading: Column, answer: Column) -> Column:
-    """Type from a heading's words, else from options and answer letters."""
-    h = F.lower(F.coalesce(heading, F.lit("")))
+def question_type(options: Column, heading: Column) -> Column:
+    """Type from a heading's words (fixed values), else by the number of options."""
+    h = F.coalesce(heading, F.lit(""))
     n = F.coalesce(F.size(options), F.lit(0))
-    return (
-        F.when(h.rlike("multiple|多选|多项"), "MULTIPLE").when(h.rlike("true|judg|判断"), "JUDGE").when(h.rlike("essay|short|subjective|简答|论述|主观"), "SUBJECTIVE").when(n == 0, "SUBJECTIVE").when(F.length(F.coalesce(answer, F.lit(""))) > 1, "MULTIPLE").otherwise("SINGLE")
-    )
+    return F.when(h.contains("单"), "SINGLE").when(h.contains("多"), "MULTIPLE").when(h.rlike("判断|对错"), "JUDGE").when(h.rlike("主观|填空|简答|解答|计算|实验|问答"), "SUBJECTIVE").when(n >= 2, "SINGLE").otherwise("SUBJECTIVE")
 
 
 def group_key(topic: Column, category: Column, external_id: Column) -> Column:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from studylake.functions import exam as M
 from studylake.functions import text as X
+from studylake.operators import exams as E
 from studylake.operators import search as Q
 from studylake.sources import bindings as B
 
 from .base import query
 
 #: An exam of five questions for each benchmark item: numbers, options, answers, an image mark, noise.
-EXAM = r"""x AS (SELECT item_id AS id, list_transform(range(1, 6), lambda i: '第' || i || '部分' || chr(10) || i || CASE WHEN i % 2 = 0 THEN '、' ELSE '. ' END || substr(text, CAST(i * 20 AS INT), 30) || ' [[IMG:' || (i * 3) || ']]' || chr(10) || 'A. one' || chr(10) || 'B. two' || chr(10) || 'page foot' || chr(10) || i || ': ' || (['A', 'b', 'CD', 'A', 'E'])[i]) AS parts FROM benchmark),
+EXAM = r"""x AS (SELECT item_id AS id, list_transform(range(1, 6), lambda i: '第' || i || '部分' || chr(10) || i || CASE WHEN i % 2 = 0 THEN '、' ELSE '. ' END || substr(text, CAST(i * 20 AS INT), 30) || ' [图片' || (i * 3) || ']' || chr(10) || 'A. one' || chr(10) || 'B. two' || chr(10) || 'page foot' || chr(10) || i || ': ' || (['A', 'b', 'CD', 'A', 'E'])[i]) AS parts FROM benchmark),
 exam AS (SELECT id, array_to_string(parts, chr(10)) AS text FROM x)"""
 
 
@@ -22,7 +24,7 @@ def exams(spark, sf_dir):
     def part(i):
         n = i.cast("string")
         head = F.concat(F.lit("第"), n, F.lit("部分\n"), n, F.when(i % 2 == 0, "、").otherwise(". "), F.substring(F.col("text"), i * 20, F.lit(30)))
-        return F.concat(head, F.lit(" [[IMG:"), (i * 3).cast("string"), F.lit("]]\nA. one\nB. two\npage foot\n"), n, F.lit(": "), F.element_at(answers, i))
+        return F.concat(head, F.lit(" [图片"), (i * 3).cast("string"), F.lit("]\nA. one\nB. two\npage foot\n"), n, F.lit(": "), F.element_at(answers, i))
 
     return B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), part), "\n").alias("text"))
 
@@ -64,13 +66,13 @@ def shortened_dialogues(spark, sf_dir):
 
 
 @query(rf"""WITH {EXAM}, l AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM exam)
-SELECT id, CAST(regexp_extract(line, '^\s*(\d{{1,3}})', 1) AS INT) AS number, line FROM l WHERE regexp_matches(line, '^\s*\d{{1,3}}\s*[.、．]\s*[^\s\d]')""")
+SELECT id, CAST(regexp_extract(line, '^\s*(\d{{1,3}})', 1) AS INT) AS number, line FROM l WHERE regexp_matches(line, '^\s*\d{{1,3}}\s*[.、．]')""")
 def question_starts(spark, sf_dir):
     rows = X.lines(exams(spark, sf_dir), "id").withColumn("number", X.question_number(F.col("line")))
-    return rows.filter("number IS NOT NULL").filter(~F.col("line").rlike(r"^\s*\d{1,3}\s*[.、．]\s*\d")).select("id", "number", "line")
+    return rows.filter("number IS NOT NULL").select("id", "number", "line")
 
 
-@query(rf"WITH {EXAM} SELECT id, i AS question, (['A', 'B', 'CD', 'A', 'E'])[i] AS answer FROM exam, unnest(range(1, 6)) t(i)")
+@query(rf"WITH {EXAM} SELECT id, i AS question, (['A', 'b', 'CD', 'A', 'E'])[i] AS answer FROM exam, unnest(range(1, 6)) t(i)")
 def dotted_answers(spark, sf_dir):
     rows = X.lines(exams(spark, sf_dir), "id").filter(X.is_answer_line(F.col("line")))
     # "3: CD" is an answer line; "A. one" is not.
@@ -84,13 +86,13 @@ def range_answers(spark, sf_dir):
     return rows.select("id", X.answer_of(F.lit("1-8：B D C C B A B D"), F.col("number")).alias("answer"))
 
 
-@query(rf"WITH {EXAM} SELECT id, [3, 6, 9, 12, 15] AS images, CAST(length(regexp_replace(text, '\[\[IMG:(\d+)\]\]', '', 'g')) AS INT) AS n_plain FROM exam")
+@query(rf"WITH {EXAM} SELECT id, [3, 6, 9, 12, 15] AS images, CAST(length(regexp_replace(text, '\[图片(\d+)\]', '', 'g')) AS INT) AS n_plain FROM exam")
 def image_marks(spark, sf_dir):
     return exams(spark, sf_dir).select("id", X.images(F.col("text")).alias("images"), F.length(X.without_images(F.col("text"))).alias("n_plain"))
 
 
 @query(rf"""WITH {EXAM}, l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM exam),
-n AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\d{{1,3}}\s*[.、．]\s*[^\s\d]') THEN CAST(regexp_extract(line, '^\s*(\d{{1,3}})', 1) AS INT) END AS number FROM l),
+n AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\d{{1,3}}\s*[.、．]') THEN CAST(regexp_extract(line, '^\s*(\d{{1,3}})', 1) AS INT) END AS number FROM l),
 s AS (SELECT *, count(number) OVER (PARTITION BY id ORDER BY place) AS section FROM n)
 SELECT id, max(number) AS question, count(*) AS n_lines FROM s WHERE section > 0 GROUP BY id, section""")
 def question_bodies(spark, sf_dir):
@@ -118,6 +120,49 @@ def page_of_offset(spark, sf_dir):
     return X.page_of(offsets, starts, "doc_id").select("doc_id", "page")
 
 
+@query(rf"WITH {EXAM} SELECT id, CAST(5 AS INT) AS loose, CAST(5 AS INT) AS bounds, CAST(3 AS INT) AS chunks, true AS whole FROM exam")
+def exam_chunks(spark, sf_dir):
+    rows = exams(spark, sf_dir).withColumn("b", M.boundaries(F.col("text"))).withColumn("c", M.chunks(F.col("b"), F.length("text"), 2))
+    whole = (F.element_at("c", 1)["start"] == 0) & (F.element_at("c", -1)["end"] == F.length("text"))
+    return rows.select("id", M.loose_count(F.col("text")).alias("loose"), F.size("b").alias("bounds"), F.size("c").alias("chunks"), whole.alias("whole"))
+
+
+def _markdown(spark, sf_dir):
+    """Three questions and a material for each benchmark item, in the Markdown form."""
+    parts = ["lead text\n# 材料 1\n", F.substring("text", 1, 40), "\n## 第1题 单选题\n题干：", F.substring("text", 41, 20), "\nA. one B. two\nC. three\n答案：c\n## 第2题\n", F.substring("text", 61, 20), "\n答案：\n解析：why\n## 第4题 判断题\n**题干**\n", F.substring("text", 81, 20), "\n参考答案：yes"]
+    return B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("text"))
+
+
+@query(r"""SELECT item_id AS id, v.number, v.type, CASE v.number WHEN 1 THEN trim(regexp_replace(substr(text, 41, 20), '\s*\n\s*', chr(10), 'g'), ' ' || chr(10)) WHEN 2 THEN trim(regexp_replace(substr(text, 61, 20), '\s*\n\s*', chr(10), 'g'), ' ' || chr(10)) WHEN 4 THEN trim(regexp_replace(substr(text, 81, 20), '\s*\n\s*', chr(10), 'g'), ' ' || chr(10)) ELSE 'lead text' END AS content, CAST(CASE WHEN v.number = 1 THEN 3 ELSE 0 END AS INT) AS n_options,
+  CASE WHEN v.number = 1 THEN 'C' ELSE '' END AS keys, CASE WHEN v.number = 2 THEN 'why' END AS analysis, CASE WHEN v.number = 4 THEN 'yes' END AS reference, v.number IS NOT NULL AS has_material
+FROM benchmark, (VALUES (NULL, 'SUBJECTIVE'), (1, 'SINGLE'), (2, 'SUBJECTIVE'), (4, 'JUDGE')) v(number, type)""")
+def markdown_questions(spark, sf_dir):
+    q = E.markdown_questions(_markdown(spark, sf_dir), "id")
+    return q.select("id", "number", "type", F.trim("content").alias("content"), F.size("options").alias("n_options"), F.array_join("answer_keys", "").alias("keys"), "analysis", "reference", F.col("material").isNotNull().alias("has_material"))
+
+
+@query("""WITH f AS (SELECT p_brand AS paper, p_partkey AS position, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 8 + p_size END AS number FROM part), l AS (SELECT paper, min(number) AS low FROM f GROUP BY 1),
+r AS (SELECT f.*, low, row_number() OVER (PARTITION BY paper, number IS NULL ORDER BY position) AS n FROM f JOIN l USING (paper)) SELECT position, CAST(coalesce(number, CASE WHEN n < low THEN n END) AS INT) AS number FROM r""")
+def filled_numbers(spark, sf_dir):
+    found = B.table(spark, sf_dir, "part").select(F.col("p_brand").alias("paper"), F.col("p_partkey").alias("position"), F.when(F.col("p_partkey") % 3 != 0, 8 + F.col("p_size")).alias("number"))
+    return E.fill_numbers(found, "paper").select("position", F.col("number").cast("int").alias("number"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS job, o_orderkey AS position, CAST(floor(o_totalprice) AS BIGINT) % 20 AS pages FROM orders) SELECT job, position, CAST(coalesce(sum(pages) OVER (PARTITION BY job ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_page FROM f""")
+def merged_files(spark, sf_dir):
+    files = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job"), F.col("o_orderkey").alias("position"), (F.floor("o_totalprice") % 20).alias("pages"))
+    return E.merge_files(files, "job").select("job", "position", "first_page")
+
+
+@query("""WITH b AS (SELECT l_suppkey AS doc, l_orderkey * 10 + l_linenumber AS place, l_extendedprice AS x, (['image', 'text', 'tag', 'image'])[CAST(l_quantity AS INT) % 4 + 1] AS kind FROM lineitem),
+c AS (SELECT *, count(*) FILTER (WHERE kind = 'text') OVER (PARTITION BY doc ORDER BY place, x ROWS UNBOUNDED PRECEDING) AS chain FROM b) SELECT doc, chain, count(*) AS images FROM c WHERE kind = 'image' GROUP BY 1, 2""")
+def image_chains(spark, sf_dir):
+    kinds = F.array(*[F.lit(k) for k in ("image", "text", "tag", "image")])
+    line = B.table(spark, sf_dir, "lineitem")
+    blocks = line.select(F.col("l_suppkey").alias("doc"), F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_extendedprice")).alias("place"), F.element_at(kinds, F.col("l_quantity").cast("int") % 4 + 1).alias("kind"))
+    return E.image_chains(blocks, "doc").groupBy("doc", "chain").agg(F.count("*").alias("images"))
+
+
 # --- keys, quality, copies -------------------------------------------------------------------------------
 
 
@@ -177,7 +222,7 @@ def formulas(spark, sf_dir):
 @query("SELECT p_partkey AS id, regexp_full_match(p_brand || '-' || p_size, '[\\p{L}\\p{N}._-]{1,100}') AS fine, CASE WHEN p_size % 3 = 0 THEN 'MULTIPLE' WHEN p_size % 3 = 1 THEN 'SUBJECTIVE' ELSE 'SINGLE' END AS kind FROM part")
 def inferred_types(spark, sf_dir):
     m = F.col("p_size") % 3
-    kind = X.question_type(F.when(m != 1, F.array(F.lit("A"), F.lit("B"))), F.when(m == 0, "二、多选题"), F.lit("B"))
+    kind = X.question_type(F.when(m != 1, F.array(F.lit("A"), F.lit("B"))), F.when(m == 0, "二、多选题"))
     return B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.valid_key(F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string"))).alias("fine"), kind.alias("kind"))
 
 

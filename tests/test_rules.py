@@ -149,7 +149,7 @@ def test_checksum_follows_content_only(spark):
     assert same != exchange.bank_checksum(rows.fillna("y")).first()["checksum"]
 
 
-ANSWERS = [("1. A", 1, "A"), ("2、bc", 2, "BC"), ("3：D", 3, "D"), (" 12)C ", 12, "C"), ("1-8：B D C C B A B D", 3, "C"), ("1-8：B D C C B A B D", 9, None), ("1-3 ABC", 2, "B"), ("1-3 AB", 2, None), ("1. A word", 1, None), ("3.5", 3, None), ("text", 1, None), ("2. A", 1, None)]
+ANSWERS = [("1. A", 1, "A"), ("2、bc", 2, "bc"), ("3：D", 3, "D"), (" 12)C ", 12, "C"), ("【第3题答案】：bd", 3, "bd"), ("9~10 BD ABD", 10, "ABD"), ("4、√", 4, "√"), ("1-8：B D C C B A B D", 3, "C"), ("1-8：B D C C B A B D", 9, None), ("1-3 ABC", 2, None), ("1-3 A,B", 2, "B"), ("1. A word", 1, None), ("3.5", 3, None), ("text", 1, None), ("2. A", 1, None)]
 
 
 @pytest.mark.parametrize("line, number, answer", ANSWERS)
@@ -157,7 +157,7 @@ def test_answer_grammar(spark, line, number, answer):
     assert one(spark, X.answer_of(F.lit(line), F.lit(number))) == [answer]
 
 
-@pytest.mark.parametrize("line, number", [("9. What is", 9), ("10、什么", 10), ("3.14 is pi", None), ("no. 3", None)])
+@pytest.mark.parametrize("line, number", [("9. What is", 9), ("10、什么", 10), ("3.14 is pi", None), ("no. 3", None), ("[图片2]7) text", 7), ("5. B", None), ("6.", 6), ("3.1998年的", 3)])
 def test_question_numbers(spark, line, number):
     assert one(spark, X.question_number(F.lit(line))) == [number]
 
@@ -167,10 +167,31 @@ def test_text_builders(spark):
     assert one(spark, X.file_name(F.lit('a/b:c*?"<>|.. '))) == ["a_b_c______"]
     assert one(spark, X.file_name(F.lit("CON.txt")), X.file_name(F.lit(" "))) == ["_CON.txt", "untitled"]
     assert one(spark, X.fenced(F.lit('x ```json\n{"a": 1}\n``` y'))) == ['{"a": 1}']
-    assert one(spark, X.images(F.lit("[[IMG:3]] [[IMG:1]] [[IMG:3]]"))) == [[3, 1]]
+    assert one(spark, X.images(F.lit("[图片3] [图片1] [图片3]"))) == [[3, 1]]
     assert one(spark, rules.round_half_up(F.lit(-2.5)), rules.round_half_up(F.lit(2.5))) == [-2.0, 3.0]
 
 
+def test_exam_builders(spark):
+    from studylake.functions import exam as M
+
+    text = "一、选择\n1. first\n2. second\n7. odd\n3. third\n4. fourth\n8. last\n1. A\n答案"
+    b = one(spark, M.boundaries(F.lit(text)))[0]
+    assert [text[i:].split(".")[0] for i in b] == ["1", "2", "7", "8"]
+    assert one(spark, M.boundaries(F.lit("1. a\n2. b"))) == [[]]
+    assert one(spark, M.answer_section(F.lit(text)), M.answer_section(F.lit("none"))) == [text.index("1. A"), -1]
+    assert one(spark, M.compact_answers(F.lit("1.A 2.BD 3）C 3.D"))) == [{1: "A", 2: "BD", 3: "D"}]
+    assert one(spark, M.compact_answers(F.lit("1.A"))) == [{}]
+    assert one(spark, M.is_answer_list(F.lit("1. A\n2. B\nx")), M.is_answer_list(F.lit("1. A\nx\ny\nz\nw")), M.is_answer_list(F.lit("1.A 2.B 3.C"))) == [True, False, True]
+    assert one(spark, M.bracket_answer(F.lit("【1题答案】 12.\n【第1题答案】：see  text"), F.lit(1)), M.bracket_answer(F.lit("【2题答案】3"), F.lit(2))) == ["see text", None]
+    none = F.array().cast(M.OPTIONS)
+    kinds = one(spark, *[M.checked_question(F.lit(k), none, F.lit(None).cast("double")) for k in ("judge", "SINGLE")])
+    assert [(k["type"], len(k["options"]), k["score"]) for k in kinds] == [("JUDGE", 2, 1.0), ("SUBJECTIVE", 0, 5.0)]
+    abc = F.transform(F.array(F.lit("x"), F.lit("y"), F.lit("z")), lambda t: F.struct(t.alias("key"), t.alias("text")))
+    assert one(spark, M.mislabelled_choice(F.lit("SUBJECTIVE"), F.lit("下列正确的是"), abc), M.mislabelled_choice(F.lit("SUBJECTIVE"), F.lit("简述下列"), abc)) == ["SINGLE", "SUBJECTIVE"]
+    assert one(spark, M.is_junk(F.lit("SINGLE"), F.lit("ok"), abc), M.is_junk(F.lit("SINGLE"), F.lit("a 3.\nnext"), abc), M.is_junk(F.lit("SINGLE"), F.lit("ok"), none)) == [False, True, True]
+    assert one(spark, M.images_within(F.lit("a[图片3]b[图片9]"), F.lit(3), F.lit(4))) == ["a[图片3]b"]
+
+
 def test_empty_log(spark):
     none = log(spark, []).filter("id > 0")
     assert attempts.wrong_questions(none).count() == attempts.healed(none).count() == review.states(none).count() == 0
