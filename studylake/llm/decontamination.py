@@ -1,7 +1,7 @@
 """Benchmark passages in documents, by SimHash windows and multi-index blocks.
 
-For every item of n words, windows of n words of a document are fingerprinted
-(64-bit SimHash over their word shingles).  The 64 bits are cut into blocks;
+For every item of n words, windows of n words of a document (the whole of a
+shorter one) are fingerprinted (64-bit SimHash over their word shingles).  The 64 bits are cut into blocks;
 two fingerprints within the radius differ in at most radius // blocks bits of
 some block, so looking up each block with that many bit flips finds all items
 within the radius.  Each item found is verified exactly: similarity of the two
@@ -112,7 +112,8 @@ class ItemBlock:
             if p + self.size > hi:
                 continue
             for n in self.lengths[s]:
-                per.setdefault(t, {}).setdefault(n, set()).update(range(max(lo, p + self.size - n), min(p, hi - n) + 1))
+                starts = range(max(lo, p + self.size - n), min(p, hi - n) + 1) if hi - lo >= n else (lo,)
+                per.setdefault(t, {}).setdefault(n, set()).update(starts)
         for n in self.short:  # items that are one short shingle
             runs_n = shingle_hashes(words, n)
             spots = np.flatnonzero(np.isin(runs_n, self.known))
@@ -120,11 +121,11 @@ class ItemBlock:
                 if p + n <= bounds[t + 1]:
                     per.setdefault(t, {}).setdefault(n, set()).add(p)
         for t, windows in per.items():
-            listed, lo, best = None, int(bounds[t]), {}
+            listed, lo, hi, best = None, int(bounds[t]), int(bounds[t + 1]), {}
             for n, starts in windows.items():
                 order = sorted(starts)
                 k = min(self.size, n)
-                prints = np.array([majority(shingle_hashes(words[s : s + n], k)) for s in order], np.uint64)
+                prints = np.array([majority(shingle_hashes(words[s : min(s + n, hi)], k)) for s in order], np.uint64)
                 for w, i in self.found(prints, n).tolist():
                     listed = listed or text_words(texts[t])
                     first = order[w] - lo

@@ -195,7 +195,7 @@ def test_leaks_equal_all_windows(spark, sf_dir, documents):
                 continue  # no window can share a shingle
             n = len(mine)
             best = max((decontamination.similarity(decontamination.shingles(words[s : s + n]), bag) for s in range(max(1, len(words) - n + 1))), default=0)
-            if best >= 0.8 and len(words) >= n:
+            if best >= 0.8:
                 want[i, item] = round(best, 9)
     got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in Q.op2_decontamination(spark, sf_dir).collect()}
     assert got == want and want
@@ -205,13 +205,13 @@ def test_edited_passages_are_found(spark):
     rng = random.Random(5)
     words = [f"w{rng.randrange(4000)}" for _ in range(400)]
     item = words[100:180]
-    texts = {1: words, 2: words[:100] + item[:40] + ["changed"] + item[41:] + words[180:], 3: [f"v{k}" for k in range(500)], 4: item, 5: words[:100] + item[::-1]}
+    texts = {1: words, 2: words[:100] + item[:40] + ["changed"] + item[41:] + words[180:], 3: [f"v{k}" for k in range(500)], 4: item, 5: words[:100] + item[::-1], 6: item[:-3]}
     docs = frame(spark, [(i, " ".join(w), None) for i, w in texts.items()])
     bench = spark.createDataFrame([(9, " ".join(item).upper())], "item_id long, text string")
     found = {r["doc_id"]: r["similarity"] for r in decontamination.find_leaks(docs, bench).collect()}
-    assert set(found) == {1, 2, 4} and found[1] == found[4] == 1.0
+    assert set(found) == {1, 2, 4, 6} and found[1] == found[4] == 1.0
     one_by_one = decontamination.find_leaks(docs, bench.unionByName(bench), block_items=1)
-    assert {r["doc_id"] for r in one_by_one.collect()} == {1, 2, 4}
+    assert {r["doc_id"] for r in one_by_one.collect()} == {1, 2, 4, 6}
 
 
 # --- personal data: base spans ---------------------------------------------------------------------------

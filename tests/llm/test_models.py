@@ -177,7 +177,7 @@ def test_pipeline_by_plain_steps(spark, sf_dir):
         for mine in items:
             bag, n = decontamination.shingles(mine), len(mine)
             spots = [s for s in range(len(words) - 4) if tuple(words[s : s + 5]) in bag]
-            starts = {s for p in spots for s in range(max(0, p + 5 - n), min(p, len(words) - n) + 1)}
+            starts = {s for p in spots for s in (range(max(0, p + 5 - n), min(p, len(words) - n) + 1) if len(words) >= n else (0,))}
             if any(decontamination.similarity(decontamination.shingles(words[s : s + n]), bag) >= 0.8 for s in starts):
                 return True
         return False
