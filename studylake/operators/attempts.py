@@ -31,8 +31,8 @@ def wrong_questions(attempts: DataFrame) -> DataFrame:
 def page(df: DataFrame, order: list[Column], number: int, size: int, most: int = 100) -> DataFrame:
     """One page in a total order, with the total; number and size are clamped."""
     size, number = max(1, min(size, most)), max(1, number)
-    total = df.agg(F.count("*").alias("total"))
-    return df.orderBy(*order).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(total))
+    total = df.agg(F.count("*")).scalar()
+    return df.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", total)
 
 
 def healed(attempts: DataFrame, *more: str) -> DataFrame:

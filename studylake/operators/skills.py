@@ -50,8 +50,8 @@ def graph_version(version, text):
 def customise(nodes: DataFrame, added: DataFrame, disabled: DataFrame) -> DataFrame:
     """Official nodes with added ones (same id: renamed), less disabled ones; their prerequisites too."""
     base = nodes.join(added.select("node_id"), "node_id", "left_anti").unionByName(added, allowMissingColumns=True)
-    off = F.broadcast(disabled.agg(F.collect_set("node_id").alias("off")))
-    live = base.crossJoin(off).withColumn("prereq", F.array_except("prereq", "off"))
+    off = disabled.agg(F.collect_set("node_id")).scalar()
+    live = base.withColumn("off", off).withColumn("prereq", F.array_except("prereq", "off"))
     return live.filter(~F.array_contains("off", F.col("node_id"))).drop("off")
 
 

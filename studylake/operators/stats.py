@@ -87,6 +87,6 @@ def level_histogram(states: DataFrame) -> DataFrame:
 def heat_map(days: DataFrame) -> DataFrame:
     """Cells of a calendar heat map: week column (from Monday), weekday, shade 0..5."""
     shade = F.when(F.col("answered") <= 0, 0).when(F.col("answered") <= 4, 1).when(F.col("answered") <= 9, 2).when(F.col("answered") <= 19, 3).when(F.col("answered") <= 34, 4).otherwise(5)
-    first = days.agg(F.min("day").alias("first"))
+    first = days.agg(F.min("day")).scalar()
     monday = F.date_sub("first", F.weekday("first"))
-    return days.crossJoin(F.broadcast(first)).select("day", F.floor(F.datediff("day", monday) / 7).alias("week"), F.weekday("day").alias("weekday"), shade.alias("shade"))
+    return days.withColumn("first", first).select("day", F.floor(F.datediff("day", monday) / 7).alias("week"), F.weekday("day").alias("weekday"), shade.alias("shade"))

@@ -228,17 +228,17 @@ def recorded_seconds(spark, sf_dir):
 SELECT session_id, id, greatest(0, date_diff('second', coalesce(lag(t) OVER (PARTITION BY session_id ORDER BY t, id), start), t)) AS seconds FROM o""")
 def elapsed_seconds(spark, sf_dir):
     orders = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("session_id"), F.col("o_orderdate").alias("answered_at"), F.lit(None).cast("long").alias("seconds"))
-    first = orders.agg(F.min("answered_at").alias("created_at"))
-    return S.seconds_per_question(orders, orders.select("session_id").distinct().crossJoin(F.broadcast(first)))
+    first = orders.agg(F.min("answered_at")).scalar()
+    return S.seconds_per_question(orders, orders.select("session_id").distinct().withColumn("created_at", first))
 
 
 @query(f"WITH {LOG}, {STATES}, x AS (SELECT count(*) AS answered, count(*) FILTER (WHERE CAST(answered_at AS DATE) = DATE '2024-01-30') AS today FROM g) SELECT x.answered, today, round(least(1, today / 50), 6) AS goal, (SELECT count(*) FROM s WHERE due_at <= TIMESTAMP '2024-01-30 12:00:00') AS due, (SELECT count(*) FROM part) AS questions FROM x")
 def home_overview(spark, sf_dir):
     log = B.attempts(spark, sf_dir)
     x = log.agg(F.count("*").alias("answered"), F.count_if(F.to_date("answered_at") == F.lit(AS_OF.date())).alias("today"))
-    due = R.queue(R.states(log), AS_OF).agg(F.count("*").alias("due"))
-    size = B.questions(spark, sf_dir).agg(F.count("*").alias("questions"))
-    return x.crossJoin(due).crossJoin(size).select("answered", "today", F.round(F.least(F.lit(1.0), F.col("today") / 50), 6).alias("goal"), "due", "questions")
+    due = R.queue(R.states(log), AS_OF).agg(F.count("*")).scalar()
+    size = B.questions(spark, sf_dir).agg(F.count("*")).scalar()
+    return x.withColumn("due", due).withColumn("questions", size).select("answered", "today", F.round(F.least(F.lit(1.0), F.col("today") / 50), 6).alias("goal"), "due", "questions")
 
 
 @query(f"WITH {QUESTIONS}, d AS (SELECT id, CASE question_type WHEN 'SUBJECTIVE' THEN 520.0 WHEN 'MULTIPLE' THEN 460.0 WHEN 'JUDGE' THEN 320.0 ELSE 400.0 END + CASE WHEN score > 2 AND question_type <> 'SUBJECTIVE' THEN 40.0 ELSE 0.0 END AS d FROM q) SELECT id, CAST(d AS DOUBLE) AS difficulty, CAST(floor(100 / (1 + pow(10::DOUBLE, d / 400)) + 0.5) AS BIGINT) AS percent FROM d")
