@@ -53,11 +53,12 @@ def cut(length: int, capacity: int, sizes: list[int], slack: float = 0.02, least
     rest = length % capacity
     while rest:
         k = class_of(rest, capacity, sizes)
-        full = capacity // (k + 1)  # the longest piece of the class below
         if rest <= least or rest * k >= capacity * (1 - slack):
             pieces.append((rest, k))
             break
-        pieces.append((full, k + 1 if k + 1 in sizes else class_of(full, capacity, sizes)))
+        # The longest piece of the next class there is: that class has more than capacity / rest pieces, so 0 < full < rest.
+        full = capacity // sizes[sizes.index(k) + 1]
+        pieces.append((full, class_of(full, capacity, sizes)))
         rest -= full
     return pieces
 

@@ -300,6 +300,31 @@ def test_packing_of_whole_table(spark, sf_dir, documents):
     assert sorted(by_sequence) == list(range(len(by_sequence)))
 
 
+@pytest.mark.parametrize("capacity", [1, 7, 100, 1000, 4096])
+def test_pieces_of_every_length_fit(capacity):
+    sizes = packing.class_sizes(capacity)
+    for n in range(1, 2 * capacity + 1):
+        for least in (0, 64):
+            pieces = packing.cut(n, capacity, sizes, least=least)
+            assert sum(length for length, _ in pieces) == n
+            assert all(length >= 1 and size in sizes and length * size <= capacity for length, size in pieces), (n, pieces)
+
+
+def test_short_remainders_are_packed_whole(spark):
+    docs = frame(spark, [(n, "word " * n, None) for n in (64, 65, 72, 80, 81, 82, 649, 650) for _ in range(60)])
+    rows = packing.pack(docs, tokens=True).collect()
+    assert all(1 <= r["length"] == len(r["ids"]) and r["start"] + r["length"] <= r["doc_tokens"] for r in rows)
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
 def test_packed_ids_come_back(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
     packed = packing.pack(docs, tokens=True)
