@@ -2,12 +2,14 @@
 
 Scratch tables are Parquet folders below ``spark.checkpoint.dir``, which every
 executor of a cluster shares, so a lost executor costs a reread, never a
-result.  Where that setting is absent the session's warehouse folder is used
-(also shared); only a local-mode session falls back on a temporary folder.
+result.  A cluster without that setting is an error; only a local-mode session
+falls back on a temporary folder.  A table that was read for the last time is
+dropped at once (``drop``), what is left when the session's JVM ends.
 """
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,22 +25,25 @@ ROWS_PER_BATCH = 1000
 #: Characters of text that one numpy pass works on.
 CHARS_PER_PASS = 4_000_000
 
-_local_scratch: str | None = None
+_scratch: dict[str, str] = {}
 _shipped: str | None = None
 _archive: tempfile.TemporaryDirectory | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables and written files."""
-    global _local_scratch
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    if _local_scratch is None:
-        _local_scratch = "file://" + tempfile.mkdtemp(prefix="studylake-")
-    return _local_scratch
+    """This application's folder for intermediate tables and written files, in the shared folder."""
+    application = spark.sparkContext.applicationId
+    if application not in _scratch:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = "file://" + tempfile.mkdtemp(prefix="studylake-")
+        root = f"{shared.rstrip('/')}/studylake-{application}-{uuid.uuid4().hex[:8]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _scratch[application] = root
+    return _scratch[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -51,13 +56,31 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def drop(*staged: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_on_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, most: int = 4000) -> DataFrame:
+    """``rows`` JOIN ``table`` on a key that is unique in ``table``, where a key may hold a third of all rows.
+
+    ``weight`` is a column of ``table``: the rows of each key.  Keys of more
+    than 1/``most`` of all rows, which are fewer than ``most`` whatever the
+    input, are broadcast; the others are shuffled.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(1, total // most)
+    heavy = F.broadcast(table.filter(hot))
+    often = rows.join(heavy, key).drop(weight)
+    rest = rows.join(heavy.select(key), key, "left_anti").join(table.filter(~hot), key).drop(weight)
+    return often.unionByName(rest)
 
 
 def ship(spark: SparkSession) -> None:

@@ -10,9 +10,10 @@ the rest is cut at class capacities wherever its class would waste more than
 What is left over, fewer than k pieces in each class whatever the input, is
 packed by best fit in one small group; those sequences come last.
 
-Defined cases: a null or empty text is the end id alone; rows that repeat a
-doc_id are packed each; a null doc_id is kept; an empty table gives an empty
-result; further columns are ignored.
+Defined cases: a null or empty text is the end id alone; a very long text is
+encoded whole and cut into pieces; rows that repeat a doc_id are packed each, ties
+in the order read; a null doc_id is kept; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .word_tokens import encoder
 
 CAPACITY = 4096
 END_ID = 2
+#: Counts by task and class that are broadcast (12 MB); more are joined by shuffle.
+BROADCAST_COUNTS = 500_000
 
 
 def class_sizes(capacity: int = CAPACITY, fine: int = 48) -> list[int]:
@@ -122,8 +125,8 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", byte_level: boo
     """
     spark = docs.sparkSession
     rows = stage(pieces_of(docs, vocabulary, byte_level, end_id, capacity, slack, tokens), "pieces")
-    counts = rows.groupBy("task", "size").agg(F.count("*").alias("n"))
     # As many rows as tasks times classes; each class sums its own tasks.
+    counts = stage(rows.groupBy("task", "size").agg(F.count("*").alias("n")), "piece-counts")
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("size").orderBy("task")) - F.col("n"))
     totals = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # a row per class
     bases, at = [], 0
@@ -132,14 +135,17 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", byte_level: boo
         at += totals[size] // size
     classes = F.broadcast(spark.createDataFrame(bases, "size int, base bigint, whole bigint"))
     placed = before.select("task", "size", "before").join(classes, "size")
+    if counts.limit(BROADCAST_COUNTS + 1).count() <= BROADCAST_COUNTS:
+        placed = F.broadcast(placed)
     numbered = rows.join(placed, ["task", "size"]).withColumn("rank", F.col("before") + F.col("number"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * tokens]
     whole = numbered.filter("rank < whole").withColumn("sequence_id", F.col("base") + F.floor(F.col("rank") / F.col("size")))
     inside = Window.partitionBy("sequence_id").orderBy("rank")
     whole = whole.withColumn("offset", F.sum("length").over(inside) - F.col("length")).select(columns)
-    # Fewer than the sum of the class sizes, a constant.
+    # Fewer than the sum of the class sizes, a constant: found by all tasks, then moved to one.
     left = numbered.filter("rank >= whole")
-    fitted = left.select("task", "size", "number", "length").coalesce(1).mapInArrow(_best_fit(capacity), "task int, size int, number bigint, bin bigint, offset bigint")
+    few = left.select("task", "size", "number", "length").repartition(1)
+    fitted = F.broadcast(few.mapInArrow(_best_fit(capacity), "task int, size int, number bigint, bin bigint, offset bigint"))
     last = left.join(fitted, ["task", "size", "number"]).withColumn("sequence_id", F.col("bin") + F.lit(at)).select(columns)
     return whole.unionByName(last)
 

@@ -6,24 +6,31 @@ the second chunk of just those, and so on.  A rank directory (ones before every
 512th bit) turns a token's place in one level into its place in the next, so
 any token is read by a few array accesses; no block is decoded.
 
-A segment is one self-describing byte string; a store is a Parquet table with a
-row per segment in ascending doc_id order (directory of documents, first token,
-payload), written through Spark's commit protocol, so a lost task leaves no
-half file.  Payload pages are not compressed: they are addressed in place.
-
-Defined cases: a null or empty text is the end id alone; rows that repeat a
-doc_id are stored each, in the order of their texts' hashes; a null doc_id
-sorts first; an empty table is an empty store; further columns are ignored.
+A segment is one self-describing byte string.  A store is a folder of binary
+files, each the segments of one task one after the other, and an index beside
+them (Parquet, a row per segment in ascending doc_id order: file, place, first
+token, documents).  A file's name is new for each attempt and only the index
+names it, so a repeated or lost task leaves no half-read file.  ``tokens_at``
+reads single tokens by their number in the whole store: a few range reads of
+some bytes each, never a segment.
+
+Defined cases: a null or empty text is the end id alone; a very long text is
+encoded whole, as one segment; rows that repeat a doc_id are stored each, in the
+order of their texts' hashes (ties have equal texts); a null doc_id sorts first;
+an empty table is an empty store; further columns are ignored; a number outside
+the store has no row in ``tokens_at``.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,47 +66,47 @@ def encode_segment(ids: np.ndarray) -> bytes:
 
 
 class Segment:
-    """Random access to the ids of an encoded segment."""
+    """Random access to the ids of an encoded segment, by range reads (offset, length) of its bytes."""
 
-    def __init__(self, payload: bytes):
-        if payload[:4] != MAGIC:
+    def __init__(self, read: bytes | Callable[[int, int], bytes]):
+        self.read = (lambda at, n: read[at : at + n]) if isinstance(read, bytes) else read
+        head = self.read(0, 12)
+        if head[:4] != MAGIC:
             raise ValueError("not a segment")
-        levels, self.n = struct.unpack_from("<II", payload, 4)
-        at = 12 + 12 * levels
-        self.levels = []
-        for k in range(levels):
-            sizes = struct.unpack_from("<III", payload, 12 + 12 * k)
-            arrays = []
-            for size, kind in zip(sizes, (np.uint8, np.uint8, np.dtype("<u4")), strict=True):
-                arrays.append(np.frombuffer(payload, kind, size // np.dtype(kind).itemsize, at))
-                at += size
-            self.levels.append(arrays)
+        levels, self.n = struct.unpack_from("<II", head, 4)
+        sizes = struct.unpack(f"<{3 * levels}I", self.read(12, 12 * levels))
+        #: For each level the places and sizes of its chunks, bitmap and ranks.
+        places = (12 + 12 * levels + np.concatenate([[0], np.cumsum(sizes)])).tolist()
+        self.levels = [[(places[3 * k + j], sizes[3 * k + j]) for j in range(3)] for k in range(levels)]
 
     def __len__(self) -> int:
         return self.n
 
     def __getitem__(self, i: int) -> int:
-        """One id, from one byte of each of its levels."""
+        """One id, from one byte of each of its levels and a block of the bitmap above it."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        value = 0
-        for k, (chunk, bitmap, ranks) in enumerate(self.levels):
-            value |= int(chunk[i]) << (8 * k)
-            if not len(bitmap) or not bitmap[i >> 3] >> (i & 7) & 1:
-                return value
-            block = i // RANK_BITS
-            before = bitmap[block * RANK_BITS // 8 : i >> 3]
-            last = int(bitmap[i >> 3]) & ((1 << (i & 7)) - 1)
-            i = int(ranks[block]) + int(np.bitwise_count(before).sum()) + last.bit_count()
+        value, step = 0, RANK_BITS // 8
+        for k, ((chunk, _), (bitmap, size), (ranks, _)) in enumerate(self.levels):
+            value |= self.read(chunk + i, 1)[0] << (8 * k)
+            if not size:
+                break
+            block, bit = divmod(i, RANK_BITS)
+            bits = int.from_bytes(self.read(bitmap + block * step, step), "little")
+            if not bits >> bit & 1:
+                break
+            (before,) = struct.unpack("<I", self.read(ranks + 4 * block, 4))
+            i = before + (bits & ((1 << bit) - 1)).bit_count()
         return value
 
     def all(self) -> np.ndarray:
         """Every id, level by level."""
         values = np.zeros(0, np.uint32)
-        for chunk, bitmap, _ in reversed(self.levels):
-            level = chunk.astype(np.uint32)
-            if len(bitmap):
-                level[np.unpackbits(bitmap, count=len(chunk), bitorder="little").view(bool)] |= values << np.uint32(8)
+        for (chunk, n), (bitmap, size), _ in reversed(self.levels):
+            level = np.frombuffer(self.read(chunk, n), np.uint8).astype(np.uint32)
+            if size:
+                more = np.frombuffer(self.read(bitmap, size), np.uint8)
+                level[np.unpackbits(more, count=n, bitorder="little").view(bool)] |= values << np.uint32(8)
             values = level
         return values
 
@@ -107,52 +114,60 @@ class Segment:
 def write_store(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", byte_level: bool = True, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> str:
     """Encode whole texts and write them in ascending doc_id order; returns ``path``."""
     kind = docs.schema["doc_id"].dataType
-    schema = f"part int, segment int, first bigint, doc_ids array<{kind.simpleString()}>, doc_tokens array<bigint>, payload binary"
+    schema = f"part int, segment int, first bigint, n_tokens bigint, doc_ids array<{kind.simpleString()}>, doc_tokens array<bigint>, file string, place bigint, size bigint"
+    spark = docs.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(vocabulary, byte_level).encode, TaskContext.get().partitionId()
-        segment = first = held = 0
+        files, root = pafs.FileSystem.from_uri(f"{path}/codes")
+        files.create_dir(root)
+        name, out = f"{part:06d}-{uuid.uuid4().hex[:12]}.dac", None
+        segment = first = held = place = 0
         ids, arrays, kinds = [], [], None
 
         def close() -> pa.RecordBatch:
-            nonlocal segment, first, held
-            lengths = [len(a) for a in arrays]
-            columns = [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(kinds)), pa.array([lengths], pa.list_(pa.int64())), pa.array([encode_segment(np.concatenate(arrays))], pa.binary())]
-            segment, first, held = segment + 1, first + held, 0
+            nonlocal segment, first, held, place, out
+            if out is None:
+                out = files.open_output_stream(f"{root}/{name}")
+            payload = encode_segment(np.concatenate(arrays))
+            out.write(payload)
+            row = {"part": part, "segment": segment, "first": first, "n_tokens": held, "doc_ids": list(ids), "doc_tokens": [len(a) for a in arrays], "file": name, "place": place, "size": len(payload)}
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(kinds), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.int64()]
+            segment, first, held, place = segment + 1, first + held, 0, place + len(payload)
             ids.clear()
             arrays.clear()
-            return pa.RecordBatch.from_arrays(columns, ["part", "segment", "first", "doc_ids", "doc_tokens", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
         for batch in batches:
             kinds = batch.schema.field("doc_id").type
             texts, names = texts_of(batch), batch.column("doc_id").to_pylist()
             for a, b in passes([len(t) for t in texts]):
-                for name, found in zip(names[a:b], encode(texts[a:b]), strict=True):
-                    ids.append(name)
+                for doc, found in zip(names[a:b], encode(texts[a:b]), strict=True):
+                    ids.append(doc)
                     arrays.append(np.append(found, np.uint32(end_id)))
                     held += len(found) + 1
                     if held >= segment_tokens or len(ids) >= SEGMENT_DOCS:
                         yield close()
         if ids:
             yield close()
+        if out is not None:
+            out.close()
 
-    spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col("text").cast("string").alias("text")
     order = docs.select("doc_id", text, F.xxhash64(text).alias("tie")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    order.select("doc_id", "text").mapInArrow(write, schema).write.option("compression", "uncompressed").parquet(path)
+    order.select("doc_id", "text").mapInArrow(write, schema).write.parquet(f"{path}/index")
     return path
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Segments with their first token's number in the whole store.
+    """The index of a store: a row per segment, with its first token's number in the whole store.
 
     One number for each written part is summed on the driver: parts are as many
     as the write had tasks, however long the texts are.
     """
-    rows = spark.read.parquet(path)
-    tokens = F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
-    totals = rows.groupBy("part").agg(F.sum(tokens).alias("n")).orderBy("part").collect()
+    rows = spark.read.parquet(f"{path}/index")
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     offsets, at = [], 0
     for r in totals:
         offsets.append((r["part"], at))
@@ -161,26 +176,68 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(base, "part").withColumn("first", F.col("base") + F.col("first")).drop("base")
 
 
-def documents(segments: DataFrame) -> DataFrame:
+def _segments(path: str) -> Callable[[str, int], Segment]:
+    """Opens segments by file and place; a worker keeps few files open."""
+    files, root = pafs.FileSystem.from_uri(f"{path}/codes")
+    opened: dict[str, pa.NativeFile] = {}
+
+    def segment(name: str, place: int) -> Segment:
+        if name not in opened:
+            if len(opened) > 16:
+                opened.pop(next(iter(opened))).close()
+            opened[name] = files.open_input_file(f"{root}/{name}")
+        held = opened[name]
+        return Segment(lambda at, n: held.read_at(n, place + at))
+
+    return segment
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document, decoded from a store: doc_id, start, n_tokens, ids_crc32."""
-    kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
+    index = read_store(spark, path)
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_segment = _segments(path)
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                ids = Segment(one.column("payload")[0].as_py()).all().astype("<u4")
+                ids = open_segment(one.column("file")[0].as_py(), one.column("place")[0].as_py()).all().astype("<u4")
                 sizes = np.array(one.column("doc_tokens")[0].as_py(), np.int64)
                 ends = np.cumsum(sizes)
                 crcs = [zlib.crc32(ids[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
                 first = one.column("first")[0].as_py()
                 yield pa.RecordBatch.from_arrays([one.column("doc_ids").flatten(), pa.array(first + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # A segment is about two megabytes: few rows at once.
-    return segments.select("doc_ids", "doc_tokens", "first", "payload").mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # Index rows are small, what they name isn't: dealt anew, so that few files of rows don't mean few tasks.
+    dealt = index.select("doc_ids", "doc_tokens", "first", "file", "place").repartition("file", "place")
+    return dealt.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def tokens_at(spark: SparkSession, path: str, numbers: DataFrame, grid: int = SEGMENT_TOKENS) -> DataFrame:
+    """number, token: single tokens of a store by their numbers (a column ``number``), in range reads.
+
+    A number meets its segment by the cell of a grid that both lie in.
+    """
+    index = read_store(spark, path).select("first", "n_tokens", "file", "place")
+    cells = F.sequence(F.floor(F.col("first") / grid), F.floor((F.col("first") + F.col("n_tokens") - 1) / grid))
+    wanted = numbers.select(F.col("number").cast("long").alias("number")).distinct().withColumn("cell", F.floor(F.col("number") / grid))
+    met = wanted.join(index.withColumn("cell", F.explode(cells)), "cell").filter((F.col("number") >= F.col("first")) & (F.col("number") < F.col("first") + F.col("n_tokens")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_segment, last, segment = _segments(path), None, None
+        for batch in batches:
+            found = []
+            for number, first, name, place in zip(*(batch.column(c).to_pylist() for c in ("number", "first", "file", "place")), strict=True):
+                if (name, place) != last:
+                    last, segment = (name, place), open_segment(name, place)
+                found.append(segment[number - first])
+            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array(found, pa.int64())], ["number", "token"])
+
+    return met.select("number", "first", "file", "place").mapInArrow(run, "number bigint, token bigint")
 
 
 def token_table(docs: DataFrame, **how) -> DataFrame:
     """Write a store below the shared folder, read it back, one row per document."""
     spark = docs.sparkSession
-    return documents(read_store(spark, write_store(docs, scratch_path(spark, "tokens"), **how)))
+    return documents(spark, write_store(docs, scratch_path(spark, "tokens"), **how))

@@ -3,9 +3,9 @@
 The library spends most of its time on words that it has met before.  Here a
 text is cut where its pre-tokenizer always cuts, distinct pieces are encoded
 once by the library and kept, and a text's ids are put together by numpy.  A
-text in which those cuts aren't certain goes to the library whole, so ids are
-those of ``Tokenizer.encode(text, add_special_tokens=False)`` always; strings
-that look like special tokens are ordinary text.
+text in which those cuts aren't certain, such as one that holds a special
+token's own string, goes to the library whole, so ids are always those of
+``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import numpy as np
 KEPT_PIECES = 1_200_000
 #: Runs of white space, or white space other than blank and line feed.
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
+#: A comma or full stop that ends a piece after an ASCII letter, which no normalisation changes.
+_MARKED = re.compile(r"[A-Za-z][,.]\Z")
 
 
 def vocabulary(name: str) -> str:
@@ -52,7 +54,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.byte_level = byte_level
         self.marks = {m: self.library.encode("a" + m, add_special_tokens=False).ids[1:] for m in ",."}
         self._clear()
@@ -69,9 +71,9 @@ class WordEncoder:
         # A comma or full stop after a letter is cut off by either pre-tokenizer: the word
         # before it is encoded once, with it or without.
         for piece in list(fresh):
-            if piece[-1:] in (",", ".") and piece[-2:-1].isalpha():
+            if _MARKED.search(piece):
                 self.pieces[piece[:-1]]
-        plain = [p for p in fresh if not (p[-1:] in (",", ".") and p[-2:-1].isalpha())]
+        plain = [p for p in fresh if not _MARKED.search(p)]
         # A piece stands for itself after a blank, or begins with the line feed before it.
         asked = [p if p[:1] == "\n" else " " + p for p in plain] if self.byte_level else plain
         found = self.library.encode_batch_fast(asked, add_special_tokens=False)
@@ -99,10 +101,9 @@ class WordEncoder:
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.zeros(0, np.uint32)
+            elif any(s in text for s in self.special) or (self.byte_level and (text[0] in " \n" or _ODD_SPACE.search(text))):
+                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
             elif self.byte_level:
-                if text[0] in " \n" or _ODD_SPACE.search(text):
-                    out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-                    continue
                 # The line feed put before the text is one id, dropped below.
                 words = ("\n" + text).replace("\n", " \n")[1:].split(" ")
             else:

@@ -31,8 +31,8 @@ def documents(spark, sf_dir):
 
 
 def _ids(name, texts):
+    """By the library as it is, nothing set."""
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -68,13 +68,35 @@ def test_random_access_in_codes(top):
 def test_encoder_equals_library(name, byte_level, documents):
     odd = ["", " ", "\n", "a  b", "end. ", ",.,.", "x\n\ny", "a\tb", "<|endoftext|> a", "it's we'll.", "3.14, 2,", "É.", "ß, ſ.", "a b", "中文。", "1,2.3", "'s .", "\U0001f600, x", "don't, can't.\nWon't"]
     rng = random.Random(1)
+    odd += ["23İ,", "a <|endoftext|> b", "<|startoftext|>x,", "e\u0301, ﬁ. İ. ½, ²."]
     odd += ["".join(rng.choice("ab1.,' \n\té中-") for _ in range(rng.randrange(30))) for _ in range(2000)]
+    alphabet = ["a", "Z", "1", ".", ",", " ", "  ", "\n", "\t", "İ", "e\u0301", "\u0301", "ﬁ", "ß", "ſ", "中", "-", "'s", "<|endoftext|>", "<|startoftext|>", "<|", "Σ", "½", "²", "\u200b", "\u1100\u1161", "\u00a0"]
+    odd += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(25))) for _ in range(20_000)]
     texts = odd + list(documents.values())
     got = WordEncoder(public_tokenizers.path(name), byte_level).encode(texts)
     for text, a, b in zip(texts, got, _ids(name, texts), strict=True):
         assert a.tolist() == b, text[:80]
 
 
+def test_single_tokens_are_read_from_the_files(spark, sf_dir, documents, tmp_path):
+    """Tokens by number over the whole store, over several segments, equal those of the texts in order."""
+    order = sorted(documents)
+    ids = [x for found in _ids("byte_bpe_50k.json", [documents[i] for i in order]) for x in (*found, 2)]
+    path = token_store.write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"file://{tmp_path}/store", segment_tokens=3000)
+    assert token_store.read_store(spark, path).count() > 20
+    wanted = [*range(0, len(ids), 97), len(ids) - 1, len(ids), -1]
+    got = {r["number"]: r["token"] for r in token_store.tokens_at(spark, path, spark.createDataFrame([(n,) for n in wanted], "number long"), grid=2000).collect()}
+    assert got == {n: ids[n] for n in wanted if 0 <= n < len(ids)}
+
+
+def test_a_token_costs_few_bytes():
+    payload = encode_segment(np.arange(300_000, dtype=np.uint32))
+    spent = []
+    segment = Segment(lambda at, n: spent.append(n) or payload[at : at + n])
+    spent.clear()
+    assert segment[299_999] == 299_999 and sum(spent) < 300
+
+
 # --- line dedup ------------------------------------------------------------------------------------------
 
 
