@@ -1,26 +1,34 @@
 """Repeated lines, found by two Bloom filters and confirmed exactly.
 
-A line's key is the line without ASCII white space at both ends, A-Z lowered.
-One filter holds the bits of keys seen once, the other those seen twice or
-more.  Each task fills its own pair over its documents; the pairs meet segment
-by segment (a bit twice in any, or once in two, is twice), streamed in sorted
-order so that a task holds one segment.  A key that two documents hold has all
-its bits in the second filter, so only such suspected keys are shuffled, where
-they are counted exactly; false suspects cost a row, never a wrong result.
-
-The filter has ``bits_per_line`` bits per line up to ``max_filter_bits`` (8
-MB), which bounds what is broadcast; beyond, more keys are suspected and
-shuffled.  The confirmed keys are broadcast as 16-byte digests while there are
-at most ``broadcast_keys`` of them and joined by document otherwise.
-
-Defined cases: a null or empty text is one empty line; an empty key never
-counts as repeated; rows that repeat a doc_id (null too) are one document; an empty
-table gives an empty result; further columns are passed through or ignored.
+A line's key is the line without ASCII white space at both ends, A-Z lowered;
+keys are told apart by 128-bit digests.  One pass over the texts writes each
+chunk of documents as (doc_id, digest) pairs, 24 bytes a line.  The first half
+of the digest is the hash that the filters know.
+
+The filters are cut by the hash: a part holds about ``lines_per_part`` lines
+however many there are, so parts grow in number with the corpus and never in
+size, and no filter leaves the task that filled it.  A part's task gets the
+distinct hashes of every chunk (a line of a third of all documents is one hash
+for a chunk), fills the filter of hashes seen once and that of hashes seen
+twice, and then asks the second for each chunk: a key of two documents is
+always in it, a key of one only by mistake, at a rate that ``bits_per_line``
+fixes at every size.  Only pairs so suspected are shuffled by key, where they are
+counted exactly and the first document is chosen; false suspects cost a row,
+never a wrong result.
+
+Confirmed keys are broadcast as 16-byte digests while there are at most
+``broadcast_keys`` of them and joined by document otherwise.
+
+Defined cases: a null or empty text is one empty line; a very long text or line
+is read whole; an empty key never counts as repeated; rows that repeat a doc_id
+(null too) are one document; of equal lines in one document the first stays
+(keep="first"); an empty table gives an empty result; further columns are passed
+through or ignored.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, texts_of
+from .common import drop, join_on_hot, passes, stage, texts_of
 
 SPACE = b" \t\n\x0b\x0c\r"
-SEGMENT_BITS = 1 << 20
 PROBES = 4
+DIGEST = np.dtype([("rest", "<u8"), ("hash", "<u8")])
 
 
 def line_keys(text: str) -> list[bytes]:
@@ -41,93 +49,127 @@ def line_keys(text: str) -> list[bytes]:
     return [line.strip(SPACE) for line in text.encode().lower().split(b"\n")]
 
 
-def _positions(keys: list[bytes], bits: int) -> np.ndarray:
-    """PROBES bit positions of each key (double hashing of a 64-bit digest)."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-    low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return (low[:, None] + high[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(bits)
+class Filters:
+    """Bloom filters of the hashes seen once, and of those seen twice or more."""
 
+    def __init__(self, keys: int, bits_per_line: int):
+        self.bits = 1 << max(10, (keys * bits_per_line - 1).bit_length())
+        self.once, self.twice = np.zeros(self.bits // 8, np.uint8), np.zeros(self.bits // 8, np.uint8)
 
-def seen_filters(docs: DataFrame, bits: int) -> DataFrame:
-    """Rows (segment, twice): the bytes of the second filter, empty segments left out."""
-    words = bits // 8
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """PROBES bits of each hash, by double hashing of its two halves."""
+        low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
+        return (low[:, None] + high[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64(self.bits - 1)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+    @staticmethod
+    def _held(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    @staticmethod
+    def _set(bits: np.ndarray, at: np.ndarray) -> None:
+        np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+
+    def add(self, hashes: np.ndarray, again: np.ndarray) -> None:
+        """Distinct hashes of a chunk; ``again``: two of its documents hold it."""
+        at = self.places(hashes)
+        found, times = np.unique(at, return_counts=True)
+        self._set(self.twice, np.concatenate([found[(times > 1) | self._held(self.once, found)], at[again].ravel()]))
+        self._set(self.once, found)
+
+    def seen_twice(self, hashes: np.ndarray) -> np.ndarray:
+        return self._held(self.twice, self.places(hashes)).all(1)
+
+
+def line_digests(docs: DataFrame) -> DataFrame:
+    """chunk, n, doc_ids, digests: the distinct keys of each document, a chunk of documents a row.
+
+    Chunks are numbered at random; two of one number would only share their suspects.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ids = texts_of(batch), batch.column("doc_id")
+            for a, b in passes([len(t) for t in texts]):
+                digests, counts = [], []
+                for text in texts[a:b]:
+                    keys = dict.fromkeys(line_keys(text))
+                    keys.pop(b"", None)
+                    digests += map(xxhash.xxh3_128_digest, keys)
+                    counts.append(len(keys))
+                owners = ids.slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), counts)))
+                columns = [pa.array([uuid.uuid4().int >> 65]), pa.array([len(digests)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(digests)], pa.int32()), owners), pa.array([b"".join(digests)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "n", "doc_ids", "digests"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"chunk bigint, n bigint, doc_ids array<{kind}>, digests binary")
+
+
+def suspected_hashes(chunks: DataFrame, lines: int, bits_per_line: int, lines_per_part: int) -> DataFrame:
+    """chunk, hashes: those hashes of each chunk that its part's second filter holds."""
+    parts = max(1, -(-lines // lines_per_part))
+    # A part's share of the 32 high bits; the filters use all 64.
+    width = np.uint64(-(-(1 << 32) // parts))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in texts_of(batch):
-                keys = list({k for k in line_keys(text) if k})
-                if keys:
-                    at, hits = np.unique(_positions(keys, bits), return_counts=True)
-                    twice[at[once[at] | (hits > 1)]] = True
-                    once[at] = True
-        for s in range(0, bits, SEGMENT_BITS):
-            if once[s : s + SEGMENT_BITS].any():
-                pair = [zlib.compress(np.packbits(x[s : s + SEGMENT_BITS]).tobytes(), 1) for x in (once, twice)]
-                yield pa.RecordBatch.from_arrays([pa.array([s // SEGMENT_BITS], pa.int32()), *(pa.array([x], pa.binary()) for x in pair)], ["segment", "once", "twice"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+            for chunk, held in zip(batch.column("chunk").to_pylist(), batch.column("digests"), strict=True):
+                hashes, times = np.unique(np.frombuffer(held.as_buffer(), DIGEST)["hash"], return_counts=True)
+                part = (hashes >> np.uint64(32)) // width
+                at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
+                spans = list(zip(at[:-1], at[1:], strict=True))
+                columns = [pa.array([int(part[s]) for s, _ in spans], pa.int64()), pa.array([chunk] * len(spans), pa.int64()), pa.array([hashes[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([np.packbits(times[s:e] > 1).tobytes() for s, e in spans], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "chunk", "hashes", "again"])
+
+    def ask(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        keys = [np.frombuffer(h, np.uint64) for _, h, _ in rows]
+        filters = Filters(sum(map(len, keys)), bits_per_line)
+        for hashes, (_, _, again) in zip(keys, rows, strict=True):
+            filters.add(hashes, np.unpackbits(np.frombuffer(again, np.uint8), count=len(hashes)).astype(bool))
+        found = [hashes[filters.seen_twice(hashes)].tobytes() for hashes in keys]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(found, pa.binary())], ["chunk", "hashes"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                a, b = (np.frombuffer(zlib.decompress(row[c]), np.uint8) for c in ("once", "twice"))
-                if held and held[0] == row["segment"]:
-                    held = (held[0], held[1] | a, held[2] | b | (held[1] & a))
-                    continue
-                if held:
-                    yield packed(held)
-                held = (row["segment"], a, b)
-        if held:
-            yield packed(held)
-
-    def packed(held) -> pa.RecordBatch:
-        kept = (pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in held[1:])
-        return pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int32()), *kept], ["segment", "once", "twice"])
-
-    assert words * 8 == bits
-    kind = "segment int, once binary, twice binary"
-    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(fill, kind)
-    # Two rounds: about the square root of the tasks meet first, then those sums.
-    spread = partial.withColumn("salt", F.spark_partition_id() % 16).repartition("segment", "salt").sortWithinPartitions("segment")
-    met = spread.select("segment", "once", "twice").mapInArrow(merge, kind)
-    return met.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, kind).select("segment", "twice")
-
-
-def suspected_lines(docs: DataFrame, bits_per_line: int = 16, max_filter_bits: int = 1 << 26) -> DataFrame:
-    """(doc_id, key), once each, of keys whose bits are all in the second filter; a written table."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)).first()[0] or 1
-    bits = min(max(SEGMENT_BITS, 1 << (lines * bits_per_line - 1).bit_length()), max_filter_bits)
-    twice = np.zeros(bits // 8, np.uint8)
-    for row in seen_filters(docs, bits).toLocalIterator():  # at most max_filter_bits / 8 bytes in all
-        part = np.frombuffer(zlib.decompress(bytes(row["twice"])), np.uint8)
-        at = row["segment"] * (SEGMENT_BITS // 8)
-        twice[at : at + len(part)] = part
-    shared = docs.sparkSession.sparkContext.broadcast(twice.tobytes())
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(shared.value, np.uint8)
+            for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "hashes", "again")), strict=True):
+                if rows and p != part:
+                    yield ask(rows)
+                    rows = []
+                part = p
+                rows.append(row)
+        if rows:
+            yield ask(rows)
+
+    dealt = chunks.select("chunk", "digests").mapInArrow(cut, "part bigint, chunk bigint, hashes binary, again binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(probe, "chunk bigint, hashes binary").filter(F.length("hashes") > 0)
+
+
+def suspected_lines(docs: DataFrame, bits_per_line: int = 16, lines_per_part: int = 1 << 20) -> DataFrame:
+    """(doc_id, digest), once each, of keys that are suspected of repeating; a written table."""
+    chunks = stage(line_digests(docs), "line-digests")
+    lines = chunks.agg(F.sum("n")).first()[0] or 0
+    asked = suspected_hashes(chunks, lines, bits_per_line, lines_per_part).groupBy("chunk").agg(F.collect_list("hashes").alias("hashes"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
-            for i, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                keys = list({k for k in line_keys(t) if k})
-                if keys:
-                    at = _positions(keys, bits)
-                    hit = (seen[at >> np.uint64(3)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1).all(1)
-                    mine = [keys[j] for j in np.flatnonzero(hit)]
-                    found += mine
-                    ids += [i] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), pa.array(found, pa.binary())], ["doc_id", "key"])
+            for owners, held, hashes in zip(batch.column("doc_ids"), batch.column("digests"), batch.column("hashes").to_pylist(), strict=True):
+                digests = np.frombuffer(held.as_buffer(), DIGEST)
+                hit = np.flatnonzero(np.isin(digests["hash"], np.frombuffer(b"".join(hashes), np.uint64)))
+                raw = digests[hit].tobytes()
+                found = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(hit), [None, pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([owners.values.take(pa.array(hit)), found], ["doc_id", "digest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(suspects, f"doc_id {kind}, key binary")
-    # By document and key, so that a line of a third of all documents is spread over all tasks.
-    return stage(rows.distinct(), "line-suspects")
+    # A chunk meets its own suspects; pairs by document and key, so that a line of a third of all documents is spread over all tasks.
+    pairs = chunks.join(asked, "chunk").select("doc_ids", "digests", "hashes").mapInArrow(pick, f"doc_id {kind}, digest binary")
+    found = stage(pairs.distinct(), "line-suspects")
+    drop(chunks)
+    return found
 
 
 def repeated_lines(suspected: DataFrame, min_docs: int = 10) -> DataFrame:
-    """Keys in at least ``min_docs`` documents: key, n_docs, first_doc (smallest doc_id)."""
-    return suspected.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") >= min_docs)
+    """Keys in at least ``min_docs`` documents: digest, n_docs, first_doc (smallest doc_id)."""
+    return suspected.groupBy("digest").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") >= min_docs)
 
 
 def _rest(text: str, doc_id, dropped: dict, first: bool) -> tuple[int, int, str]:
@@ -153,19 +195,20 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none",
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     suspected = suspected_lines(docs, **filters)
-    repeated = stage(repeated_lines(suspected, min_docs).select("key", "first_doc"), "line-keys")
+    repeated = stage(repeated_lines(suspected, min_docs), "line-keys")
     first = keep == "first"
     docs = docs.drop("n_lines", "n_dropped").withColumn("text", F.col("text").cast("string"))
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines bigint, n_dropped bigint"
     few = repeated.limit(broadcast_keys + 1).count() <= broadcast_keys
     if few:
-        table = {xxhash.xxh3_128_digest(bytes(r["key"])): r["first_doc"] for r in repeated.toLocalIterator()}
+        table = {bytes(r["digest"]): r["first_doc"] for r in repeated.toLocalIterator()}
         shared = docs.sparkSession.sparkContext.broadcast(table)
+        drop(suspected, repeated)
     else:
         # Each document with its own repeated keys, met by document.
-        mine = suspected.join(repeated, "key")
-        per = mine.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("key").alias("_keys"), F.collect_list(F.coalesce(F.col("first_doc") == F.col("doc_id"), F.lit(False))).alias("_mine"))
+        mine = join_on_hot(suspected, repeated, "digest", "n_docs")
+        per = mine.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("digest").alias("_keys"), F.collect_list(F.coalesce(F.col("first_doc") == F.col("doc_id"), F.lit(False))).alias("_mine"))
         docs = docs.join(per, docs["doc_id"].eqNullSafe(per["_doc"]), "left").drop("_doc")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +219,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none",
             else:
                 out = []
                 for t, i, keys, own in zip(texts_of(batch), ids, batch.column("_keys").to_pylist(), batch.column("_mine").to_pylist(), strict=True):
-                    out.append(_rest(t, i, {xxhash.xxh3_128_digest(k): i if o else None for k, o in zip(keys or (), own or (), strict=True)} if i is not None else {xxhash.xxh3_128_digest(k): 0 for k in keys or ()}, first))
+                    out.append(_rest(t, i, {k: i if o else None for k, o in zip(keys or (), own or (), strict=True)} if i is not None else dict.fromkeys(keys or (), 0), first))
             columns = [pa.array([x[2] for x in out], pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], [*names, "n_lines", "n_dropped"])
 

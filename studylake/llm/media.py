@@ -2,19 +2,23 @@
 
 A payload is a text's bytes, zeros added up to a positive multiple of 64.  It
 is stored as a grey PNG of 64 8-bit samples a row (lossless), as a member of a
-tar shard named by the payload's digest.  A task writes its own shards, each
-payload once; a row carries digest, shard, offset and length.  A shard's name is
+tar shard named by the payload's digest.  Each digest is stored once in all:
+digests are counted first (no text is shuffled), and of several documents with
+one digest the smallest doc_id stores it.  A row carries digest, shard, offset
+and length; rows of copies take the place from the catalogue.  A shard's name is
 new for each attempt, so a repeated task leaves the rows of the attempt that
-counted whole.  ``catalog`` names one place for each digest over all shards.
+counted whole.
 
 Metadata columns (width, height, bits, colour) come from range reads of a
 member's first 33 bytes; samples are read only where a feature needs them.
 Files go through the file system of their URI (pyarrow), read and written by
 executors in the shared folder.
 
-Defined cases: a null or empty text is one row of zeros; equal texts have equal
-values; rows that repeat a doc_id each get their row; an empty table gives an
-empty result; further columns are ignored.
+Defined cases: a null or empty text is one row of zeros; a very long text is one
+member; equal texts have equal values; rows that repeat a doc_id each get their
+row (repeated with their text and in different tasks, each task may store it; the
+catalogue names one place); an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,15 +34,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stage, texts_of
+from .common import drop, join_on_hot, scratch_path, stage, texts_of
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
 PNG = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33  # signature, IHDR with its length, name and checksum
+#: Documents that leave the storing to another one: broadcast up to this number (8 MB of ids), else met by document.
+FEW_COPIES = 200_000
 
 
 def payload_of(text: str) -> bytes:
@@ -86,7 +92,6 @@ class _Shards:
         self.files.create_dir(self.root)
         self.prefix = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"
         self.count, self.out, self.at = 0, None, 0
-        self.places: dict[bytes, tuple[str, int, int]] = {}
 
     def put(self, digest: bytes, media: bytes) -> tuple[str, int, int]:
         if self.out is not None and self.at >= SHARD_BYTES:
@@ -99,7 +104,7 @@ class _Shards:
         head = info.tobuf(tarfile.USTAR_FORMAT)
         pad = -len(media) % 512
         self.out.write(head + media + bytes(pad))
-        self.places[digest] = place = (self.name, self.at + len(head), len(media))
+        place = self.name, self.at + len(head), len(media)
         self.at += len(head) + len(media) + pad
         return place
 
@@ -108,30 +113,61 @@ class _Shards:
             self.out.write(bytes(1024))
             self.out.close()
             self.out, self.count = None, self.count + 1
-            self.places.clear()  # a shard holds what its own rows need
+
+
+def payload_digest(text: Column) -> Column:
+    """SHA-256 of a text's payload, in hex."""
+    data = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    size = F.greatest(F.lit(WIDTH), F.ceil(F.octet_length(data) / WIDTH) * WIDTH).cast("int")
+    return F.sha2(F.rpad(data, size, F.lit(b"\0")), 256)
 
 
 def store(docs: DataFrame, root: str) -> DataFrame:
     """Write the shards below ``root``; one row per document (a written table):
     doc_id, n_bytes, digest, shard, offset, media_bytes."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    digests = stage(docs.select("doc_id", F.unhex(payload_digest(F.col("text"))).alias("digest")), "media-digests")
+    copied = digests.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1")
+    copied = stage(copied, "media-copied")
+    # Documents whose payload another document stores; of rows without an id none is the smallest.
+    spared = join_on_hot(digests, copied, "digest", "n").filter("doc_id <> owner OR (doc_id IS NULL AND owner IS NOT NULL)").select("doc_id", "digest").distinct()
+    spared = stage(spared, "media-spared")
+    few = spared.limit(FEW_COPIES + 1).count() <= FEW_COPIES
+    if few:
+        shared = spark.sparkContext.broadcast({(r["doc_id"], bytes(r["digest"])) for r in spared.toLocalIterator()})
+        rows = docs
+    else:
+        per = spared.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("digest").alias("_spared"))
+        rows = docs.join(per, docs["doc_id"].eqNullSafe(per["_doc"]), "left").select("doc_id", "text", "_spared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = _Shards(root)
+        shards, places = _Shards(root), {}
         for batch in batches:
-            rows = []
-            for text in texts_of(batch):
+            rows, ids = [], batch.column("doc_id").to_pylist()
+            lists = [()] * len(ids) if few else batch.column("_spared").to_pylist()
+            for doc, text, others in zip(ids, texts_of(batch), lists, strict=True):
                 payload = payload_of(text)
                 digest = hashlib.sha256(payload).digest()
-                place = shards.places.get(digest) or shards.put(digest, to_png(payload))
+                if (doc, digest) in shared.value if few else digest in (others or ()):
+                    place = (None, None, None)
+                else:
+                    if digest not in places:
+                        places[digest] = shards.put(digest, to_png(payload))
+                    place = places[digest]
                 rows.append((len(text.encode()), digest, *place))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "digest", "shard", "offset", "media_bytes"])
         shards.close()
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, digest binary, shard string, offset bigint, media_bytes bigint")
-    return stage(rows, "media-index")
+    placed = stage(rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, digest binary, shard string, offset bigint, media_bytes bigint"), "media-placed")
+    bare = placed.filter("shard IS NULL").select("doc_id", "n_bytes", "digest")
+    known = catalog(placed.filter("shard IS NOT NULL")).drop("n_rows").join(copied.select("digest", "n"), "digest")
+    index = placed.filter("shard IS NOT NULL").unionByName(join_on_hot(bare, stage(known, "media-known"), "digest", "n"))
+    index = stage(index, "media-index")
+    drop(digests, copied, spared, placed)
+    return index
 
 
 def catalog(index: DataFrame) -> DataFrame:
@@ -197,7 +233,9 @@ def add_content(index: DataFrame, root: str) -> DataFrame:
 def media_table(docs: DataFrame) -> DataFrame:
     """Store all texts, then read places, headers and contents back."""
     root = scratch_path(docs.sparkSession, "media")
-    return add_content(add_header(store(docs, root), root), root)
+    # Index rows are small, what they name isn't: dealt anew by shard and stretch of it, so that few files of rows don't mean few tasks.
+    index = store(docs, root).repartition("shard", F.floor(F.col("offset") / (4 << 20)))
+    return add_content(add_header(index, root), root)
 
 
 def features(table: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def _lines(texts: dict, least=10, first=False):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"broadcast_keys": 0}, {"bits_per_line": 1, "max_filter_bits": 1 << 20}])
+@pytest.mark.parametrize("how", [{}, {"broadcast_keys": 0}, {"bits_per_line": 1, "lines_per_part": 500}])
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_lines_of_whole_table(spark, sf_dir, documents, how, keep):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5)
@@ -128,6 +128,19 @@ def test_lines_of_whole_table(spark, sf_dir, documents, how, keep):
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in found} == _lines(documents, first=keep == "first")
 
 
+@pytest.mark.parametrize("bits, most", [(16, 0.02), (4, 0.75)])
+def test_filters_still_filter_as_lines_grow(spark, bits, most):
+    """The share of single lines under suspicion follows the bits of a line, not the number of lines."""
+    shares = []
+    for n in (500, 2000, 8000):
+        docs = frame(spark, [(i, "\n".join(f"line {i} {k}" for k in range(10)) + f"\npair {i // 2}", None) for i in range(n)]).repartition(7)
+        found = line_dedup.suspected_lines(docs, bits_per_line=bits, lines_per_part=2000)
+        counts = [r["n_docs"] for r in line_dedup.repeated_lines(found, 1).collect()]
+        assert counts.count(2) == n // 2  # no repeat is ever missed
+        shares.append(counts.count(1) / (10 * n))
+    assert max(shares) < most and max(shares) < 2 * min(shares) + 0.01, shares
+
+
 def test_line_keys_fold_ascii_only(spark):
     texts = {i: f"\x0b Ärger {i}\n  SAME line\t\n wide\nİ x" for i in range(12)}
     docs = frame(spark, [(i, t, None) for i, t in texts.items()])
@@ -378,13 +391,17 @@ def test_media_of_whole_table(spark, sf_dir, documents):
         assert seen.setdefault(payload, r["feature"]) == r["feature"]
 
 
-def test_shards_are_tar_files(spark, tmp_path):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_each_digest_is_stored_once_over_all_shards(spark, tmp_path, monkeypatch, few):
     import io
     import tarfile
 
-    docs = frame(spark, [(i, f"text {i % 5}", None) for i in range(20)])
+    monkeypatch.setattr(media, "FEW_COPIES", few)
+    docs = frame(spark, [(i, f"text {i % 5}", None) for i in range(20)] + [(30, "text 1\0", None), (None, "text 2", None), (None, "lone", None)]).repartition(6)
     root = f"file://{tmp_path}/shards"
     index = media.store(docs, root)
-    names = {m.name for f in (tmp_path / "shards").glob("*.tar") for m in tarfile.open(fileobj=io.BytesIO(f.read_bytes())).getmembers()}
-    assert len(names) == 5 and media.catalog(index).count() == 5
-    assert {r["height"] for r in media.add_header(index, root).collect()} == {1}
+    names = [m.name for f in (tmp_path / "shards").glob("*.tar") for m in tarfile.open(fileobj=io.BytesIO(f.read_bytes())).getmembers()]
+    assert len(names) == len(set(names)) == 6 == media.catalog(index).count()
+    rows = media.add_content(media.add_header(index, root), root).collect()
+    assert len(rows) == 23 and {r["height"] for r in rows} == {1}
+    assert all(r["payload_sha256"] == bytes(r["digest"]).hex() for r in rows)
