@@ -11,23 +11,27 @@ pair, whatever the data.
 
 Equal fingerprints are one class before any table is built, so thousands of
 exact copies cost one row.  A bucket of at most ``small_bucket`` fingerprints
-is compared directly.  A larger one is linked through centres: with radius 2,
-two fingerprints link exactly if some centre is within one bit of both, and
-inside a bucket those bits are dropped ones, so every fingerprint emits itself
-and its one-bit neighbours and a centre links at most 1 + dropped bits of them.
-Both ways are exact and linear in the bucket.
+is compared directly.  A larger one is linked through centres: two fingerprints
+are within radius r exactly if some centre is within r // 2 bits of one and the
+rest of r of the other, and inside a bucket those bits are dropped ones, so every
+fingerprint emits itself and its neighbours and each centre with a member near
+enough links the others to that one.  Both ways are exact and linear in the bucket.
+
+Keys that may hold a third of all rows (a fingerprint of copies, the root of a
+giant component, a node of many edges) are joined apart (``join_on_hot``).
 
 Defined cases: a null or empty text has no word and the fingerprint 0, which
-links like any other; fewer words than a shingle give one shingle of all
-words; rows that repeat a doc_id share its component; a null doc_id never
-names a component unless every member's is null; an empty table gives an empty
-result; further columns are ignored (``keep_one`` passes them through).
+links like any other; a very long text is hashed whole; fewer words than a shingle
+give one shingle of all words; a bit set in just half of the hashes is 0; rows that
+repeat a doc_id share its component; a null doc_id never names a component unless
+every member's is null; an empty table gives an empty result; further columns are
+ignored (``keep_one`` passes them through).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, texts_of
+from .common import drop, join_on_hot, stage, texts_of
 
 SEED = 42
 BITS = 64
@@ -106,25 +110,33 @@ def _close(members: str, radius: int):
     return F.flatten(F.transform(m, lambda a: F.transform(F.filter(m, lambda b: (b > a) & (F.bit_count(a.bitwiseXOR(b)) <= radius)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
 
+def _flips(mask: int, most: int) -> list[tuple[int, int]]:
+    """(bits, number of bits) of all choices of up to ``most`` dropped bits of a mask."""
+    dropped = [b for b in range(BITS) if not mask >> b & 1]
+    return [(_signed(sum(1 << b for b in chosen)), n) for n in range(most + 1) for chosen in combinations(dropped, n)]
+
+
 def links(prints: DataFrame, radius: int = 2, small_bucket: int = 32) -> DataFrame:
-    """Edges (a, b) that connect every two distinct fingerprints within the radius.
+    """Edges (a, b) that connect every two distinct fingerprints within the radius (0 to 4).
 
     ``prints`` holds distinct fingerprints.  Large buckets give links whose
-    chains connect exactly what direct pairs would.  Radii other than 2 compare
-    buckets directly, whatever their size is.
+    chains connect exactly what direct pairs would.
     """
+    if not 0 <= radius <= 4:
+        raise ValueError("radius is 0 to 4: a table more for each choice of bits")
     masks = covering_masks(radius)
     rows = _tables(prints, masks)
     crowded = stage(rows.groupBy("tab", "key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-crowded")
     met = stage(rows.join(crowded, ["tab", "key"]), "simhash-buckets")
-    small = met if radius != 2 else met.filter(F.col("n") <= small_bucket)
+    small = met.filter(F.col("n") <= small_bucket)
     pairs = small.groupBy("tab", "key").agg(F.collect_list("fp").alias("m")).select(F.explode(_close("m", radius)).alias("e")).select("e.a", "e.b")
-    if radius != 2:
-        return pairs
-    centres = [F.when(F.col("tab") == i, F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(BITS) if not m >> b & 1])) for i, m in enumerate(masks)]
-    large = met.filter(F.col("n") > small_bucket).select("tab", "fp", F.explode(F.coalesce(*centres)).alias("flip"))
-    hubs = large.groupBy("tab", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre")).agg(F.collect_list("fp").alias("m")).filter(F.size("m") > 1)
-    spokes = hubs.select(F.array_min("m").alias("a"), F.explode("m").alias("b")).filter("a <> b")
+    near, far = radius // 2, radius - radius // 2
+    choices = [(i, *f) for i, m in enumerate(masks) for f in _flips(m, far)]
+    flips = F.broadcast(prints.sparkSession.createDataFrame(choices, "tab int, flip bigint, level int"))  # bound by the radius
+    large = met.filter(F.col("n") > small_bucket).select("tab", "fp").join(flips, "tab")
+    member = F.struct("level", "fp")
+    hubs = large.groupBy("tab", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre")).agg(F.min(member).alias("hub"), F.collect_list("fp").alias("m")).filter((F.size("m") > 1) & (F.col("hub.level") <= near))
+    spokes = hubs.select(F.col("hub.fp").alias("a"), F.explode("m").alias("b")).filter("a <> b")
     return pairs.unionByName(spokes)
 
 
@@ -133,30 +145,41 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels spread along edges and are then followed one jump (label of the
     label), so that a chain shortens about geometrically.  Each round is a
-    written table; a node's degree is bounded by the buckets above.
+    written table, and the one before is dropped.
     """
-    both = stage(edges.union(edges.select("b", "a")).distinct().toDF("node", "other"), "simhash-edges")
-    labels = stage(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root"), F.lit(True).alias("moved")), "simhash-labels")
+    both = stage(edges.union(edges.select("b", "a")).distinct().toDF("node", "other"), "component-edges")
+    first = both.groupBy("node").agg(F.min("other").alias("m"), F.count("*").alias("degree"))
+    labels = stage(first.select("node", "degree", F.least("node", "m").alias("root"), F.lit(True).alias("moved")), "component-labels")
     while labels.filter("moved").limit(1).count():
-        known = labels.select(F.col("node").alias("other"), "root")
-        heard = both.join(known, "other").groupBy("node").agg(F.min("root").alias("heard"))
-        best = labels.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("best"))
-        jump = labels.select(F.col("node").alias("best"), F.col("root").alias("next"))
-        labels = stage(
-            best.join(jump, "best").select("node", F.least("best", "next").alias("root"), (F.least("best", "next") < F.col("was")).alias("moved")),
-            "simhash-labels",
-        )
+        known = labels.select(F.col("node").alias("other"), "root", F.col("degree").alias("edges"))
+        heard = join_on_hot(both, known, "other", "edges").groupBy("node").agg(F.min("root").alias("heard"))
+        best = stage(labels.join(heard, "node").select("node", "degree", F.col("root").alias("was"), F.least("root", "heard").alias("best")), "component-best")
+        jump = best.groupBy("best").agg(F.count("*").alias("n")).join(labels.select(F.col("node").alias("best"), F.col("root").alias("next")), "best")
+        root = F.least("best", "next")
+        moved = stage(join_on_hot(best, stage(jump, "component-jump"), "best", "n").select("node", "degree", root.alias("root"), (root < F.col("was")).alias("moved")), "component-labels")
+        drop(labels, best)
+        labels = moved
+    drop(both)
     return labels.select("node", "root")
 
 
+def smallest_ids(classes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """node, n, component_id: the smallest ``first`` of a class's component; ``classes``: node, first, n."""
+    linked = stage(roots.withColumnRenamed("node", node).join(classes, node), "component-linked")
+    groups = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("nodes"))
+    named = join_on_hot(linked.select(node, "root"), stage(groups, "component-groups"), "root", "nodes").select(node, "component_id")
+    found = stage(classes.join(named, node, "left").select(node, "n", F.coalesce("component_id", "first").alias("component_id")), "component-ids")
+    drop(linked)
+    return found
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, small_bucket: int = 32) -> DataFrame:
     """One row per document: doc_id, fp (signed long), component_id (smallest doc_id)."""
     prints = stage(fingerprints(docs, shingle), "simhash-prints")
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    roots = components(links(classes.select("fp"), radius, small_bucket))
-    rooted = stage(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(stage(named, "simhash-named"), "fp", "left").select("doc_id", "fp", "component_id")
+    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-classes")
+    named = smallest_ids(classes, components(links(classes.select("fp"), radius, small_bucket)), "fp")
+    drop(classes)
+    return join_on_hot(prints, named, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -192,8 +192,8 @@ def test_masks_cover_every_choice_of_bits(radius):
         assert any(not m & flips for m in masks)
 
 
-@pytest.mark.parametrize("small_bucket", [2, 32])
-def test_chains_in_crowded_buckets(spark, small_bucket):
+@pytest.mark.parametrize("radius, small_bucket", [(2, 2), (2, 32), (0, 2), (1, 2), (3, 2), (3, 32)])
+def test_chains_in_crowded_buckets(spark, radius, small_bucket):
     rng = random.Random(7)
     prints = {}
     for _ in range(6):
@@ -205,12 +205,12 @@ def test_chains_in_crowded_buckets(spark, small_bucket):
         prints[len(prints)] = prints[0] ^ (1 << rng.randrange(64))
     signed = [(i, simhash_dedup._signed(f)) for i, f in prints.items()]
     rows = spark.createDataFrame(signed, "doc_id long, fp long")
-    edges = simhash_dedup.links(rows.select("fp").distinct(), 2, small_bucket)
+    edges = simhash_dedup.links(rows.select("fp").distinct(), radius, small_bucket)
     roots = {r["node"]: r["root"] for r in simhash_dedup.components(edges).collect()}
     groups, want = defaultdict(set), defaultdict(set)
     for i, f in signed:
         groups[roots.get(f, f)].add(i)
-    for i, c in _components(prints).items():
+    for i, c in _components(prints, radius).items():
         want[c].add(i)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
