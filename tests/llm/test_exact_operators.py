@@ -249,6 +249,45 @@ def test_edited_passages_are_found(spark):
     assert {r["doc_id"] for r in one_by_one.collect()} == {1, 2, 4, 6}
 
 
+def test_blocks_find_all_fingerprints_within_the_radius():
+    """The multi-index against all pairs: every one within the radius, no other."""
+    rng = np.random.default_rng(8)
+    block = decontamination.ItemBlock([(i, f"w{i} " * (5 + i % 3)) for i in range(3000)], 5, decontamination.RADIUS)
+    block.prints[:] = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    block.index()
+    asked = []
+    for i in range(600):
+        flips = rng.choice(64, int(rng.integers(0, 24)), replace=False)
+        asked.append(int(block.prints[i]) ^ sum(1 << int(b) for b in flips))
+    asked = np.array(asked, np.uint64)
+    near = np.bitwise_count(asked[:, None] ^ block.prints[None, :]) <= decontamination.RADIUS
+    assert np.array_equal(block.found(asked), np.argwhere(near))
+    length = block.counts == 6
+    assert np.array_equal(block.found(asked, 6), np.argwhere(near & length[None, :]))
+
+
+def test_edited_items_are_found_by_brute_force_measure(spark):
+    """Recall over edited passages against every window compared exactly: 0.9 and more."""
+    rng = random.Random(15)
+    items = {f"item-{k}": [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(20, 90))] for k in range(60)}
+    texts, want = {}, set()
+    for i in range(400):
+        name = rng.choice(list(items))
+        words = list(items[name])
+        for _ in range(rng.randrange(0, 5)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        before = [f"v{rng.randrange(5000)}" for _ in range(40)]
+        whole = [*before, *words, *before[::-1]]
+        texts[i] = " ".join(whole)
+        n, bag = len(words), decontamination.shingles(items[name])
+        if max(decontamination.similarity(decontamination.shingles(whole[s : s + n]), bag) for s in range(len(whole) - n + 1)) >= 0.8:
+            want.add((i, name))
+    docs = frame(spark, [(i, t, None) for i, t in texts.items()])
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 100
+
+
 # --- personal data: base spans ---------------------------------------------------------------------------
 
 KINDS = {
