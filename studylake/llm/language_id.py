@@ -1,10 +1,14 @@
 """Language of whole texts by a string kernel.
 
 Two texts are compared by the n-grams (one to four bytes of the lowered
-letters, hashed) that both hold: the blended-spectrum presence kernel is the
-number of common n-grams over the root of the product of both numbers.  A set
-of landmark texts gives the Nystroem approximation of the kernel, and one ridge
-regression for each language separates it from the rest.
+letters) that both hold: the blended-spectrum presence kernel is the number of
+common n-grams over the root of the product of both numbers.  A set of landmark
+texts gives the Nystroem approximation of the kernel, and one ridge regression
+for each language separates it from the rest.
+
+N-grams are exact, never hashed together: an n-gram of four bytes is a 32-bit
+number, and only those that some landmark holds can add to a kernel, so they are
+the columns of the presence matrix; a text's other n-grams count in its norm.
 
 A text is cut into pieces of about 1,000 characters, so that a long text's
 n-grams don't saturate; all its pieces are scored, by batched matrix products
@@ -14,31 +18,32 @@ The fit reads at most about ``Fit.per_language`` documents of each language,
 chosen by a hash of doc_id, none longer than ``Fit.longest``; scoring covers
 every text.
 
-Defined cases: a text that is null or has no letter is "und" with score 0; with
-no labelled text to learn from all others are "und" too; ties go to the first
-language in binary order; repeated rows get equal results; an empty table gives
-an empty result.
+Defined cases: a text that is null or has no letter (Unicode category L) is "und"
+with score 0; with no labelled text to learn from all others are "und" too; a very
+long text is scored piece by piece, whole; ties go to the first language in
+binary order; repeated rows get equal results; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, texts_of
 
 PIECE = 1000
-BUCKETS = 1 << 12
 SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+SLOT_BITS = 20
+_LETTER = regex.compile(r"\p{L}")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 @dataclass
@@ -48,7 +53,7 @@ class Fit:
     per_language: int = 500
     longest: int = 100_000
     pieces: int = 4000
-    landmarks: int = 192
+    landmarks: int = 128
     ridge: float = 1e-2
     seed: int = 11
 
@@ -61,33 +66,73 @@ def pieces(text: str) -> list[bytes]:
     return [letters[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def presence(parts: list[bytes]) -> np.ndarray:
-    """0/1 matrix (piece, n-gram bucket), each row divided by the root of its sum."""
-    out = np.zeros((len(parts), BUCKETS), np.float32)
-    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    code = np.zeros(len(data), np.uint32)
+def ngrams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, n-gram) of every distinct n-gram of every piece; an n-gram is its bytes and length as one number."""
+    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
+    row = np.repeat(np.arange(len(parts), dtype=np.uint64), [len(p) for p in parts])
+    code, keys = np.zeros(len(data), np.uint64), []
     for n in range(1, max(SIZES) + 1):
-        code = (code[: len(data) - n + 1] * np.uint32(257) + data[n - 1 :]) if n > 1 else data.copy()
-        if n in SIZES and len(code):
-            bucket = (code * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(32 - 12)
+        if len(data) < n:
+            break
+        code = (code[: len(data) - n + 1] << np.uint64(8)) | data[n - 1 :]
+        if n in SIZES:
             same = row[: len(code)] == row[n - 1 :]
-            out[row[: len(code)][same], bucket[same]] = 1
-    return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
+            keys.append((row[: len(code)][same] << np.uint64(40)) | np.uint64(n << 32) | code[same])
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    found = np.sort(np.concatenate(keys))
+    found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+    return (found >> np.uint64(40)).astype(np.int64), found & np.uint64((1 << 40) - 1)
+
+
+class Landmarks:
+    """Pieces that all others are compared with, by the n-grams that they hold."""
+
+    def __init__(self, parts: list[bytes]):
+        row, gram = ngrams(parts)
+        self.grams, column = np.unique(gram, return_inverse=True)
+        # A slot names one n-gram; those whose slot another has are looked up by search.
+        slot = self._slot(self.grams)
+        order = np.argsort(slot, kind="stable")
+        first = np.concatenate([[True], slot[order][1:] != slot[order][:-1]]) if len(slot) else np.zeros(0, bool)
+        self.table = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.table[slot[order][first]] = order[first]
+        self.crowded = np.zeros(1 << SLOT_BITS, bool)
+        self.crowded[slot[order][~first]] = True
+        norms = np.sqrt(np.maximum(np.bincount(row, minlength=len(parts)), 1))
+        self.matrix = np.zeros((len(self.grams), len(parts)), np.float32)
+        self.matrix[column, row] = (1 / norms)[row]
+
+    @staticmethod
+    def _slot(gram: np.ndarray) -> np.ndarray:
+        return (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+    def kernel(self, parts: list[bytes]) -> np.ndarray:
+        """Kernel values (piece, landmark)."""
+        row, gram = ngrams(parts)
+        norms = np.sqrt(np.maximum(np.bincount(row, minlength=len(parts)), 1)).astype(np.float32)
+        slot = self._slot(gram)
+        column = self.table[slot]
+        hard = np.flatnonzero(self.crowded[slot])
+        column[hard] = np.minimum(np.searchsorted(self.grams, gram[hard]), len(self.grams) - 1)
+        here = np.flatnonzero(column >= 0)
+        here = here[self.grams[column[here]] == gram[here]]
+        presence = np.zeros((len(parts), len(self.grams)), np.float32)
+        presence[row[here], column[here]] = 1
+        return presence @ self.matrix / norms[:, None]
 
 
 class Classifier:
     """Landmarks and the coefficients of each language."""
 
-    def __init__(self, languages: list[str], landmarks: np.ndarray, coefficients: np.ndarray):
+    def __init__(self, languages: list[str], landmarks: Landmarks, coefficients: np.ndarray):
         self.languages, self.landmarks, self.coefficients = languages, landmarks, coefficients
 
     def scores(self, parts: list[bytes]) -> np.ndarray:
         """Ridge outputs (piece, language)."""
-        kernel = presence(parts) @ self.landmarks.T
-        return np.concatenate([kernel, np.ones((len(parts), 1), np.float32)], 1) @ self.coefficients
+        return np.concatenate([self.landmarks.kernel(parts), np.ones((len(parts), 1), np.float32)], 1) @ self.coefficients
 
-    def predict(self, texts: list[str], limit: int = 256) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str], limit: int = 128) -> list[tuple[str, float]]:
         """Language and score of each text."""
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         if not self.languages:
@@ -126,7 +171,7 @@ def train(texts: list[str], labels: list[str], fit: Fit | None = None) -> Classi
     rng = np.random.default_rng(fit.seed)
     rows = [(part, label) for text, label in zip(texts, labels, strict=True) if _LETTER.search(text) for part in pieces(text)]
     if not rows:
-        return Classifier([], np.zeros((0, BUCKETS), np.float32), np.zeros((1, 0)))
+        return Classifier([], Landmarks([]), np.zeros((1, 0)))
     by = {}
     for part, label in rows:
         by.setdefault(label, []).append(part)
@@ -137,13 +182,13 @@ def train(texts: list[str], labels: list[str], fit: Fit | None = None) -> Classi
         pick = rng.permutation(len(mine))[: max(1, fit.pieces // len(languages))]
         parts += [mine[i] for i in pick]
         of += [k] * len(pick)
-    x = presence(parts)
     of = np.array(of)
     each = max(1, fit.landmarks // len(languages))
     chosen = np.concatenate([rng.permutation(np.flatnonzero(of == k))[:each] for k in range(len(languages))])
-    landmarks = x[chosen]
-    between = (landmarks @ landmarks.T).astype(np.float64)
-    kernel = np.concatenate([x @ landmarks.T, np.ones((len(x), 1), np.float32)], 1).astype(np.float64)
+    landmarks = Landmarks([parts[i] for i in chosen])
+    between = landmarks.kernel([parts[i] for i in chosen]).astype(np.float64)
+    kernels = [landmarks.kernel(parts[i : i + 256]) for i in range(0, len(parts), 256)]
+    kernel = np.concatenate([np.concatenate(kernels), np.ones((len(parts), 1), np.float32)], 1).astype(np.float64)
     target = np.where(of[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Each language weighs the same; the penalty is the norm in the landmarks' space.
     weight = 1.0 / np.bincount(of)[of]

@@ -92,11 +92,42 @@ def test_language_of_held_out_rows(spark):
     assert len(right) > 100 and np.mean(right) > 0.93
 
 
-def test_kernel_is_a_presence_kernel():
-    parts = [b" aba ", b" aba aba ", b"xyz"]
-    x = language_id.presence(parts)
-    k = x @ x.T
-    assert np.allclose(np.diag(k), 1, atol=1e-5) and k[0, 2] < 0.35 and k[0, 1] > 0.7
+def _naive_kernel(a, b):
+    """Common n-grams of one to four bytes over the root of both numbers."""
+    x, y = ({p[i : i + n] for n in (1, 2, 3, 4) for i in range(len(p) - n + 1)} for p in (a, b))
+    return len(x & y) / (len(x) * len(y)) ** 0.5
+
+
+def test_kernel_equals_sets_of_ngrams():
+    rng = random.Random(6)
+    make = lambda: " ".join("".join(rng.choice("abcdeé中") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 80))).encode()
+    landmarks, parts = [make() for _ in range(40)], [*[make() for _ in range(60)], b"a", b"zz", b" "]
+    got = language_id.Landmarks(landmarks).kernel(parts)
+    want = [[_naive_kernel(p, m) for m in landmarks] for p in parts]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_predictions_equal_plain_sums(spark):
+    """``predict`` against kernels by sets, sums of pieces and a softmax in plain Python."""
+    rows = [(r["text"], r["lang"]) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").filter("lang IS NOT NULL AND text IS NOT NULL").orderBy("doc_id").limit(160).collect()]
+    texts, langs = zip(*[(t[:6000], x) for t, x in rows], strict=True)
+    fit = language_id.Fit(landmarks=24, pieces=120)
+    kept = []
+    wrapped = language_id.Landmarks
+    language_id.Landmarks = lambda parts: kept.append(parts) or wrapped(parts)
+    try:
+        classifier = language_id.train(list(texts), list(langs), fit)
+    finally:
+        language_id.Landmarks = wrapped
+    landmarks, asked = kept[0], [*texts[:25], "½ ²", "12 3", "", "x" * 3000]
+    for text, (name, score) in zip(asked, classifier.predict(asked), strict=True):
+        if not any(c.isalpha() for c in text):
+            assert (name, score) == ("und", 0.0)
+            continue
+        parts = language_id.pieces(text)
+        mean = np.mean([[*(_naive_kernel(p, m) for m in landmarks), 1.0] @ classifier.coefficients.astype(np.float64) for p in parts], 0)
+        assert name == classifier.languages[int(np.argmax(mean))]
+        assert abs(score - 1 / np.exp(4 * (mean - mean.max())).sum()) < 1e-3
 
 
 # --- licences --------------------------------------------------------------------------------------------
