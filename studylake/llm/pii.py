@@ -2,34 +2,42 @@
 
 Base spans come from four patterns (email, ip, card, phone); a span is where the
 pieces between matches leave off, so positions count code points.  Base spans
-are the seeds.  The words beside a seed are lexical patterns (two words before
-it; the word before and the word after).  Patterns and the tokens that stand in
-them, seeds or other tokens with a digit or an at sign, make a bipartite graph:
+are the seeds.  Candidates are other runs of one or several words that have a
+kind's shape (digits in groups, addresses spelt with "at" and "dot", odd ip
+numbers), outside base spans.  The words beside a span are its lexical patterns:
+the two words before it; the word before and the word after.  Words with a digit
+or an at sign are one word, "#", in a pattern.
 
-* a pattern is as sure of a kind as the mean confidence of its distinct tokens
-  (one doubtful token added), if it has ``least_seeds`` distinct seeds of it;
-* a token is as sure of a kind as its surest pattern; seeds are sure.
+Patterns and the seeds and candidates that stand in them make a bipartite graph,
+scored in rounds, for each kind:
 
-After ``rounds`` rounds, tokens that stand in a pattern of at least ``sure`` and
-have the kind's shape are new spans.  Base spans always stay.
+* a pattern is as sure as the mean confidence of its distinct instances (one
+  doubtful instance added), if ``least_seeds`` of them are seeds;
+* a candidate is as sure as its surest pattern; from ``accept`` on it counts as a
+  seed in the next round, so that patterns which no base span stands in are
+  induced too.
+
+After ``rounds`` rounds, candidates in a pattern of at least ``sure`` are new
+spans.  Base spans always stay.
 
 The regular expressions below accept what the contract's do, written so that no
 position is tried twice (possessive runs, starts only at a run's first
-character or where the last match ended): long runs stay linear.
-
-Defined cases: a null or empty text has no span; rows that repeat a doc_id or
-text each get their row; an empty table gives an empty result; further columns
-are ignored.
+character or where the last match ended), and places are summed in blocks: a
+text's cost follows its length.
+
+Defined cases: a null or empty text has no span; a very long text is read whole
+(a pattern's word counts by its first ``WORD`` characters); rows that repeat a
+doc_id or text each get their row; a candidate that is equally sure of two kinds
+is the first in the order email, ip, card, phone; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop, join_on_hot, stage
 
 KINDS = ("email", "ip", "card", "phone")
 #: A card pattern asks for 14 digits at once: shorter runs are dropped anyway.
@@ -39,29 +47,67 @@ PATTERNS = {
     "card": r"(?=[0-9])(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-TOKEN = r"(?<!\S)(?=\S*[0-9@])\S++"
-_SPAN = "array<struct<s:int,e:int,m:string>>"
-_SHAPES = {
-    "email": r"@|(?i)\b(at|dot)\b|\[at\]",
-    "ip": r"^[^0-9a-fA-F]*([0-9a-fA-F]+[.:]){3,}[0-9a-fA-F]+",
-    "card": r"^[^0-9]*([0-9][^0-9]?){12,19}$",
-    "phone": r"^[^0-9]*([0-9][^0-9]{0,2}){6,15}$",
-}
+#: Runs of words that may be personal data: a spelt address, digits in groups, hexadecimal groups, anything with an at sign.
+CANDIDATE = (
+    r"(?<![\w.%+-])[\w.%+-]++(?: ?[(\[]at[)\]] ?| at )[\w-]++(?:(?:\.| ?[(\[]dot[)\]] ?| dot )[\w-]++)++"
+    r"|(?<![\w(+])(?<![0-9][ ().+/-]{1,3})[(+]?(?>[0-9](?:[ ().+/-]{0,3}+[0-9]){6,}+)(?![\w@])"
+    r"|(?<![\w:])(?:[0-9A-Fa-f]{1,4}+:{1,2}+){3,}+[0-9A-Fa-f]{0,4}+"
+    r"|(?<!\S)(?=\S*@)\S++"
+)
+WORD = 40
+_BLOCK = 256
+_ITEM = "struct<s:int,e:int,m:string,w2:string,w1:string,a1:string>"
+
+
+def _context(before: Column, after: Column, first: Column) -> tuple[Column, Column, Column]:
+    """The two words before a span and the one after it, as they count in patterns."""
+
+    def known(w: Column, none: Column) -> Column:
+        return F.when(w == "", none).when(w.rlike("[0-9@]"), "#").otherwise(F.left(F.lower(w), F.lit(WORD)))
+
+    back = F.reverse(before)
+    edge = F.when(first, "^").otherwise("#")
+    w1 = F.reverse(F.regexp_extract(back, r"^\s*+(\S++)", 1))
+    w2 = F.reverse(F.regexp_extract(back, r"^\s*+\S++\s++(\S++)", 1))
+    return known(w2, edge), known(w1, edge), known(F.regexp_extract(after, r"^\s*+(\S++)", 1), F.lit("$"))
+
+
+def matches(found: Column, pieces: Column) -> Column:
+    """All matches of a pattern with start and end in code points and the words beside them.
+
+    ``found`` are the matches, ``pieces`` what lies before, between and after
+    them.  Lengths are summed within blocks and over the blocks' sums.
+    """
+    n = F.size(found)
+    zipped = F.arrays_zip(found.alias("m"), F.slice(pieces, F.lit(1), n).alias("b"), F.slice(pieces, F.lit(2), n).alias("a"))
+
+    def item(x: Column, i: Column) -> Column:
+        w2, w1, a1 = _context(x["b"], x["a"], i == 0)
+        return F.struct(F.length(x["b"]).alias("g"), x["m"].alias("m"), w2.alias("w2"), w1.alias("w1"), a1.alias("a1"))
+
+    def cut(items: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(_BLOCK)), lambda at: F.slice(items, at + 1, F.lit(_BLOCK)))
 
+    def begins(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda t, x: t + x["g"] + F.length(x["m"])))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(sums, zero, lambda t, x: F.struct((t["at"] + x).alias("at"), F.concat(t["out"], F.array(t["at"])).alias("out")), lambda t: t["out"])
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern with start and end in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    def place(block: Column, begin: Column) -> Column:
+        def add(t: Column, x: Column) -> Column:
+            s = t["at"] + x["g"]
+            e = s + F.length(x["m"])
+            one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), x["w2"].alias("w2"), x["w1"].alias("w1"), x["a1"].alias("a1")).cast(_ITEM)
+            return F.struct(e.alias("at"), F.concat(t["out"], F.array(one)).alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+        return F.aggregate(block, F.struct(begin.alias("at"), F.array().cast(f"array<{_ITEM}>").alias("out")), add, lambda t: t["out"])
 
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("m"))
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+    def bound(value: Column, use) -> Column:
+        """``use`` of a value that is computed once: a lambda's argument, not its body."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    placed = bound(F.transform(zipped, item), lambda items: bound(cut(items), lambda blocks: F.flatten(F.zip_with(blocks, begins(blocks), place))))
+    return F.when(n > 0, placed).otherwise(F.array().cast(f"array<{_ITEM}>"))
 
 
 def _digits(m: Column) -> Column:
@@ -91,79 +137,108 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """Array of (s, k, e, m) of the four base kinds, by start, then kind."""
-    digit = text.rlike("[0-9]")
-    gates = {"email": F.contains(text, F.lit("@")), "ip": digit & F.contains(text, F.lit(".")), "card": digit, "phone": digit & F.contains(text, F.lit("+"))}
-    none = F.array().cast(_SPAN)
-
-    def of(k: int, kind: str) -> Column:
-        found = F.filter(F.when(gates[kind], matches(text, PATTERNS[kind])).otherwise(none), lambda x: _valid(kind, x["m"]))
-        return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["m"].alias("m")))
-
-    return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)]))
-
-
-def _patterns(text: Column, x: Column) -> Column:
-    """The lexical patterns around a span, from the words of the 60 characters beside it."""
-    before = F.split(F.lower(F.trim(F.substring(text, F.greatest(x["s"] - 59, F.lit(1)), F.least(x["s"], F.lit(60))))), r"\s+")
-    after = F.split(F.lower(F.trim(F.substring(text, x["e"] + 1, F.lit(60)))), r"\s+")
-    last, last2 = F.try_element_at(before, F.lit(-1)), F.try_element_at(before, F.lit(-2))
-    return F.array(F.concat(F.lit("<"), F.coalesce(last2, F.lit("^")), F.lit(" "), last), F.concat(last, F.lit("|"), F.try_element_at(after, F.lit(1))))
+def _shapes(m: Column) -> Column:
+    """The kinds that a candidate has the shape of."""
+    n = F.length(_digits(m))
+    spelt = m.rlike(r"@|[(\[]at[)\]]| at ")
+    hexes = m.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$")
+    plain = ~spelt & ~hexes
+    fits = [spelt, hexes | (plain & m.rlike(r"^[0-9]+(\.[0-9]+){3}$")), plain & n.between(12, 19), plain & n.between(7, 15) & ~m.rlike(r"^[0-9]+(\.[0-9]+)+$")]
+    return F.filter(F.array(*[F.when(fit, F.lit(k)) for k, fit in enumerate(fits)]), lambda k: k.isNotNull())
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base (spans), and for texts with candidate tokens: seeds and tokens with patterns, key."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    seeds = F.transform("base", lambda x: F.struct(x["k"].alias("k"), F.lower(x["m"]).alias("m"), _patterns(F.col("text"), x).alias("p")))
-    has = F.col("text").rlike("[0-9@]")
-    outside = F.filter(F.when(has, matches(F.col("text"), TOKEN)).otherwise(F.array().cast(_SPAN)), lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (b["e"] > t["s"])))
-
-    def bare(t: Column) -> Column:
-        """The token without punctuation around it."""
-        head = F.length(F.regexp_extract(t["m"], r"^[\p{Punct}&&[^+@]]*", 0))
-        tail = F.length(F.regexp_extract(t["m"], r"[\p{Punct}&&[^@]]*$", 0))
-        return F.struct((t["s"] + head).alias("s"), F.greatest(t["s"] + head, t["e"] - tail).alias("e"), F.substring(t["m"], head + 1, F.greatest(F.length(t["m"]) - head - tail, F.lit(0))).alias("m"))
-
-    tokens = F.transform(F.filter(F.transform(outside, bare), lambda t: F.length(t["m"]) >= 4), lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.lower(t["m"]).alias("m"), _patterns(F.col("text"), t).alias("p")))
-    return rows.select("doc_id", "base", F.when(F.size("base") > 0, seeds).alias("seeds"), tokens.alias("tokens"), F.when(F.size(tokens) > 0, F.md5("text")).alias("key"))
-
-
-def bootstrap(scanned: DataFrame, rounds: int = 3, least_seeds: int = 3, sure: float = 0.6) -> DataFrame:
-    """Patterns that are sure of a kind: p, k, confidence."""
-    seed = scanned.select(F.explode("seeds").alias("x")).select(F.explode("x.p").alias("p"), "x.k", "x.m")
-    token = scanned.select(F.explode("tokens").alias("x")).select(F.explode("x.p").alias("p"), F.lit(-1).alias("k"), "x.m")
-    edges = stage(seed.unionByName(token).filter("p IS NOT NULL").distinct(), "pii-edges")
-    size = edges.groupBy("p").agg(F.count("*").alias("n"))
-    seeded = edges.filter("k >= 0").groupBy("p", "k").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= least_seeds)
-    known = stage(seeded.join(size, "p"), "pii-patterns")  # p, k, seeds, n
-    live = stage(edges.filter("k < 0").select("p", "m").join(known.select("p").distinct(), "p", "left_semi"), "pii-tokens")
-    patterns = known.withColumn("c", F.col("seeds") / (F.col("n") + 1))
-    for _ in range(rounds - 1):
-        tokens = live.join(patterns.select("p", "k", "c"), "p").groupBy("m", "k").agg(F.max("c").alias("c"))
-        gained = live.join(tokens, "m").groupBy("p", "k").agg(F.sum("c").alias("gain"))
-        patterns = stage(known.join(gained, ["p", "k"], "left").withColumn("c", (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / (F.col("n") + 1)).select("p", "k", "seeds", "n", "c"), "pii-round")
-    return patterns.filter(F.col("c") >= sure).select("p", "k", F.col("c").alias("confidence"))
+    """row, doc_id, base and candidates (arrays of spans with their words), the base spans by start, then kind.
 
+    One pass over the texts, of which nothing else is kept.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    digit = F.col("text").rlike("[0-9]")
+    at = F.contains("text", F.lit("@"))
+    gates = [at, digit & F.contains("text", F.lit(".")), digit, digit & F.contains("text", F.lit("+")), digit | at | F.col("text").rlike(r"[(\[ ]at[)\] ]")]
+    none = F.array().cast("array<string>")
+    cut = []
+    for i, (gate, pattern) in enumerate(zip(gates, [*(PATTERNS[k] for k in KINDS), CANDIDATE], strict=True)):
+        cut.append(F.when(gate, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none).alias(f"found{i}"))
+        cut.append(F.when(gate, F.split("text", pattern, -1)).otherwise(none).alias(f"pieces{i}"))
+    rows = docs.select("doc_id", text.alias("text")).select("doc_id", *cut)
 
-def _shaped(k: Column, m: Column) -> Column:
-    return reduce(lambda a, b: a | b, [(k == i) & m.rlike(_SHAPES[kind]) for i, kind in enumerate(KINDS)])
+    def of(k: int, kind: str) -> Column:
+        fine = F.filter(matches(F.col(f"found{k}"), F.col(f"pieces{k}")), lambda x: _valid(kind, x["m"]))
+        return F.transform(fine, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["m"].alias("m"), x["w2"].alias("w2"), x["w1"].alias("w1"), x["a1"].alias("a1")))
+
+    shaped = F.transform(matches(F.col("found4"), F.col("pieces4")), lambda x: F.struct(*[x[c].alias(c) for c in ("s", "e", "m", "w2", "w1", "a1")], _shapes(x["m"]).alias("kinds")))
+    base = F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)]))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", base.alias("base"), F.filter(shaped, lambda x: F.size(x["kinds"]) > 0).alias("candidates"))
+
+
+def _patterns(x: str) -> Column:
+    """The lexical patterns of a span."""
+    return F.array(F.concat(F.lit("<"), F.col(f"{x}.w2"), F.lit(" "), F.col(f"{x}.w1")), F.concat(F.col(f"{x}.w1"), F.lit("|"), F.col(f"{x}.a1")))
+
+
+def _outside(scanned: DataFrame) -> DataFrame:
+    """row and span x of candidates that no base span overlaps, by a running end before and a running start after."""
+    listed = scanned.filter(F.size("candidates") > 0).select("row", "base", "candidates")
+    alone = listed.filter(F.size("base") == 0).select("row", F.explode("candidates").alias("x"))
+    both = listed.filter(F.size("base") > 0)
+    kind = scanned.schema["candidates"].dataType.elementType.simpleString()
+    spans = both.select("row", F.explode("candidates").alias("x")).select("row", F.col("x.s").alias("s"), F.col("x.e").alias("e"), "x")
+    spans = spans.unionByName(both.select("row", F.explode("base").alias("b")).select("row", F.col("b.s").alias("s"), F.col("b.e").alias("e"), F.lit(None).cast(kind).alias("x")))
+    # Both frames grow from their first row: one that shrinks would be summed anew for each row.
+    up, down = (Window.partitionBy("row").orderBy(by).rangeBetween(Window.unboundedPreceding, 0) for by in (F.asc("s"), F.desc("s")))
+    is_base = F.col("x").isNull()
+    end = F.max(F.when(is_base, F.col("e"))).over(up)
+    start = F.min(F.when(is_base, F.col("s"))).over(down)
+    free = spans.withColumn("end", end).withColumn("start", start).filter("x IS NOT NULL AND coalesce(end <= s, true) AND coalesce(start >= e, true)")
+    return alone.unionByName(free.select("row", "x"))
+
+
+def bootstrap(seeds: DataFrame, candidates: DataFrame, rounds: int = 3, least_seeds: int = 3, sure: float = 0.6, accept: float = 0.8) -> DataFrame:
+    """Patterns that are sure of a kind: pk (pattern and kind), confidence.
+
+    seeds, candidates: pattern-instance pairs (p, k, m), repeats allowed.
+    """
+    pk, mk = F.struct("p", "k").alias("pk"), F.struct("m", "k").alias("mk")
+    told = seeds.select(pk, mk, F.lit(True).alias("seed")).unionByName(candidates.select(pk, mk, F.lit(False).alias("seed")))
+    edges = stage(told.groupBy("pk", "mk").agg(F.max("seed").alias("seed")), "pii-edges")
+    doubtful = edges.filter("NOT seed").select("pk", "mk")
+    degree = stage(doubtful.groupBy("mk").agg(F.count("*").alias("n")), "pii-degree")
+    certain = edges.groupBy("pk").agg(F.count_if("seed").alias("seeds"), F.count("*").alias("n"), F.count_if(~F.col("seed")).alias("open"))
+    certain = stage(certain, "pii-certain")
+
+    def scored(known: DataFrame) -> DataFrame:
+        """known: pk, seeds, mass, n, open."""
+        return stage(known.filter(F.col("seeds") >= least_seeds).select("pk", (F.col("mass") / (F.col("n") + 1)).alias("c"), "open"), "pii-patterns")
+
+    patterns = scored(certain.withColumn("mass", F.col("seeds").cast("double")))
+    for _ in range(rounds - 1):
+        told_by = join_on_hot(doubtful, patterns, "pk", "open")
+        tokens = stage(told_by.groupBy("mk").agg(F.max("c").alias("c")).join(degree, "mk"), "pii-tokens")
+        gained = join_on_hot(doubtful, tokens, "mk", "n").groupBy("pk").agg(F.sum("c").alias("gain"), F.count_if(F.col("c") >= accept).alias("grown"))
+        zero = F.lit(0).cast("double")
+        more = certain.join(gained, "pk", "left").select("pk", (F.col("seeds") + F.coalesce("grown", F.lit(0))).alias("seeds"), (F.col("seeds") + F.coalesce("gain", zero)).alias("mass"), "n", "open")
+        before, patterns = patterns, scored(more)
+        drop(before, tokens)
+    drop(edges, degree, certain)
+    return patterns.filter(F.col("c") >= sure).select("pk", F.col("c").alias("confidence"))
 
 
 def find(docs: DataFrame, **how) -> DataFrame:
     """doc_id, base and extra: arrays of (s, k, e), by start, then kind."""
     scanned = stage(scan(docs), "pii-scan")
-    patterns = bootstrap(scanned, **how)
-    some = scanned.filter("key IS NOT NULL")
-    standing = some.select("key", F.explode("tokens").alias("x")).select("key", "x.s", "x.e", "x.m", F.explode("x.p").alias("p")).distinct()
-    new = standing.join(patterns, "p").filter(_shaped(F.col("k"), F.col("m")))
-    one = new.groupBy("key", "s", "e").agg(F.max_by("k", F.struct("confidence", -F.col("k"))).alias("k"))
-    extra = one.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("extra"))
+    seed = scanned.select(F.explode("base").alias("x")).select(F.explode(_patterns("x")).alias("p"), F.col("x.k").alias("k"), F.lower("x.m").alias("m"))
+    free = stage(_outside(scanned), "pii-candidates")
+    standing = free.select("row", "x.s", "x.e", F.lower("x.m").alias("m"), F.explode(_patterns("x")).alias("p"), "x.kinds").withColumn("k", F.explode("kinds")).drop("kinds")
+    patterns = bootstrap(seed, standing.select("p", "k", "m"), **how)
+    many = standing.groupBy(F.struct("p", "k").alias("pk")).agg(F.count("*").alias("n"))
+    patterns = stage(patterns.join(many, "pk"), "pii-sure")
+    new = join_on_hot(standing.select("row", "s", "e", F.struct("p", "k").alias("pk")), patterns, "pk", "n")
+    one = new.groupBy("row", "s", "e").agg(F.max_by("pk.k", F.struct("confidence", -F.col("pk.k"))).alias("k"))
+    extra = one.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e"))).alias("extra"))
     bare = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    with_tokens = some.join(extra, "key", "left").select("doc_id", bare.alias("base"), F.coalesce("extra", none).alias("extra"))
-    return with_tokens.unionByName(scanned.filter("key IS NULL").select("doc_id", bare.alias("base"), none.alias("extra")))
+    return scanned.join(extra, "row", "left").select("doc_id", bare.alias("base"), F.coalesce("extra", none).alias("extra"))
 
 
 def span_text(spans: Column) -> Column:
