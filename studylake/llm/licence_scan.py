@@ -1,25 +1,31 @@
 """Licence families of paragraphs by a trained sparse classifier.
 
 A paragraph (a line) is the set of its word n-grams (one to three words).  One
-logistic regression for each family, made sparse by an L1 penalty, separates
-its notices from all else; its logits are calibrated on rows that it didn't
-see, and a paragraph that no family claims with ``sure`` is unknown.  A family's
-claim is confirmed if the paragraph shares ``overlap`` of the word trigrams of
-the shorter of itself and one of the family's templates.
-
-The fit is small: templates, their parts, lines that are no notices, and at most
-``negatives`` lines of about ``documents`` documents (lines of at most ``longest``
-characters, chosen by hash, those that resemble a template left out).  It runs in numpy on the
-driver; scanning is DataFrame functions only.
+logistic regression for each family and one for the class "unknown", made sparse
+by an L1 penalty, separate its rows from all else.  Their logits are calibrated
+on rows that they didn't see: the rows are dealt to ``folds``, each scored by the
+regressions of the others, so that every notice counts once.  A family claims a
+paragraph if its probability reaches ``sure`` and that of unknown; a paragraph may
+be claimed by several families (two notices in one line).  A claim is confirmed if
+the paragraph shares ``overlap`` of the word trigrams of the shorter of itself and
+one of the family's templates.
+
+The fit is small: templates, their parts and wordings around them, lines that are no
+notices, and at most ``negatives`` lines of about ``documents`` documents (lines of
+at most ``longest`` characters, chosen by hash, those that resemble a template left
+out).  It runs in numpy on the driver; scanning is DataFrame functions only.
 
 Scanning reads every whole text once.  A family can claim a paragraph only if
-its positive weights reach the bar: ``anchors`` are words without which they
-can't, so paragraphs without an anchor are unknown for certain and only the
-others are taken apart.
-
-Defined cases: a null or empty text has no licence; rows that repeat a doc_id
-or text each get their row; an empty table gives an empty result; further
-columns are ignored.
+its positive weights reach the bar.  ``anchors`` are words without any of which they
+can't: texts without one are done.  ``worth`` bounds what each word can add to
+the claim nearest to its bar (each n-gram is counted at its rarest word): of the
+others, paragraphs whose words add up to less than one are unknown for certain.
+Only what is left is taken apart.
+
+Defined cases: a null or empty text has no licence; a very long text or line is
+read whole; equally probable families all claim; rows that repeat a doc_id or text
+each get their row; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -44,11 +50,12 @@ class Fit:
     documents: int = 2000
     negatives: int = 2000
     longest: int = 2000
-    steps: int = 400
+    steps: int = 200
+    folds: int = 3
     rate: float = 0.5
     sparse: float = 5e-4
     sure: float = 0.5
-    overlap: float = 0.6
+    overlap: float = 0.7
     seed: int = 5
 
 
@@ -79,17 +86,25 @@ def resembles(w: list[str], overlap: float) -> bool:
 
 @dataclass
 class Model:
-    """Sparse weights by n-gram, biases, calibration, anchors."""
+    """Sparse weights by n-gram (a column a family, the last for unknown), biases, calibration, bounds."""
 
     families: list[str]
     weights: dict[str, list[float]]
     bias: list[float]
     scale: list[tuple[float, float]]  # probability = logistic(a * logit + b)
     anchors: list[str]
+    worth: dict[str, float]
     fit: Fit
 
-    def logits(self, w: list[str]) -> np.ndarray:
-        return np.array(self.bias) + sum((np.array(self.weights[g]) for g in sorted(grams(w)) if g in self.weights), np.zeros(len(self.families)))
+    def probabilities(self, w: list[str]) -> np.ndarray:
+        """Of each family and of unknown."""
+        logits = np.array(self.bias) + sum((np.array(self.weights[g]) for g in sorted(grams(w)) if g in self.weights), np.zeros(len(self.bias)))
+        return np.array([1 / (1 + np.exp(-(a * x + b))) for x, (a, b) in zip(logits, self.scale, strict=True)])
+
+    def claims(self, w: list[str]) -> dict[str, float]:
+        """The families that claim a paragraph, with their probabilities."""
+        p = self.probabilities(w)
+        return {f: float(q) for f, q in zip(self.families, p, strict=False) if q >= self.fit.sure and q >= p[-1]}
 
 
 def _sigmoid(x):
@@ -113,27 +128,38 @@ def train(corpus_lines: list[str], fit: Fit | None = None) -> Model:
     x = np.zeros((len(rows), len(vocabulary)))
     for r, (w, _) in enumerate(rows):
         x[r, [vocabulary[g] for g in grams(w) if g in vocabulary]] = 1
-    y = np.array([k for _, k in rows])[:, None] == np.arange(len(families))
-    apart = rng.random(len(rows)) < 0.2
-    seen = ~apart
-    share = np.where(y, 0.5 / np.maximum(1, y[seen].sum(0)), 0.5 / np.maximum(1, (~y[seen]).sum(0)))
-    w, b = np.zeros((len(vocabulary), len(families))), np.full(len(families), -2.0)
-    for _ in range(fit.steps):
-        error = (_sigmoid(x[seen] @ w + b) - y[seen]) * share[seen]
-        w -= fit.rate * 10 * (x[seen].T @ error)
-        w = np.sign(w) * np.maximum(np.abs(w) - fit.rate * fit.sparse * 10, 0)
-        b -= fit.rate * error.sum(0)
-    scale = [_calibrate(x[apart] @ w[:, k] + b[k], y[apart, k]) for k in range(len(families))]
+    y = np.array([k % (len(families) + 1) for _, k in rows])[:, None] == np.arange(len(families) + 1)
+    fold = rng.permutation(len(rows)) % fit.folds
+    unseen = np.zeros(y.shape)
+    for f in range(fit.folds):
+        w, b = _regress(x[fold != f], y[fold != f], fit)
+        unseen[fold == f] = x[fold == f] @ w + b
+    scale = [_calibrate(unseen[:, k], y[:, k]) for k in range(y.shape[1])]
+    w, b = _regress(x, y, fit)
     weights = {g: w[i].round(6).tolist() for g, i in vocabulary.items() if np.abs(w[i]).max() > 1e-6}
-    model = Model(families, weights, b.round(6).tolist(), scale, [], fit)
+    model = Model(families, weights, b.round(6).tolist(), scale, [], {}, fit)
     common: dict[str, int] = {}
     for line in plain:
         for word in set(line):
             common[word] = common.get(word, 0) + 1
-    model.anchors = _anchors(model, {word: n / len(plain) for word, n in common.items()})
+    common = {word: n / len(plain) for word, n in common.items()}
+    model.anchors = _anchors(model, common)
+    model.worth = _worth(model, common)
     return model
 
 
+def _regress(x: np.ndarray, y: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of one logistic regression a column; both sides of each weigh the same."""
+    share = np.where(y, 0.5 / np.maximum(1, y.sum(0)), 0.5 / np.maximum(1, (~y).sum(0)))
+    w, b = np.zeros((x.shape[1], y.shape[1])), np.full(y.shape[1], -2.0)
+    for _ in range(fit.steps):
+        error = (_sigmoid(x @ w + b) - y) * share
+        w -= fit.rate * 10 * (x.T @ error)
+        w = np.sign(w) * np.maximum(np.abs(w) - fit.rate * fit.sparse * 10, 0)
+        b -= fit.rate * error.sum(0)
+    return w, b
+
+
 def _calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift by Newton steps, held near 1 and 0 where rows are few."""
     x, w, pull = np.stack([logit, np.ones(len(logit))], 1), np.array([1.0, 0.0]), np.diag([0.5, 0.5])
@@ -144,15 +170,32 @@ def _calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 0.1)), float(w[1])
 
 
+def _bars(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and biases of the families, and the logits at which they are sure."""
+    n = len(model.families)
+    table = np.array(list(model.weights.values())).reshape(-1, n + 1)[:, :n]
+    bars = np.array([(np.log(model.fit.sure / (1 - model.fit.sure)) - b) / a for a, b in model.scale[:n]]) - 1e-6
+    return table, np.array(model.bias[:n]), bars
+
+
+def _worth(model: Model, common: dict[str, float]) -> dict[str, float]:
+    """For each word a bound of its share in reaching a bar: the sum over a paragraph's words is 1 or more if any family claims it."""
+    table, bias, bars = _bars(model)
+    need = np.maximum(bars - bias, 1e-9)
+    sums: dict[str, np.ndarray] = {}
+    for g, row in zip(model.weights, np.maximum(table, 0), strict=True):
+        rarest = min(g.split(), key=lambda w: (common.get(w, 0.0), w))
+        sums[rarest] = sums.get(rarest, 0) + row
+    return {w: float((v / need).max()) for w, v in sums.items() if v.any()}
+
+
 def _anchors(model: Model, common: dict[str, float]) -> list[str]:
     """Words without any of which no family's logit can reach its bar.
 
     ``common``: shares of ordinary lines that hold a word; rare words come first.
     """
-    table = np.array(list(model.weights.values())).reshape(-1, len(model.families))
-    held = [set(g.split()) for g in model.weights]
-    bars = np.array([(np.log(model.fit.sure / (1 - model.fit.sure)) - b) / a for a, b in model.scale]) - 1e-6
-    bias, anchors = np.array(model.bias), []
+    table, bias, bars = _bars(model)
+    held, anchors = [set(g.split()) for g in model.weights], []
     left = np.ones(len(table), bool)
     while True:
         most = bias + np.maximum(table[left], 0).sum(0)
@@ -192,7 +235,7 @@ def _grams(w: Column, low: int, high: int) -> Column:
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per paragraph that a family claims: row, doc_id, paragraph, family, probability, confirmed.
+    """One row per paragraph and family that claims it: row, paragraph, family, probability, confirmed.
 
     ``row`` numbers the documents of the second table returned, (row, doc_id).
     """
@@ -200,19 +243,25 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     anchors = F.array(*[F.lit(a) for a in model.anchors])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # The only pass over the texts; those without an anchor leave just their doc_id.
-    kept = stage(docs.select("doc_id", F.when(F.arrays_overlap(_words(text), anchors), text).alias("text")), "licence-texts")
-    rows = stage(kept.withColumn("row", F.monotonically_increasing_id()), "licence-rows")
+    kept = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.arrays_overlap(_words(text), anchors), text).alias("text"))
+    rows = stage(kept, "licence-rows")
+    worth = F.map_from_arrays(F.array(*[F.lit(w) for w in model.worth]), F.array(*[F.lit(v) for v in model.worth.values()])) if model.worth else F.create_map().cast("map<string,double>")
+    bound = F.aggregate(F.array_intersect("w", F.map_keys(worth)), F.lit(0.0), lambda t, x: t + F.try_element_at(worth, x))
     par = rows.filter("text IS NOT NULL").select("row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    par = par.withColumn("w", F.filter(_words(F.col("line")), lambda x: x != "")).filter(F.arrays_overlap("w", anchors)).select("row", "paragraph", "w")
-    par = stage(par, "licence-paragraphs")
+    par = par.withColumn("w", F.filter(_words(F.col("line")), lambda x: x != "")).filter(F.arrays_overlap("w", anchors)).filter(bound >= 1 - 1e-6).select("row", "paragraph", "w")
+    # Dealt anew, so that the few texts with notices don't mean few tasks.
+    par = stage(par.repartition("row", "paragraph"), "licence-paragraphs")
+    n = len(families)
     # Bounded by the vocabulary of the templates above, whatever the corpus.
-    table = F.broadcast(spark.createDataFrame([(g, *v) for g, v in model.weights.items()] or [("", *[0.0] * len(families))], ", ".join(["gram string", *[f"w{k} double" for k in range(len(families))]])))
+    table = F.broadcast(spark.createDataFrame([(g, *v) for g, v in model.weights.items()] or [("", *[0.0] * (n + 1))], ", ".join(["gram string", *[f"w{k} double" for k in range(n + 1)]])))
     hits = par.select("row", "paragraph", F.explode(_grams(F.col("w"), 1, 3)).alias("gram")).join(table, "gram")
-    sums = hits.groupBy("row", "paragraph").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(len(families))])
-    claims = F.array(*[F.struct((1 / (1 + F.exp(-(a * (F.col(f"w{k}") + b0) + b)))).alias("p"), F.lit(f).alias("f")) for k, (f, b0, (a, b)) in enumerate(zip(families, model.bias, model.scale, strict=True))])
-    best = sums.select("row", "paragraph", F.array_max(claims).alias("c")).filter(F.col("c.p") >= fit.sure).select("row", "paragraph", F.col("c.f").alias("family"), F.col("c.p").alias("probability"))
+    sums = hits.groupBy("row", "paragraph").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(n + 1)])
+    p = [1 / (1 + F.exp(-(a * (F.col(f"w{k}") + b0) + b))) for k, (b0, (a, b)) in enumerate(zip(model.bias, model.scale, strict=True))]
+    found = sums.select("row", "paragraph", p[n].alias("unknown"), F.array(*[F.struct(q.alias("p"), F.lit(f).alias("f")) for q, f in zip(p, families, strict=False)]).alias("c"))
+    claim = F.explode(F.filter("c", lambda c: (c["p"] >= fit.sure) & (c["p"] >= F.col("unknown")))).alias("c")
+    claims = found.select("row", "paragraph", claim).select("row", "paragraph", F.col("c.f").alias("family"), F.col("c.p").alias("probability"))
     templates = F.broadcast(spark.createDataFrame([(f, [sorted(grams(words(t), 3, 3) or grams(words(t))) for t in TEMPLATES[f]]) for f in families], "family string, templates array<array<string>>"))
-    claimed = best.join(par, ["row", "paragraph"]).join(templates, "family").withColumn("mine", F.when(F.size("w") >= 3, _grams(F.col("w"), 3, 3)).otherwise(_grams(F.col("w"), 1, 3)))
+    claimed = claims.join(par, ["row", "paragraph"]).join(templates, "family").withColumn("mine", F.when(F.size("w") >= 3, _grams(F.col("w"), 3, 3)).otherwise(_grams(F.col("w"), 1, 3)))
     near = F.exists("templates", lambda t: F.size(F.array_intersect("mine", t)) >= fit.overlap * F.least(F.size("mine"), F.size(t)))
     return claimed.select("row", "paragraph", "family", "probability", near.alias("confirmed")), rows.select("row", "doc_id")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -150,18 +151,83 @@ def test_notices_get_their_family(spark, licence_model):
     assert not any(found[i]["n_confirmed"] for i in (900, 901, 902))
 
 
+def _confirmed(model, w, family):
+    mine = licence_scan.grams(w, 3, 3) or licence_scan.grams(w)
+    for t in TEMPLATES[family]:
+        theirs = licence_scan.grams(licence_scan.words(t), 3, 3) or licence_scan.grams(licence_scan.words(t))
+        if len(mine & theirs) >= model.fit.overlap * min(len(mine), len(theirs)):
+            return True
+    return False
+
+
 def test_scan_equals_the_model_on_every_paragraph(spark, sf_dir, licence_model):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Every column against plain loops over all paragraphs, with notices put in."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    more = [(10_000 + i, f"first\n{x}\nlast") for i, x in enumerate(NOTICES + ORDINARY)]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     m, want = licence_model, {}
     for r in docs.collect():
-        n = 0
-        for line in (r["text"] or "").split("\n"):
-            logits = m.logits(licence_scan.words(line))
-            p = max(1 / (1 + np.exp(-(a * x + b))) for x, (a, b) in zip(logits, m.scale, strict=True))
-            n += p >= m.fit.sure
-        want[r["doc_id"]] = n
-    got = {r["doc_id"]: r["n_confirmed"] + r["n_unconfirmed"] for r in licence_scan.scan_documents(docs, m).collect()}
-    assert got == want
+        sure, doubtful, best = [], 0, 0.0
+        for k, line in enumerate((r["text"] or "").split("\n")):
+            w = licence_scan.words(line)
+            for family, p in m.claims(w).items():
+                best = max(best, p)
+                if _confirmed(m, w, family):
+                    sure.append((k, family))
+                else:
+                    doubtful += 1
+        want[r["doc_id"]] = (",".join(sorted({f for _, f in sure})), len(sure), doubtful, ",".join(f"{k}:{f}" for k, f in sorted(sure)), round(best, 4))
+    got = {r["doc_id"]: (r["licences"], r["n_confirmed"], r["n_unconfirmed"], r["places"], round(r["probability"], 4)) for r in licence_scan.scan_documents(docs, m).collect()}
+    assert got == want and sum(n for _, n, *_ in want.values()) > 10
+
+
+#: Notices as people write them, none of them a template.
+NOTICES = [
+    "Copyright 2019 Jane Doe. Licensed under the Apache License, Version 2.0 (the License)",
+    "// Licensed under the Apache License, Version 2.0; see LICENSE",
+    "code in this folder is released under the MIT License (see below)",
+    "/* Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction */",
+    "* Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "This file is subject to the terms of the Mozilla Public License, v. 2.0. Read it.",
+    "Except where noted, this work is licensed under a Creative Commons Attribution 4.0 International License (CC BY)",
+    "Photos: licensed under CC BY-NC 4.0, all others as marked",
+    "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this photograph.",
+    "(c) 2011 Example Press. All rights reserved.",
+    "Dual licence: released under the MIT License, or licensed under the Apache License, Version 2.0.",
+]
+FAMILIES = ["apache", "apache", "mit", "mit", "bsd", "gpl", "mpl", "cc-by", "cc-by-nc", "public-domain", "proprietary", "apache,mit"]
+ORDINARY = [
+    "The licence of the pub was renewed under new terms by the council.",
+    "He had all rights reserved for himself, she said.",
+    "Students may copy the source text without permission of the author.",
+    "General Public opinion turned; version 3 of the bill was licensed to fail.",
+    "A creative commons of ideas is what the attribution of his work asks for.",
+    "The mit was lost, the apache rode on, and the software crashed.",
+    "Provided that the following conditions are met, the bridge will open.",
+    "Use of the public domain names list is subject to a fee.",
+]
+
+
+def test_varied_notices_have_precision_and_recall(spark, licence_model):
+    rows = [(i, f"A line of prose about a town.\n{x}\nMore prose.", None) for i, x in enumerate(NOTICES + ORDINARY)]
+    found = {r["doc_id"]: r["licences"] for r in licence_scan.scan_documents(frame(spark, rows), licence_model).collect()}
+    right = sum(found[i] == f for i, f in enumerate(FAMILIES))
+    wrong = sum(bool(found[i]) for i in range(len(NOTICES), len(rows)))
+    assert right >= 0.9 * len(NOTICES) and wrong <= 1, (found, right, wrong)
+
+
+def test_planted_notices_of_the_table_are_found(spark):
+    """Precision and recall over the medium table: lines that the grammar of its notices names, and no other."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    planted = {}
+    for r in docs.collect():
+        lines = (r["text"] or "").split("\n")
+        planted[r["doc_id"]] = sum(bool(re.search(r"(?i)licen[cs]ed under|released under the|all rights reserved", x)) for x in lines)
+    found = {r["doc_id"]: r["n_confirmed"] for r in Q.op1_licence_scan(spark, MEDIUM).collect()}
+    hit = sum(min(n, found[i]) for i, n in planted.items())
+    assert hit >= 0.98 * sum(planted.values()) > 10
+    assert hit >= 0.98 * sum(found.values())
 
 
 # --- pipeline --------------------------------------------------------------------------------------------
