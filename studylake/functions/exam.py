@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import grammar as G
 from . import text as X
+from .arrays import bound, starts
 
-#: Headings of sections and of answer parts (fixed values).
-SECTION = r"^[一二三四五六七八九十]+[、.．]\s*"
-ANSWER_HEADING = r"^(答案|参考答案|正确答案)[:：]?$"
-COMPACT = rf"^(答案|参考答案|正确答案|key|keys)?\s*[:：]?\s*(\d{{1,3}}\s*[.．、:：)）]?\s*[{X.MARK}]{{1,6}}\s*[,，;；、\s]+){{2,}}\d{{1,3}}\s*[.．、:：)）]?\s*[{X.MARK}]{{1,6}}$"
-CODE = rf"(?<![\d.．、:：)）])(\d{{1,3}})\s*[.．、:：)）]?\s*([{X.MARK}]{{1,6}})"
-OPTION = r"^\s*[-*]?\s*([A-Ha-h])\s*[.．、)）]\s*(.*)$"
 #: Words by which a subjective question with options is a choice after all (fixed values).
 ASKS_TEXT = "请简述|请论述|请说明|谈谈|说明理由|简述|论述|撰写|作答|请分析|填正确答案标号|（填|求|计算"
 ASKS_CHOICE = "哪个|哪项|以下|下列|多少|正确|错误|属于|能够|不能|选择|填入"
-MOST_CHUNKS, MOST_ANSWER_LIST = 6, 5000
+MOST_CHUNKS, MOST_ANSWER_LIST, MOST_IMAGES = 6, 5000, 10
 OPTIONS = "array<struct<key:string,text:string>>"
 
 
@@ -26,8 +22,8 @@ def _lines(text: Column) -> Column:
 
 def bracket_answer(text: Column, number: Column) -> Column:
     """The words after a bracketed answer heading of a question; bare numbers and marks don't count."""
-    head = rf"^\s*【\s*(?:第)?\s*(\d{{1,3}})\s*题\s*(?:的)?\s*答案\s*】\s*[:：]?\s*(.*?)\s*$"
-    tails = F.transform(F.filter(_lines(text), lambda x: F.regexp_extract(x, head, 1).try_cast("int") == number), lambda x: X.fold_space(F.regexp_extract(x, head, 2)))
+    hits = F.filter(_lines(text), lambda x: F.regexp_extract(x, G.BRACKET_TAIL, 1).try_cast("int") == number)
+    tails = F.transform(hits, lambda x: X.fold_space(F.regexp_extract(x, G.BRACKET_TAIL, 2)))
 
     def fine(t: Column) -> Column:
         probe = F.regexp_replace(F.regexp_replace(t, X.IMAGE, ""), r"[\d\s.．、,，;；:：()（）\-_=+*/<>×÷~～^]+", "")
@@ -40,52 +36,63 @@ def is_answer_list(text: Column) -> Column:
     """Whether a text is a list of answers: one compact line, or two matching lines and at least half."""
     t = F.regexp_replace(text, r"^\s+|\s+$", "")
     some = F.filter(F.transform(_lines(t), lambda x: F.trim(x)), lambda x: x != "")
-    hits = F.size(F.filter(some, lambda x: X.is_answer_line(x) | x.rlike(ANSWER_HEADING)))
-    return F.coalesce((F.length(text) <= MOST_ANSWER_LIST) & (t.rlike(COMPACT) | ((hits >= 2) & (hits * 2 >= F.size(some)))), F.lit(False))
+    hits = F.size(F.filter(some, lambda x: X.is_answer_line(x) | x.rlike(G.ANSWER_HEADING)))
+    return F.coalesce((F.length(text) <= MOST_ANSWER_LIST) & (t.rlike(G.COMPACT) | ((hits >= 2) & (hits * 2 >= F.size(some)))), F.lit(False))
 
 
 def compact_answers(line: Column) -> Column:
     """Question number -> answer of a compact line such as "1.A 2.B 3.CD"; the last of a number counts."""
-    numbers, marks = (F.regexp_extract_all(line, F.lit(CODE), F.lit(i)) for i in (1, 2))
+    numbers, marks = (F.regexp_extract_all(line, F.lit(G.CODES), F.lit(i)) for i in (1, 2))
     pairs = F.zip_with(numbers, marks, lambda n, m: F.struct(n.cast("int").alias("k"), m.alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.when(F.trim(line).rlike(COMPACT), F.map_from_entries(last)).otherwise(F.create_map().cast("map<int,string>"))
+    last = bound(pairs, lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["k"] == p["k"])))
+    return F.when(F.trim(line).rlike(G.COMPACT), F.map_from_entries(last)).otherwise(F.create_map().cast("map<int,string>"))
 
 
 def loose_count(text: Column) -> Column:
     """Lines that begin or end with a question number, from the first section heading on."""
     rows = F.transform(_lines(F.coalesce(text, F.lit(""))), lambda x: F.trim(x))
-    first = F.greatest(F.array_position(F.transform(rows, lambda x: x.rlike(SECTION)), F.lit(True)), F.lit(1))
-    ends = lambda x: x.rlike(r"\d{1,2}\s*[.．、)]\s*$") & ~x.rlike(X.NUMBER_ALONE) & ~x.rlike(X.ANSWER_LINE)
+    first = F.greatest(F.array_position(F.transform(rows, lambda x: x.rlike(G.SECTION)), F.lit(True)), F.lit(1))
+    ends = lambda x: x.rlike(r"\d{1,2}\s*[.．、)]\s*$") & ~x.rlike(G.NUMBER_ALONE) & ~x.rlike(G.ANSWER_LINE)
     return F.size(F.filter(F.slice(rows, first.cast("int"), F.size(rows)), lambda x: X.question_number(x).isNotNull() | ends(x)))
 
 
 def boundaries(text: Column) -> Column:
     """Offsets of the questions: of numbered lines, the longest run whose numbers rise (three at least).
 
-    A run takes the next number that isn't smaller than expected; of equally
-    long ones the first counts.  Quadratic in a document's numbered lines only.
+    A run takes the next number that is larger than its last; of equally long
+    ones the first counts.  The run from a line goes on as that from the next
+    line with a larger number, so the lengths come in one walk from the end, which
+    remembers only lines that no later, larger number hides (as many as there are
+    numbers of three digits, at most).
     """
-    rows = _lines(text)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<n:int,at:int>>").alias("out"))
+    lines_ = _lines(text)
 
-    def add(acc: Column, x: Column) -> Column:
-        n = F.when(x.rlike(X.QUESTION_START) & ~F.trim(x).rlike(X.ANSWER_LINE), F.regexp_extract(x, X.QUESTION_START, 1).try_cast("int"))
-        one = F.array(F.struct(n.alias("n"), acc["at"].alias("at")))
-        return F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.when(n.isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def number(x: Column) -> Column:
+        return F.when(x.rlike(G.QUESTION_START) & ~F.trim(x).rlike(G.ANSWER_LINE), F.regexp_extract(x, G.QUESTION_START, 1).try_cast("int"))
 
-    found = F.aggregate(rows, zero, add, lambda a: a["out"])
+    def numbered(all_: Column) -> Column:
+        at = starts(F.transform(all_, lambda x: F.length(x) + 1))
+        return F.filter(F.zip_with(all_, at, lambda x, o: F.struct(number(x).alias("n"), o.alias("at"))), lambda r: r["n"].isNotNull())
 
-    def run(start: Column) -> Column:
+    def first_of_longest(found: Column) -> Column:
+        step = "array<struct<n:int,size:int>>"
+        zero = F.struct(F.array().cast(step).alias("open"), F.lit(0).alias("best"), F.lit(0).alias("at"))
+
+        def back(t: Column, r: Column) -> Column:
+            larger = F.filter(t["open"], lambda o: o["n"] > r["n"])
+            size = F.coalesce(F.get(larger, F.lit(0))["size"], F.lit(0)) + 1
+            longer = size >= t["best"]
+            here = F.array(F.struct(r["n"].alias("n"), size.alias("size"))).cast(step)
+            return F.struct(F.concat(here, larger).alias("open"), F.when(longer, size).otherwise(t["best"]).alias("best"), F.when(longer, r["at"]).otherwise(t["at"]).alias("at"))
+
+        return F.aggregate(F.reverse(found), zero, back)
+
+    def run(found: Column, top: Column) -> Column:
         empty = F.struct(F.lit(-1).alias("n"), F.array().cast("array<int>").alias("run"))
-        take = lambda acc, x: F.when(x["n"] > acc["n"], F.struct(x["n"].alias("n"), F.concat(acc["run"], F.array(x["at"])).alias("run"))).otherwise(acc)
-        return F.aggregate(F.slice(found, start, F.size(found)), empty, take, lambda a: a["run"])
+        take = lambda t, r: F.when((r["at"] >= top["at"]) & (r["n"] > t["n"]), F.struct(r["n"].alias("n"), F.concat(t["run"], F.array(r["at"])).alias("run"))).otherwise(t)
+        return F.when(top["best"] >= 3, F.aggregate(found, empty, take, lambda t: t["run"])).otherwise(F.array().cast("array<int>"))
 
-    runs = F.transform(F.sequence(F.lit(1), F.size(found)), run)
-    longest = F.array_max(F.transform(runs, lambda r: F.size(r)))
-    best = F.element_at(F.filter(runs, lambda r: F.size(r) == longest), 1)
-    none = F.array().cast("array<int>")
-    return F.when(F.size(found) < 3, none).when(longest < 3, none).otherwise(best)
+    return bound(lines_, lambda all_: bound(numbered(all_), lambda found: bound(first_of_longest(found), lambda top: run(found, top))))
 
 
 def chunks(bounds: Column, length: Column, target: int = 15) -> Column:
@@ -108,7 +115,7 @@ def answer_section(text: Column) -> Column:
     zero = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("found"))
 
     def look(acc: Column, x: Column) -> Column:
-        hit = (acc["found"] < 0) & (X.is_answer_line(F.trim(x)) | F.trim(x).rlike(ANSWER_HEADING))
+        hit = (acc["found"] < 0) & (X.is_answer_line(F.trim(x)) | F.trim(x).rlike(G.ANSWER_HEADING))
         return F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.when(hit, acc["at"]).otherwise(acc["found"]).alias("found"))
 
     return F.coalesce(F.aggregate(_lines(text), zero, look, lambda a: a["found"]), F.lit(-1))
@@ -121,9 +128,9 @@ def answer_letters(text: Column) -> Column:
 
 def options_of(line: Column) -> Column:
     """The options that a line holds, one or several: array of (key, text)."""
-    parts = F.split(line, r"(?<=\s)(?=[A-Da-d]\s*[.．、)）]\s*)")
-    real = F.filter(parts, lambda p: p.rlike(OPTION))
-    return F.transform(real, lambda p: F.struct(F.upper(F.regexp_extract(p, OPTION, 1)).alias("key"), F.trim(F.regexp_extract(p, OPTION, 2)).alias("text")))
+    parts = F.split(line, G.NEXT_OPTION)
+    real = F.filter(parts, lambda p: p.rlike(G.OPTION))
+    return F.transform(real, lambda p: F.struct(F.upper(F.regexp_extract(p, G.OPTION, 1)).alias("key"), F.trim(F.regexp_extract(p, G.OPTION, 2)).alias("text")))
 
 
 def checked_question(kind: Column, options: Column, score: Column) -> Column:
@@ -172,3 +179,180 @@ def image_names(content: Column, names: Column) -> Column:
 def layout_noise(line: Column) -> Column:
     """Option letters alone and short code lines."""
     return line.rlike(r"^\s*[A-Ha-h]\s*[.．、]?\s*$") | line.rlike(r"^[A-Za-z0-9_/.\-]{1,32}$")
+
+
+# --- the source text of parsed questions -----------------------------------------------------------------
+
+
+def line_at(lines_: Column, offset: Column) -> Column:
+    """The number of the line (white space left out of all lines) that an offset lies in."""
+    begins = starts(F.transform(lines_, lambda x: F.length(X.squeezed(x))))
+    return F.size(F.filter(begins, lambda s: s <= offset)) - 1
+
+
+def content_line(lines_: Column, content: Column) -> Column:
+    """The line that a question's content begins in, -1 if none: that of its first line, else of its first thirty
+    characters without white space."""
+    head = F.trim(F.element_at(_lines(content), 1))
+    direct = F.array_position(F.transform(lines_, lambda x: F.contains(x, head)), F.lit(True)) - 1
+    probe = F.substring(X.squeezed(content), 1, 30)
+    at = F.position(probe, F.array_join(F.transform(lines_, lambda x: X.squeezed(x)), "")) - 1
+    squeezed = F.when((probe != "") & (at >= 0), line_at(lines_, at)).otherwise(F.lit(-1))
+    return F.when((head != "") & (direct >= 0), direct).otherwise(squeezed).cast("int")
+
+
+def number_near(lines_: Column, line: Column, forward: bool) -> Column:
+    """The question number of the first numbered line from a line on, or of the last up to it; null if none."""
+    numbers = F.transform(lines_, lambda x: X.question_number(x))
+    part = F.slice(numbers, line + 1, F.size(numbers)) if forward else F.reverse(F.slice(numbers, F.lit(1), line + 1))
+    return F.when(line >= 0, F.get(F.filter(part, lambda n: n.isNotNull()), F.lit(0)))
+
+
+def answer_keys_of(said: Column) -> Column:
+    """The option keys that a said answer means, A and B for the words of a judgement."""
+    keys = F.array_distinct(F.filter(F.split(F.upper(said), ""), lambda c: c.rlike("^[A-H]$")))
+    return F.when(said.isin(*G.MEANS_A), F.array(F.lit("A"))).when(said.isin(*G.MEANS_B), F.array(F.lit("B"))).otherwise(keys)
+
+
+def answer_evidence(text: Column, content: Column, number: Column) -> Column:
+    """The option keys that a source gives as the answer of a question, sorted.
+
+    From the ten lines at the question's number after its content, up to the next
+    number, and from every answer line that holds the number.
+    """
+    none = F.array().cast("array<string>")
+
+    def of(lines_: Column) -> Column:
+        begin = content_line(lines_, content)
+
+        def with_number(at: Column) -> Column:
+            # at: the line of the question's number, null without one
+            rest = F.slice(lines_, at + 2, F.lit(9))
+            stop = F.array_position(F.transform(rest, lambda x: X.question_number(x).isNotNull()), F.lit(True))
+            window = F.array_join(F.concat(F.slice(lines_, at + 1, F.lit(1)), F.when(stop > 0, F.slice(rest, F.lit(1), (stop - 1).cast("int"))).otherwise(rest)), "\n")
+            said = F.flatten(F.array(*[F.regexp_extract_all(window, F.lit(p), F.lit(1)) for p in G.SAID_ANSWERS]))
+            near = F.when(at.isNotNull(), F.flatten(F.transform(said, lambda v: answer_keys_of(v)))).otherwise(none)
+            own = F.coalesce(F.when(number > 0, number), F.when(at.isNotNull(), F.regexp_extract(F.get(lines_, at), r"^\s*(\d{1,3})", 1).try_cast("int")))
+
+            def listed(n: Column) -> Column:
+                by_line = F.transform(lines_, lambda x: F.concat(F.coalesce(answer_keys_of(X.answer_of(x, n)), none), F.coalesce(answer_keys_of(F.try_element_at(compact_answers(x), n)), none)))
+                return F.when(n.isNotNull(), F.flatten(by_line)).otherwise(none)
+
+            return F.array_sort(F.array_distinct(F.concat(F.coalesce(near, none), F.coalesce(bound(own, listed), none))))
+
+        from_ = F.transform(F.slice(lines_, begin + 1, F.size(lines_)), lambda x: F.trim(x).rlike(G.NUMBER_ALONE) | X.question_number(x).isNotNull())
+        found = F.array_position(from_, F.lit(True))
+        return bound(F.when((begin >= 0) & (found > 0), (begin + found - 1).cast("int")), with_number)
+
+    return F.when(F.trim(text) != "", bound(_lines(text), of)).otherwise(none)
+
+
+def agrees(keys: Column, evidence: Column) -> Column:
+    """Whether a source bears out all answer keys; without keys nothing is to be borne out."""
+    return F.coalesce(F.size(keys) == 0, F.lit(True)) | (F.size(F.array_except(F.transform(keys, lambda k: F.upper(k)), evidence)) == 0)
+
+
+def options_at_question(lines_: Column, options: Column, number: Column) -> Column:
+    """Whether the first six characters of every filled option stand in the five lines at the question's number."""
+    texts = F.filter(F.transform(options, lambda o: F.trim(X.without_images(F.coalesce(o["text"], F.lit(""))))), lambda t: t != "")
+    at = F.array_position(F.transform(lines_, lambda x: F.coalesce(X.question_number(x) == number, F.lit(False))), F.lit(True))
+    area = F.array_join(F.slice(lines_, F.greatest(at, F.lit(1)).cast("int"), F.lit(5)), "\n")
+    return F.coalesce((F.size(texts) == 0) | bound(area, lambda a: F.forall(texts, lambda t: F.contains(a, F.substring(t, 1, 6)))), F.lit(True))
+
+
+def trimmed(chunk: Column, head: bool = True, tail: bool = True) -> Column:
+    """A chunk without what was cut off from other questions at its edges.
+
+    head: blank lines, the first numbered line and the options and answers after
+    it; tail: lines after the last one that is an option, a number, an answer or an image.
+    """
+
+    def of(all_: Column) -> Column:
+        rows = F.transform(all_, lambda x: F.trim(x))
+        first = F.lit(1)
+        if head:
+            # 0 before the number, 1 after it, 2 at the first line that stays.
+            def walk(t: Column, x: Column) -> Column:
+                numbered = x.rlike(G.NUMBER_ALONE) | X.question_number(x).isNotNull()
+                belongs = x.rlike(G.OPTION_LINE) | x.rlike(G.ANSWER_PART)
+                goes = (x == "") | (numbered & (t["seen"] == 0)) | (belongs & (t["seen"] == 1))
+                seen = F.when((t["seen"] == 2) | ~goes, 2).when((x != "") & numbered & (t["seen"] == 0), 1).otherwise(t["seen"])
+                return F.struct(seen.alias("seen"), (t["n"] + F.when(seen < 2, 1).otherwise(0)).alias("n"))
+
+            first = F.aggregate(rows, F.struct(F.lit(0).alias("seen"), F.lit(0).alias("n")), walk, lambda t: t["n"]) + 1
+        last = F.size(rows)
+        if tail:
+            ends = lambda x: x.rlike(G.OPTION_LINE) | x.rlike(G.QUESTION_START) | x.rlike(G.ANSWER_PART) | (F.contains(x, F.lit("[图片")) & x.endswith("]"))
+            back = F.array_position(F.transform(F.reverse(rows), ends), F.lit(True))
+            last = F.when(back > 0, F.size(rows) - back + 1).otherwise(F.lit(0))
+        return bound(F.struct(first.cast("int").alias("a"), last.cast("int").alias("b")), lambda r: F.array_join(F.slice(all_, r["a"], F.greatest(r["b"] - r["a"] + 1, F.lit(0))), "\n"))
+
+    return bound(_lines(chunk), of)
+
+
+def split_by_images(text: Column, ranges: Column, most: int = MOST_IMAGES) -> Column:
+    """Ranges (start, end) of a text, those of more than ``most`` images cut at questions, six ranges in all at most."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def cuts(segment: Column) -> Column:
+        def add(t: Column, b: Column) -> Column:
+            many = F.size(X.images(F.substr(segment, t["last"] + 1, b - t["last"]))) > most
+            return F.when(many, F.struct(F.concat(t["cuts"], F.array(b)).alias("cuts"), b.alias("last"))).otherwise(t)
+
+        inner = F.filter(boundaries(segment), lambda b: b > 0)
+        return F.aggregate(inner, F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("last")), add, lambda t: t["cuts"])
+
+    def one(t: Column, r: Column) -> Column:
+        segment = F.substr(text, r["start"] + 1, r["end"] - r["start"])
+        found = F.when((t["budget"] > 0) & (F.size(X.images(segment)) > most), bound(segment, cuts)).otherwise(F.array().cast("array<int>"))
+
+        def cut(all_: Column) -> Column:
+            used = F.slice(all_, F.lit(1), F.greatest(t["budget"], F.lit(0)))
+            edges = F.concat(F.array(r["start"]), F.transform(used, lambda c: r["start"] + c), F.array(r["end"]))
+            pieces = F.zip_with(F.slice(edges, F.lit(1), F.size(edges) - 1), F.slice(edges, F.lit(2), F.size(edges) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end"))).cast(kind)
+            return F.struct(F.concat(t["out"], pieces).alias("out"), (t["budget"] - F.size(used)).alias("budget"))
+
+        return bound(found, cut)
+
+    zero = F.struct(F.array().cast(kind).alias("out"), (F.lit(MOST_CHUNKS) - F.size(ranges)).alias("budget"))
+    return F.aggregate(ranges, zero, one, lambda t: t["out"])
+
+
+def listed_numbers(text: Column) -> Column:
+    """Question numbers of a text in order, distinct: at a line's start, else at its end; answer lines left out."""
+    start, end = r"^\s*(\d{1,3})\s*[.．、)）](?!\d)", r"(?<![\d.．])(\d{1,3})\s*[.．、]\s*$"
+
+    def number(x: Column) -> Column:
+        return F.coalesce(F.regexp_extract(x, start, 1).try_cast("int"), F.regexp_extract(x, end, 1).try_cast("int"))
+
+    rows = F.filter(F.transform(_lines(text), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(G.ANSWER_LINE))
+    return F.array_distinct(F.filter(F.transform(rows, number), lambda n: n.between(1, 999)))
+
+
+def lost_numbers(source: Column, parsed: Column) -> Column:
+    """Numbers of the text layer that the parsed text lacks; none unless both are long enough to tell."""
+    a, b = listed_numbers(source), listed_numbers(parsed)
+    told = (F.length(source) >= 200) & (F.size(a) >= 5) & (F.size(b) >= 5)
+    return F.when(told, F.array_except(a, b)).otherwise(F.array().cast("array<int>"))
+
+
+def with_image_marks(page: Column, images_: Column, first: Column) -> Column:
+    """A page's text with the marks of its images (array of y and page height, from the foot) put after the lines they stand at.
+
+    ``first`` is the number of the page's first image; an image's centre is taken 30 points above its foot.
+    """
+
+    def of(all_: Column) -> Column:
+        n = F.size(all_)
+        height = lambda e: F.when(e["height"] > 0, e["height"]).otherwise(F.lit(842.0))
+        # An image goes after the first line that isn't above its own, and never before the image ahead of it.
+        want = F.transform(images_, lambda e: F.greatest(((F.lit(1.0) - (e["y"] + 30) / height(e)) * n).cast("int"), F.lit(0)))
+        lines_ = F.transform(all_, lambda x, i: F.struct(i.alias("at"), F.lit(-1).alias("k"), x.alias("x")))
+
+        def placed(want_: Column) -> Column:
+            marks = F.transform(want_, lambda w, k: F.struct(F.least(F.array_max(F.slice(want_, F.lit(1), k + 1)), n - 1).alias("at"), k.alias("k"), F.concat(F.lit("[图片"), (first + k).cast("string"), F.lit("]")).alias("x")))
+            return F.array_join(F.transform(F.array_sort(F.concat(lines_, marks)), lambda r: r["x"]), "\n")
+
+        return F.when(F.size(images_) > 0, bound(want, placed)).otherwise(page)
+
+    return F.when(F.trim(page) == "", page).otherwise(bound(F.split(page, "\n"), of))

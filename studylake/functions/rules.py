@@ -88,7 +88,7 @@ def round_half_up(x: Column, digits: int = 0) -> Column:
 
 
 def interleave(mastery: Column) -> Column:
-    """Share of other topics to mix in, by mastery (wired to nothing)."""
+    """Share of other topics to mix in, by mastery."""
     return F.when(mastery < 0.4, 0.2).when(mastery < 0.7, 0.4).otherwise(0.6)
 
 
@@ -96,3 +96,21 @@ def phrase(n: Column, right: Column) -> Column:
     """A word for a performance of at least three answers."""
     rate = right / n
     return F.when(n < 3, "few answers").when(rate >= 0.8, "strong").when(rate >= 0.5, "mixed").otherwise("weak")
+
+
+def answered_right(question_type: Column, answer_keys: Column, selected: Column) -> Column:
+    """Whether a submission is right; null (undecided) for subjective questions and those without an answer."""
+    open_ = (question_type == "SUBJECTIVE") | (F.size(key_set(answer_keys)) == 0)
+    return F.when(~F.coalesce(open_, F.lit(False)), answer_matches(answer_keys, selected))
+
+
+def page_count(total: Column, size: int) -> Column:
+    """Pages of ``size`` rows."""
+    return F.ceil(total / size).cast("long")
+
+
+def same_kind_number(value: Column) -> Column:
+    """The integer of a JSON scalar: 1 and 1.0 count, "1", 1.5 and true don't."""
+    kind = F.schema_of_variant(value)
+    whole = F.try_variant_get(value, "$", "double")
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$") & (whole == F.floor(whole)), whole.cast("long"))

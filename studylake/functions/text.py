@@ -5,20 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studylake.functions import grammar as G
+from studylake.functions.arrays import bound
+
 #: Marks of images inside texts (fixed format).
 IMAGE = r"\[图片(\d+)\]"
 #: Zero-width and byte-order characters (fixed values).
 ZERO_WIDTH = "[\u200b\u200c\u200d\u2060\ufeff]"
-#: Answer letters and marks, and the lines that hold them (fixed grammar).
-MARK = "A-Ha-h√×对错"
-DOTTED_ANSWER = rf"^\s*(\d{{1,3}})\s*[.．、:：)）]\s*([{MARK}]{{1,6}})\s*$"
-BRACKET_ANSWER = rf"^\s*【\s*(?:第)?\s*(\d{{1,3}})\s*题\s*(?:的)?\s*答案\s*】\s*[:：]?\s*([{MARK}]{{1,6}})\s*$"
-RANGE_ANSWER = rf"^\s*(\d{{1,3}})\s*[-~—～]\s*(\d{{1,3}})\s*[:：]?\s*([{MARK}][{MARK}\s,，、;；]*)\s*$"
-ANSWER_LINE = rf"^\s*(?:\d{{1,3}}\s*[.．、:：)）]?\s*[{MARK}]{{1,6}}|【\s*(?:第)?\s*\d{{1,3}}\s*题\s*(?:的)?\s*答案\s*】\s*[:：]?.*)\s*$"
-QUESTION_START = r"^\s*(\d{1,3})\s*[.．、)）]"
-NUMBER_ALONE = r"^\d{1,3}\s*[.．、)）]\s*$"
-DECIMAL = r"^\d{1,3}\.\d"
-YEARS = r"^\d{1,3}\.\d{4}(\s*[-—~～]\s*\d{4})?\s*年"
 
 
 def blank_to_null(x: Column) -> Column:
@@ -107,27 +100,27 @@ def answer_of(line: Column, number: Column) -> Column:
     def single(pattern: str) -> Column:
         return F.when(F.regexp_extract(line, pattern, 1).try_cast("int") == number, F.regexp_extract(line, pattern, 2))
 
-    start, end = (F.regexp_extract(line, RANGE_ANSWER, i).try_cast("int") for i in (1, 2))
-    apart = F.filter(F.split(F.regexp_extract(line, RANGE_ANSWER, 3), r"[\s,，、;；]+"), lambda t: t != "")
+    start, end = (F.regexp_extract(line, G.RANGE_ANSWER, i).try_cast("int") for i in (1, 2))
+    apart = F.filter(F.split(F.regexp_extract(line, G.RANGE_ANSWER, 3), r"[\s,，、;；]+"), lambda t: t != "")
     ranged = F.when((number >= start) & (number <= end), F.try_element_at(apart, (number - start + 1).cast("int")))
-    return F.coalesce(single(BRACKET_ANSWER), single(DOTTED_ANSWER), ranged)
+    return F.coalesce(single(G.BRACKET_ANSWER), single(G.DOTTED_ANSWER), ranged)
 
 
 def is_answer_line(line: Column) -> Column:
     """Whether a line is an answer line of any form."""
-    return line.rlike(ANSWER_LINE) | line.rlike(RANGE_ANSWER)
+    return line.rlike(G.ANSWER_LINE) | line.rlike(G.RANGE_ANSWER)
 
 
 def decimal_like(line: Column) -> Column:
     """Whether a line begins with a decimal number (a number before a year isn't one)."""
-    return line.rlike(DECIMAL) & ~line.rlike(YEARS)
+    return line.rlike(G.DECIMAL) & ~line.rlike(G.YEAR_AFTER)
 
 
 def question_number(line: Column) -> Column:
     """The number that a line begins a question with, else null (decimals and answer lines aren't questions)."""
     bare = F.trim(F.regexp_replace(line, rf"^(\s*{IMAGE})+", ""))
-    starts = bare.rlike(QUESTION_START) & ~decimal_like(bare) & (bare.rlike(NUMBER_ALONE) | ~bare.rlike(ANSWER_LINE))
-    return F.when(starts, F.regexp_extract(bare, QUESTION_START, 1).try_cast("int"))
+    starts = bare.rlike(G.QUESTION_START) & ~decimal_like(bare) & (bare.rlike(G.NUMBER_ALONE) | ~bare.rlike(G.ANSWER_LINE))
+    return F.when(starts, F.regexp_extract(bare, G.QUESTION_START, 1).try_cast("int"))
 
 
 def question_type(options: Column, heading: Column) -> Column:
@@ -153,8 +146,22 @@ def private_host(h: Column) -> Column:
 
 
 def redact(x: Column) -> Column:
-    """Secrets after words that announce them, as ***."""
-    return F.regexp_replace(x, r"(?i)((?:password|token|secret|api[_-]?key)\s*[=:]\s*)\S+", "$1***")
+    """Keys, bare or after the word that announces them, as ***."""
+    named = r"api[_ -]?key\s*[:=]\s*"
+    return F.regexp_replace(x, rf"(?i)(?:{BARE_KEY}|{named}){KEY_END}", "***")
+
+
+def diagnostic(kind: Column, message: Column, most: int = 180) -> Column:
+    """A failure in one line: its type, and its message without secrets, cut."""
+    said = F.trim(F.regexp_replace(redact(F.coalesce(message, F.lit(""))), r"[\r\n]+", " "))
+    cut = F.when(F.length(said) > most, F.concat(F.substring(said, 1, most), F.lit("…"))).otherwise(said)
+    return F.when(cut == "", kind).otherwise(F.concat_ws(": ", kind, cut))
+
+
+def masked_key(x: Column) -> Column:
+    """A key with only its ends shown; null if blank."""
+    ends = F.concat(F.substring(x, 1, 3), F.lit("***"), F.substring(x, -3, 3))
+    return F.when(F.trim(x) != "", F.when(F.length(x) <= 6, "***").otherwise(ends))
 
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -175,13 +182,25 @@ def repeated_inside(docs: DataFrame, key: str, least: int = 3) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, key: str, least: int = 3) -> DataFrame:
-    """Texts without the lines that they repeat, inside one row: no shuffle."""
-    all_lines = F.split("text", "\n")
-    trimmed = F.array_sort(F.filter(F.transform(all_lines, lambda x: F.trim(x)), lambda x: x != ""))
-    # Sorted, a line repeated ``least`` times equals the one ``least - 1`` places on.
-    often = F.array_distinct(F.filter(trimmed, lambda x, i: x.eqNullSafe(F.get(trimmed, i + (least - 1)))))
-    kept = F.filter(all_lines, lambda x: ~F.array_contains(often, F.trim(x)))
-    return docs.select(key, F.size(all_lines).alias("n_lines"), F.size(kept).alias("n_kept"), F.array_join(kept, "\n").alias("text"))
+    """Texts without the lines that they repeat, inside one row: no shuffle.
+
+    Sorted by their trimmed text, ``least`` equal lines stand side by side; what
+    stays goes back in its order.  A null text is one empty line.
+    """
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = F.array_sort(F.transform(split, lambda x, i: F.struct(F.trim(x).alias("t"), i.alias("i"), x.alias("x"))))
+
+    def stays(all_: Column, r: Column, i: Column) -> Column:
+        crowded = F.lit(False)
+        for before in range(least):
+            first = F.get(all_, i - before)["t"]
+            crowded = crowded | F.coalesce((i >= before) & (first == F.get(all_, i - before + least - 1)["t"]), F.lit(False))
+        return (r["t"] == "") | ~crowded
+
+    left = bound(rows, lambda all_: F.filter(all_, lambda r, i: stays(all_, r, i)))
+    kept = F.transform(F.array_sort(F.transform(left, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r["x"])
+    done = docs.select(key, F.size(split).alias("n_lines"), kept.alias("kept"))
+    return done.select(key, "n_lines", F.size("kept").alias("n_kept"), F.array_join("kept", "\n").alias("text"))
 
 
 def questions_in(docs: DataFrame, key: str) -> DataFrame:
@@ -223,7 +242,92 @@ def page_of(offsets: DataFrame, starts: DataFrame, key: str) -> DataFrame:
     return offsets.join(pages, key, "left").withColumn("page", F.size(F.filter("starts", lambda s: s <= F.col("offset")))).drop("starts")
 
 
-def failure_class(message: Column) -> Column:
-    """A class of failure from a message, by ordered tests."""
-    m = F.lower(message)
-    return F.when(m.rlike("timeout|timed out"), "TIMEOUT").when(m.rlike("401|403|unauthor|forbidden"), "AUTH").when(m.rlike("429|rate limit|quota"), "LIMIT").when(m.rlike("json|parse"), "FORMAT").otherwise("OTHER")
+#: Classes of failures in the order of their tests: words of the message, types of the causes (fixed values).
+FAILURES = (
+    ("MODEL_TIMEOUT", ("timeout", "超时"), ("HttpTimeoutException", "SocketTimeoutException")),
+    ("MODEL_RATE_LIMITED", ("http 429", "rate limit", "限流", "请求过于频繁"), ()),
+    ("MODEL_CONNECTION_FAILED", ("无法连接", "connection refused"), ("ConnectException", "UnknownHostException")),
+    ("MODEL_RESPONSE_INVALID", ("ai 输出不是合法 json", "模型返回空白", "响应格式异常", "模型端点持续返回空白"), ()),
+    ("DOCUMENT_PARSE_FAILED", ("mineru", "文档解析", "pdf", "docx"), ("IOException",)),
+)
+OTHER_FAILURE = "IMPORT_PROCESSING_FAILED"
+
+
+def failure_class(message: Column, causes: Column | None = None) -> Column:
+    """A class of failure, by ordered tests of the messages and, where known, the causes' types (an array)."""
+    m = F.lower(F.coalesce(message, F.lit("")))
+    found = F.lit(OTHER_FAILURE)
+    for name, words, types in reversed(FAILURES):
+        test = F.lit(False)
+        for w in words:
+            test = test | F.contains(m, F.lit(w))
+        if causes is not None and types:
+            test = test | F.coalesce(F.arrays_overlap(causes, F.array(*[F.lit(t) for t in types])), F.lit(False))
+        found = F.when(test, name).otherwise(found)
+    return found
+
+
+# --- marks, markup, addresses ----------------------------------------------------------------------------
+
+#: Keys in messages, the tags and attributes of tables that stay, lines of advertising (fixed values).
+BARE_KEY, KEY_END = "sk-[a-z0-9_-]{8,}", r"[^\s,;)}\]]+"
+TABLE_TAGS, TABLE_ATTRIBUTES = "table|thead|tbody|tfoot|tr|td|th|caption|colgroup|col|br", "colspan|rowspan"
+ADVERTS = ("扫一扫", "粉笔客户端", "提交答案后即可", "听课刷题", "扫描二维码下载")
+
+
+def has_marks(x: Column) -> Column:
+    """Whether a note holds a highlight, bold or underlined run within one line."""
+    runs = [rf"{m}[^{c}\n]{t}{m}" for m, c, t in (("==", "=", "*"), (r"\*\*", "*", "+"), ("__", "_", "+"))]
+    return F.coalesce(x, F.lit("")).rlike("|".join(runs))
+
+
+def table_html(x: Column) -> Column:
+    """Table markup with only table tags and spans; scripts and styles go whole, other tags leave their text."""
+    y = F.regexp_replace(x, r"(?is)<(script|style|iframe|object|embed)\b.*?</\1\s*>", "")
+    y = F.regexp_replace(y, rf"(?is)<(?!/?(?:{TABLE_TAGS})\b)[^>]*>", "")
+    y = F.regexp_replace(y, r"(?is)<(/?)([a-z0-9]+)((?:\s[^>]*)?)>", "<$1$2$3 >")
+    # Attributes that don't stay go one by one from each tag: a run that no kept name begins.
+    y = F.regexp_replace(y, rf"(?is)(?<=[\s\"'])(?!(?:{TABLE_ATTRIBUTES})\s*=)[a-z-]+\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?(?=[^<>]*>)", "")
+    return F.regexp_replace(y, r"(?is)<(/?[a-z0-9]+)((?:\s+[^<>]*?)?)\s*>", "<$1$2>")
+
+
+def base_address(x: Column, default: str) -> Column:
+    """An http address without trailing slashes, the default if blank; null with a query, a fragment or another scheme."""
+    y = F.coalesce(blank_to_null(x), F.lit(default))
+    fine = y.rlike(r"(?i)^https?://[^/\s?#]+") & ~y.rlike("[?#]")
+    return F.when(fine, F.regexp_replace(y, "/+$", ""))
+
+
+def appended(base: Column, path: Column) -> Column:
+    """A path below a base address; null unless the path begins with a slash."""
+    return F.when(path.startswith("/"), F.concat(base, path))
+
+
+def first_filled(*fields: Column) -> Column:
+    """The first of the fields that isn't blank, trimmed."""
+    return F.coalesce(*[blank_to_null(f) for f in fields])
+
+
+def decoded(x: Column) -> Column:
+    """The bytes of a Base64 text, null if it is none."""
+    return F.try_to_binary(x, F.lit("base64"))
+
+
+def squeezed(x: Column) -> Column:
+    """The text without white space."""
+    return F.regexp_replace(x, r"\s+", "")
+
+
+def without_adverts(x: Column) -> Column:
+    """Trimmed lines without advertising and without paths of images; lines left empty by that go too."""
+    def line(t: Column) -> Column:
+        return F.trim(F.regexp_replace(t, r"images/[A-Za-z0-9._-]+\.(?:jpg|jpeg|png|webp)", ""))
+
+    advert = lambda t: t.rlike("|".join(ADVERTS))
+    kept = F.filter(F.transform(F.split(x, r"\r\n|\n|\r", -1), lambda t: F.trim(t)), lambda t: (t == "") | (~advert(t) & (line(t) != "")))
+    return F.array_join(F.transform(kept, line), "\n")
+
+
+def numbers_begin_lines(x: Column) -> Column:
+    """Question numbers inside a line on lines of their own; numbers with digits or points beside them stay."""
+    return F.regexp_replace(x, rf"(?<![.\p{{N}}])([0-9]{{1,3}})([.、．])(?![.\p{{N}}])", "\n$1$2")

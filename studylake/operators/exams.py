@@ -6,13 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studylake.functions import exam as M
+from studylake.functions import grammar as G
 from studylake.functions import text as X
 
-#: Headings and fields of the Markdown form (fixed grammar).
-HEADING = r"^\s*#{1,6}\s*第?\s*(\d{1,3})\s*题\s*(?:[·.．、:：\-—\s]\s*(.{1,20}))?\s*$"
-MATERIAL = r"^\s*#{1,6}\s*材料\s*([mM]?\d+|[一二三四五六七八九十]+)\s*[:：]?\s*$"
-FIELD = r"^\s*\*{0,2}\s*(题干|选项|答案|解析|参考答案)\s*\*{0,2}\s*[:：]?\s*(.*)$"
-
 
 def _joined(section: str, name: str) -> Column:
     parts = F.array_sort(F.collect_list(F.when(F.col("section") == section, F.struct("place", F.col("body")))))
@@ -28,12 +24,12 @@ def markdown_questions(docs: DataFrame, key: str) -> DataFrame:
     """
     line = F.trim("line")
     own, block = Window.partitionBy(key).orderBy("place"), Window.partitionBy(key, "block").orderBy("place")
-    rows = X.lines(docs, key).withColumn("number", F.regexp_extract(line, HEADING, 1).try_cast("int")).withColumn("is_material", line.rlike(MATERIAL))
+    rows = X.lines(docs, key).withColumn("number", F.regexp_extract(line, G.HEADING, 1).try_cast("int")).withColumn("is_material", line.rlike(G.MATERIAL))
     head = F.col("number").isNotNull() | F.col("is_material")
-    rows = rows.withColumn("head", head).withColumn("block", F.count_if("head").over(own)).withColumn("kind", F.when(head, F.regexp_extract(line, HEADING, 2)))
-    field, rest = F.regexp_extract(line, FIELD, 1), F.regexp_extract(line, FIELD, 2)
+    rows = rows.withColumn("head", head).withColumn("block", F.count_if("head").over(own)).withColumn("kind", F.when(head, F.regexp_extract(line, G.HEADING, 2)))
+    field, rest = F.regexp_extract(line, G.FIELD, 1), F.regexp_extract(line, G.FIELD, 2)
     rows = rows.withColumn("field", F.when(~F.col("head") & (field != ""), field))
-    option = ~F.col("head") & F.col("field").isNull() & line.rlike(M.OPTION)
+    option = ~F.col("head") & F.col("field").isNull() & line.rlike(G.OPTION)
     # Options without their field begin at the first option line of a stem that has two.
     rows = rows.withColumn("option", option).withColumn("n_options", F.count_if("option").over(Window.partitionBy(key, "block")))
     opens = F.when(F.col("option") & (F.col("n_options") >= 2) & (F.count("field").over(block) == F.count(F.when(F.col("field") == "题干", 1)).over(block)), "选项")
@@ -51,7 +47,7 @@ def markdown_questions(docs: DataFrame, key: str) -> DataFrame:
     per = per.withColumn("content", stem)
     materials = F.last(F.when(F.col("is_material") & (F.col("content") != ""), F.concat(F.lit("m"), F.col("block").cast("string"))), True).over(Window.partitionBy(key).orderBy("block"))
     # A line that is no option goes on with the option before it.
-    glued = F.regexp_replace("option_lines", r"\n(?!\s*[-*]?\s*[A-Ha-h]\s*[.．、)）])", "")
+    glued = F.regexp_replace("option_lines", r"\n(?!" + G.OPTION_HEAD + ")", "")
     options = F.flatten(F.transform(F.filter(F.split(glued, "\n"), lambda x: x != ""), lambda x: M.options_of(x)))
     made = per.withColumn("material", materials).withColumn("options", options).filter("NOT is_material AND content <> ''")
     return made.select(key, "block", "number", X.question_type(F.col("options"), F.col("heading")).alias("type"), "content", "options", M.answer_letters(F.col("answer")).alias("answer_keys"), X.blank_to_null(F.col("analysis")).alias("analysis"), X.blank_to_null(F.col("reference")).alias("reference"), "material")
@@ -98,3 +94,112 @@ def image_chains(blocks: DataFrame, key: str) -> DataFrame:
     order = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     broken = F.count_if(F.col("kind").isin("text", "noise")).over(order)
     return blocks.withColumn("chain", broken).filter("kind = 'image'")
+
+
+#: What a model's reply holds, every field optional.
+REPLY_QUESTION = "struct<questionNumber:int,type:string,content:string,options:array<struct<key:string,text:string>>,answerKeys:array<string>,answerText:string,analysis:string,referenceAnswer:string,materialKey:string,score:double>"
+REPLY_MATERIAL = "struct<materialKey:string,content:string>"
+
+
+def decode(replies: DataFrame, key: str) -> DataFrame:
+    """key, questions, materials, error of model replies: an array of questions, or {materials, questions}.
+
+    A fence around the JSON goes; elements that don't fit are left out, the others stay.
+    """
+    body = X.fenced(F.col("reply"))
+    raw = F.from_json(body, "questions string, materials string")
+    array = body.rlike(r"^\s*\[")
+    listed = lambda text, kind: F.filter(F.transform(F.from_json(text, "array<string>"), lambda x: F.from_json(x, kind)), lambda x: x.isNotNull())
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = replies.select(key, array.alias("array"), F.when(array, body).otherwise(raw["questions"]).alias("q"), raw["materials"].alias("m"), F.try_parse_json(body).isNull().alias("bad"))
+    return rows.select(
+        key,
+        F.coalesce(listed(F.col("q"), REPLY_QUESTION[7:-1]), none(REPLY_QUESTION)).alias("questions"),
+        F.coalesce(F.when(~F.col("array"), listed(F.col("m"), REPLY_MATERIAL[7:-1])), none(REPLY_MATERIAL)).alias("materials"),
+        F.when(F.col("bad"), "NOT_JSON").alias("error"),
+    )
+
+
+def reply_questions(decoded: DataFrame, key: str) -> DataFrame:
+    """key, position and the checked questions of decoded replies.
+
+    Questions without content go; types, options and scores get their defaults; a
+    material that the reply doesn't hold with content is no reference.
+    """
+    known = F.transform(F.filter("materials", lambda m: (F.trim(F.coalesce(m["materialKey"], F.lit(""))) != "") & (F.trim(F.coalesce(m["content"], F.lit(""))) != "")), lambda m: m["materialKey"])
+    rows = decoded.select(key, known.alias("known"), F.posexplode("questions").alias("position", "q")).filter(F.trim("q.content") != "")
+    rows = rows.withColumn("c", M.checked_question(F.col("q.type"), F.col("q.options"), F.col("q.score")))
+    material = F.when(F.array_contains("known", F.col("q.materialKey")), F.col("q.materialKey"))
+    return rows.select(key, "position", F.col("q.questionNumber").alias("number"), F.trim("q.content").alias("content"), "c.type", "c.options", "c.score", F.coalesce("q.answerKeys", F.array().cast("array<string>")).alias("answer_keys"), material.alias("material"))
+
+
+def reply_materials(decoded: DataFrame, key: str) -> DataFrame:
+    """key, material, content: the first of each key that has both."""
+    rows = decoded.select(key, F.posexplode("materials").alias("place", "m")).filter((F.trim("m.materialKey") != "") & (F.trim("m.content") != ""))
+    return rows.groupBy(key, F.col("m.materialKey").alias("material")).agg(F.min_by("m.content", "place").alias("content"))
+
+
+def with_source(questions: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """Questions with what their document's text says: line, number_there (of the content), evidence, borne_out, options_there.
+
+    Each question meets its own document; a text is cut into lines once for each.
+    """
+    rows = questions.join(sources.select(key, F.col("text").alias("_text")), key, "left").withColumn("_lines", F.split(F.coalesce("_text", F.lit("")), r"\r\n|\n|\r", -1))
+    plain = X.without_images(F.col("content"))
+    rows = rows.withColumn("line", M.content_line(F.col("_lines"), plain)).withColumn("number_there", M.number_near(F.col("_lines"), F.col("line"), True))
+    rows = rows.withColumn("evidence", M.answer_evidence(F.coalesce("_text", F.lit("")), plain, F.col("number")))
+    there = F.when(F.col("number_there").isNotNull(), M.options_at_question(F.col("_lines"), F.col("options"), F.col("number_there"))).otherwise(F.lit(True))
+    return rows.withColumn("borne_out", M.agrees(F.col("answer_keys"), F.col("evidence"))).withColumn("options_there", there).drop("_text", "_lines")
+
+
+def recovered(questions: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """Questions with the model's answers cleared and those that the source gives put in, with their source label."""
+    rows = with_source(questions, sources, key).join(sources.select(key, F.col("text").alias("_text")), key, "left")
+    subjective = F.col("type") == "SUBJECTIVE"
+    keys = F.array_sort(F.array_intersect("evidence", F.transform("options", lambda o: F.upper(o["key"]))))
+    none = F.array().cast("array<string>")
+    reference = F.when(subjective, M.bracket_answer(F.col("_text"), F.coalesce("number", "number_there")))
+    rows = rows.withColumn("answer_keys", F.when(subjective, none).otherwise(F.coalesce(keys, none))).withColumn("reference", reference)
+    label = F.when((F.size("answer_keys") > 0) | F.col("reference").isNotNull(), "ORIGINAL")
+    return rows.withColumn("answer_source", label).drop("_text", "line", "number_there", "evidence", "borne_out", "options_there")
+
+
+def by_position(questions: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """Questions with their place in the order of the source: those found by line, then the others as they came."""
+    rows = with_source(questions, sources, key)
+    order = Window.partitionBy(key).orderBy(F.col("line") < 0, "line", "position")
+    return rows.withColumn("place", F.row_number().over(order)).select(*questions.columns, "place")
+
+
+def reading_order(blocks: DataFrame, key: str, pdf: bool = True) -> DataFrame:
+    """key, page, place, kind, text of page blocks (key, page, type, text, x, y, width, height) in reading order.
+
+    Heads and feet go, and images shorter than 24 points; noise stays as a kind;
+    numbers in circles are tags.  Images before the first page with a question
+    number go, and pages of a PDF without text.
+    """
+    image = F.col("type").isin("image", "chart")
+    text = X.numbers_begin_lines(F.col("text"))
+    tag = F.trim("text").rlike(r"^(?:[\u2460-\u2473]|\d{1,2})$")
+    kind = F.when(image, "image").when(M.layout_noise(F.col("text")) & ~tag, "noise").when(tag, "tag").otherwise("text")
+    rows = blocks.filter(~F.col("type").startswith("page_")).filter(~image | (F.least("width", "height") >= 24)).filter(image | (F.trim("text") != ""))
+    rows = rows.select(key, "page", "x", "y", kind.alias("kind"), F.when(~image, text).otherwise(F.col("text")).alias("text"))
+    asks = F.when((F.col("kind") == "text") & F.col("text").rlike(r"(^|[^\d])\d{1,3}[.、．]"), F.col("page"))
+    own = Window.partitionBy(key)
+    rows = rows.withColumn("first_page", F.min(asks).over(own)).withColumn("has_text", F.count_if(F.col("kind") == "text").over(Window.partitionBy(key, "page")) > 0)
+    early = (F.col("kind") == "image") & F.coalesce(F.col("page") < F.col("first_page"), F.lit(False))
+    kept = rows.filter(~early & (F.col("has_text") | F.lit(not pdf)))
+    order = Window.partitionBy(key, "page").orderBy("y", "x", "kind", "text")
+    return kept.withColumn("place", F.row_number().over(order)).select(key, "page", "place", "kind", "text")
+
+
+def grids(boxes: DataFrame, key: str, gap: float = 25.0, column: float = 12.0, apart: float = 200.0) -> DataFrame:
+    """key, rows, columns, grid: whether images (key, id, x, y, width, height) stand in two or three equal, aligned rows."""
+    rows = X.clusters(boxes.withColumn("cy", F.col("y") + F.col("height") / 2), key, "cy", gap)
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(key, "cluster").orderBy("x", "id")))
+    head = F.min(F.when(F.col("cluster") == 0, F.col("x"))).over(Window.partitionBy(key, "k"))
+    per = rows.withColumn("off", F.abs(F.col("x") - head)).groupBy(key, "cluster").agg(F.count("*").alias("n"), F.avg("cy").alias("cy"), F.max(F.coalesce("off", F.lit(1e9))).alias("off"))
+    per = per.withColumn("step", F.col("cy") - F.lag("cy").over(Window.partitionBy(key).orderBy("cluster")))
+    whole = per.groupBy(key).agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("columns"), F.max("off").alias("off"), F.coalesce(F.max("step"), F.lit(0.0)).alias("step"))
+    grid = F.col("rows").between(2, 3) & (F.col("least") == F.col("columns")) & (F.col("columns") >= 2) & (F.col("off") <= column) & (F.col("step") <= apart)
+    return whole.select(key, "rows", "columns", grid.alias("grid"))

@@ -5,30 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studylake.operators import review, search
+
 
 def merge_banks(questions: DataFrame, sources: DataFrame) -> DataFrame:
     """Questions of banks (bank_id, ordinal) as one new bank, numbered 1..n.
 
-    A key that an earlier source has gets the suffix -ordinal.  Numbers come
-    from counts per source and a numbering within each source's ranges, so no
-    task sees the whole bank.
+    A key that an earlier source has gets the suffix -ordinal.  ``sources`` are
+    the banks that someone chose: a short list.
     """
     rows = questions.join(F.broadcast(sources), "bank_id")
     first = rows.groupBy("external_id").agg(F.min("ordinal").alias("first"))
     keyed = rows.join(first, "external_id").withColumn("new_key", F.when(F.col("ordinal") == F.col("first"), F.col("external_id")).otherwise(F.concat("external_id", F.lit("-"), F.col("ordinal").cast("string"))))
-    return numbered(keyed, ["ordinal", "id"]).withColumnRenamed("rank", "number").drop("first")
+    return numbered(keyed, [], ["ordinal"], "id").withColumnRenamed("rank", "number").drop("first")
 
 
-def numbered(df: DataFrame, keys: list[str], parts: int = 16) -> DataFrame:
-    """``df`` with rank 1..n in the total order of ``keys``, by ranges.
+def numbered(df: DataFrame, keys: list[str], before: list[str], by: str, width: int = 1 << 16) -> DataFrame:
+    """``df`` with rank 1..n within ``keys``, in the order of ``before`` and the whole number ``by``.
 
-    Ranges are numbered apart and shifted by the counts before them.
+    A key may hold a third of all rows, so rows are numbered within stretches
+    of ``width`` values of ``by`` and shifted by the counts of the stretches
+    before; only those counts, one row for a stretch, are ordered whole.
     """
-    ranged = df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    shift = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_shift"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return ranged.withColumn("_in", inside).join(F.broadcast(shift), "_part").withColumn("rank", F.col("_in") + F.col("_shift")).drop("_part", "_in", "_shift")
+    cell = [*keys, *before, "_cell"]
+    rows = df.withColumn("_cell", F.floor(F.col(by) / width))
+    counts = rows.groupBy(*cell).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*keys).orderBy(*before, "_cell").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy(by))
+    rows, same = rows.withColumn("_in", inside), None
+    for c in cell:
+        one = rows[c].eqNullSafe(shift[c])
+        same = one if same is None else same & one
+    return rows.join(shift, same).select(*[rows[c] for c in df.columns], (F.col("_in") + F.col("_shift")).cast("int").alias("rank"))
 
 
 def unique_keys(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -40,8 +49,9 @@ def unique_keys(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 def continue_numbers(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New rows of each bank: given numbers stay, others go on after the largest."""
     most = existing.unionByName(new.select("bank_id", "number")).groupBy("bank_id").agg(F.coalesce(F.max("number"), F.lit(0)).alias("most"))
-    n = F.row_number().over(Window.partitionBy("bank_id", F.col("number").isNull()).orderBy("position"))
-    return new.withColumn("n", n).join(most, "bank_id").withColumn("number", F.coalesce("number", F.col("most") + F.col("n"))).drop("n", "most")
+    given = new.filter("number IS NOT NULL")
+    rest = numbered(new.filter("number IS NULL"), ["bank_id"], [], "position").join(most, "bank_id").withColumn("number", F.col("most") + F.col("rank"))
+    return given.unionByName(rest.select(*new.columns))
 
 
 def append(existing: DataFrame, package: DataFrame) -> DataFrame:
@@ -60,9 +70,18 @@ def sorted_map(m: Column) -> Column:
 
 
 def bank_checksum(questions: DataFrame) -> DataFrame:
-    """bank_id, checksum: of the questions' checksums in key order."""
-    one = questions.select("bank_id", "external_id", checksum(*[F.col(c) for c in questions.columns if c != "bank_id"]).alias("c"))
-    return one.groupBy("bank_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("external_id", "c"))), lambda x: x["c"]), ""), 256).alias("checksum"))
+    """bank_id, checksum: of the questions' checksums in key order, by way of 4,096 groups of keys.
+
+    A group (by the first digits of the key's SHA-256) is hashed in key order,
+    then the groups in theirs, so that no row holds a whole bank.
+    """
+    one = questions.select("bank_id", "external_id", checksum(*[F.col(c) for c in questions.columns if c != "bank_id"]).alias("c"), F.substring(F.sha2("external_id", 256), 1, 3).alias("g"))
+
+    def joined(*fields: str) -> Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*fields))), lambda x: x["c"]), ""), 256)
+
+    groups = one.groupBy("bank_id", "g").agg(joined("external_id", "c").alias("c"))
+    return groups.groupBy("bank_id").agg(joined("g", "c").alias("checksum"))
 
 
 def import_decision(packages: DataFrame, banks: DataFrame) -> DataFrame:
@@ -129,7 +148,76 @@ def delete_bank(bank_id: int, tables: dict[str, DataFrame]) -> tuple[dict[str, D
     return {name: df.filter(~F.coalesce(F.col("bank_id") == bank_id, F.lit(False))) for name, df in tables.items()}, lost
 
 
-def batches(rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
-    """``rows`` of each key dealt to batches of ``size``."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("batch", F.floor((n - 1) / size))
+def batches(rows: DataFrame, keys: list[str], by: str, size: int) -> DataFrame:
+    """``rows`` of each key dealt to batches of ``size`` in the order of a whole number."""
+    return numbered(rows, keys, [], by).withColumn("batch", F.floor((F.col("rank") - 1) / size)).drop("rank")
+
+
+def rebuilt_states(new: DataFrame, log: DataFrame, states: DataFrame) -> DataFrame:
+    """States after an import: questions of new records that have none replay all their records, the flag first."""
+    fresh = new.select("question_id").distinct().join(states.select("question_id"), "question_id", "left_anti")
+    every = log.unionByName(new.select(*log.columns)).join(fresh, "question_id", "left_semi")
+    return states.unionByName(review.states(every, raw_first=True))
+
+
+def export_questions(questions: DataFrame, which: str = "all", topics: list | None = None, categories: list | None = None, ids: list | None = None, wrong: DataFrame | None = None, answered: DataFrame | None = None) -> DataFrame:
+    """The questions that an export takes: scope, topics, categories, chosen ids."""
+    rows = search.scope(questions, which, wrong, answered)
+    return rows.filter(search.all_of(search.among("topic", topics), search.among("category", categories), search.among("id", ids)))
+
+
+def referenced_materials(materials: DataFrame, questions: DataFrame) -> DataFrame:
+    """material_key, content of the materials that the questions name."""
+    used = questions.select("material_id").filter("material_id IS NOT NULL").distinct()
+    return materials.join(used, "material_id", "left_semi").select("material_id", F.concat(F.lit("material-"), F.col("material_id").cast("string")).alias("material_key"), "content")
+
+
+def export_identity(banks: DataFrame) -> DataFrame:
+    """bank_id, action, error: what an export does to a bank's identity.
+
+    ``banks``: bank_id, package_key, checksum, current (the contents' checksum
+    now), version, asked (version wanted, null: as it is), mode, whole (nothing
+    filtered).  CLAIM: a new identity that the bank keeps; TEMPORARY: one for
+    this file; KEEP; UPGRADE: kept with a new version; BRANCH: a new one whose
+    parent is the old.  A new version without new contents is an error.
+    """
+    changed = ~F.col("checksum").eqNullSafe(F.col("current"))
+    mode, none = F.upper(F.coalesce("mode", F.lit(""))), F.coalesce(F.trim("package_key"), F.lit("")) == ""
+    action = F.when(none, F.when(F.col("whole"), "CLAIM").otherwise("TEMPORARY")).when(mode == "UPGRADE", F.when(changed, "UPGRADE").otherwise("KEEP")).when((mode == "BRANCH") | changed, "BRANCH").otherwise("KEEP")
+    empty = ~changed & F.col("version").isNotNull() & (F.coalesce("asked", "version") != F.col("version"))
+    return banks.select("bank_id", action.alias("action"), F.when(empty, "VERSION_WITHOUT_CHANGE").alias("error"))
+
+
+def mark_published(exports: DataFrame, published: DataFrame, removed: DataFrame) -> DataFrame:
+    """Export records, newest first by (created_at, id): marked if published, without the removed."""
+    marks = published.select("id").distinct().withColumn("_p", F.lit(True))
+    left = exports.join(removed.select("id"), "id", "left_anti").join(marks, "id", "left")
+    return left.withColumn("published", F.coalesce("published", F.lit(False)) | F.coalesce("_p", F.lit(False))).drop("_p")
+
+
+def created_questions(rows: DataFrame) -> DataFrame:
+    """Questions of a batch with what a new one has by default: score 1, no mark, not deleted."""
+    return rows.withColumn("score", F.coalesce("score", F.lit(1.0))).withColumn("favorite", F.lit(False)).withColumn("deleted", F.lit(False))
+
+
+def patched_questions(rows: DataFrame, patches: DataFrame, columns: list[str]) -> DataFrame:
+    """Questions with patches laid over; one that becomes subjective loses options and answer keys."""
+    out = patch(rows, patches, "id", columns)
+    subjective = F.col("question_type") == "SUBJECTIVE"
+    return out.withColumn("options", F.when(~subjective, F.col("options"))).withColumn("answer_keys", F.when(~subjective, F.col("answer_keys")))
+
+
+def merged_materials(*sources: DataFrame) -> DataFrame:
+    """Materials (document, material, content) of several sources: the first source that has a key wins."""
+    every = None
+    for n, rows in enumerate(sources):
+        one = rows.select("document", "material", "content", F.lit(n).alias("source"))
+        every = one if every is None else every.unionByName(one)
+    first = F.min_by("content", F.struct("source", "content"))
+    return every.groupBy("document", "material").agg(first.alias("content"), F.min("source").alias("source"))
+
+
+def without_material(questions: DataFrame, material_id: int) -> DataFrame:
+    """Questions after a material went: its references are cleared."""
+    gone = F.coalesce(F.col("material_id") == material_id, F.lit(False))
+    return questions.withColumn("material_id", F.when(~gone, F.col("material_id")))

@@ -21,17 +21,23 @@ def closure(edges: DataFrame, depth: int = 20) -> DataFrame:
     """node_id, ancestor, distance: all prerequisites, shortest way, up to a depth.
 
     Frontier by frontier, each met with what is known; graphs are catalogues
-    (a template), far smaller than the log.
+    (a template), far smaller than the log, and each round's known pairs are
+    kept in memory until the next has them.
     """
     known = edges.select("node_id", F.col("prereq").alias("ancestor"), F.lit(1).alias("distance")).distinct().cache()
-    frontier = known
+    frontier, held = known, [known]
     for step in range(2, depth + 1):
         more = frontier.select("node_id", F.col("ancestor").alias("node")).join(edges.select(F.col("node_id").alias("node"), F.col("prereq").alias("ancestor")), "node").select("node_id", "ancestor").distinct()
         frontier = more.join(known, ["node_id", "ancestor"], "left_anti").withColumn("distance", F.lit(step)).cache()
+        held.append(frontier)
         if frontier.isEmpty():
             break
-        known = known.unionByName(frontier).cache()
-    return known
+        known = known.unionByName(frontier)
+    # The pairs of a catalogue: written into a plan of their own, so that no round stays cached.
+    rows, schema = known.collect(), known.schema
+    for df in held:
+        df.unpersist()
+    return edges.sparkSession.createDataFrame(rows, schema)
 
 
 def graph_errors(nodes: DataFrame, edges: DataFrame, depth: int = 20) -> DataFrame:
@@ -91,3 +97,81 @@ def upsert(tags: DataFrame, found: DataFrame) -> DataFrame:
     human = F.coalesce(F.col("source") == "human", F.lit(False))
     keep = human | F.coalesce("new", F.lit(False)) | F.coalesce("asked", F.lit(False)).eqNullSafe(False)
     return both.filter(keep).select(*keys, F.when(F.col("source").isNull(), "ai").otherwise(F.col("source")).alias("source"), F.greatest("confidence", "c2").alias("confidence"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
+
+
+def customisation(nodes: DataFrame, added: DataFrame, disabled: DataFrame) -> DataFrame:
+    """node_id, name, official_name, kind: OFFICIAL, RENAMED, ADDED or DISABLED, of a customised template."""
+    own = added.select("node_id", F.col("name").alias("_own"))
+    off = disabled.select("node_id").distinct().withColumn("_off", F.lit(True))
+    rows = nodes.select("node_id", F.col("name").alias("official_name")).join(own, "node_id", "full").join(off, "node_id", "left")
+    kind = F.when(F.col("_off"), "DISABLED").when(F.col("official_name").isNull(), "ADDED").when(F.col("_own").isNotNull() & (F.col("_own") != F.col("official_name")), "RENAMED").otherwise("OFFICIAL")
+    return rows.select("node_id", F.coalesce("_own", "official_name").alias("name"), "official_name", kind.alias("kind"))
+
+
+def reset(added: DataFrame, disabled: DataFrame, node_ids: list) -> tuple[DataFrame, DataFrame]:
+    """The overrides (added, disabled) without those of some nodes."""
+    return added.filter(~F.col("node_id").isin(node_ids)), disabled.filter(~F.col("node_id").isin(node_ids))
+
+
+def template_sizes(nodes: DataFrame) -> DataFrame:
+    """Stages and nodes of each template, from one row per node."""
+    return nodes.groupBy("templateId").agg(F.countDistinct("stage_id").alias("stages"), F.count("*").alias("nodes"))
+
+
+def catalogue(nodes: DataFrame) -> DataFrame:
+    """stage, text: a stage's nodes, "id name" a line, by id."""
+    line = F.array_sort(F.collect_list(F.concat_ws(" ", "node_id", "name")))
+    return nodes.groupBy("stage").agg(F.array_join(line, "\n").alias("text"))
+
+
+def tags_of(questions: DataFrame, tags: DataFrame, nodes: DataFrame) -> DataFrame:
+    """question_id, tags: of each question those whose node exists, by node id."""
+    live = tags.join(questions.select("question_id"), "question_id", "left_semi").join(nodes.select("node_id", "name"), "node_id")
+    one = F.struct("node_id", "name", "source", "confidence", "confirmed")
+    return live.groupBy("question_id").agg(F.array_sort(F.collect_list(one)).alias("tags"))
+
+
+def matching(questions: DataFrame, tags: DataFrame, status: str | None = None, node_id: str | None = None) -> DataFrame:
+    """question_id, state: questions in a state (null: any) that stand under a node (null: any)."""
+    rows = tag_state(questions, tags)
+    if status:
+        rows = rows.filter(F.col("state") == status)
+    if node_id:
+        rows = rows.join(tags.filter(F.col("node_id") == node_id).select("question_id"), "question_id", "left_semi")
+    return rows
+
+
+def set_tags(tags: DataFrame, questions: DataFrame, node_ids: list, nodes: DataFrame) -> DataFrame:
+    """Tags after a user set those of some questions: a model's and the user's former ones go, the author's stay."""
+    known = nodes.filter(F.col("node_id").isin(node_ids or [])).agg(F.collect_set("node_id")).scalar()
+    chosen = questions.select("question_id").distinct()
+    mine = F.col("source").isin("ai", "user")
+    rest = tags.join(chosen.withColumn("_hit", F.lit(True)), "question_id", "left").filter(~(F.coalesce("_hit", F.lit(False)) & mine)).drop("_hit")
+    # A short list of nodes for each question.
+    new = chosen.withColumn("n", known).select("question_id", F.explode("n").alias("node_id"))
+    return rest.unionByName(new.select("question_id", "node_id", F.lit("user").alias("source"), F.lit(1.0).alias("confidence"), F.lit(True).alias("confirmed")))
+
+
+def apply(action: str, tags: DataFrame, nodes: DataFrame, questions: DataFrame | None = None, node_id: str | None = None, new_nodes: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tags after an action, question_id of the affected): confirm, reject, set or retag.
+
+    ``questions`` is the scope; without it ``node_id`` is.  confirm and reject
+    touch a model's unconfirmed suggestions only; retag without questions takes
+    those that the model put under the node; set without questions does nothing.
+    """
+    ai = F.col("source") == "ai"
+    inside = F.lit(True) if questions is not None or not node_id else F.col("node_id") == node_id
+    if action in ("set", "retag"):
+        if questions is None:
+            questions = tags.filter(ai & inside & F.lit(action == "retag")).select("question_id").distinct()
+        affected = questions.select("question_id").distinct()
+        return set_tags(tags, affected, new_nodes or [], nodes), affected
+    if action not in ("confirm", "reject"):
+        raise ValueError("action is confirm, reject, set or retag")
+    rows = tags.withColumn("_hit", F.coalesce(ai & ~F.coalesce("confirmed", F.lit(False)) & inside, F.lit(False)))
+    if questions is not None:
+        scope = questions.select("question_id").distinct().withColumn("_in", F.lit(True))
+        rows = rows.join(scope, "question_id", "left").withColumn("_hit", F.col("_hit") & F.coalesce("_in", F.lit(False))).drop("_in")
+    affected = rows.filter("_hit").select("question_id").distinct()
+    after = rows.filter("NOT _hit") if action == "reject" else rows.withColumn("confirmed", F.col("confirmed") | F.col("_hit"))
+    return after.select(*tags.columns), affected

@@ -90,3 +90,8 @@ def heat_map(days: DataFrame) -> DataFrame:
     first = days.agg(F.min("day")).scalar()
     monday = F.date_sub("first", F.weekday("first"))
     return days.withColumn("first", first).select("day", F.floor(F.datediff("day", monday) / 7).alias("week"), F.weekday("day").alias("weekday"), shade.alias("shade"))
+
+
+def selected_sum(counts: DataFrame, chosen: list, *columns: str) -> DataFrame:
+    """Sums of counts per bank over the chosen banks, 0 for none."""
+    return counts.filter(F.col("bank_id").isin(chosen)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])

@@ -10,18 +10,14 @@ from studylake.functions import text as X
 from studylake.operators import attempts as A
 from studylake.operators import cards as C
 from studylake.operators import exchange as E
+from studylake.operators import review as R
 from studylake.operators import search as Q
 from studylake.operators import sessions as S
 from studylake.operators import skills as K
 from studylake.sources import bindings as B
 
-from .base import AS_OF, AS_OF_SHIPPED, LOG, QUESTIONS, query
+from .base import AS_OF, AS_OF_SHIPPED, EDITED, LOG, QUESTIONS, STATES, query
 
-EDITED = """e AS (SELECT p_partkey AS id, p_partkey % 10 AS bank_id, p_brand || '-' || p_type AS external_id, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS number, p_name AS content,
-  list_transform((['A', 'B', 'C', 'D'])[1:p_size % 5], lambda k: {'key': k, 'text': k || ' ' || p_type}) AS options,
-  CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'B' WHEN 2 THEN 'A, C' END AS answer_keys, CASE WHEN p_size % 7 <> 0 THEN p_type ELSE ' ' END AS topic, p_brand AS category,
-  (['SINGLE', 'MULTIPLE', 'JUDGE', 'SUBJECTIVE'])[p_size % 4 + 1] AS question_type, p_size / 10 AS score, CASE WHEN p_partkey % 4 = 0 THEN CAST(floor(p_partkey / 40) AS BIGINT) END AS material_id,
-  p_size % 3 = 0 AS favorite, p_partkey AS position FROM part)"""
 TAGS = """t AS (SELECT doc_id AS question_id, CAST(doc_id % 30 AS VARCHAR) AS node_id, CASE WHEN toxic = 1 THEN 'ai' ELSE 'author' END AS source, 0.5::DOUBLE + quality / 4 AS confidence, quality = 1 AS confirmed FROM labels)"""
 NODES = """n AS (SELECT CAST(n_nationkey AS VARCHAR) AS node_id, n_name AS name, n_regionkey AS stage,
   list_filter([CASE WHEN n_nationkey >= 10 THEN CAST(n_nationkey - 10 AS VARCHAR) END, CASE WHEN n_nationkey % 5 <> 0 THEN CAST(n_nationkey - n_nationkey % 5 AS VARCHAR) END], lambda x: x IS NOT NULL) AS prereq FROM nation),
@@ -118,10 +114,9 @@ def notes_of_bank(spark, sf_dir):
     return direct.union(links.filter("target_type = 'QUESTION'").join(own, "target_id", "left_semi").select("note_id")).distinct()
 
 
-@query("SELECT doc_id AS note_id, CASE WHEN length(line) > 60 THEN substr(line, 1, 60) || '…' ELSE line END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM documents WHERE text LIKE '%the%' AND regexp_full_match(text, '[\\x00-\\x7f]*'))")
+@query(r"SELECT doc_id AS note_id, CASE WHEN length(line) > 60 THEN substr(line, 1, 60) || '…' ELSE line END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS line FROM documents WHERE contains(text, 'the'))")
 def note_previews(spark, sf_dir):
-    notes = B.notes(spark, sf_dir).filter(Q.contains("the", "content")).filter(F.col("content").rlike(r"\A[\x00-\x7f]*\z"))
-    return notes.select("note_id", Q.preview(F.col("content")).alias("preview"))
+    return B.notes(spark, sf_dir).filter(Q.contains("the", "content")).select("note_id", Q.preview(F.col("content")).alias("preview"))
 
 
 @query("WITH d AS (SELECT date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-06-15') AS days FROM orders) SELECT CASE WHEN days <= 0 THEN 'today' WHEN days = 1 THEN 'yesterday' WHEN days < 7 THEN 'week' WHEN days < 30 THEN 'month' ELSE 'older' END AS time_group, count(*) AS n FROM d GROUP BY 1")
@@ -150,19 +145,75 @@ def recent_sessions(spark, sf_dir):
     return F.broadcast(last).join(per, "session_id", "left").select("session_id", label.alias("label"), F.coalesce("records", F.lit(0)).alias("records"), rate.alias("rate"))
 
 
-@query(f"""WITH {EDITED}, p AS (SELECT *, coalesce('m' || material_id, 'q' || id) AS unit FROM e WHERE bank_id = 4),
-u AS (SELECT unit, count(*) AS size, max(material_id IS NOT NULL) AS grouped, min(number) AS first, min(id) AS first_id FROM p GROUP BY 1),
-b AS (SELECT unit, coalesce(sum(size) OVER (ORDER BY grouped, first NULLS LAST, first_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
-SELECT id, CAST(before AS BIGINT) + row_number() OVER (PARTITION BY unit ORDER BY number NULLS LAST, id) AS place FROM p JOIN b USING (unit) WHERE before < 30""")
+def _drawn(pool: str, whole: bool, late: str = "false", order: str = "sha256('7-' || unit)", start: str = "") -> str:
+    """SQL of a draw of 30 from a pool (rows of e): id, place."""
+    unit = "coalesce('m' || material_id, 'q' || id)" if whole else "'q' || id"
+    first = "min({'none': number IS NULL, 'number': coalesce(number, 0), 'id': id})"
+    return f"""(WITH p AS (SELECT *, {unit} AS unit, {late} AS done FROM ({pool})),
+u AS (SELECT unit, count(*) AS size, bool_and(done) AS late, bool_or({'material_id IS NOT NULL' if whole else 'false'}) AS grouped, {first} AS first FROM p GROUP BY 1),
+k AS (SELECT *, row_number() OVER (ORDER BY late, {order}, unit) AS r FROM u), c AS (SELECT * FROM k {start}),
+b AS (SELECT unit, coalesce(sum(size) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT id, CAST(before AS BIGINT) + row_number() OVER (PARTITION BY unit ORDER BY number NULLS LAST, id) AS place FROM p JOIN b USING (unit) WHERE before < 30)"""
+
+
+_FOUR = "SELECT * FROM e WHERE bank_id = 4"
+
+
+def _pool(spark, sf_dir):
+    return B.edited(spark, sf_dir).filter("bank_id = 4")
+
+
+def _done(spark, sf_dir):
+    return B.attempts(spark, sf_dir).select(F.col("question_id").alias("id"))
+
+
+@query(f"WITH {EDITED} SELECT * FROM {_drawn(_FOUR, True, order='grouped, first')}")
 def draw_in_sequence(spark, sf_dir):
-    return S.sequence(B.edited(spark, sf_dir).filter("bank_id = 4"), 30)
+    return S.draw(_pool(spark, sf_dir), "SEQUENCE", 30)
+
 
+@query(f"WITH {EDITED} SELECT * FROM {_drawn(_FOUR, True, order='grouped, first', start='WHERE r >= (SELECT r FROM k WHERE unit = (SELECT unit FROM p WHERE id = 44))')}")
+def draw_from_a_question(spark, sf_dir):
+    return S.draw(_pool(spark, sf_dir), "SEQUENCE", 30, start=44)
 
-@query()
+
+@query(f"WITH {EDITED}, {LOG} SELECT * FROM {_drawn(_FOUR, True, 'id IN (SELECT question_id FROM g)')}")
 def draw_undone_first(spark, sf_dir):
-    """A repeatable random draw: hash order, so rows only."""
-    done = B.attempts(spark, sf_dir).select(F.col("question_id").alias("id"))
-    return S.draw(B.edited(spark, sf_dir).filter("bank_id = 4"), 30, 7, done)
+    return S.draw(_pool(spark, sf_dir), "ALL", 30, 7, _done(spark, sf_dir))
+
+
+@query(f"WITH {EDITED}, {LOG} SELECT * FROM {_drawn(_FOUR + " AND topic IN ('ECONOMY', 'LARGE', 'SMALL')", False, 'id IN (SELECT question_id FROM g)')}")
+def draw_topics(spark, sf_dir):
+    rows = S.pool(_pool(spark, sf_dir).filter(Q.among("topic", ["ECONOMY", "LARGE", "SMALL"])), "TOPIC")
+    return S.draw(rows, "TOPIC", 30, 7, _done(spark, sf_dir))
+
+
+@query(f"WITH {EDITED} SELECT * FROM {_drawn(_FOUR + ' AND favorite', False)}")
+def draw_favourites(spark, sf_dir):
+    return S.draw(S.pool(_pool(spark, sf_dir), "FAVORITE"), "FAVORITE", 30, 7)
+
+
+@query(f"""WITH {EDITED}, {LOG}, l AS (SELECT question_id, grade, row_number() OVER (PARTITION BY question_id ORDER BY answered_at DESC, id DESC) AS rn FROM g) SELECT * FROM {_drawn(_FOUR + " AND id IN (SELECT question_id FROM l WHERE rn = 1 AND grade <> 'CORRECT')", False)}""")
+def draw_wrong(spark, sf_dir):
+    return S.draw(S.pool(_pool(spark, sf_dir), "WRONG", wrong=A.wrong_questions(B.attempts(spark, sf_dir))), "WRONG", 30, 7)
+
+
+@query(f"""WITH {EDITED}, {LOG}, {STATES} SELECT * FROM {_drawn(_FOUR + " AND id IN (SELECT question_id FROM s WHERE due_at <= TIMESTAMP '2024-01-30 12:00:00')", False)}""")
+def draw_due(spark, sf_dir):
+    due = R.queue(R.states(B.attempts(spark, sf_dir)), AS_OF)
+    return S.draw(S.pool(_pool(spark, sf_dir), "REVIEW", due=due), "REVIEW", 30, 7)
+
+
+@query(f"""WITH {EDITED}, {TAGS} SELECT * FROM {_drawn(_FOUR + " AND id IN (SELECT question_id FROM t WHERE node_id IN ('4', '14'))", False)}""")
+def draw_skill(spark, sf_dir):
+    rows = S.pool(_pool(spark, sf_dir), "SKILL", tags=B.tags(spark, sf_dir), nodes=["4", "14"])
+    return S.draw(rows, "SKILL", 30, 7)
+
+
+@query(f"WITH {EDITED}, w AS (SELECT p_partkey AS id, p_partkey * 37 % 1000 AS position FROM part WHERE p_size < 25) SELECT w.id, CAST(row_number() OVER (ORDER BY position, w.id) AS INT) AS place FROM w WHERE w.id IN (SELECT id FROM e WHERE bank_id = 4)")
+def draw_plan(spark, sf_dir):
+    order = B.table(spark, sf_dir, "part").filter("p_size < 25").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 1000).alias("position"))
+    return S.draw(S.pool(_pool(spark, sf_dir), "PLAN", ids=order), "PLAN", None, order=order)
 
 
 @query(f"""WITH {QUESTIONS}, w AS (SELECT l_partkey AS id, min(l_orderkey * 10 + l_linenumber) AS position FROM lineitem WHERE l_orderkey < 30 GROUP BY 1)
@@ -172,10 +223,10 @@ def given_order(spark, sf_dir):
     return S.in_order(wanted, B.questions(spark, sf_dir))
 
 
-@query("SELECT o_orderkey AS session_id, l_linenumber AS sort, l_partkey AS question_id, CASE WHEN o_orderstatus = 'F' THEN l_linestatus END AS answer FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 2000")
+@query("SELECT o_orderkey AS session_id, l_linenumber AS sort, l_partkey AS question_id, CASE WHEN o_orderstatus = 'F' THEN l_linestatus END AS answer FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def session_questions(spark, sf_dir):
     line = B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("sort"), F.col("l_partkey").alias("question_id"), "l_linestatus")
-    return B.sessions(spark, sf_dir).filter("session_id < 2000").join(line, "session_id").select("session_id", "sort", "question_id", F.when(F.col("status") == "F", F.col("l_linestatus")).alias("answer"))
+    return B.sessions(spark, sf_dir).join(line, "session_id").select("session_id", "sort", "question_id", F.when(F.col("status") == "F", F.col("l_linestatus")).alias("answer"))
 
 
 @query(f"""WITH {EDITED}, c AS (SELECT id, list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(answer_keys, ''), ','), lambda k: upper(trim(k))), lambda k: k <> ''))) AS k FROM e), s AS (SELECT id, (['b', 'C,a', 'A', ''])[id % 4 + 1] AS given FROM e)
@@ -242,11 +293,11 @@ def customised_nodes(spark, sf_dir):
     return K.customise(B.skill_nodes(spark, sf_dir), added, off).select("node_id", "name", F.size("prereq").alias("needs"))
 
 
-@query(f"""WITH {TAGS}, f AS (SELECT p_partkey AS question_id, CAST(p_size % 30 AS VARCHAR) AS node_id, 0.7::DOUBLE AS c2 FROM part WHERE p_partkey < 500)
+@query(f"""WITH {TAGS}, f AS (SELECT p_partkey AS question_id, CAST(p_size % 30 AS VARCHAR) AS node_id, 0.7::DOUBLE AS c2 FROM part)
 SELECT coalesce(t.question_id, f.question_id) AS question_id, coalesce(t.node_id, f.node_id) AS node_id, coalesce(source, 'ai') AS source, greatest(confidence, c2) AS confidence, coalesce(confirmed, false) AS confirmed
 FROM t FULL JOIN f USING (question_id, node_id) WHERE f.question_id IS NOT NULL OR source = 'human' OR t.question_id NOT IN (SELECT question_id FROM f)""")
 def tag_upsert(spark, sf_dir):
-    found = B.table(spark, sf_dir, "part").filter("p_partkey < 500").select(F.col("p_partkey").alias("question_id"), (F.col("p_size") % 30).cast("string").alias("node_id"), F.lit(0.7).alias("confidence"))
+    found = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("question_id"), (F.col("p_size") % 30).cast("string").alias("node_id"), F.lit(0.7).alias("confidence"))
     return K.upsert(B.tags(spark, sf_dir), found)
 
 
@@ -294,8 +345,7 @@ def appended_package(spark, sf_dir):
     return E.append(rows.filter("id < 1000"), rows.filter("id >= 1000")).select("id", "bank_id", "external_id")
 
 
-@query(f"""WITH {EDITED}, c AS (SELECT bank_id, external_id, sha256('{{"external_id":"' || external_id || '","id":' || id || ',"topic":"' || topic || '","number":' || coalesce(CAST(number AS VARCHAR), 'null') || '}}') AS c FROM e)
-SELECT bank_id, sha256(string_agg(c, '' ORDER BY external_id, c)) AS checksum FROM c GROUP BY 1""")
+@query(f"""WITH {EDITED}, c AS (SELECT bank_id, external_id, sha256('{{"external_id":"' || external_id || '","id":' || id || ',"topic":"' || topic || '","number":' || coalesce(CAST(number AS VARCHAR), 'null') || '}}') AS c FROM e), x AS (SELECT bank_id, substr(sha256(external_id), 1, 3) AS k, sha256(string_agg(c, '' ORDER BY external_id, c)) AS c FROM c GROUP BY 1, 2) SELECT bank_id, sha256(string_agg(c, '' ORDER BY k, c)) AS checksum FROM x GROUP BY 1""")
 def bank_checksums(spark, sf_dir):
     return E.bank_checksum(B.edited(spark, sf_dir).select("bank_id", "external_id", "id", "topic", "number"))
 
@@ -438,7 +488,6 @@ def job_states(spark, sf_dir):
     return C.job_states(jobs, AS_OF_SHIPPED)
 
 
-@query(f"WITH {LOG} SELECT id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min' WHEN m < 1440 THEN CAST(floor(m / 60) AS BIGINT) || ' h' ELSE CAST(floor(m / 1440) AS BIGINT) || ' d' END AS ago FROM (SELECT id, CAST(floor(epoch_us(TIMESTAMP '2024-01-30 12:00:00' - answered_at) / 60000000) AS BIGINT) AS m FROM g WHERE answered_at <= TIMESTAMP '2024-01-30 12:00:00')")
+@query(f"WITH {LOG} SELECT id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min' WHEN m < 1440 THEN CAST(floor(m / 60) AS BIGINT) || ' h' ELSE CAST(floor(m / 1440) AS BIGINT) || ' d' END AS ago FROM (SELECT id, CAST(trunc(epoch_us(TIMESTAMP '2024-01-30 12:00:00' - answered_at) / 60000000) AS BIGINT) AS m FROM g)")
 def time_ago(spark, sf_dir):
-    log = B.attempts(spark, sf_dir).filter(F.col("answered_at") <= F.lit(AS_OF))
-    return log.select("id", Q.ago(F.col("answered_at"), AS_OF).alias("ago"))
+    return B.attempts(spark, sf_dir).select("id", Q.ago(F.col("answered_at"), AS_OF).alias("ago"))

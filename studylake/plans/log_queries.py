@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from studylake.functions import rules
@@ -14,7 +15,7 @@ from studylake.operators import sessions as S
 from studylake.operators import stats as T
 from studylake.sources import bindings as B
 
-from .base import AS_OF, AS_OF_SHIPPED, LOG, QUESTIONS, SHIPPED, STATES, query
+from .base import AS_OF, AS_OF_SHIPPED, EDITED, LOG, QUESTIONS, SHIPPED, STATES, query
 
 FIRST, LAST = date(2024, 1, 1), date(2024, 2, 4)
 DAYS = f"""WITH {LOG}, d AS (SELECT CAST(answered_at AS DATE) AS day, count(*) AS answered, count(grade) AS decided, count(*) FILTER (WHERE grade = 'CORRECT') AS correct FROM g GROUP BY 1),
@@ -172,37 +173,89 @@ def node_mastery(spark, sf_dir):
     return P.mastery(B.attempts(spark, sf_dir), _tags(spark, sf_dir), AS_OF)
 
 
-@query(f"WITH {_LAST8} SELECT node_id FROM nodes WHERE node_id IN (SELECT node_id FROM t WHERE question_id NOT IN (SELECT question_id FROM g)) ORDER BY mastery, attempts, node_id LIMIT 1")
+@query(f"WITH {_LAST8} SELECT node_id, questions FROM nodes WHERE node_id IN (SELECT node_id FROM t WHERE question_id NOT IN (SELECT question_id FROM g)) ORDER BY mastery, questions, node_id LIMIT 1")
 def weakest_node(spark, sf_dir):
     log, tags = B.attempts(spark, sf_dir), _tags(spark, sf_dir)
     unseen = tags.join(log.select("question_id"), "question_id", "left_anti")
     return P.weakest(P.mastery(log, tags, AS_OF), unseen)
 
 
-@query(f"""WITH {LOG}, {STATES},
-l AS (SELECT question_id, bank_id, grade, row_number() OVER (PARTITION BY question_id ORDER BY answered_at DESC, id DESC) AS rn, count(*) FILTER (WHERE grade <> 'CORRECT') OVER (PARTITION BY question_id) AS times, max(answered_at) OVER (PARTITION BY question_id) AS last_at FROM g WHERE bank_id = 3),
-t AS (SELECT p_partkey AS question_id, p_type AS node_id FROM part WHERE p_partkey % 10 = 3),
-w AS (SELECT question_id, row_number() OVER (ORDER BY times DESC, question_id) AS rank FROM l WHERE rn = 1 AND grade <> 'CORRECT' ORDER BY rank LIMIT 6),
-d0 AS (SELECT question_id, due_at FROM s WHERE bank_id = 3 AND due_at <= TIMESTAMP '2024-01-30 12:00:00' AND question_id NOT IN (SELECT question_id FROM w)),
-d AS (SELECT question_id, row_number() OVER (ORDER BY due_at, question_id) AS rank FROM d0 ORDER BY rank LIMIT 6),
-k0 AS (SELECT question_id, node_id FROM t WHERE question_id NOT IN (SELECT question_id FROM l) AND node_id = (SELECT min(node_id) FROM t WHERE question_id NOT IN (SELECT question_id FROM l))),
-k AS (SELECT question_id, row_number() OVER (ORDER BY question_id) AS rank FROM k0 WHERE question_id NOT IN (SELECT question_id FROM w UNION ALL SELECT question_id FROM d) ORDER BY rank LIMIT 6),
-n AS (SELECT question_id, row_number() OVER (ORDER BY question_id) AS rank FROM t WHERE question_id NOT IN (SELECT question_id FROM l) AND question_id NOT IN (SELECT question_id FROM w UNION ALL SELECT question_id FROM d UNION ALL SELECT question_id FROM k)),
-o AS (SELECT question_id, row_number() OVER (ORDER BY last_at, question_id) AS rank FROM l WHERE rn = 1 AND question_id NOT IN (SELECT question_id FROM w UNION ALL SELECT question_id FROM d UNION ALL SELECT question_id FROM k UNION ALL SELECT question_id FROM n)),
-a2 AS (SELECT 0 AS bucket, 'WRONG' AS reason, * FROM w UNION ALL SELECT 1, 'DUE', * FROM d UNION ALL SELECT 2, 'WEAK', * FROM k UNION ALL SELECT 3, 'NEW', * FROM n UNION ALL SELECT 4, 'STALE', * FROM o)
-SELECT reason, CAST(row_number() OVER (ORDER BY bucket, rank, question_id) AS INT) AS place, question_id FROM a2 ORDER BY 2 LIMIT 20""")
-def practice_plan(spark, sf_dir):
-    log = B.attempts(spark, sf_dir).filter("bank_id = 3")
+def _bucket(name: str, source: str, order: str) -> str:
+    """SQL of a plan's bucket in the order of its target success: groups of equal mastery by their first candidate."""
+    p = "(1 / (1 + pow(10::DOUBLE, (difficulty - greatest(-400, least(400, 400 * (2 * mastery - 1)))) / 400)))"
+    return f"""{name}p AS (SELECT question_id, mastery, difficulty, row_number() OVER (ORDER BY {order}) AS pos FROM ({source}) JOIN rated USING (question_id)),
+{name}r AS (SELECT question_id, pos, min(pos) OVER (PARTITION BY mastery) AS gf, round(CASE WHEN {p} BETWEEN 0.8 AND 0.9 THEN 0 ELSE 100 END + abs({p} - 0.85), 9) AS tr FROM {name}p)"""
+
+
+def _pick(name: str, source: str, order: str, limit: int, *taken: str) -> str:
+    free = " AND ".join(f"question_id NOT IN (SELECT question_id FROM {t})" for t in taken) or "true"
+    return f"{name} AS (SELECT question_id, row_number() OVER (ORDER BY {order}) AS r FROM {source} WHERE {free} ORDER BY r LIMIT {limit})"
+
+
+_PLAN = f"""{_LAST8.replace("FROM part)", "FROM part WHERE p_partkey % 10 = 3)")}, {STATES}, {EDITED},
+a3 AS (SELECT question_id, max(answered_at) AS last_at, count(*) FILTER (WHERE NOT is_correct) AS times FROM g WHERE bank_id = 3 GROUP BY 1),
+l3 AS (SELECT question_id, grade, row_number() OVER (PARTITION BY question_id ORDER BY answered_at DESC, id DESC) AS rn FROM g WHERE bank_id = 3),
+rated AS (SELECT e.id AS question_id, number, greatest(0.5, coalesce(nodes.mastery, 0.5)) AS mastery, t.node_id,
+  (CASE question_type WHEN 'SUBJECTIVE' THEN 520.0 WHEN 'MULTIPLE' THEN 460.0 WHEN 'JUDGE' THEN 320.0 ELSE 400.0 END + CASE WHEN score > 2 AND question_type <> 'SUBJECTIVE' THEN 40.0 ELSE 0.0 END)::DOUBLE AS difficulty
+  FROM e LEFT JOIN t ON t.question_id = e.id LEFT JOIN nodes ON nodes.node_id = t.node_id WHERE e.bank_id = 3),
+weak AS (SELECT node_id FROM nodes WHERE node_id IN (SELECT node_id FROM t WHERE question_id NOT IN (SELECT question_id FROM a3)) ORDER BY mastery, questions, node_id LIMIT 1),
+{_bucket("w", "SELECT question_id, times FROM a3 WHERE question_id IN (SELECT question_id FROM l3 WHERE rn = 1 AND grade <> 'CORRECT')", "times DESC, question_id")},
+{_bucket("d", "SELECT question_id FROM s WHERE bank_id = 3 AND due_at <= TIMESTAMP '2024-01-30 12:00:00'", "question_id")},
+{_bucket("k", "SELECT question_id FROM t WHERE question_id NOT IN (SELECT question_id FROM a3) AND node_id = (SELECT node_id FROM weak)", "question_id")},
+{_bucket("n", "SELECT id AS question_id FROM e WHERE bank_id = 3 AND id NOT IN (SELECT question_id FROM a3)", "coalesce(number, -1), question_id")},
+{_pick("w1", "wr", "gf, tr, pos", 6)}, {_pick("d1", "dr", "gf, tr, pos", 6, "w1")}, {_pick("k1", "kr", "gf, tr, pos", 6, "w1", "d1")}, {_pick("n1", "nr", "gf, tr, pos", 20, "w1", "d1", "k1")},
+{_pick("o1", "(SELECT question_id, last_at, number FROM rated LEFT JOIN a3 USING (question_id))", "last_at NULLS FIRST, coalesce(number, -1), question_id", 20, "w1", "d1", "k1", "n1")},
+every AS (SELECT 0 AS bucket, 'WRONG' AS reason, * FROM w1 UNION ALL SELECT 1, 'DUE', * FROM d1 UNION ALL SELECT 2, 'WEAK', * FROM k1 UNION ALL SELECT 3, 'NEW', * FROM n1 UNION ALL SELECT 4, 'NEW', * FROM o1),
+plan AS (SELECT reason, CAST(row_number() OVER (ORDER BY bucket, r) AS INT) AS place, question_id, node_id FROM every JOIN rated USING (question_id) ORDER BY 2 LIMIT 20)"""
+
+
+def _plan(spark, sf_dir):
+    """The parts of bank 3 and its plan."""
+    log, questions = B.attempts(spark, sf_dir).filter("bank_id = 3"), B.edited(spark, sf_dir).filter("bank_id = 3")
     tags = _tags(spark, sf_dir).filter("question_id % 10 = 3")
-    wrong = A.wrong_questions(log).select("question_id", F.struct(-F.col("wrong_times"), "question_id").alias("rank"))
-    due = R.queue(R.states(log), AS_OF).select("question_id", F.struct(F.unix_micros(F.col("due_at").cast("timestamp")).alias("x"), "question_id").alias("rank"))
+    return log, questions, tags, P.practice_plan(log, questions, tags, R.states(log), AS_OF)
+
+
+@query(f"WITH {_PLAN} SELECT * FROM plan")
+def practice_plan(spark, sf_dir):
+    return _plan(spark, sf_dir)[3]
+
+
+@query(f"""WITH {_PLAN}, c AS (SELECT count(*) AS total, count(*) FILTER (WHERE reason = 'WRONG') AS w, count(*) FILTER (WHERE reason = 'DUE') AS d, count(*) FILTER (WHERE reason = 'WEAK') AS k, count(*) FILTER (WHERE reason = 'NEW') AS n FROM plan),
+x AS (SELECT *, (SELECT node_id FROM weak) AS name, (SELECT questions FROM nodes WHERE node_id = (SELECT node_id FROM weak)) AS own, (SELECT count(*) FROM e WHERE bank_id = 3) AS size FROM c)
+SELECT '这 ' || total || ' 题：' || concat_ws(' · ', CASE WHEN w > 0 THEN w || ' 题是你之前做错的' END, CASE WHEN d > 0 THEN d || ' 题今天到期复习' END, CASE WHEN k > 0 THEN k || ' 题来自「' || name || '」（这个知识点你库里只有 ' || own || ' 题）' END, CASE WHEN n > 0 THEN n || ' 题你还没做过' END) || '（题库共 ' || size || ' 题）' AS text FROM x""")
+def plan_explanation(spark, sf_dir):
+    log, questions, tags, items = _plan(spark, sf_dir)
     unseen = tags.join(log.select("question_id"), "question_id", "left_anti")
-    first = unseen.agg(F.min("node_id").alias("node_id"))
-    weak = unseen.join(F.broadcast(first), "node_id").select("question_id", F.struct(F.lit(0).cast("long").alias("x"), "question_id").alias("rank"))
-    new = unseen.select("question_id", F.struct(F.lit(0).cast("long").alias("x"), "question_id").alias("rank"))
-    stale = log.groupBy("question_id").agg(F.max("answered_at").alias("at")).select("question_id", F.struct(F.unix_micros(F.col("at").cast("timestamp")).alias("x"), "question_id").alias("rank"))
-    same = "struct<x:bigint,question_id:bigint>"
-    return P.plan(*[b.withColumn("rank", F.col("rank").cast(same)) for b in (wrong, due, weak, new, stale)], 20)
+    weak = P.weakest(P.mastery(log, tags, AS_OF), unseen).select(F.col("node_id").alias("name"), "questions")
+    return P.explanation(items, weak, questions.count())
+
+
+_RATED = """d AS (SELECT id, CASE WHEN id % 3 = 0 THEN CAST(id % 900 AS DOUBLE) ELSE CASE question_type WHEN 'SUBJECTIVE' THEN 520.0 WHEN 'MULTIPLE' THEN 460.0 WHEN 'JUDGE' THEN 320.0 ELSE 400.0 END + CASE WHEN score > 2 AND question_type <> 'SUBJECTIVE' THEN 40.0 ELSE 0.0 END END::DOUBLE AS difficulty FROM q)"""
+
+
+def _stored(spark, sf_dir):
+    """Ratings of every third question."""
+    return B.questions(spark, sf_dir).filter("id % 3 = 0").select(F.col("id").alias("question_id"), (F.col("id") % 900).cast("double").alias("difficulty"))
+
+
+@query(f"WITH {QUESTIONS}, {_RATED} SELECT * FROM d")
+def current_difficulties(spark, sf_dir):
+    return P.current_difficulty(B.questions(spark, sf_dir), _stored(spark, sf_dir)).select("id", "difficulty")
+
+
+@query(f"""WITH {QUESTIONS}, {_RATED}, rated AS (SELECT id AS question_id, difficulty, (0.5 + (id % 4) / 8.0)::DOUBLE AS mastery FROM d), {_bucket("x", "SELECT id AS question_id FROM q", "question_id")}
+SELECT question_id, CAST(row_number() OVER (ORDER BY gf, tr, pos) AS INT) AS place FROM xr ORDER BY place LIMIT 100""")
+def target_success_order(spark, sf_dir):
+    rated = P.current_difficulty(B.questions(spark, sf_dir), _stored(spark, sf_dir)).select(F.col("id").alias("question_id"), "difficulty", (0.5 + (F.col("id") % 4) / 8.0).cast("double").alias("mastery"))
+    ranked = P.by_target_success(rated.select("question_id", F.struct("question_id").alias("position")), rated)
+    first = ranked.orderBy("rank").limit(100)
+    return first.select("question_id", F.row_number().over(Window.orderBy("rank")).alias("place"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN m < 0.4 THEN 0.2 WHEN m < 0.7 THEN 0.4 ELSE 0.6 END::DOUBLE AS share FROM (SELECT p_partkey, p_size / 50 AS m FROM part)")
+def interleave_shares(spark, sf_dir):
+    return B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), rules.interleave(F.col("p_size") / 50).alias("share"))
 
 
 _SESSION = """sq AS (SELECT l_orderkey AS session_id, l_linenumber AS sort, min(l_partkey) AS question_id, min_by(l_linestatus, {'a': l_partkey, 'b': l_extendedprice, 'c': l_linestatus}) AS status, min(l_shipdate) AS answered_at FROM lineitem GROUP BY 1, 2)"""
@@ -217,9 +270,11 @@ def session_report(spark, sf_dir):
     return S.report(sq, B.questions(spark, sf_dir), records)
 
 
-@query(f"WITH {LOG} SELECT bank_id AS session_id, id, seconds FROM g WHERE seconds IS NOT NULL")
+@query(f"""WITH {LOG}, k AS (SELECT *, question_id * 100 + day(answered_at) AS session_id FROM g), f AS (SELECT session_id, min(answered_at) AS start FROM k GROUP BY 1)
+SELECT session_id, id, coalesce(seconds, greatest(0, date_diff('second', date_trunc('second', coalesce(lag(answered_at) OVER (PARTITION BY session_id ORDER BY answered_at, id), start)), date_trunc('second', answered_at)))) AS seconds FROM k JOIN f USING (session_id)""")
 def recorded_seconds(spark, sf_dir):
-    rows = B.attempts(spark, sf_dir).filter("seconds IS NOT NULL").withColumn("session_id", F.col("bank_id"))
+    """A session is a question's answers of one day."""
+    rows = B.attempts(spark, sf_dir).withColumn("session_id", F.col("question_id") * 100 + F.dayofmonth("answered_at")).withColumn("answered_at", F.date_trunc("second", "answered_at").cast("timestamp_ntz"))
     starts = rows.groupBy("session_id").agg(F.min("answered_at").alias("created_at"))
     return S.seconds_per_question(rows, starts)
 

@@ -42,12 +42,11 @@ def repeated_lines_inside(spark, sf_dir):
     return X.repeated_inside(B.table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), u AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM l),
+@query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents), u AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM l),
 c AS (SELECT *, CASE WHEN trim(line) = '' THEN 0 ELSE count(*) OVER (PARTITION BY doc_id, trim(line)) END AS n FROM u)
 SELECT doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(*) FILTER (WHERE n < 3) AS INT) AS n_kept, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE n < 3), '')) AS digest FROM c GROUP BY 1""")
 def cleaned_pages(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    return X.without_repeats(docs, "doc_id").select("doc_id", "n_lines", "n_kept", F.md5("text").alias("digest"))
+    return X.without_repeats(B.table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "n_lines", "n_kept", F.md5("text").alias("digest"))
 
 
 @query("SELECT doc_id, CAST(coalesce(length(trim(text)), 0) AS INT) AS characters, coalesce(length(trim(text)), 0) < 200 AS cover FROM documents")
@@ -100,9 +99,9 @@ def question_bodies(spark, sf_dir):
     return found.select("id", "question", F.size(F.split("body", "\n")).cast("long").alias("n_lines"))
 
 
-@query("WITH f AS (SELECT p_brand AS paper, p_size AS number FROM part WHERE p_partkey % 4 = 0), h AS (SELECT paper, min(number) AS lo, max(number) AS hi FROM f GROUP BY 1 HAVING count(DISTINCT number) >= 5), m AS (SELECT paper, i AS missing, row_number() OVER (PARTITION BY paper ORDER BY i) AS n FROM h, unnest(range(lo, hi + 1)) t(i) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.paper = h.paper AND f.number = i)) SELECT paper, CAST(missing AS INT) AS missing FROM m WHERE n <= 12")
+@query("WITH f AS (SELECT p_brand || '/' || p_partkey % 7 AS paper, p_size AS number FROM part), h AS (SELECT paper, min(number) AS lo, max(number) AS hi FROM f GROUP BY 1 HAVING count(DISTINCT number) >= 5), m AS (SELECT paper, i AS missing, row_number() OVER (PARTITION BY paper ORDER BY i) AS n FROM h, unnest(range(lo, hi + 1)) t(i) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.paper = h.paper AND f.number = i)) SELECT paper, CAST(missing AS INT) AS missing FROM m WHERE n <= 12")
 def missing_numbers(spark, sf_dir):
-    found = B.table(spark, sf_dir, "part").filter("p_partkey % 4 = 0").select(F.col("p_brand").alias("paper"), F.col("p_size").alias("number"))
+    found = B.table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), (F.col("p_partkey") % 7).cast("string")).alias("paper"), F.col("p_size").alias("number"))
     return X.missing_numbers(found, "paper", "number")
 
 
@@ -175,11 +174,11 @@ def best_of_copies(spark, sf_dir):
     return X.best_of(rows, ["key"], "quality", "place").select("key", "place", "quality", "first_place")
 
 
-@query("SELECT md5(lower(regexp_replace(text, '[\\s_]+', '', 'g'))) AS key, min(doc_id) AS first, count(*) AS copies FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*') GROUP BY 1 HAVING count(*) > 1")
+@query(r"SELECT md5(regexp_replace(text, '[ \t\n\x0b\f\r_]+', '', 'g')) AS key, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
 def equal_texts(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
-    rows = docs.select("doc_id", F.md5(X.question_key(F.col("text"), F.array().cast("array<string>"))).alias("key"))
-    return rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    """Texts equal but for white space and underscores, letters as they are."""
+    key = F.md5(F.regexp_replace("text", r"[ \t\n\x0B\f\r_]+", ""))
+    return B.table(spark, sf_dir, "documents").groupBy(key.alias("key")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
 
 
 # --- scalars ---------------------------------------------------------------------------------------------
@@ -191,9 +190,9 @@ def hosts(spark, sf_dir):
     return B.table(spark, sf_dir, "pages").select(h.alias("host")).groupBy("host").agg(F.count("*").alias("pages"), F.bool_or(X.private_host(F.col("host"))).alias("private"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(url, '[\\\\/:*?\"<>|]', '_', 'g'), '[. ]+$', '') AS name FROM (SELECT page_id, substr(url, 1, 80) AS url FROM pages WHERE length(url) <= 80)")
+@query(r"SELECT page_id, CASE WHEN name = '' THEN 'untitled' ELSE substr(name, 1, 40) END AS name FROM (SELECT page_id, regexp_replace(regexp_replace(trim(url), '[\\/:*?\x22<>|\x00-\x1f]', '_', 'g'), '[. ]+$', '') AS name FROM pages)")
 def file_names(spark, sf_dir):
-    return B.table(spark, sf_dir, "pages").filter(F.length("url") <= 80).select("page_id", X.file_name(F.col("url")).alias("name"))
+    return B.table(spark, sf_dir, "pages").select("page_id", X.file_name(F.col("url"), 40).alias("name"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) > 90 THEN 90 ELSE CAST(json_extract_string(props, '$.k') AS INT) END AS clamped FROM events")
@@ -202,15 +201,34 @@ def json_walk(spark, sf_dir):
     return B.table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.greatest(F.lit(0), F.least(F.lit(90), k)).alias("clamped"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN regexp_matches(m, 'timeout|timed out') THEN 'TIMEOUT' WHEN regexp_matches(m, '401|403|unauthor|forbidden') THEN 'AUTH' WHEN regexp_matches(m, '429|rate limit|quota') THEN 'LIMIT' WHEN regexp_matches(m, 'json|parse') THEN 'FORMAT' ELSE 'OTHER' END AS class FROM (SELECT o_orderkey, lower((['Timed out', 'HTTP 401', 'Quota exceeded', 'bad JSON', '5-LOW'])[o_orderkey % 5 + 1] || o_orderpriority) AS m FROM orders)")
+_MESSAGES = ["read Timeout", "HTTP 429", "模型服务限流", "Connection refused by", "AI 输出不是合法 JSON", "bad page in a.PDF", "nothing known", None]
+_CAUSES = [[], ["SocketTimeoutException"], ["UnknownHostException", "Error"], ["IOException"], None]
+
+
+def _sql(x):
+    return "NULL" if x is None else "[" + ", ".join(map(_sql, x)) + "]" + ("::VARCHAR[]" if not x else "") if isinstance(x, list) else f"'{x}'"
+
+
+@query(f"""WITH m AS (SELECT o_orderkey AS id, lower(coalesce(([{', '.join(map(_sql, _MESSAGES))}])[o_orderkey % 8 + 1] || ' ' || o_orderpriority, '')) AS m, ([{', '.join(map(_sql, _CAUSES))}])[o_custkey % 5 + 1] AS c FROM orders)
+SELECT id, CASE WHEN contains(m, 'timeout') OR contains(m, '超时') OR coalesce(list_has_any(c, ['HttpTimeoutException', 'SocketTimeoutException']), false) THEN 'MODEL_TIMEOUT'
+  WHEN contains(m, 'http 429') OR contains(m, 'rate limit') OR contains(m, '限流') OR contains(m, '请求过于频繁') THEN 'MODEL_RATE_LIMITED'
+  WHEN contains(m, '无法连接') OR contains(m, 'connection refused') OR coalesce(list_has_any(c, ['ConnectException', 'UnknownHostException']), false) THEN 'MODEL_CONNECTION_FAILED'
+  WHEN contains(m, 'ai 输出不是合法 json') OR contains(m, '模型返回空白') OR contains(m, '响应格式异常') THEN 'MODEL_RESPONSE_INVALID'
+  WHEN contains(m, 'mineru') OR contains(m, '文档解析') OR contains(m, 'pdf') OR contains(m, 'docx') OR coalesce(list_has_any(c, ['IOException']), false) THEN 'DOCUMENT_PARSE_FAILED' ELSE 'IMPORT_PROCESSING_FAILED' END AS class FROM m""")
 def failure_classes(spark, sf_dir):
-    said = F.element_at(F.array(*[F.lit(x) for x in ("Timed out", "HTTP 401", "Quota exceeded", "bad JSON", "5-LOW")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), X.failure_class(F.concat(said, F.col("o_orderpriority"))).alias("class"))
+    said = F.element_at(F.array(*[F.lit(x) for x in _MESSAGES]), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    none = F.lit(None).cast("array<string>")
+    causes = F.element_at(F.array(*[none if c is None else F.array(*[F.lit(x) for x in c]).cast("array<string>") for c in _CAUSES]), (F.col("o_custkey") % 5 + 1).cast("int"))
+    return B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), X.failure_class(F.concat(said, F.lit(" "), "o_orderpriority"), causes).alias("class"))
 
 
-@query("SELECT c_custkey AS id, 'api_key=*** for ' || c_name AS message FROM customer")
+@query("""WITH c AS (SELECT c_custkey AS id, c_custkey % 4 AS k, md5(c_name) AS h, c_name AS n FROM customer)
+SELECT id, CASE k WHEN 0 THEN '*** for ' || n WHEN 1 THEN '(***) ' || n WHEN 2 THEN 'no key; tank-' || n ELSE '*** and ***, ' || n END AS message, 'E: ' || CASE k WHEN 0 THEN '*** for ' || n WHEN 1 THEN '(***) ' || n WHEN 2 THEN 'no key; tank-' || n ELSE '*** and ***, ' || n END AS line, substr(h, 1, 3) || '***' || substr(h, -3) AS masked FROM c""")
 def redacted(spark, sf_dir):
-    return B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), X.redact(F.concat(F.lit("api_key="), F.md5("c_name"), F.lit(" for "), F.col("c_name"))).alias("message"))
+    h, n = F.md5("c_name"), F.col("c_name")
+    k = F.col("c_custkey") % 4
+    said = F.when(k == 0, F.concat(F.lit("API_key= "), h, F.lit(" for "), n)).when(k == 1, F.concat(F.lit("(sk-"), h, F.lit(") "), n)).when(k == 2, F.concat(F.lit("no key; tank-"), n)).otherwise(F.concat(F.lit("api key: "), h, F.lit(" and SK-"), h, F.lit(", "), n))
+    return B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), X.redact(said).alias("message"), X.diagnostic(F.lit("E"), said).alias("line"), X.masked_key(h).alias("masked"))
 
 
 @query("SELECT p_partkey AS id, '$x$ and $$' || p_name || '$$ a b' AS formula FROM part")

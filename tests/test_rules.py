@@ -100,13 +100,34 @@ def test_plan_buckets(spark):
     assert [(r["reason"], r["question_id"]) for r in got] == [("WRONG", 1), ("WRONG", 2), ("DUE", 3), ("WEAK", 4), ("WEAK", 5), ("WEAK", 6), ("NEW", 7), ("NEW", 8), ("NEW", 9), ("NEW", 10)]
 
 
-@pytest.mark.parametrize("count", [0, -3, 1])
+@pytest.mark.parametrize("count", [0, -3, 1, None, 500])
 def test_small_plans(spark, count):
+    """No or a nonsensical count is the default of twenty, so a small bank comes whole; one place goes to a wrong question."""
     none = bucket(spark, [])
-    assert [r["question_id"] for r in plan.plan(bucket(spark, [7]), none, none, bucket(spark, [1]), none, count).collect()] == [7]
+    got = [r["question_id"] for r in plan.plan(bucket(spark, [7]), none, none, bucket(spark, [1, 2, 3, 4, 5]), none, count).orderBy("place").collect()]
+    assert got == ([7] if count == 1 else [7, 1, 2, 3, 4, 5])
     assert plan.plan(none, none, none, none, none, 20).count() == 0
 
 
+def test_quotas_of_small_plans():
+    assert [plan.quotas(n) for n in (1, 2, 3, 4, 10, 20)] == [(1, 0, 0), (1, 1, 0), (1, 1, 1), (1, 1, 1), (3, 3, 3), (6, 6, 6)]
+    assert [plan.wanted(n) for n in (None, 0, -3, 1, 500)] == [20, 20, 20, 1, 200]
+
+
+def test_plan_of_a_bank(spark):
+    """The weakest node is the all-wrong one; no question is due where reviews are off."""
+    questions = spark.createDataFrame([(q, q, "SINGLE", 1.0) for q in range(1, 13)], "id long, number int, question_type string, score double")
+    tags = spark.createDataFrame([(q, "weak" if q in (1, 4, 5, 6) else "fine") for q in range(1, 13)], "question_id long, node_id string")
+    rows = log(spark, [(1, 1, 1, False, None, 1, at(1)), (2, 1, 2, False, None, 1, at(2)), (3, 1, 3, True, None, 1, at(3))])
+    due = spark.createDataFrame([(1, False, at(4)), (3, False, at(5)), (7, True, at(5)), (8, False, at(20))], "question_id long, suspended boolean, due_at timestamp").withColumn("due_at", F.col("due_at").cast("timestamp_ntz"))
+    got = plan.practice_plan(rows, questions, tags, due, NOW, 10).orderBy("place").collect()
+    assert [r["reason"] for r in got] == ["WRONG"] * 2 + ["DUE"] + ["WEAK"] * 3 + ["NEW"] * 4
+    assert {r["question_id"] for r in got[:2]} == {1, 2} and got[2]["question_id"] == 3 and {r["question_id"] for r in got[3:6]} == {4, 5, 6}
+    assert len({r["question_id"] for r in got}) == 10 and got[3]["node_id"] == "weak"
+    off = plan.practice_plan(rows, questions, tags, due, NOW, 10, review=False)
+    assert off.filter("reason = 'DUE'").count() == 0 and off.count() == 10
+
+
 def test_given_ids_keep_their_order(spark):
     wanted = spark.createDataFrame([(0, 9), (1, 3), (2, 9), (3, 77), (4, 5)], "position int, id long")
     known = spark.createDataFrame([(3,), (5,), (9,)], "id long")
