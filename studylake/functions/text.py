@@ -271,7 +271,7 @@ def failure_class(message: Column, causes: Column | None = None) -> Column:
 
 #: Keys in messages, the tags and attributes of tables that stay, lines of advertising (fixed values).
 BARE_KEY, KEY_END = "sk-[a-z0-9_-]{8,}", r"[^\s,;)}\]]+"
-TABLE_TAGS, TABLE_ATTRIBUTES = "table|thead|tbody|tfoot|tr|td|th|caption|colgroup|col|br", "colspan|rowspan"
+TABLE_TAGS, TABLE_ATTRIBUTES = ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup", "col", "br"), "colspan|rowspan"
 ADVERTS = ("扫一扫", "粉笔客户端", "提交答案后即可", "听课刷题", "扫描二维码下载")
 
 
@@ -283,12 +283,20 @@ def has_marks(x: Column) -> Column:
 
 def table_html(x: Column) -> Column:
     """Table markup with only table tags and spans; scripts and styles go whole, other tags leave their text."""
-    y = F.regexp_replace(x, r"(?is)<(script|style|iframe|object|embed)\b.*?</\1\s*>", "")
-    y = F.regexp_replace(y, rf"(?is)<(?!/?(?:{TABLE_TAGS})\b)[^>]*>", "")
-    y = F.regexp_replace(y, r"(?is)<(/?)([a-z0-9]+)((?:\s[^>]*)?)>", "<$1$2$3 >")
-    # Attributes that don't stay go one by one from each tag: a run that no kept name begins.
-    y = F.regexp_replace(y, rf"(?is)(?<=[\s\"'])(?!(?:{TABLE_ATTRIBUTES})\s*=)[a-z-]+\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?(?=[^<>]*>)", "")
-    return F.regexp_replace(y, r"(?is)<(/?[a-z0-9]+)((?:\s+[^<>]*?)?)\s*>", "<$1$2>")
+    plain = F.regexp_replace(x, r"(?is)<(script|style|iframe|object|embed)\b.*?</\1\s*>", "")
+    span = rf"""(?i)\b(?:{TABLE_ATTRIBUTES})\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
+
+    def attribute(k: Column) -> Column:
+        value = F.regexp_replace(F.regexp_replace(k, r"^[^=]*=\s*", ""), r"""^["']|["']$""", "")
+        return F.concat(F.trim(F.substring_index(k, "=", 1)), F.lit('="'), value, F.lit('"'))
+
+    def tag(t: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, r"^<\s*/?\s*([A-Za-z0-9]+)", 1))
+        opened = F.concat(F.lit("<"), F.concat_ws(" ", F.array(name), F.transform(F.regexp_extract_all(t, F.lit(span), F.lit(0)), attribute)), F.lit(">"))
+        return F.when(name.isin(*TABLE_TAGS), F.when(t.rlike(r"^<\s*/"), F.concat(F.lit("</"), name, F.lit(">"))).otherwise(opened)).otherwise("")
+
+    tags = F.transform(F.regexp_extract_all(plain, F.lit("<[^>]+>"), F.lit(0)), tag)
+    return F.array_join(F.zip_with(F.split(plain, "<[^>]+>", -1), F.concat(tags, F.array(F.lit(""))), lambda p, t: F.concat(p, t)), "")
 
 
 def base_address(x: Column, default: str) -> Column:

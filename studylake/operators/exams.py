@@ -114,8 +114,8 @@ def decode(replies: DataFrame, key: str) -> DataFrame:
     rows = replies.select(key, array.alias("array"), F.when(array, body).otherwise(raw["questions"]).alias("q"), raw["materials"].alias("m"), F.try_parse_json(body).isNull().alias("bad"))
     return rows.select(
         key,
-        F.coalesce(listed(F.col("q"), REPLY_QUESTION[7:-1]), none(REPLY_QUESTION)).alias("questions"),
-        F.coalesce(F.when(~F.col("array"), listed(F.col("m"), REPLY_MATERIAL[7:-1])), none(REPLY_MATERIAL)).alias("materials"),
+        F.coalesce(listed(F.col("q"), REPLY_QUESTION), none(REPLY_QUESTION)).alias("questions"),
+        F.coalesce(F.when(~F.col("array"), listed(F.col("m"), REPLY_MATERIAL)), none(REPLY_MATERIAL)).alias("materials"),
         F.when(F.col("bad"), "NOT_JSON").alias("error"),
     )
 

@@ -12,21 +12,26 @@ from studylake.sources import bindings as B
 
 from .base import query
 
-#: An exam of five questions for each benchmark item: numbers, options, answers, an image mark, noise.
-EXAM = r"""x AS (SELECT item_id AS id, list_transform(range(1, 6), lambda i: '第' || i || '部分' || chr(10) || i || CASE WHEN i % 2 = 0 THEN '、' ELSE '. ' END || substr(text, CAST(i * 20 AS INT), 30) || ' [图片' || (i * 3) || ']' || chr(10) || 'A. one' || chr(10) || 'B. two' || chr(10) || 'page foot' || chr(10) || i || ': ' || (['A', 'b', 'CD', 'A', 'E'])[i]) AS parts FROM benchmark),
-exam AS (SELECT id, array_to_string(parts, chr(10)) AS text FROM x)"""
+#: An exam for each benchmark item: three to eight questions, some left out, with options, answers, an image mark, noise,
+#: decimals and years in the text that look like question numbers.
+EXAM = r"""parts AS (SELECT item_id AS id, i, (['A', 'b', 'CD', '√', 'E'])[(item_id + i) % 5 + 1] AS answer, (item_id + i) % 3 = 0 AS decimal, (item_id + i) % 4 = 0 AS year, translate(text, chr(10), ' ') AS text FROM benchmark, unnest(range(1, 4 + item_id % 6)) t(i) WHERE (item_id * 7 + i) % 6 <> 0),
+exam AS (SELECT id, string_agg('第' || i || '部分' || chr(10) || i || CASE WHEN i % 2 = 0 THEN '、' ELSE '. ' END || substr(text, CAST(i * 20 AS INT), 30) || ' [图片' || (i * 3) || ']' || chr(10) || 'A. one' || chr(10) || 'B. two'
+  || CASE WHEN decimal THEN chr(10) || i || '.5 is a decimal' ELSE '' END || CASE WHEN year THEN chr(10) || i || '.1998年的 report' ELSE '' END || chr(10) || 'page foot' || chr(10) || i || ': ' || answer, chr(10) ORDER BY i) AS text FROM parts GROUP BY 1)"""
 
 
 def exams(spark, sf_dir):
     """id, text: the exams."""
-    answers = F.array(*[F.lit(a) for a in ("A", "b", "CD", "A", "E")])
+    answers, one = F.array(*[F.lit(a) for a in ("A", "b", "CD", "√", "E")]), F.col("item_id").cast("int")
 
     def part(i):
         n = i.cast("string")
-        head = F.concat(F.lit("第"), n, F.lit("部分\n"), n, F.when(i % 2 == 0, "、").otherwise(". "), F.substring(F.col("text"), i * 20, F.lit(30)))
-        return F.concat(head, F.lit(" [图片"), (i * 3).cast("string"), F.lit("]\nA. one\nB. two\npage foot\n"), n, F.lit(": "), F.element_at(answers, i))
+        head = F.concat(F.lit("第"), n, F.lit("部分\n"), n, F.when(i % 2 == 0, "、").otherwise(". "), F.substring(F.translate("text", "\n", " "), i * 20, F.lit(30)))
+        decimal = F.when((one + i) % 3 == 0, F.concat(F.lit("\n"), n, F.lit(".5 is a decimal"))).otherwise("")
+        year = F.when((one + i) % 4 == 0, F.concat(F.lit("\n"), n, F.lit(".1998年的 report"))).otherwise("")
+        return F.concat(head, F.lit(" [图片"), (i * 3).cast("string"), F.lit("]\nA. one\nB. two"), decimal, year, F.lit("\npage foot\n"), n, F.lit(": "), F.element_at(answers, (one + i) % 5 + 1))
 
-    return B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), part), "\n").alias("text"))
+    numbers = F.filter(F.sequence(F.lit(1), 3 + one % 6), lambda i: (one * 7 + i) % 6 != 0)
+    return B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.transform(numbers, part), "\n").alias("text"))
 
 
 # --- lines -----------------------------------------------------------------------------------------------
@@ -64,14 +69,17 @@ def shortened_dialogues(spark, sf_dir):
 # --- exam texts ------------------------------------------------------------------------------------------
 
 
+_NUMBERED = r"regexp_matches(line, '^\s*\d{1,3}\s*[.、．]') AND NOT (regexp_matches(line, '^\d{1,3}\.\d') AND NOT regexp_matches(line, '^\d{1,3}\.\d{4}年'))"
+
+
 @query(rf"""WITH {EXAM}, l AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM exam)
-SELECT id, CAST(regexp_extract(line, '^\s*(\d{{1,3}})', 1) AS INT) AS number, line FROM l WHERE regexp_matches(line, '^\s*\d{{1,3}}\s*[.、．]')""")
+SELECT id, CAST(regexp_extract(line, '^\s*(\d{{1,3}})', 1) AS INT) AS number, line FROM l WHERE {_NUMBERED}""")
 def question_starts(spark, sf_dir):
     rows = X.lines(exams(spark, sf_dir), "id").withColumn("number", X.question_number(F.col("line")))
     return rows.filter("number IS NOT NULL").select("id", "number", "line")
 
 
-@query(rf"WITH {EXAM} SELECT id, i AS question, (['A', 'b', 'CD', 'A', 'E'])[i] AS answer FROM exam, unnest(range(1, 6)) t(i)")
+@query(rf"WITH {EXAM} SELECT id, i AS question, answer FROM parts")
 def dotted_answers(spark, sf_dir):
     rows = X.lines(exams(spark, sf_dir), "id").filter(X.is_answer_line(F.col("line")))
     # "3: CD" is an answer line; "A. one" is not.
@@ -79,19 +87,21 @@ def dotted_answers(spark, sf_dir):
     return rows.select("id", number.cast("long").alias("question"), X.answer_of(F.col("line"), number).alias("answer"))
 
 
-@query("WITH r AS (SELECT p_partkey AS id, p_size % 9 + 1 AS number FROM part) SELECT id, CASE WHEN number <= 8 THEN substr('BDCCBABD', number, 1) END AS answer FROM r")
+@query("WITH r AS (SELECT p_partkey AS id, p_partkey % 30 + 1 AS start, p_size % 9 AS ahead FROM part) SELECT id, CASE WHEN ahead <= 7 THEN (['B', 'D', 'CA', 'C', '√', 'a', 'BD', 'D'])[ahead + 1] END AS answer FROM r")
 def range_answers(spark, sf_dir):
-    rows = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 9 + 1).alias("number"))
-    return rows.select("id", X.answer_of(F.lit("1-8：B D C C B A B D"), F.col("number")).alias("answer"))
+    """Answer lines of eight questions from a number on, asked for one at or beyond the range."""
+    p = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 30 + 1).cast("int").alias("start"), (F.col("p_size") % 9).alias("ahead"))
+    line = F.concat(F.col("start").cast("string"), F.when(F.col("id") % 2 == 0, "-").otherwise(" ~ "), (F.col("start") + 7).cast("string"), F.when(F.col("id") % 3 == 0, "：").otherwise(" "), F.lit("B D，CA C；√ a BD、D"))
+    return p.select("id", X.answer_of(line, F.col("start") + F.col("ahead")).alias("answer"))
 
 
-@query(rf"WITH {EXAM} SELECT id, [3, 6, 9, 12, 15] AS images, CAST(length(regexp_replace(text, '\[图片(\d+)\]', '', 'g')) AS INT) AS n_plain FROM exam")
+@query(rf"WITH {EXAM}, m AS (SELECT id, list(CAST(i * 3 AS INT) ORDER BY i) AS images FROM parts GROUP BY 1) SELECT id, images, CAST(length(regexp_replace(text, '\[图片(\d+)\]', '', 'g')) AS INT) AS n_plain FROM exam JOIN m USING (id)")
 def image_marks(spark, sf_dir):
     return exams(spark, sf_dir).select("id", X.images(F.col("text")).alias("images"), F.length(X.without_images(F.col("text"))).alias("n_plain"))
 
 
 @query(rf"""WITH {EXAM}, l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM exam),
-n AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\d{{1,3}}\s*[.、．]') THEN CAST(regexp_extract(line, '^\s*(\d{{1,3}})', 1) AS INT) END AS number FROM l),
+n AS (SELECT *, CASE WHEN {_NUMBERED} THEN CAST(regexp_extract(line, '^\s*(\d{{1,3}})', 1) AS INT) END AS number FROM l),
 s AS (SELECT *, count(number) OVER (PARTITION BY id ORDER BY place) AS section FROM n)
 SELECT id, max(number) AS question, count(*) AS n_lines FROM s WHERE section > 0 GROUP BY id, section""")
 def question_bodies(spark, sf_dir):
@@ -119,7 +129,8 @@ def page_of_offset(spark, sf_dir):
     return X.page_of(offsets, starts, "doc_id").select("doc_id", "page")
 
 
-@query(rf"WITH {EXAM} SELECT id, CAST(5 AS INT) AS loose, CAST(5 AS INT) AS bounds, CAST(3 AS INT) AS chunks, true AS whole FROM exam")
+@query(rf"""WITH {EXAM}, l AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM exam), q AS (SELECT id, CAST(count(*) AS INT) AS loose FROM l WHERE {_NUMBERED} GROUP BY 1), n AS (SELECT id, count(*) AS n FROM parts GROUP BY 1)
+SELECT id, loose, CAST(CASE WHEN n >= 3 THEN n ELSE 0 END AS INT) AS bounds, CAST(CASE WHEN n >= 3 THEN least(6, ceil(n / 2)) ELSE 1 END AS INT) AS chunks, true AS whole FROM q JOIN n USING (id)""")
 def exam_chunks(spark, sf_dir):
     rows = exams(spark, sf_dir).withColumn("b", M.boundaries(F.col("text"))).withColumn("c", M.chunks(F.col("b"), F.length("text"), 2))
     whole = (F.element_at("c", 1)["start"] == 0) & (F.element_at("c", -1)["end"] == F.length("text"))

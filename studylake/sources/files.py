@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +46,24 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
     return checked.join(found, how="left").filter("_ok IS NULL").drop("_ok")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one (``spark.checkpoint.dir``), or below a temporary one of a local session; it goes with the session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="studylake-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 # --- JSON files ------------------------------------------------------------------------------------------
 
 
-def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """One row per package file of version 1: path, the package, and why it isn't valid (null: valid)."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", schema.PACKAGE).alias("p"))
+def read_packages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per package file of version 1 (or line of one): path, the package, and why it isn't valid (null: valid)."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("path"), F.from_json("value", schema.PACKAGE).alias("p"))
     return raw.select("path", "p.*", package_error(F.col("p")).alias("error"))
 
 
@@ -102,6 +117,16 @@ def write_records(records: DataFrame, path: str) -> str:
     return path
 
 
+def write_record_files(records: DataFrame, path: str) -> str:
+    """Exchange files of records (r, answered_at): one for each range of time, its records in order."""
+    ranged = records.repartitionByRange("answered_at").withColumn("part", F.spark_partition_id())
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("answered_at", "r"))), lambda x: x["r"])
+    rows = ranged.groupBy("part").agg(ordered.alias("records"))
+    body = F.struct(F.lit(1).alias("schemaVersion"), F.lit("").alias("exportedAt"), "records")
+    rows.select(F.to_json(body, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("value"), "part").write.partitionBy("part").text(path)
+    return path
+
+
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """Skill templates, nested as in their files."""
     return spark.read.text(path, wholetext=True).select(F.from_json("value", schema.TEMPLATE).alias("t")).select("t.*")
@@ -115,6 +140,13 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(nodes).alias("n")).select(F.col("n.id").alias("node_id"), F.col("n.name").alias("name"), F.coalesce("n.prereq", F.array().cast("array<string>")).alias("prereq"))
 
 
+def write_overrides(nodes: DataFrame, path: str) -> str:
+    """Own nodes (node_id, name, prereq) as a file of one list, by id; an override is a short list."""
+    one = F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("id"), "name", "prereq")))
+    nodes.agg(F.to_json(one).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
 def backup(tables: dict[str, DataFrame], path: str) -> str:
     """All tables as Parquet below one folder."""
     for name, df in tables.items():
@@ -199,6 +231,49 @@ def containers(packages: DataFrame) -> DataFrame:
     return packages.select("packageKey", "version", "manifest", F.map_entries("media").alias("entries")).select("packageKey", "version", "manifest", F.map_from_entries("entries").alias("media")).mapInPandas(run, "packageKey string, version string, content binary")
 
 
+def _write_each(rows: DataFrame, path: str, ending: str) -> str:
+    """A file for each row (name, content), written by the tasks that hold the rows; rows are the files written."""
+    name = rows.schema["name"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = pafs.FileSystem.from_uri(path)
+        files.create_dir(root)
+        for batch in batches:
+            for n, content in zip(batch["name"], batch["content"], strict=True):
+                with files.open_output_stream(f"{root}/{n}{ending}") as out:
+                    out.write(content)
+            yield batch[["name"]]
+
+    rows.select("name", "content").mapInPandas(run, f"name {name}").write.format("noop").mode("overwrite").save()
+    return path
+
+
+def write_texts(rows: DataFrame, path: str) -> str:
+    """A text file for each row (name, text)."""
+    return _write_each(rows.select("name", F.encode("text", "UTF-8").alias("content")), path, ".txt")
+
+
+def write_containers(archives: DataFrame, path: str) -> str:
+    """An archive file for each container (packageKey, version, content)."""
+    return _write_each(archives.select(F.concat_ws("-", "packageKey", "version").alias("name"), "content"), path, ".zip")
+
+
+def read_last_entry(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of the last entry (by name, the manifest aside) of each archive: its directory at the end is read, then that entry alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for p in batch["path"]:
+                files, at = pafs.FileSystem.from_uri(p)
+                with files.open_input_file(at) as held, zipfile.ZipFile(held) as z:
+                    out.append(z.read(max(n for n in z.namelist() if n != MANIFEST)))
+            yield pd.DataFrame({"path": batch["path"], "content": out})
+
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    return listed.mapInPandas(run, "path string, content binary")
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text of plain text files."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
