@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import os
 from decimal import Decimal
 
 import pytest
@@ -53,15 +54,35 @@ def test_entry_and_contract(spark):
 
 
 def test_stands_without_the_corpus_operators(tmp_path):
-    """A copy without the subpackage and the pipeline imports and lists the other queries."""
+    """A copy without the subpackage, its tests and the pipeline imports, lists the other queries and passes their tests."""
     import shutil
     import subprocess
     import sys
     from pathlib import Path
 
     root = Path(entry.__file__).parent
-    shutil.copytree(root / "studylake", tmp_path / "studylake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for folder in ("studylake", "tests"):
+        shutil.copytree(root / folder, tmp_path / folder, ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin"})
     assert said.returncode == 0, said.stderr
     assert int(said.stdout) == len(registry.QUERIES)
+    if "STANDS_ALONE" not in os.environ:
+        some = "wrong_questions or contract or ladder or draw_is"
+        run = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-x", "-p", "no:cacheprovider", "-k", some], cwd=tmp_path, capture_output=True, text=True, timeout=600, env={**os.environ, "STANDS_ALONE": "1"})
+        assert run.returncode == 0, run.stdout[-2000:]
+
+
+def test_a_missing_library_is_an_error(tmp_path):
+    """Only the absence of the corpus part itself is passed over."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "studylake", tmp_path / "studylake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import a_library_that_is_not_there")
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin"})
+    assert said.returncode != 0 and "a_library_that_is_not_there" in said.stderr
