@@ -17,10 +17,12 @@ Training is numpy on a sample of labelled rows bounded by ``Fit`` (documents of
 each class, longest text); scoring covers every text.  Words are kept by worker
 with their input projections, so a repeated word costs one look-up.
 
-Defined cases: a null, empty or wordless text is one window of padding; rows
-with null labels or doc_ids are not learned from; without labels of both
-classes every score is the share of toxic labels (0 if none); an empty table
-gives an empty result.
+Defined cases: a null, empty or wordless text is one window of padding; every
+window of a very long text is scored; rows with null labels or doc_ids are not
+learned from; rows that repeat a text score alike, and of equally toxic windows it
+makes no difference which counts; without labels of both classes every score is the
+share of toxic labels (0 if none); an empty table gives an empty result; further
+columns are ignored (``drop_toxic`` passes them on).
 """
 
 from __future__ import annotations

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, n int, fp string, p string, row int"
+#: The columns of documents, then names that the operators use inside.
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, score double, key string, n int, fp string, p string, row int, "
+    "paragraph int, digest string, shard string, size int, task int, base string, extra string, chunk int, node long, first int, root long, n_lines int, held_out string"
+)
 
 
 def frame(spark, rows, schema=SCHEMA):
     """A DataFrame of (doc_id, text, lang); further columns clash with inner names."""
-    return spark.createDataFrame([(i, t, lang, "s", 1, 0.5, "k", 3, "f", "q", 9) for i, t, lang in rows], schema)
+    more = ("s", 1, 0.5, "k", 3, "f", "q", 9, 1, "d", "h", 2, 3, "b", "x", 4, 5, 6, 7, 8, "o")
+    return spark.createDataFrame([(i, t, lang, *more) for i, t, lang in rows], schema)
 
 
 @pytest.fixture(scope="session")

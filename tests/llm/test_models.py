@@ -15,7 +15,7 @@ from studylake.llm import queries as Q
 from studylake.llm.licence_texts import TEMPLATES
 
 from .conftest import frame
-from .test_exact_operators import _components, _fingerprint
+from .test_near_copies import _kept
 
 MEDIUM = "/root/testdata/sf0.01"
 #: Enough toxic labels (about 500) to learn from.
@@ -77,6 +77,22 @@ def test_folded_scorer_equals_network():
         assert abs(toxicity.forward(p, mine, vocab)[0].max() - t) < 1e-4
 
 
+def test_query_equals_the_plain_network(spark, sf_dir):
+    """Every document's score by the query's operator against windows, network and logistic function one by one."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    scorer = toxicity.fit_scorer(docs, spark.read.parquet(f"{MEDIUM}/labels.parquet"))
+    small = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score_documents(small, scorer).collect()}
+    p = {k: v.astype(np.float32) for k, v in scorer.p.items()}
+    for r in small.collect():
+        number, (words,) = toxicity.word_numbers([r["text"] or ""])
+        vocab, cut = toxicity.Grams(list(number)), toxicity.windows(words)
+        top = max(float(toxicity.forward(p, cut[i : i + 64], vocab)[0].max()) for i in range(0, len(cut), 64))
+        want = 1 / (1 + np.exp(-(scorer.weights @ [1.0, top, np.log(len(cut))])))
+        score, predicted = got[r["doc_id"]]
+        assert abs(score - want) < 1e-3 and predicted == (score >= 0.5)
+
+
 # --- language --------------------------------------------------------------------------------------------
 
 
@@ -263,7 +279,7 @@ def test_pipeline_by_plain_steps(spark, sf_dir):
     assert {r["doc_id"]: r["text"] for r in b.collect()} == texts
 
     c = steps["near_dedup"](spark, b, sf_dir)
-    texts = {i: texts[i] for i, root in _components({i: _fingerprint(t) for i, t in texts.items()}).items() if i == root}
+    texts = {i: texts[i] for i in _kept(texts)}
     assert {r["doc_id"] for r in c.collect()} == set(texts)
 
     d = steps["decontamination"](spark, c, sf_dir)
