@@ -19,8 +19,6 @@ import numpy as np
 KEPT_PIECES = 1_200_000
 #: Runs of white space, or white space other than blank and line feed.
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
-#: A comma or full stop that ends a piece after an ASCII letter, which no normalisation changes.
-_MARKED = re.compile(r"[A-Za-z][,.]\Z")
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +28,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _marked(piece: str) -> bool:
+    """Whether a comma or full stop ends the piece after an ASCII letter, which no normalisation changes."""
+    return piece[-1:] in (",", ".") and piece[-2:-1].isalpha() and piece[-2:-1].isascii()
+
+
 class _Pieces(dict):
     """Piece -> number; pieces not met before are numbered and noted."""
 
@@ -71,9 +74,9 @@ class WordEncoder:
         # A comma or full stop after a letter is cut off by either pre-tokenizer: the word
         # before it is encoded once, with it or without.
         for piece in list(fresh):
-            if _MARKED.search(piece):
+            if _marked(piece):
                 self.pieces[piece[:-1]]
-        plain = [p for p in fresh if not _MARKED.search(p)]
+        plain = [p for p in fresh if not _marked(p)]
         # A piece stands for itself after a blank, or begins with the line feed before it.
         asked = [p if p[:1] == "\n" else " " + p for p in plain] if self.byte_level else plain
         found = self.library.encode_batch_fast(asked, add_special_tokens=False)
