@@ -260,6 +260,71 @@ def options_at_question(lines_: Column, options: Column, number: Column) -> Colu
     return F.coalesce((F.size(texts) == 0) | bound(area, lambda a: F.forall(texts, lambda t: F.contains(a, F.substring(t, 1, 6)))), F.lit(True))
 
 
+def options_of_one_question(lines_: Column, options: Column) -> Column:
+    """Whether every filled option stands in the source as one, and all of them below the same number."""
+    probes = F.transform(F.filter(F.transform(options, lambda o: F.coalesce(o["text"], F.lit(""))), lambda t: F.trim(X.without_images(t)) != ""), lambda t: F.substring(t, 1, 6))
+    spot = lambda q: F.array_position(F.transform(lines_, lambda x: F.regexp_like(x, F.concat(F.lit(r"[A-Da-d][.．、]\s*\Q"), q, F.lit(r"\E")))), F.lit(True)) - 1
+
+    def one(spots: Column) -> Column:
+        numbers = F.array_distinct(F.filter(F.transform(spots, lambda at: number_near(lines_, at.cast("int"), False)), lambda n: n.isNotNull()))
+        return F.forall(spots, lambda at: at >= 0) & (F.size(numbers) <= 1)
+
+    return F.coalesce(bound(F.transform(probes, spot), one), F.lit(True))
+
+
+def from_source(lines_: Column, content: Column, options: Column, kind: Column) -> Column:
+    """(content, kept) of a question after a look at its source.
+
+    A stem that stands above its number is put together from the lines there
+    (fifteen characters at least).  Not kept: an answer or heading taken for a
+    stem, a short stem that the source lacks, options of another question.
+    """
+    plain = F.trim(X.without_images(content))
+    own = F.regexp_extract(plain, G.QUESTION_START, 1).try_cast("int")
+    numbered = lambda x: F.trim(x).rlike(G.NUMBER_ALONE) | X.question_number(F.trim(x)).isNotNull()
+    stops = lambda x: x.rlike(G.QUESTION_START) | x.rlike(G.OPTION_LINE) | x.rlike(G.ANSWER_PART + "[:：]")
+
+    def of(all_: Column) -> Column:
+        found = F.struct(
+            content_line(all_, plain).alias("line"),
+            (F.array_position(F.transform(all_, numbered), F.lit(True)) - 1).cast("int").alias("first"),
+            F.when(own.isNotNull(), F.array_position(F.transform(all_, lambda x: F.regexp_like(x, F.concat(F.lit(r"^\s*"), own.cast("string"), F.lit(r"\s*[.．、)）](?:\s*[A-Da-d].*|\s*)$")))), F.lit(True)) - 1).otherwise(F.lit(-1)).cast("int").alias("own"),
+        )
+
+        def anchored(f: Column) -> Column:
+            probe = F.substring(X.without_images(F.coalesce(F.get(options, F.lit(0))["text"], F.lit(""))), 1, 8)
+            near = F.contains(F.array_join(F.slice(all_, f["line"] + 1, F.lit(8)), ""), probe)
+            heading = (f["line"] >= 0) & ((f["first"] < 0) | (f["first"] > f["line"])) & (F.length(plain) <= 60)
+            anchor = F.when((f["line"] >= 0) & ((F.trim(probe) == "") | near), f["line"]).when(f["own"] >= 0, f["own"]).otherwise(F.lit(-1))
+
+            def collected(at: Column) -> Column:
+                alone = F.transform(all_, lambda x: F.trim(x).rlike(G.NUMBER_ALONE))
+                later = F.array_position(F.slice(alone, at + 2, F.size(all_)), F.lit(True))
+                number = F.when(F.get(alone, at) | (later == 0), at).otherwise((at + later).cast("int"))
+                first = F.greatest(f["first"], F.lit(0))
+                above = F.transform(F.reverse(F.slice(all_, first + 1, F.greatest(number - first, F.lit(0)))), lambda x: F.trim(x))
+                stop = F.array_position(F.transform(above, lambda x: (x != "") & stops(x)), F.lit(True))
+                kept = F.filter(F.reverse(F.when(stop > 0, F.slice(above, F.lit(1), (stop - 1).cast("int"))).otherwise(above)), lambda x: x != "")
+                text = F.array_join(kept, "\n")
+                wanted = own.isNotNull() | ((f["line"] >= 0) & (f["line"] < number))
+                near_number = F.when(f["line"] >= 0, number_near(all_, f["line"], True))
+                same = F.when(near_number.isNotNull(), options_at_question(all_, options, near_number)).otherwise(options_of_one_question(all_, options))
+                fits = (kind == "JUDGE") | (F.coalesce(F.size(options), F.lit(0)) == 0) | same
+                lost = at < 0
+                return F.struct(
+                    F.when(~lost & wanted & (F.length(text) >= 15), text).otherwise(content).alias("content"),
+                    F.when(heading, False).when(lost, (F.length(plain) > 30) | (kind == "JUDGE")).otherwise(fits).alias("kept"),
+                )
+
+            return bound(anchor, collected)
+
+        return bound(found, anchored)
+
+    refused = (plain == "") | plain.rlike(G.ANSWER_PART + "[:：]")
+    result = bound(lines_, of)
+    return F.when(refused, F.struct(content.alias("content"), F.lit(False).alias("kept"))).otherwise(result)
+
+
 def trimmed(chunk: Column, head: bool = True, tail: bool = True) -> Column:
     """A chunk without what was cut off from other questions at its edges.
 

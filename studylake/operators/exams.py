@@ -152,6 +152,20 @@ def with_source(questions: DataFrame, sources: DataFrame, key: str) -> DataFrame
     return rows.withColumn("borne_out", M.agrees(F.col("answer_keys"), F.col("evidence"))).withColumn("options_there", there).drop("_text", "_lines")
 
 
+def repaired(questions: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """Questions whose stem and options fit their document's text, stems put together from it where they stand above their number.
+
+    Questions of a material and those of a document without text stay as they are.
+    """
+    rows = questions.join(sources.select(key, F.col("text").alias("_text")), key, "left")
+    lines_ = F.split(F.coalesce("_text", F.lit("")), r"\r\n|\n|\r", -1)
+    bare = F.trim(F.coalesce("_text", F.lit(""))) == ""
+    if "material" in questions.columns:
+        bare = bare | (F.trim(F.coalesce("material", F.lit(""))) != "")
+    rows = rows.withColumn("_bare", bare).withColumn("_s", M.from_source(lines_, F.col("content"), F.col("options"), F.col("type")))
+    return rows.filter(F.col("_bare") | F.col("_s.kept")).withColumn("content", F.when(F.col("_bare"), F.col("content")).otherwise(F.col("_s.content"))).select(*questions.columns)
+
+
 def recovered(questions: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """Questions with the model's answers cleared and those that the source gives put in, with their source label."""
     rows = with_source(questions, sources, key).join(sources.select(key, F.col("text").alias("_text")), key, "left")

@@ -119,6 +119,15 @@ def _asked(spark, sf_dir):
 _SAYS = "(CASE answer WHEN 'A' THEN ['A'] WHEN 'b' THEN ['B'] WHEN 'CD' THEN ['C', 'D'] WHEN 'E' THEN ['E'] ELSE ['A'] END)"
 
 
+@query(rf"WITH {EXAM} SELECT id, i AS number, trim(substr(text, CAST(i * 20 AS INT), 30)) AS content FROM parts WHERE (id + i) % 7 <> 0 AND length(text) >= i * 20 + 30 AND (id + i) % 5 <> 3")
+def questions_that_fit(spark, sf_dir):
+    """Contents that the source lacks go, and questions whose second option stands elsewhere."""
+    bad = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(t).alias("text")) for k, t in (("A", "one"), ("B", "elsewhere"))])
+    asked = _asked(spark, sf_dir).withColumn("options", F.when((F.col("id") + F.col("number")) % 5 == 3, bad).otherwise(F.col("options")))
+    found = E.repaired(asked, exams(spark, sf_dir), "id")
+    return found.select("id", F.col("number").cast("long").alias("number"), "content")
+
+
 @query(rf"WITH {EXAM} SELECT id, i AS number, {_SAYS} AS evidence, i % 3 = 0 OR {_SAYS} = ['A'] AS borne_out FROM parts")
 def source_evidence(spark, sf_dir):
     found = E.with_source(_asked(spark, sf_dir), exams(spark, sf_dir), "id")

@@ -213,6 +213,63 @@ def test_exam_builders(spark):
     assert one(spark, M.images_within(F.lit("a[图片3]b[图片9]"), F.lit(3), F.lit(4))) == ["a[图片3]b"]
 
 
+SOURCE = "第一章 标题\n1. first question of all\nA. red B. blue\nThe passage that belongs to the second\nquestion stands above its number\n2.\nA. green\nB. white\n答案：A\n3. third one here\nA. cat\nB. dog"
+AB = [("A", "green"), ("B", "white")]
+
+
+@pytest.mark.parametrize(
+    "content, options, kind, want",
+    [
+        ("question stands above its number", AB, "SINGLE", ("The passage that belongs to the second\nquestion stands above its number", True)),
+        ("2. green", AB, "SINGLE", ("The passage that belongs to the second\nquestion stands above its number", True)),
+        # The next number that stands alone is taken for a stem's own, so a stem with its number before it takes what lies between.
+        ("first question of all", [("A", "red"), ("B", "blue")], "SINGLE", ("The passage that belongs to the second\nquestion stands above its number", True)),
+        ("third one here", [("A", "cat"), ("B", "white")], "SINGLE", ("third one here", False)),
+        ("第一章 标题", [], "SINGLE", ("第一章 标题", False)),
+        ("答案：A", [], "SINGLE", ("答案：A", False)),
+        ("[图片3]", [], "SINGLE", ("[图片3]", False)),
+        ("not in the text", [], "SINGLE", ("not in the text", False)),
+        ("not in the text", [], "JUDGE", ("not in the text", True)),
+        ("this is not in the text but long enough to stay", [], "SINGLE", ("this is not in the text but long enough to stay", True)),
+    ],
+)
+def test_questions_by_their_source(spark, content, options, kind, want):
+    from studylake.functions import exam as M
+
+    row = spark.createDataFrame([(SOURCE, content, options, kind)], f"text string, content string, options {M.OPTIONS}, kind string")
+    got = row.select(M.from_source(F.split("text", "\n"), F.col("content"), F.col("options"), F.col("kind")).alias("s")).first()["s"]
+    assert got["kept"] == want[1] and (not got["kept"] or got["content"] == want[0])
+
+
+def test_answers_from_their_source(spark):
+    from studylake.functions import exam as M
+
+    text = "1. what\nA. x\n（B）\n2. who\n答案：正确\n3. when\n【答案】 cd\n5. how\n1-3：A B C\n【第5题答案】B"
+    ask = lambda c, n: one(spark, M.answer_evidence(F.lit(text), F.lit(c), F.lit(n).cast("int")))[0]
+    assert ask("what", 1) == ["A", "B"] and ask("who", 2) == ["A", "B"] and ask("when", 3) == ["C", "D"]
+    assert ask("how", None) == ["B"] and ask("nowhere", None) == [] and ask("nowhere", 5) == ["B"]
+    assert one(spark, M.agrees(F.array(F.lit("a")), F.array(F.lit("A"))), M.agrees(F.array().cast("array<string>"), F.array().cast("array<string>")), M.agrees(F.array(F.lit("C")), F.array(F.lit("A")))) == [True, True, False]
+
+
+def test_rows_are_linear_in_a_text(spark):
+    """Doubling a text's lines about doubles the time of the cleaner and of the boundaries."""
+    import time
+
+    from studylake.functions import exam as M
+
+    def seconds(n):
+        rows = spark.createDataFrame([(1, "\n".join(f"{i % 900 + 1}. line {i % (n // 4)}" for i in range(n)))], "id long, text string").cache()
+        rows.count()
+        began = time.perf_counter()
+        assert X.without_repeats(rows, "id").first()["n_lines"] == n
+        assert rows.select(F.size(M.boundaries(F.col("text")))).first()[0] == min(n, 900)
+        return time.perf_counter() - began
+
+    seconds(200)
+    small, large = seconds(4_000), seconds(16_000)
+    assert large < 4 * small + 3, (small, large)
+
+
 def test_empty_log(spark):
     none = log(spark, []).filter("id > 0")
     assert attempts.wrong_questions(none).count() == attempts.healed(none).count() == review.states(none).count() == 0
