@@ -1,6 +1,7 @@
 """Licence families of paragraphs by a trained sparse classifier.
 
-A paragraph (a line) is the set of its word n-grams (one to three words).  One
+A paragraph (a line) is the set of its word n-grams (one to three words), those left
+out that hold only words of more than a share ``common`` of ordinary lines.  One
 logistic regression for each family and one for the class "unknown", made sparse
 by an L1 penalty, separate its rows from all else.  Their logits are calibrated
 on rows that they didn't see: the rows are dealt to ``folds``, each scored by the
@@ -50,6 +51,7 @@ class Fit:
     documents: int = 2000
     negatives: int = 2000
     longest: int = 2000
+    common: float = 0.01
     steps: int = 200
     folds: int = 3
     rate: float = 0.5
@@ -124,7 +126,13 @@ def train(corpus_lines: list[str], fit: Fit | None = None) -> Model:
         if k >= 0:
             for g in grams(w):
                 counts[g] = counts.get(g, 0) + 1
-    vocabulary = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n >= 2))}
+    lines: dict[str, int] = {}
+    for line in plain:
+        for word in set(line):
+            lines[word] = lines.get(word, 0) + 1
+    common = {word: n / len(plain) for word, n in lines.items()}
+    told = sorted(g for g, n in counts.items() if n >= 2 and min(common.get(word, 0.0) for word in g.split()) < fit.common)
+    vocabulary = {g: i for i, g in enumerate(told)}
     x = np.zeros((len(rows), len(vocabulary)))
     for r, (w, _) in enumerate(rows):
         x[r, [vocabulary[g] for g in grams(w) if g in vocabulary]] = 1
@@ -138,11 +146,6 @@ def train(corpus_lines: list[str], fit: Fit | None = None) -> Model:
     w, b = _regress(x, y, fit)
     weights = {g: w[i].round(6).tolist() for g, i in vocabulary.items() if np.abs(w[i]).max() > 1e-6}
     model = Model(families, weights, b.round(6).tolist(), scale, [], {}, fit)
-    common: dict[str, int] = {}
-    for line in plain:
-        for word in set(line):
-            common[word] = common.get(word, 0) + 1
-    common = {word: n / len(plain) for word, n in common.items()}
     model.anchors = _anchors(model, common)
     model.worth = _worth(model, common)
     return model
