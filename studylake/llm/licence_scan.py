@@ -56,7 +56,7 @@ class Fit:
     folds: int = 3
     rate: float = 0.5
     sparse: float = 5e-4
-    sure: float = 0.5
+    sure: float = 0.7
     overlap: float = 0.7
     seed: int = 5
 
