@@ -68,19 +68,21 @@ def drop(*staged: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_on_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, most: int = 4000) -> DataFrame:
+def join_on_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, most: int = 4000, least: int = 10_000) -> DataFrame:
     """``rows`` JOIN ``table`` on a key that is unique in ``table``, where a key may hold a third of all rows.
 
     ``weight`` is a column of ``table``: the rows of each key.  Keys of more
-    than 1/``most`` of all rows, which are fewer than ``most`` whatever the
-    input, are broadcast; the others are shuffled.
+    than 1/``most`` of all rows (and more than ``least``), which are fewer than
+    ``most`` whatever the input, are broadcast; the others are shuffled.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    hot = F.col(weight) > max(1, total // most)
-    heavy = F.broadcast(table.filter(hot))
-    often = rows.join(heavy, key).drop(weight)
-    rest = rows.join(heavy.select(key), key, "left_anti").join(table.filter(~hot), key).drop(weight)
-    return often.unionByName(rest)
+    total, top = table.agg(F.sum(weight), F.max(weight)).first()
+    cut = max(least, (total or 0) // most)
+    if (top or 0) <= cut:
+        return rows.join(table.drop(weight), key)
+    hot = F.col(weight) > cut
+    heavy = F.broadcast(table.filter(hot).drop(weight))
+    rest = rows.join(heavy.select(key), key, "left_anti").join(table.filter(~hot).drop(weight), key)
+    return rows.join(heavy, key).unionByName(rest)
 
 
 def ship(spark: SparkSession) -> None:

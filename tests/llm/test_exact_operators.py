@@ -215,6 +215,18 @@ def test_chains_in_crowded_buckets(spark, radius, small_bucket):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_hot_keys_are_joined_apart(spark):
+    """A key of a third of all rows, keys without a partner and repeated rows: the same as an ordinary join."""
+    from studylake.llm.common import join_on_hot
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 40}") for i in range(900)], "id int, key string")
+    table = rows.groupBy("key").count().filter("key <> 'k7'").selectExpr("key", "count AS n", "upper(key) AS name")
+    want = sorted(tuple(r) for r in rows.join(table.drop("n"), "key").select("id", "name").collect())
+    for how in ({}, {"most": 4, "least": 1}, {"most": 1000, "least": 1}):
+        found = join_on_hot(rows, table, "key", "n", **how)
+        assert found.columns == ["key", "id", "name"] and sorted(tuple(r) for r in found.select("id", "name").collect()) == want
+
+
 # --- decontamination -------------------------------------------------------------------------------------
 
 
