@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -43,7 +43,7 @@ STEP = 16
 WINDOW = 2 * STEP
 WORDS, GRAMS = 1 << 13, 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 16, 8, 8
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»’‘…¡¿"
 
 
@@ -75,11 +75,14 @@ class Grams:
     """Features of numbered words: the word's hash, and its n-grams end to end."""
 
     def __init__(self, words: list[str]):
-        found = [features(w) if w else (0, [0]) for w in words]
-        self.word = np.array([f[0] for f in found], np.int64)
-        self.sizes = np.array([len(f[1]) for f in found], np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.flat = np.fromiter(chain.from_iterable(f[1] for f in found), np.int64, int(self.sizes.sum()))
+        hashes, sizes, flat = [], [], []
+        for at in range(0, len(words), 4096):  # lists of numbers are large, arrays aren't
+            found = [features(w) if w else (0, [0]) for w in words[at : at + 4096]]
+            hashes.append(np.array([f[0] for f in found], np.int32))
+            sizes.append(np.array([len(f[1]) for f in found], np.int32))
+            flat.append(np.fromiter(chain.from_iterable(f[1] for f in found), np.int32, int(sizes[-1].sum())))
+        self.word, self.sizes, self.flat = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (hashes, sizes, flat))
+        self.ends = np.cumsum(self.sizes, dtype=np.int64)
 
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of some words, end to end, and how many each has."""
@@ -91,7 +94,7 @@ class Grams:
 def word_numbers(texts: list[str]) -> tuple[dict[str, int], list[np.ndarray]]:
     """Numbers of all words (0 is padding) and each text as numbers."""
     number: dict[str, int] = {"": 0}
-    return number, [np.array([number.setdefault(w, len(number)) for w in (t or "").lower().split()], np.int64) for t in texts]
+    return number, [np.array([number.setdefault(w, len(number)) for w in (t or "").lower().split()], np.int32) for t in texts]
 
 
 def windows(words: np.ndarray) -> np.ndarray:
@@ -231,18 +234,28 @@ class Scorer:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {"": 0}
-        self.rows = np.zeros((0, 2, 3 * HIDDEN), np.float32)
+        self.known = 0
+        self.rows = np.zeros((2, 1 << 12, 3 * HIDDEN), np.float32)
+
+    def hold(self, rows: np.ndarray) -> None:
+        """Add input projections of the words numbered next; room grows by half."""
+        end = self.known + rows.shape[1]
+        if end > self.rows.shape[1]:
+            wider = np.zeros((2, max(end, self.rows.shape[1] * 3 // 2), 3 * HIDDEN), np.float32)
+            wider[:, : self.known] = self.rows[:, : self.known]
+            self.rows = wider
+        self.rows[:, self.known : end] = rows
+        self.known = end
 
     def _learn(self) -> None:
-        fresh = list(self.number)[len(self.rows) :]
-        if not fresh:
-            return
-        self.rows = np.concatenate([self.rows, self.project(Grams(fresh))])
+        fresh = list(islice(self.number, self.known, None))
+        if fresh:
+            self.hold(self.project(Grams(fresh)))
 
     def project(self, words: Grams) -> np.ndarray:
-        """Input projections (word, direction, gate units) of some words."""
+        """Input projections (direction, word, gate units) of some words."""
         x = np.concatenate([self.p["word"][words.word], _mean_rows(self.p["char"], words.flat, words.sizes)], 1)
-        rows = (x @ self.p["wx"] + self.p["b"]).transpose(1, 0, 2)
+        rows = x @ self.p["wx"] + self.p["b"]
         rows[..., : 2 * HIDDEN] *= 0.5  # sigmoid by tanh
         return rows
 
@@ -254,7 +267,7 @@ class Scorer:
         h = np.zeros((2, HIDDEN, b), np.float32)
         states = np.empty((2, WINDOW, HIDDEN, b), np.float32)
         xs = np.empty((2, 3 * HIDDEN, b), np.float32)
-        forward_rows, backward_rows = (np.ascontiguousarray(self.rows[:, k]) for k in (0, 1))
+        forward_rows, backward_rows = self.rows
         for s in range(WINDOW):
             xs[0] = forward_rows[batch[:, s]].T
             xs[1] = backward_rows[batch[:, WINDOW - 1 - s]].T
@@ -301,7 +314,7 @@ class Scorer:
         if self.p is None:
             return np.full(len(texts), self.prior)
         out = np.empty(len(texts))
-        for a, b in passes([len(t or "") for t in texts], 2_000_000):
+        for a, b in passes([len(t or "") for t in texts], 1_000_000):
             top, count = self.highest(texts[a:b])
             out[a:b] = _sigmoid(_design(top, count) @ self.weights)
         return out
@@ -347,6 +360,7 @@ def train(texts: list[str], labels: list[int], fit: Fit | None = None, odds: flo
     parts = [windows(docs[i]) for i in seen]
     sizes = np.array([len(x) for x in parts])
     rows, owner = np.concatenate(parts), np.repeat(np.arange(len(seen)), sizes)
+    del parts
     bad = toxic[seen][owner] == 1
     worth = _contrast([docs[i] for i in seen], toxic[seen], vocab)[rows].max(1)
     p = new_parameters(rng)
@@ -370,7 +384,8 @@ def train(texts: list[str], labels: list[int], fit: Fit | None = None, odds: flo
                 logit, cache = forward(p, rows[chosen[pick]], vocab)
                 adam.step(gradients(p, cache, ((_sigmoid(logit) - target[pick]) * weight[pick] / len(pick)).astype(np.float32)))
             adam.rate *= 0.9
-        scorer.rows = scorer.project(vocab)
+        scorer.known = 0
+        scorer.hold(scorer.project(vocab))
         worth = np.concatenate([scorer.logits(rows[i : i + 1024]) for i in range(0, len(rows), 1024)])
     held = np.flatnonzero(apart)
     top, count = scorer.highest([texts[i] for i in held])

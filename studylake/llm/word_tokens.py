@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Pieces that one worker keeps before it starts anew.
-KEPT_PIECES = 1_200_000
+KEPT_PIECES = 800_000
 #: Runs of white space, or white space other than blank and line feed.
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
 
