@@ -62,6 +62,12 @@ def suspend(states_: DataFrame, questions: DataFrame, on: bool = True) -> DataFr
     return states_.join(chosen, "question_id", "left").withColumn("suspended", F.when(F.col("_hit"), F.lit(on)).otherwise(F.col("suspended"))).drop("_hit")
 
 
+def reset(states_: DataFrame, log: DataFrame, bank_id: int) -> tuple[DataFrame, DataFrame]:
+    """States and log without those of a bank."""
+    other = ~F.coalesce(F.col("bank_id") == bank_id, F.lit(False))
+    return states_.filter(other), log.filter(other)
+
+
 def earlier_answers(rows: DataFrame) -> DataFrame:
     """``rows`` with the bank's answers, all and right, before each (n_before, ok_before).
 

@@ -93,3 +93,39 @@ def ago(at: Column, as_of) -> Column:
     """How long ago, in words."""
     minutes = F.timestamp_diff("MINUTE", at, F.lit(as_of))
     return F.when(minutes < 1, "just now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min"))).when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit(" h"))).otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit(" d")))
+
+
+#: Colours of notes, and how long one may be (fixed values).
+COLOURS, MOST_NOTE = ("y", "g", "b", "p"), 2000
+
+
+def note_list(notes: DataFrame, links: DataFrame, questions: DataFrame, keyword: str | None = None, bank_id: int | None = None, target: tuple[str, int] | None = None, colour: str | None = None, loose: bool = False) -> DataFrame:
+    """Notes by keyword, bank (linked to it or to one of its questions), target (type, id), colour, or without any link."""
+    rows = notes.filter(all_of(contains(keyword, "content"), equals("color", colour)))
+    if loose:
+        return unlinked(rows, links)
+    if bank_id is not None:
+        rows = rows.join(note_banks(links, questions).filter(F.col("bank_id") == bank_id).select("note_id"), "note_id", "left_semi")
+    if target is not None:
+        kind, number = target
+        rows = rows.join(links.filter((F.col("target_type") == kind) & (F.col("target_id") == number)).select("note_id"), "note_id", "left_semi")
+    return rows
+
+
+def note_banks(links: DataFrame, questions: DataFrame) -> DataFrame:
+    """note_id, bank_id, once each: the banks that a note is linked to, by themselves or by a question."""
+    direct = links.filter("target_type = 'BANK'").select("note_id", F.col("target_id").alias("bank_id"))
+    own = questions.select(F.col("id").alias("target_id"), "bank_id")
+    return direct.unionByName(links.filter("target_type = 'QUESTION'").join(own, "target_id").select("note_id", "bank_id")).distinct()
+
+
+def notes_per_bank(links: DataFrame, questions: DataFrame) -> DataFrame:
+    """bank_id, notes."""
+    return note_banks(links, questions).groupBy("bank_id").agg(F.count("*").alias("notes"))
+
+
+def changed_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Notes with changes (note_id, content, color) laid over: null keeps, a long text is cut, an unknown colour keeps the old."""
+    new = changes.select("note_id", F.substring("content", 1, MOST_NOTE).alias("_content"), F.when(F.col("color").isin(*COLOURS), F.col("color")).alias("_color"))
+    out = notes.join(new, "note_id", "left")
+    return out.withColumn("content", F.coalesce("_content", "content")).withColumn("color", F.coalesce("_color", "color")).drop("_content", "_color")

@@ -10,13 +10,14 @@ from studylake.functions import text as X
 from studylake.operators import cards as C
 from studylake.operators import exchange as E
 from studylake.operators import review as R
+from studylake.operators import search as Q
 from studylake.operators import sessions as S
 from studylake.operators import skills as K
 from studylake.operators import stats as T
 from studylake.sources import bindings as B
 
 from .base import AS_OF, EDITED, LOG, QUESTIONS, STATES, query
-from .catalog_queries import NODES, TAGS
+from .catalog_queries import LINKS, NODES, TAGS
 
 # --- submissions and sessions ----------------------------------------------------------------------------
 
@@ -359,3 +360,50 @@ def long_notes(spark, sf_dir):
 def suspended_states(spark, sf_dir):
     chosen = B.table(spark, sf_dir, "part").filter("p_size < 25").select(F.col("p_partkey").alias("question_id"))
     return R.suspend(R.states(B.attempts(spark, sf_dir)), chosen).select("question_id", "suspended")
+
+
+# --- notes, resets, limits -------------------------------------------------------------------------------
+
+
+@query(f"WITH {LINKS}, {QUESTIONS} SELECT doc_id AS note_id, source AS color FROM documents WHERE contains(text, 'e') AND source = (SELECT max(source) FROM documents) AND doc_id IN (SELECT note_id FROM k WHERE (target_type = 'BANK' AND target_id = 6) OR (target_type = 'QUESTION' AND target_id IN (SELECT id FROM q WHERE bank_id = 6)))")
+def note_list(spark, sf_dir):
+    notes = B.notes(spark, sf_dir)
+    colour = notes.agg(F.max("color")).first()[0]
+    return Q.note_list(notes, B.note_links(spark, sf_dir), B.questions(spark, sf_dir), "e", 6, None, colour).select("note_id", "color")
+
+
+@query(f"WITH {LINKS} SELECT note_id FROM k WHERE target_type = 'BANK' AND target_id = 9")
+def notes_of_target(spark, sf_dir):
+    return Q.note_list(B.notes(spark, sf_dir), B.note_links(spark, sf_dir), B.questions(spark, sf_dir), target=("BANK", 9)).select("note_id")
+
+
+@query(f"WITH {LINKS}, {QUESTIONS}, b AS (SELECT note_id, target_id AS bank_id FROM k WHERE target_type = 'BANK' UNION SELECT note_id, bank_id FROM k JOIN q ON q.id = target_id WHERE target_type = 'QUESTION') SELECT bank_id, count(*) AS notes FROM b GROUP BY 1")
+def notes_per_bank(spark, sf_dir):
+    return Q.notes_per_bank(B.note_links(spark, sf_dir), B.questions(spark, sf_dir))
+
+
+@query("SELECT doc_id AS note_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'g' ELSE source END AS color, CAST(CASE WHEN doc_id % 3 = 0 THEN least(2000, 2 * length(text)) ELSE length(text) END AS INT) AS size FROM documents")
+def changed_notes(spark, sf_dir):
+    notes = B.notes(spark, sf_dir)
+    changes = notes.filter("note_id % 3 = 0").select("note_id", F.concat("content", "content").alias("content"), F.when(F.col("note_id") % 2 == 0, "g").otherwise("no colour").alias("color"))
+    return Q.changed_notes(notes, changes).select("note_id", "color", F.length("content").alias("size"))
+
+
+@query(f"WITH {LOG}, {STATES} SELECT 'states' AS \"table\", count(*) AS rows FROM s WHERE bank_id <> 3 UNION ALL SELECT 'log', count(*) FROM g WHERE bank_id <> 3")
+def after_reset(spark, sf_dir):
+    log = B.attempts(spark, sf_dir)
+    left = R.reset(R.states(log), log, 3)
+    one = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows") for name, df in zip(("states", "log"), left, strict=True)]
+    return one[0].unionByName(one[1])
+
+
+@query("SELECT l_linenumber AS job, 'QUESTIONS' AS rule FROM lineitem GROUP BY 1 HAVING count(*) > 5000 UNION ALL SELECT l_linenumber, 'MATERIALS' FROM lineitem WHERE l_quantity > 25 GROUP BY 1 HAVING count(*) > 500")
+def import_limits(spark, sf_dir):
+    line = B.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("job"), "l_quantity")
+    return schema.import_errors(line, line.filter("l_quantity > 25"), "job")
+
+
+@query("""WITH c AS (SELECT l_partkey * 10 AS card_id, max(l_shipdate) AS due_at, count(*) % 4 <> 0 AS confirmed FROM lineitem GROUP BY l_partkey) SELECT card_id, due_at FROM c WHERE confirmed AND due_at <= TIMESTAMP '2001-06-15 12:00:00' ORDER BY due_at, card_id LIMIT 200""")
+def card_queue(spark, sf_dir):
+    cards = B.table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") * 10).alias("card_id")).agg(F.max("l_shipdate").alias("due_at"), (F.count("*") % 4 != 0).alias("confirmed"))
+    return C.queue(cards, AS_OF.replace(year=2001, month=6, day=15), 500).select("card_id", "due_at")

@@ -56,3 +56,15 @@ def question_rules() -> dict[str, Column]:
 def enforce_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+#: Most questions and materials of an edited import (fixed values).
+MOST_QUESTIONS, MOST_MATERIALS = 5000, 500
+
+
+def import_errors(questions: DataFrame, materials: DataFrame, job: str) -> DataFrame:
+    """job, rule: imports with too many questions or materials."""
+    counts = []
+    for rows, rule, most in ((questions, "QUESTIONS", MOST_QUESTIONS), (materials, "MATERIALS", MOST_MATERIALS)):
+        counts.append(rows.groupBy(job).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(job, F.lit(rule).alias("rule")))
+    return counts[0].unionByName(counts[1])
