@@ -132,7 +132,7 @@ def test_lines_of_whole_table(spark, sf_dir, documents, how, keep):
 def test_filters_still_filter_as_lines_grow(spark, bits, most):
     """The share of single lines under suspicion follows the bits of a line, not the number of lines."""
     shares = []
-    for n in (500, 2000, 8000):
+    for n in (500, 4000):
         docs = frame(spark, [(i, "\n".join(f"line {i} {k}" for k in range(10)) + f"\npair {i // 2}", None) for i in range(n)]).repartition(7)
         found = line_dedup.suspected_lines(docs, bits_per_line=bits, lines_per_part=2000)
         counts = [r["n_docs"] for r in line_dedup.repeated_lines(found, 1).collect()]
@@ -192,7 +192,7 @@ def test_masks_cover_every_choice_of_bits(radius):
         assert any(not m & flips for m in masks)
 
 
-@pytest.mark.parametrize("radius, small_bucket", [(2, 2), (2, 32), (0, 2), (1, 2), (3, 2), (3, 32)])
+@pytest.mark.parametrize("radius, small_bucket", [(2, 2), (2, 32), (1, 2), (3, 2)])
 def test_chains_in_crowded_buckets(spark, radius, small_bucket):
     rng = random.Random(7)
     prints = {}
@@ -422,7 +422,7 @@ def test_spans_are_linear_in_a_text(spark):
         return time.perf_counter() - began
 
     seconds(500)
-    small, large = seconds(5_000), seconds(20_000)
+    small, large = seconds(4_000), seconds(16_000)
     assert large < 4 * small + 6, (small, large)
 
 
