@@ -68,7 +68,7 @@ def test_stands_without_the_corpus_operators(tmp_path):
     assert said.returncode == 0, said.stderr
     assert int(said.stdout) == len(registry.QUERIES)
     if "STANDS_ALONE" not in os.environ:
-        some = "wrong_questions or contract or ladder or draw_is"
+        some = "contract or ladder"
         run = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-x", "-p", "no:cacheprovider", "-k", some], cwd=tmp_path, capture_output=True, text=True, timeout=600, env={**os.environ, "STANDS_ALONE": "1"})
         assert run.returncode == 0, run.stdout[-2000:]
 
