@@ -13,7 +13,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -104,6 +104,13 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` by functions of this package: workers get it and small Arrow batches, wherever ``df`` is from."""
+    ship(df.sparkSession)
+    arrow_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; workers get this package and small Arrow batches."""
     ship(spark)

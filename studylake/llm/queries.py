@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, licence_scan, line_dedup, media, packing, pii, simhash_dedup, token_store, toxicity
+from . import conversations, decontamination, language_id, licence_scan, line_dedup, media, packing, period_runs, pii, quality_rules, simhash_dedup, token_store, toxicity
 from .common import read_table
 
 
@@ -53,7 +53,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_decontamination, op3_token_store, op4_line_dedup, op5_toxicity, op6_language_id, op7_pii, op8_packing, op9_media, op10_simhash)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.digest_runs(period_runs.find_runs(period_runs.repeat_tails(read_table(spark, sf_dir, "documents"))))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    return conversations.digest_repairs(conversations.repair(conversations.damage(rows)), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_decontamination, op3_token_store, op4_line_dedup, op5_toxicity, op6_language_id, op7_pii, op8_packing, op9_media, op10_simhash, op11_quality_rules, op12_periodic_runs, op13_conversation_repair)}
 
 ORACLE = {
     "op4_line_dedup": r"""
