@@ -2,19 +2,19 @@
 
 A line's key is the line without ASCII white space at both ends, A-Z lowered;
 keys are told apart by 128-bit digests.  One pass over the texts writes each
-chunk of documents as (doc_id, digest) pairs, 24 bytes a line.  The first half
-of the digest is the hash that the filters know.
-
-The filters are cut by the hash: a part holds about ``lines_per_part`` lines
-however many there are, so parts grow in number with the corpus and never in
-size, and no filter leaves the task that filled it.  A part's task gets the
-distinct hashes of every chunk (a line of a third of all documents is one hash
-for a chunk), fills the filter of hashes seen once and that of hashes seen
-twice, and then asks the second for each chunk: a key of two documents is
-always in it, a key of one only by mistake, at a rate that ``bits_per_line``
-fixes at every size.  Only pairs so suspected are shuffled by key, where they are
-counted exactly and the first document is chosen; false suspects cost a row,
-never a wrong result.
+chunk of documents as (doc_id, digest) pairs, 24 bytes a line.
+
+The filters (one of hashes seen once, one of hashes seen twice, two bits a hash) are cut
+by ranges of the hash, parts of about ``lines_per_part`` lines, so parts grow in number
+with the corpus and never in size.  Each chunk fills its own bitmap of every part, and
+only bitmaps travel: a sorted list of set bits, each as its distance to the one before
+in bytes of seven bits, three bytes a line or so whatever the line.  A part's task merges
+them: a bit that two chunks set (or two hashes of one chunk) is set in the second
+filter.  What goes back to a chunk are its bits in that filter; a key of two
+documents always has both among them, a key of one by mistake at a rate that
+``bits_per_line`` fixes at every size.  Only pairs so suspected are shuffled by key,
+where they are counted exactly and the first document is chosen; false suspects
+cost a row, never a wrong result.
 
 Confirmed keys are broadcast as 16-byte digests while there are at most
 ``broadcast_keys`` of them and joined by document otherwise.
@@ -37,10 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, join_on_hot, passes, stage, texts_of
+from .common import drop, in_arrow, join_on_hot, passes, stage, texts_of
 
 SPACE = b" \t\n\x0b\x0c\r"
-PROBES = 4
 DIGEST = np.dtype([("rest", "<u8"), ("hash", "<u8")])
 
 
@@ -49,35 +48,79 @@ def line_keys(text: str) -> list[bytes]:
     return [line.strip(SPACE) for line in text.encode().lower().split(b"\n")]
 
 
-class Filters:
-    """Bloom filters of the hashes seen once, and of those seen twice or more."""
+def encode(bits: np.ndarray) -> bytes:
+    """Sorted distinct bit numbers as distances, seven bits a byte; the high bit says that more follow."""
+    step = np.diff(bits, prepend=np.uint64(0))
+    size = np.ones(len(step), np.int64)
+    for k in range(1, 5):
+        size += step >= np.uint64(1 << 7 * k)
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(5):
+        some = np.flatnonzero(size > k)
+        out[start[some] + k] = (step[some] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | np.where(size[some] > k + 1, 128, 0).astype(np.uint8)
+    return out.tobytes()
 
-    def __init__(self, keys: int, bits_per_line: int):
-        self.bits = 1 << max(10, (keys * bits_per_line - 1).bit_length())
-        self.once, self.twice = np.zeros(self.bits // 8, np.uint8), np.zeros(self.bits // 8, np.uint8)
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        """PROBES bits of each hash, by double hashing of its two halves."""
-        low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
-        return (low[:, None] + high[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64(self.bits - 1)
+def decode(data: bytes) -> np.ndarray:
+    """The bit numbers again."""
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    start = np.append(0, np.flatnonzero(raw < 128)[:-1] + 1)
+    place = np.arange(len(raw)) - np.repeat(start, np.diff(start, append=len(raw)))
+    return np.cumsum(np.add.reduceat((raw & 127).astype(np.uint64) << (7 * place).astype(np.uint64), start), dtype=np.uint64)
+
+
+class Filters:
+    """Bitmaps of the bits set once, and of those set twice or more."""
+
+    def __init__(self, bits: int):
+        self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
 
     @staticmethod
-    def _held(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    def _held(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        return (bitmap[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
     @staticmethod
-    def _set(bits: np.ndarray, at: np.ndarray) -> None:
-        np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+    def _set(bitmap: np.ndarray, bits: np.ndarray) -> None:
+        if len(bits):  # sorted: the bits of one byte stand together
+            at = (bits >> np.uint64(3)).astype(np.int64)
+            head = np.append(0, np.flatnonzero(np.diff(at)) + 1)
+            bitmap[at[head]] |= np.bitwise_or.reduceat(np.left_shift(np.uint8(1), (bits & np.uint64(7)).astype(np.uint8)), head)
+
+    def merge(self, bits: np.ndarray, again: np.ndarray) -> None:
+        """A chunk's bits, and those of them that two of its hashes set."""
+        self._set(self.twice, bits[self._held(self.once, bits)])
+        self._set(self.twice, again)
+        self._set(self.once, bits)
 
-    def add(self, hashes: np.ndarray, again: np.ndarray) -> None:
-        """Distinct hashes of a chunk; ``again``: two of its documents hold it."""
-        at = self.places(hashes)
-        found, times = np.unique(at, return_counts=True)
-        self._set(self.twice, np.concatenate([found[(times > 1) | self._held(self.once, found)], at[again].ravel()]))
-        self._set(self.once, found)
+    def seen_twice(self, bits: np.ndarray) -> np.ndarray:
+        return bits[self._held(self.twice, bits)]
 
-    def seen_twice(self, hashes: np.ndarray) -> np.ndarray:
-        return self._held(self.twice, self.places(hashes)).all(1)
+
+class Parts:
+    """How hashes are dealt: a part by the upper half, a bit of its bitmap by the lower."""
+
+    def __init__(self, lines: int, bits_per_line: int, lines_per_part: int):
+        self.count = max(1, -(-lines // lines_per_part))
+        self.bits = 1 << max(10, (min(lines, lines_per_part) * bits_per_line - 1).bit_length())
+        self.width = np.uint64(-(-(1 << 32) // self.count))
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """PROBES numbers of each hash, for part and bit: part * bits + bit."""
+        part, low = (hashes >> np.uint64(32)) // self.width, np.uint64(0xFFFFFFFF)
+        probes = [hashes & low, (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)]
+        return np.stack([part * np.uint64(self.bits) + (x * np.uint64(self.bits) >> np.uint64(32)) for x in probes], 1)
+
+    def bitmaps(self, hashes: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+        """(part, bits, those set twice) of a chunk's hashes, one for each document that holds the key."""
+        places, times = np.unique(self.places(hashes), return_counts=True)  # of all probes
+        part = places // np.uint64(self.bits)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            bits = places[a:b] % np.uint64(self.bits)
+            yield int(part[a]), encode(bits), encode(bits[times[a:b] > 1])
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
@@ -101,67 +144,62 @@ def line_digests(docs: DataFrame) -> DataFrame:
                 columns = [pa.array([uuid.uuid4().int >> 65]), pa.array([len(digests)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(digests)], pa.int32()), owners), pa.array([b"".join(digests)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "n", "doc_ids", "digests"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"chunk bigint, n bigint, doc_ids array<{kind}>, digests binary")
+    return in_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"chunk bigint, n bigint, doc_ids array<{kind}>, digests binary")
 
 
-def suspected_hashes(chunks: DataFrame, lines: int, bits_per_line: int, lines_per_part: int) -> DataFrame:
-    """chunk, hashes: those hashes of each chunk that its part's second filter holds."""
-    parts = max(1, -(-lines // lines_per_part))
-    # A part's share of the 32 high bits; the filters use all 64.
-    width = np.uint64(-(-(1 << 32) // parts))
+def suspected_bits(chunks: DataFrame, parts: Parts) -> DataFrame:
+    """chunk, part, bits: those bits of each chunk that the part's second filter holds."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, held in zip(batch.column("chunk").to_pylist(), batch.column("digests"), strict=True):
-                hashes, times = np.unique(np.frombuffer(held.as_buffer(), DIGEST)["hash"], return_counts=True)
-                part = (hashes >> np.uint64(32)) // width
-                at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
-                spans = list(zip(at[:-1], at[1:], strict=True))
-                columns = [pa.array([int(part[s]) for s, _ in spans], pa.int64()), pa.array([chunk] * len(spans), pa.int64()), pa.array([hashes[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([np.packbits(times[s:e] > 1).tobytes() for s, e in spans], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "chunk", "hashes", "again"])
-
-    def ask(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        keys = [np.frombuffer(h, np.uint64) for _, h, _ in rows]
-        filters = Filters(sum(map(len, keys)), bits_per_line)
-        for hashes, (_, _, again) in zip(keys, rows, strict=True):
-            filters.add(hashes, np.unpackbits(np.frombuffer(again, np.uint8), count=len(hashes)).astype(bool))
-        found = [hashes[filters.seen_twice(hashes)].tobytes() for hashes in keys]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(found, pa.binary())], ["chunk", "hashes"])
+                found = list(parts.bitmaps(np.frombuffer(held.as_buffer(), DIGEST)["hash"]))
+                columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([chunk] * len(found), pa.int64()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "chunk", "bits", "again"])
+
+    def ask(part: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        filters = Filters(parts.bits)
+        for _, bits, again in rows:
+            filters.merge(decode(bits), decode(again))
+        found = [encode(filters.seen_twice(decode(bits))) for _, bits, _ in rows]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array(found, pa.binary())], ["chunk", "part", "bits"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = None, []
         for batch in batches:
-            for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "hashes", "again")), strict=True):
+            for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "bits", "again")), strict=True):
                 if rows and p != part:
-                    yield ask(rows)
+                    yield ask(part, rows)
                     rows = []
                 part = p
                 rows.append(row)
         if rows:
-            yield ask(rows)
+            yield ask(part, rows)
 
-    dealt = chunks.select("chunk", "digests").mapInArrow(cut, "part bigint, chunk bigint, hashes binary, again binary").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(probe, "chunk bigint, hashes binary").filter(F.length("hashes") > 0)
+    dealt = in_arrow(chunks.select("chunk", "digests"), cut, "part bigint, chunk bigint, bits binary, again binary").repartition("part").sortWithinPartitions("part")
+    return in_arrow(dealt, probe, "chunk bigint, part bigint, bits binary").filter(F.length("bits") > 0)
 
 
-def suspected_lines(docs: DataFrame, bits_per_line: int = 16, lines_per_part: int = 1 << 20) -> DataFrame:
+def suspected_lines(docs: DataFrame, bits_per_line: int = 16, lines_per_part: int = 1 << 23) -> DataFrame:
     """(doc_id, digest), once each, of keys that are suspected of repeating; a written table."""
     chunks = stage(line_digests(docs), "line-digests")
     lines = chunks.agg(F.sum("n")).first()[0] or 0
-    asked = suspected_hashes(chunks, lines, bits_per_line, lines_per_part).groupBy("chunk").agg(F.collect_list("hashes").alias("hashes"))
+    parts = Parts(lines, bits_per_line, lines_per_part)
+    asked = suspected_bits(chunks, parts).groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias("asked"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for owners, held, hashes in zip(batch.column("doc_ids"), batch.column("digests"), batch.column("hashes").to_pylist(), strict=True):
+            for owners, held, asked in zip(batch.column("doc_ids"), batch.column("digests"), batch.column("asked").to_pylist(), strict=True):
                 digests = np.frombuffer(held.as_buffer(), DIGEST)
-                hit = np.flatnonzero(np.isin(digests["hash"], np.frombuffer(b"".join(hashes), np.uint64)))
+                places = np.concatenate([decode(a["bits"]) + np.uint64(a["part"] * parts.bits) for a in asked])
+                hit = np.flatnonzero(np.isin(parts.places(digests["hash"]), places).all(1))
                 raw = digests[hit].tobytes()
                 found = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(hit), [None, pa.py_buffer(raw)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([owners.values.take(pa.array(hit)), found], ["doc_id", "digest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # A chunk meets its own suspects; pairs by document and key, so that a line of a third of all documents is spread over all tasks.
-    pairs = chunks.join(asked, "chunk").select("doc_ids", "digests", "hashes").mapInArrow(pick, f"doc_id {kind}, digest binary")
+    pairs = in_arrow(chunks.join(asked, "chunk").select("doc_ids", "digests", "asked"), pick, f"doc_id {kind}, digest binary")
     found = stage(pairs.distinct(), "line-suspects")
     drop(chunks)
     return found
@@ -223,7 +261,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none",
             columns = [pa.array([x[2] for x in out], pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    return docs.mapInArrow(rewrite, fields)
+    return in_arrow(docs, rewrite, fields)
 
 
 def digest_lines(result: DataFrame) -> DataFrame:
