@@ -4,9 +4,10 @@ For every item of n words, windows of n words of a document (the whole of a
 shorter one) are fingerprinted (64-bit SimHash over their word shingles).  The
 64 bits are cut into five blocks of 13 or 12; two fingerprints within the radius of
 19 differ in at most three bits of some block, so looking up each block's value and
-its neighbours of up to three flips (377 of 8,191) in that block's directory of
-items finds every item within the radius, and about one other in five.  Each item
-found is verified exactly: similarity of the two shingle multisets, the sum of
+its neighbours of up to three flips (377 of 8,192) in that block's directory of
+items finds every item within the radius.  A window only asks the directories of
+the items of its own length, about one in five of which it meets.  Each item
+within the radius is verified exactly: similarity of the two shingle multisets, the sum of
 smaller over the sum of larger counts.
 
 A window without a single shingle of an item has similarity 0 to it, so only
@@ -14,9 +15,11 @@ windows around shared shingles are fingerprinted; that skips no pair.  A window
 of similarity 0.8 is 9.7 bits away on average, with a deviation of 2.9: the radius
 misses some 4 in 10,000 of those, and fewer of closer ones.
 
-Items are handled in blocks of at most ``block_items``, each a pass over the
-documents; a block's result is written and its broadcast released before the next
-block is read, which bounds driver and broadcast whatever the benchmark's size.
+Items are handled in blocks of at most ``block_items``; a block's result is written and
+its broadcast released before the next block is read, which bounds driver and
+broadcast whatever the benchmark's size.  Where there is more than one block, one
+pass over the documents keeps those that hold a shingle of any item (by a bitmap of
+``GATE_BITS`` bits, which can only keep too many), and the blocks read these alone.
 
 Defined cases: a null or empty text holds nothing; a very long text is searched
 whole; an item without words is never found; an item of fewer words than a shingle
@@ -40,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import shingle_hashes, text_words, word_hashes
-from .common import passes, stage, texts_of
+from .common import drop, in_arrow, passes, stage, texts_of
 from .simhash_dedup import majority
 
 SHINGLE = 5
@@ -52,6 +55,8 @@ RADIUS = len(BLOCKS) * (FLIPS + 1) - 1
 #: Windows looked up at once.
 LOOKED_UP = 512
 _GATE = 1 << 20
+#: Of the bitmap of all items' shingles, where there is more than one block of items.
+GATE_BITS = 1 << 28
 _CHOICES = [np.array([sum(1 << b for b in chosen) for n in range(FLIPS + 1) for chosen in combinations(range(bits), n)], np.int64) for _, bits in BLOCKS]
 
 
@@ -95,12 +100,15 @@ class ItemBlock:
         self.index()
 
     def index(self) -> None:
-        """A directory for each block: items sorted by its value, and where each value's items begin."""
-        self.order, self.begins = [], []
-        for b, (_, bits) in enumerate(BLOCKS):
-            values = self._block(self.prints, b)
-            self.order.append(np.argsort(values, kind="stable"))
-            self.begins.append(np.searchsorted(values[self.order[-1]], np.arange((1 << bits) + 1)))
+        """By length, a directory for each block of bits: items sorted by its value, and where each value's items begin."""
+        self.directories: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for length in np.unique(self.counts).tolist():
+            mine = np.flatnonzero(self.counts == length)
+            for b, (_, bits) in enumerate(BLOCKS):
+                values = self._block(self.prints[mine], b)
+                order = np.argsort(values, kind="stable")
+                begins = np.searchsorted(values[order], np.arange((1 << bits) + 1)).astype(np.int32)
+                self.directories.setdefault(length, []).append((mine[order], begins))
 
     @staticmethod
     def _block(prints: np.ndarray, b: int) -> np.ndarray:
@@ -111,25 +119,25 @@ class ItemBlock:
         hashes, _ = word_hashes([" ".join(words)])
         return shingle_hashes(hashes, min(self.size, len(words)))
 
-    def found(self, prints: np.ndarray, length: int | None = None) -> np.ndarray:
-        """(window, item) pairs within the radius, once each; items of ``length`` words only."""
-        out = [np.zeros((0, 2), np.int64)]
+    def met(self, prints: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows, items) that meet in some block of bits, items of ``length`` words."""
         for at in range(0, len(prints), LOOKED_UP):
-            some = prints[at : at + LOOKED_UP]
-            for b in range(len(BLOCKS)):
-                asked = self._block(some, b)[:, None] ^ _CHOICES[b][None, :]
-                first = self.begins[b][asked]
-                many = self.begins[b][asked + 1] - first
+            for b, (order, begins) in enumerate(self.directories.get(length, ())):
+                asked = self._block(prints[at : at + LOOKED_UP], b)[:, None] ^ _CHOICES[b][None, :]
+                first = begins[asked].astype(np.int64)
+                many = begins[asked + 1] - first
                 w, c = np.nonzero(many)
                 n = many[w, c]
-                if not len(n):
-                    continue
-                windows = np.repeat(w, n)
-                items = self.order[b][np.repeat(first[w, c] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                close = np.bitwise_count(some[windows] ^ self.prints[items]) <= self.radius
-                if length is not None:
-                    close &= self.counts[items] == length
-                out.append(np.stack([windows[close] + at, items[close]], 1))
+                if len(n):
+                    yield np.repeat(w, n) + at, order[np.repeat(first[w, c] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def found(self, prints: np.ndarray, length: int | None = None) -> np.ndarray:
+        """(window, item) pairs within the radius, once each; items of ``length`` words, if given."""
+        out = [np.zeros((0, 2), np.int64)]
+        for n in self.directories if length is None else (length,):
+            for windows, items in self.met(prints, n):
+                close = np.bitwise_count(prints[windows] ^ self.prints[items]) <= self.radius
+                out.append(np.stack([windows[close], items[close]], 1))
         return np.unique(np.concatenate(out), axis=0)
 
     def leaks(self, texts: list[str], threshold: float) -> Iterator[tuple[int, int, float, int]]:
@@ -179,24 +187,70 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     id_type = items.select("item_id").limit(0).toArrow().schema.field("item_id").type
     # A bounded block at a time comes to the driver and goes to the workers.
-    rows = ((r["item_id"], r["text"]) for r in items.toLocalIterator())
-    block, parts = list(islice(rows, block_items)), []
-    while True:
-        following = list(islice(rows, block_items))
-        found, shared = _leaks_of(docs, ItemBlock(block, shingle, radius), threshold, schema, names, id_type)
-        if not following and not parts:
-            out = found
-            break
-        parts.append(stage(found, "leaks"))
-        shared.destroy()
-        if not following:
-            out = reduce(DataFrame.unionByName, parts)
-            break
-        block = following
+    blocks = _blocks(items, block_items)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        out, _ = _leaks_of(docs, ItemBlock(block, shingle, radius), threshold, schema, names, id_type)
+    else:
+        docs, parts = stage(_near_items(docs, items, shingle), "leaks-documents"), []
+        while block is not None:
+            found, shared = _leaks_of(docs, ItemBlock(block, shingle, radius), threshold, schema, names, id_type)
+            parts.append(stage(found, "leaks"))
+            shared.destroy()
+            block, following = following, next(blocks, None)
+        drop(docs)
+        out = reduce(DataFrame.unionByName, parts)
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("similarity"), "first_word", "n_words")
     return out.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(names)
 
 
+def _blocks(items: DataFrame, block_items: int) -> Iterator[list[tuple]]:
+    """The items, ``block_items`` at a time; one empty block where there is none."""
+    rows = ((r["item_id"], r["text"]) for r in items.toLocalIterator())
+    yield list(islice(rows, block_items))
+    while block := list(islice(rows, block_items)):
+        yield block
+
+
+def _runs(texts: list[str], size: int) -> Iterator[np.ndarray]:
+    """The shingle hashes of each text; of one of fewer words, the hash of all."""
+    words, bounds = word_hashes(texts)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield shingle_hashes(words[a:b], max(1, min(size, b - a)))
+
+
+def _near_items(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """doc_id and text of the documents that may hold a shingle of an item (or are, or hold, fewer words than one)."""
+    gate, short = np.zeros(GATE_BITS // 8, np.uint8), set()
+    for block in _blocks(items, 1000):
+        texts = [t or "" for _, t in block]
+        for text, runs in zip(texts, _runs(texts, size), strict=True):
+            at = (runs & np.uint64(GATE_BITS - 1)).astype(np.int64)
+            np.bitwise_or.at(gate, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+            n = len(text_words(text)) if len(runs) == 1 else size
+            if 0 < n < size:
+                short.add(n)
+    shared = docs.sparkSession.sparkContext.broadcast((gate, sorted(short)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gate, short = shared.value
+        for batch in batches:
+            texts, keep = texts_of(batch), []
+            for a, b in passes([len(t) for t in texts]):
+                marks = [np.zeros(b - a, bool)]
+                for n in (size, *short):
+                    hits = []
+                    for runs in _runs(texts[a:b], n):
+                        at = (runs & np.uint64(GATE_BITS - 1)).astype(np.int64)
+                        hits.append(bool((gate[at >> 3] >> (at & 7).astype(np.uint8) & 1).any()))
+                    marks.append(np.array(hits, bool))
+                keep.append(np.any(marks, 0))
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return in_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, text string")
+
+
 def _leaks_of(docs: DataFrame, block: ItemBlock, threshold: float, schema: str, names: list[str], id_type: pa.DataType) -> tuple[DataFrame, Broadcast]:
     """The pairs of one block, and the broadcast that they are read with."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -211,7 +265,7 @@ def _leaks_of(docs: DataFrame, block: ItemBlock, threshold: float, schema: str,
                 columns = [pa.array([items.ids[r[1]] for r in rows], id_type), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([len(items.words[r[1]]) for r in rows], pa.int64())]
                 yield pa.RecordBatch.from_arrays([ids, *columns], names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema), shared
+    return in_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, schema), shared
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

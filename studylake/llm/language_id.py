@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, texts_of
+from .common import fold, in_arrow, texts_of
 
 PIECE = 1000
 SIZES = (1, 2, 3, 4)
@@ -224,4 +224,4 @@ def identify(docs: DataFrame, classifier: Classifier) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return in_arrow(rows, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, join_on_hot, scratch_path, stage, texts_of
+from .common import drop, in_arrow, join_on_hot, scratch_path, stage, texts_of
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
@@ -161,7 +161,7 @@ def store(docs: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "digest", "shard", "offset", "media_bytes"])
         shards.close()
 
-    placed = stage(rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, digest binary, shard string, offset bigint, media_bytes bigint"), "media-placed")
+    placed = stage(in_arrow(rows, run, f"doc_id {kind}, n_bytes bigint, digest binary, shard string, offset bigint, media_bytes bigint"), "media-placed")
     bare = placed.filter("shard IS NULL").select("doc_id", "n_bytes", "digest")
     known = catalog(placed.filter("shard IS NOT NULL")).drop("n_rows").join(copied.select("digest", "n"), "digest")
     index = placed.filter("shard IS NOT NULL").unionByName(join_on_hot(bare, stage(known, "media-known"), "digest", "n"))
@@ -201,7 +201,7 @@ def add_header(index: DataFrame, root: str) -> DataFrame:
             extra = [pa.array([h[k] for h in heads], pa.int64()) for k in ("width", "height", "bits", "colour")]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "width", "height", "bits", "colour"])
 
-    return index.mapInArrow(run, fields + ", width bigint, height bigint, bits bigint, colour bigint")
+    return in_arrow(index, run, fields + ", width bigint, height bigint, bits bigint, colour bigint")
 
 
 def add_content(index: DataFrame, root: str) -> DataFrame:
@@ -227,7 +227,7 @@ def add_content(index: DataFrame, root: str) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], [*batch.schema.names, *names])
 
-    return index.mapInArrow(run, fields + ", payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_sha256 string, mean_sample double")
+    return in_arrow(index, run, fields + ", payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_sha256 string, mean_sample double")
 
 
 def media_table(docs: DataFrame) -> DataFrame:

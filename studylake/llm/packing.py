@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import passes, stage, texts_of
+from .common import in_arrow, passes, stage, texts_of
 from .word_tokens import encoder
 
 CAPACITY = 4096
@@ -95,7 +95,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, byte_level: bool, end_id: int, c
                 names_out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "size", "task", "number", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False)], names_out[: 8 + tokens])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, schema)
 
 
 def _best_fit(capacity: int):
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", byte_level: boo
     # Fewer than the sum of the class sizes, a constant: found by all tasks, then moved to one.
     left = numbered.filter("rank >= whole")
     few = left.select("task", "size", "number", "length").repartition(1)
-    fitted = F.broadcast(few.mapInArrow(_best_fit(capacity), "task int, size int, number bigint, bin bigint, offset bigint"))
+    fitted = F.broadcast(in_arrow(few, _best_fit(capacity), "task int, size int, number bigint, bin bigint, offset bigint"))
     last = left.join(fitted, ["task", "size", "number"]).withColumn("sequence_id", F.col("bin") + F.lit(at)).select(columns)
     return whole.unionByName(last)
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import passes, scratch_path, texts_of
+from .common import in_arrow, passes, scratch_path, texts_of
 from .word_tokens import encoder
 
 MAGIC = b"DAC1"
@@ -156,7 +156,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col("text").cast("string").alias("text")
     order = docs.select("doc_id", text, F.xxhash64(text).alias("tie")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    order.select("doc_id", "text").mapInArrow(write, schema).write.parquet(f"{path}/index")
+    in_arrow(order.select("doc_id", "text"), write, schema).write.parquet(f"{path}/index")
     return path
 
 
@@ -211,7 +211,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
     # Index rows are small, what they name isn't: dealt anew, so that few files of rows don't mean few tasks.
     dealt = index.select("doc_ids", "doc_tokens", "first", "file", "place").repartition("file", "place")
-    return dealt.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return in_arrow(dealt, run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def tokens_at(spark: SparkSession, path: str, numbers: DataFrame, grid: int = SEGMENT_TOKENS) -> DataFrame:
@@ -234,7 +234,7 @@ def tokens_at(spark: SparkSession, path: str, numbers: DataFrame, grid: int = SE
                 found.append(segment[number - first])
             yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array(found, pa.int64())], ["number", "token"])
 
-    return met.select("number", "first", "file", "place").mapInArrow(run, "number bigint, token bigint")
+    return in_arrow(met.select("number", "first", "file", "place"), run, "number bigint, token bigint")
 
 
 def token_table(docs: DataFrame, **how) -> DataFrame:
