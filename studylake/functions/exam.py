@@ -22,8 +22,9 @@ def _lines(text: Column) -> Column:
 
 def bracket_answer(text: Column, number: Column) -> Column:
     """The words after a bracketed answer heading of a question; bare numbers and marks don't count."""
-    hits = F.filter(_lines(text), lambda x: F.regexp_extract(x, G.BRACKET_TAIL, 1).try_cast("int") == number)
-    tails = F.transform(hits, lambda x: X.fold_space(F.regexp_extract(x, G.BRACKET_TAIL, 2)))
+    headed = lambda x: G.heading_number(F.coalesce(F.get(G.tokens(x), F.lit(0)), F.lit("")))
+    hits = F.filter(_lines(text), lambda x: headed(x) == number)
+    tails = F.transform(hits, lambda x: X.fold_space(G.after_heading(x)))
 
     def fine(t: Column) -> Column:
         probe = F.regexp_replace(F.regexp_replace(t, X.IMAGE, ""), r"[\d\s.．、,，;；:：()（）\-_=+*/<>×÷~～^]+", "")
@@ -36,23 +37,24 @@ def is_answer_list(text: Column) -> Column:
     """Whether a text is a list of answers: one compact line, or two matching lines and at least half."""
     t = F.regexp_replace(text, r"^\s+|\s+$", "")
     some = F.filter(F.transform(_lines(t), lambda x: F.trim(x)), lambda x: x != "")
-    hits = F.size(F.filter(some, lambda x: X.is_answer_line(x) | x.rlike(G.ANSWER_HEADING)))
-    return F.coalesce((F.length(text) <= MOST_ANSWER_LIST) & (t.rlike(G.COMPACT) | ((hits >= 2) & (hits * 2 >= F.size(some)))), F.lit(False))
+    hits = F.size(F.filter(some, lambda x: X.is_answer_line(x) | G.is_answer_heading(x)))
+    return F.coalesce((F.length(text) <= MOST_ANSWER_LIST) & (G.compact_codes(t).isNotNull() | ((hits >= 2) & (hits * 2 >= F.size(some)))), F.lit(False))
 
 
 def compact_answers(line: Column) -> Column:
     """Question number -> answer of a compact line such as "1.A 2.B 3.CD"; the last of a number counts."""
-    numbers, marks = (F.regexp_extract_all(line, F.lit(G.CODES), F.lit(i)) for i in (1, 2))
-    pairs = F.zip_with(numbers, marks, lambda n, m: F.struct(n.cast("int").alias("k"), m.alias("v")))
-    last = bound(pairs, lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["k"] == p["k"])))
-    return F.when(F.trim(line).rlike(G.COMPACT), F.map_from_entries(last)).otherwise(F.create_map().cast("map<int,string>"))
+    # Of codes sorted by number and place the last of each number stays.
+    ordered = lambda codes: F.array_sort(F.transform(codes, lambda c, i: F.struct(c["number"].alias("k"), i.alias("i"), c["answer"].alias("v"))))
+    last = lambda all_: F.filter(F.zip_with(all_, F.slice(all_, F.lit(2), F.size(all_)), lambda a, b: F.when(b.isNull() | (a["k"] != b["k"]), F.struct(a["k"].alias("k"), a["v"].alias("v")))), lambda x: x.isNotNull())
+    found = bound(G.compact_codes(line), lambda codes: bound(ordered(codes), last))
+    return F.coalesce(F.map_from_entries(found), F.create_map().cast("map<int,string>"))
 
 
 def loose_count(text: Column) -> Column:
     """Lines that begin or end with a question number, from the first section heading on."""
     rows = F.transform(_lines(F.coalesce(text, F.lit(""))), lambda x: F.trim(x))
-    first = F.greatest(F.array_position(F.transform(rows, lambda x: x.rlike(G.SECTION)), F.lit(True)), F.lit(1))
-    ends = lambda x: x.rlike(r"\d{1,2}\s*[.．、)]\s*$") & ~x.rlike(G.NUMBER_ALONE) & ~x.rlike(G.ANSWER_LINE)
+    first = F.greatest(F.array_position(F.transform(rows, lambda x: G.is_section(x)), F.lit(True)), F.lit(1))
+    ends = lambda x: x.rlike(r"\d{1,2}\s*[.．、)]\s*$") & ~G.is_number_alone(x) & ~G.is_single(x)
     return F.size(F.filter(F.slice(rows, first.cast("int"), F.size(rows)), lambda x: X.question_number(x).isNotNull() | ends(x)))
 
 
@@ -68,7 +70,7 @@ def boundaries(text: Column) -> Column:
     lines_ = _lines(text)
 
     def number(x: Column) -> Column:
-        return F.when(x.rlike(G.QUESTION_START) & ~F.trim(x).rlike(G.ANSWER_LINE), F.regexp_extract(x, G.QUESTION_START, 1).try_cast("int"))
+        return F.when(~G.is_single(F.trim(x)), G.start_number(x))
 
     def numbered(all_: Column) -> Column:
         at = starts(F.transform(all_, lambda x: F.length(x) + 1))
@@ -115,7 +117,7 @@ def answer_section(text: Column) -> Column:
     zero = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("found"))
 
     def look(acc: Column, x: Column) -> Column:
-        hit = (acc["found"] < 0) & (X.is_answer_line(F.trim(x)) | F.trim(x).rlike(G.ANSWER_HEADING))
+        hit = (acc["found"] < 0) & (X.is_answer_line(F.trim(x)) | G.is_answer_heading(x))
         return F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.when(hit, acc["at"]).otherwise(acc["found"]).alias("found"))
 
     return F.coalesce(F.aggregate(_lines(text), zero, look, lambda a: a["found"]), F.lit(-1))
@@ -128,9 +130,8 @@ def answer_letters(text: Column) -> Column:
 
 def options_of(line: Column) -> Column:
     """The options that a line holds, one or several: array of (key, text)."""
-    parts = F.split(line, G.NEXT_OPTION)
-    real = F.filter(parts, lambda p: p.rlike(G.OPTION))
-    return F.transform(real, lambda p: F.struct(F.upper(F.regexp_extract(p, G.OPTION, 1)).alias("key"), F.trim(F.regexp_extract(p, G.OPTION, 2)).alias("text")))
+    apart = F.split(F.regexp_replace(line, rf"\s([A-Da-d]\s*[{G.AFTER_QUESTION}])", "\n$1"), "\n")
+    return F.filter(F.transform(apart, lambda p: G.option(p)), lambda o: o.isNotNull())
 
 
 def checked_question(kind: Column, options: Column, score: Column) -> Column:
@@ -230,7 +231,7 @@ def answer_evidence(text: Column, content: Column, number: Column) -> Column:
             rest = F.slice(lines_, at + 2, F.lit(9))
             stop = F.array_position(F.transform(rest, lambda x: X.question_number(x).isNotNull()), F.lit(True))
             window = F.array_join(F.concat(F.slice(lines_, at + 1, F.lit(1)), F.when(stop > 0, F.slice(rest, F.lit(1), (stop - 1).cast("int"))).otherwise(rest)), "\n")
-            said = F.flatten(F.array(*[F.regexp_extract_all(window, F.lit(p), F.lit(1)) for p in G.SAID_ANSWERS]))
+            said = G.said_answers(window)
             near = F.when(at.isNotNull(), F.flatten(F.transform(said, lambda v: answer_keys_of(v)))).otherwise(none)
             own = F.coalesce(F.when(number > 0, number), F.when(at.isNotNull(), F.regexp_extract(F.get(lines_, at), r"^\s*(\d{1,3})", 1).try_cast("int")))
 
@@ -240,7 +241,7 @@ def answer_evidence(text: Column, content: Column, number: Column) -> Column:
 
             return F.array_sort(F.array_distinct(F.concat(F.coalesce(near, none), F.coalesce(bound(own, listed), none))))
 
-        from_ = F.transform(F.slice(lines_, begin + 1, F.size(lines_)), lambda x: F.trim(x).rlike(G.NUMBER_ALONE) | X.question_number(x).isNotNull())
+        from_ = F.transform(F.slice(lines_, begin + 1, F.size(lines_)), lambda x: G.is_number_alone(x) | X.question_number(x).isNotNull())
         found = F.array_position(from_, F.lit(True))
         return bound(F.when((begin >= 0) & (found > 0), (begin + found - 1).cast("int")), with_number)
 
@@ -280,9 +281,9 @@ def from_source(lines_: Column, content: Column, options: Column, kind: Column)
     stem, a short stem that the source lacks, options of another question.
     """
     plain = F.trim(X.without_images(content))
-    own = F.regexp_extract(plain, G.QUESTION_START, 1).try_cast("int")
-    numbered = lambda x: F.trim(x).rlike(G.NUMBER_ALONE) | X.question_number(F.trim(x)).isNotNull()
-    stops = lambda x: x.rlike(G.QUESTION_START) | x.rlike(G.OPTION_LINE) | x.rlike(G.ANSWER_PART + "[:：]")
+    own = G.start_number(plain)
+    numbered = lambda x: G.is_number_alone(x) | X.question_number(F.trim(x)).isNotNull()
+    stops = lambda x: G.start_number(x).isNotNull() | G.is_option_line(x) | G.is_said_part(x)
 
     def of(all_: Column) -> Column:
         found = F.struct(
@@ -298,7 +299,7 @@ def from_source(lines_: Column, content: Column, options: Column, kind: Column)
             anchor = F.when((f["line"] >= 0) & ((F.trim(probe) == "") | near), f["line"]).when(f["own"] >= 0, f["own"]).otherwise(F.lit(-1))
 
             def collected(at: Column) -> Column:
-                alone = F.transform(all_, lambda x: F.trim(x).rlike(G.NUMBER_ALONE))
+                alone = F.transform(all_, lambda x: G.is_number_alone(x))
                 later = F.array_position(F.slice(alone, at + 2, F.size(all_)), F.lit(True))
                 number = F.when(F.get(alone, at) | (later == 0), at).otherwise((at + later).cast("int"))
                 first = F.greatest(f["first"], F.lit(0))
@@ -320,7 +321,7 @@ def from_source(lines_: Column, content: Column, options: Column, kind: Column)
 
         return bound(found, anchored)
 
-    refused = (plain == "") | plain.rlike(G.ANSWER_PART + "[:：]")
+    refused = (plain == "") | G.is_said_part(plain)
     result = bound(lines_, of)
     return F.when(refused, F.struct(content.alias("content"), F.lit(False).alias("kept"))).otherwise(result)
 
@@ -338,8 +339,8 @@ def trimmed(chunk: Column, head: bool = True, tail: bool = True) -> Column:
         if head:
             # 0 before the number, 1 after it, 2 at the first line that stays.
             def walk(t: Column, x: Column) -> Column:
-                numbered = x.rlike(G.NUMBER_ALONE) | X.question_number(x).isNotNull()
-                belongs = x.rlike(G.OPTION_LINE) | x.rlike(G.ANSWER_PART)
+                numbered = G.is_number_alone(x) | X.question_number(x).isNotNull()
+                belongs = G.is_option_line(x) | G.is_answer_part(x)
                 goes = (x == "") | (numbered & (t["seen"] == 0)) | (belongs & (t["seen"] == 1))
                 seen = F.when((t["seen"] == 2) | ~goes, 2).when((x != "") & numbered & (t["seen"] == 0), 1).otherwise(t["seen"])
                 return F.struct(seen.alias("seen"), (t["n"] + F.when(seen < 2, 1).otherwise(0)).alias("n"))
@@ -347,7 +348,7 @@ def trimmed(chunk: Column, head: bool = True, tail: bool = True) -> Column:
             first = F.aggregate(rows, F.struct(F.lit(0).alias("seen"), F.lit(0).alias("n")), walk, lambda t: t["n"]) + 1
         last = F.size(rows)
         if tail:
-            ends = lambda x: x.rlike(G.OPTION_LINE) | x.rlike(G.QUESTION_START) | x.rlike(G.ANSWER_PART) | (F.contains(x, F.lit("[图片")) & x.endswith("]"))
+            ends = lambda x: G.is_option_line(x) | G.start_number(x).isNotNull() | G.is_answer_part(x) | (F.contains(x, F.lit("[图片")) & x.endswith("]"))
             back = F.array_position(F.transform(F.reverse(rows), ends), F.lit(True))
             last = F.when(back > 0, F.size(rows) - back + 1).otherwise(F.lit(0))
         return bound(F.struct(first.cast("int").alias("a"), last.cast("int").alias("b")), lambda r: F.array_join(F.slice(all_, r["a"], F.greatest(r["b"] - r["a"] + 1, F.lit(0))), "\n"))
@@ -390,7 +391,7 @@ def listed_numbers(text: Column) -> Column:
     def number(x: Column) -> Column:
         return F.coalesce(F.regexp_extract(x, start, 1).try_cast("int"), F.regexp_extract(x, end, 1).try_cast("int"))
 
-    rows = F.filter(F.transform(_lines(text), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(G.ANSWER_LINE))
+    rows = F.filter(F.transform(_lines(text), lambda x: F.trim(x)), lambda x: (x != "") & ~G.is_single(x))
     return F.array_distinct(F.filter(F.transform(rows, number), lambda n: n.between(1, 999)))
 
 

@@ -88,14 +88,14 @@ def round_half_up(x: Column, digits: int = 0) -> Column:
 
 
 def interleave(mastery: Column) -> Column:
-    """Share of other topics to mix in, by mastery."""
-    return F.when(mastery < 0.4, 0.2).when(mastery < 0.7, 0.4).otherwise(0.6)
+    """Share of neighbouring topics to mix in: none below a mastery of 0.6 (fixed values)."""
+    return F.when(mastery >= 0.85, 0.35).when(mastery >= 0.6, 0.15).otherwise(0.0)
 
 
 def phrase(n: Column, right: Column) -> Column:
-    """A word for a performance of at least three answers."""
+    """The words for a performance, of at least three answers (fixed values)."""
     rate = right / n
-    return F.when(n < 3, "few answers").when(rate >= 0.8, "strong").when(rate >= 0.5, "mixed").otherwise("weak")
+    return F.when(n < 3, "数据还太少").when(rate >= 0.8, "较好").when(rate >= 0.5, "一般").otherwise("较弱")
 
 
 def answered_right(question_type: Column, answer_keys: Column, selected: Column) -> Column:

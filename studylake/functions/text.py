@@ -97,30 +97,24 @@ def answer_of(line: Column, number: Column) -> Column:
     A range's answers stand apart by blanks and marks, in the order of the numbers.
     """
 
-    def single(pattern: str) -> Column:
-        return F.when(F.regexp_extract(line, pattern, 1).try_cast("int") == number, F.regexp_extract(line, pattern, 2))
-
-    start, end = (F.regexp_extract(line, G.RANGE_ANSWER, i).try_cast("int") for i in (1, 2))
-    apart = F.filter(F.split(F.regexp_extract(line, G.RANGE_ANSWER, 3), r"[\s,，、;；]+"), lambda t: t != "")
-    ranged = F.when((number >= start) & (number <= end), F.try_element_at(apart, (number - start + 1).cast("int")))
-    return F.coalesce(single(G.BRACKET_ANSWER), single(G.DOTTED_ANSWER), ranged)
+    ranged = lambda r: F.when(number.between(r["start"], r["end"]), F.try_element_at(r["answers"], (number - r["start"] + 1).cast("int")))
+    return bound(G.single_answer(line), lambda one: F.coalesce(F.when(one["number"] == number, one["answer"]), bound(G.answer_range(line), ranged)))
 
 
 def is_answer_line(line: Column) -> Column:
     """Whether a line is an answer line of any form."""
-    return line.rlike(G.ANSWER_LINE) | line.rlike(G.RANGE_ANSWER)
+    return G.is_single(line) | G.answer_range(line).isNotNull()
 
 
 def decimal_like(line: Column) -> Column:
     """Whether a line begins with a decimal number (a number before a year isn't one)."""
-    return line.rlike(G.DECIMAL) & ~line.rlike(G.YEAR_AFTER)
+    return G.is_decimal(line)
 
 
 def question_number(line: Column) -> Column:
     """The number that a line begins a question with, else null (decimals and answer lines aren't questions)."""
     bare = F.trim(F.regexp_replace(line, rf"^(\s*{IMAGE})+", ""))
-    starts = bare.rlike(G.QUESTION_START) & ~decimal_like(bare) & (bare.rlike(G.NUMBER_ALONE) | ~bare.rlike(G.ANSWER_LINE))
-    return F.when(starts, F.regexp_extract(bare, G.QUESTION_START, 1).try_cast("int"))
+    return bound(bare, lambda x: F.when(~decimal_like(x) & (G.is_number_alone(x) | ~G.is_single(x)), G.start_number(x)))
 
 
 def question_type(options: Column, heading: Column) -> Column:

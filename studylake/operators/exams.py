@@ -24,17 +24,16 @@ def markdown_questions(docs: DataFrame, key: str) -> DataFrame:
     """
     line = F.trim("line")
     own, block = Window.partitionBy(key).orderBy("place"), Window.partitionBy(key, "block").orderBy("place")
-    rows = X.lines(docs, key).withColumn("number", F.regexp_extract(line, G.HEADING, 1).try_cast("int")).withColumn("is_material", line.rlike(G.MATERIAL))
+    rows = X.lines(docs, key).withColumn("of_heading", G.question_heading(line)).withColumn("number", F.col("of_heading.number")).withColumn("is_material", G.is_material_heading(line))
     head = F.col("number").isNotNull() | F.col("is_material")
-    rows = rows.withColumn("head", head).withColumn("block", F.count_if("head").over(own)).withColumn("kind", F.when(head, F.regexp_extract(line, G.HEADING, 2)))
-    field, rest = F.regexp_extract(line, G.FIELD, 1), F.regexp_extract(line, G.FIELD, 2)
-    rows = rows.withColumn("field", F.when(~F.col("head") & (field != ""), field))
-    option = ~F.col("head") & F.col("field").isNull() & line.rlike(G.OPTION)
+    rows = rows.withColumn("head", head).withColumn("block", F.count_if("head").over(own)).withColumn("kind", F.when(head, F.coalesce("of_heading.kind", F.lit(""))))
+    rows = rows.withColumn("of_field", F.when(~F.col("head"), G.field(line))).withColumn("field", F.col("of_field.name"))
+    option = ~F.col("head") & F.col("field").isNull() & G.option(line).isNotNull()
     # Options without their field begin at the first option line of a stem that has two.
     rows = rows.withColumn("option", option).withColumn("n_options", F.count_if("option").over(Window.partitionBy(key, "block")))
     opens = F.when(F.col("option") & (F.col("n_options") >= 2) & (F.count("field").over(block) == F.count(F.when(F.col("field") == "题干", 1)).over(block)), "选项")
     rows = rows.withColumn("mark", F.coalesce("field", opens)).withColumn("section", F.coalesce(F.last("mark", True).over(block), F.lit("题干")))
-    rows = rows.withColumn("body", F.when(F.col("field").isNotNull(), rest).otherwise(line)).filter("NOT head OR is_material OR number IS NOT NULL")
+    rows = rows.withColumn("body", F.when(F.col("field").isNotNull(), F.col("of_field.rest")).otherwise(line)).filter("NOT head OR is_material OR number IS NOT NULL")
     per = rows.groupBy(key, "block").agg(
         F.max("number").alias("number"),
         F.bool_or("is_material").alias("is_material"),
@@ -47,8 +46,8 @@ def markdown_questions(docs: DataFrame, key: str) -> DataFrame:
     per = per.withColumn("content", stem)
     materials = F.last(F.when(F.col("is_material") & (F.col("content") != ""), F.concat(F.lit("m"), F.col("block").cast("string"))), True).over(Window.partitionBy(key).orderBy("block"))
     # A line that is no option goes on with the option before it.
-    glued = F.regexp_replace("option_lines", r"\n(?!" + G.OPTION_HEAD + ")", "")
-    options = F.flatten(F.transform(F.filter(F.split(glued, "\n"), lambda x: x != ""), lambda x: M.options_of(x)))
+    marked = F.array_join(F.transform(F.split("option_lines", "\n"), lambda x: F.concat(F.when(G.option(x).isNotNull(), "\n").otherwise(""), x)), "")
+    options = F.flatten(F.transform(F.filter(F.split(marked, "\n"), lambda x: x != ""), lambda x: M.options_of(x)))
     made = per.withColumn("material", materials).withColumn("options", options).filter("NOT is_material AND content <> ''")
     return made.select(key, "block", "number", X.question_type(F.col("options"), F.col("heading")).alias("type"), "content", "options", M.answer_letters(F.col("answer")).alias("answer_keys"), X.blank_to_null(F.col("analysis")).alias("analysis"), X.blank_to_null(F.col("reference")).alias("reference"), "material")
 

@@ -68,33 +68,58 @@ def reset(states_: DataFrame, log: DataFrame, bank_id: int) -> tuple[DataFrame,
     return states_.filter(other), log.filter(other)
 
 
-def earlier_answers(rows: DataFrame) -> DataFrame:
-    """``rows`` with the bank's answers, all and right, before each (n_before, ok_before).
+def earlier_answers(rows: DataFrame, by: tuple[str, ...] = ("bank_id",)) -> DataFrame:
+    """``rows`` with the answers, all and right, before each in its group (n_before, ok_before).
 
-    A bank may hold a third of the log, so its running count is taken in two
-    steps: within an hour, and over the sums of the hours before.
+    A group (a bank, a set of nodes) may hold a third of the log, so its running count
+    is taken in two steps: within an hour, and over the sums of the hours before.
     """
     hour = F.date_trunc("hour", "answered_at").cast("timestamp_ntz")
     rows = rows.withColumn("hour", hour)
-    sums = rows.groupBy("bank_id", "hour").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("ok"))
-    past = Window.partitionBy("bank_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("bank_id", "hour", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"{c}_past") for c in ("n", "ok")])
-    near = Window.partitionBy("bank_id", "hour").orderBy("answered_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    cell = [*by, "hour"]
+    sums = rows.groupBy(cell).agg(F.count("*").alias("n"), F.count_if("is_correct").alias("ok"))
+    past = Window.partitionBy(*by).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*cell, *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"{c}_past") for c in ("n", "ok")])
+    near = Window.partitionBy(*cell).orderBy("answered_at", "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("n_near", F.count("*").over(near)).withColumn("ok_near", F.coalesce(F.count_if(F.col("is_correct")).over(near), F.lit(0)))
-    rows = rows.join(sums, ["bank_id", "hour"])
+    rows = rows.join(sums, cell)
     return rows.withColumn("n_before", F.col("n_past") + F.col("n_near")).withColumn("ok_before", F.col("ok_past") + F.col("ok_near")).drop("hour", "n_past", "ok_past", "n_near", "ok_near")
 
 
-def ratings(attempts: DataFrame, initial: Column, ability: Column | None = None) -> DataFrame:
-    """question_id, difficulty, attempts: ratings after all decided answers.
+def node_abilities(attempts: DataFrame, tags: DataFrame) -> DataFrame:
+    """The decided answers with ``ability``: how the questions on the same nodes of the bank went up to and with each.
 
-    The ability at an answer is that of the bank's earlier answers unless given.
+    ``tags``: question_id, node_id.  Questions of one bank with the same set of nodes form
+    a class; an answer counts once for every class whose set meets that of its question,
+    however many nodes they share, and each class keeps one running count.  Answers to
+    questions without nodes have the ability of a mastery of one half.
     """
-    rows = attempts.filter("is_correct IS NOT NULL")
-    if ability is None:
-        rows = earlier_answers(rows)
-        ability = rules.ability((F.col("ok_before") + 1.5) / (F.col("n_before") + 3))
-    rows = rows.withColumn("ability", ability).withColumn("start", initial)
+    right = F.when(F.col("grade").isNotNull(), rules.is_right(F.col("grade")))
+    rows = attempts.withColumn("is_correct", right).filter("is_correct IS NOT NULL")
+    sets = tags.groupBy("question_id").agg(F.array_sort(F.collect_set("node_id")).alias("nodes"))  # the nodes of a question
+    rows = rows.join(sets, "question_id", "left")
+    classes = rows.filter("nodes IS NOT NULL").select("bank_id", "nodes").distinct()
+    of_node = classes.select("bank_id", "nodes", F.explode("nodes").alias("node"))
+    meets = of_node.join(of_node.withColumnRenamed("nodes", "other"), ["bank_id", "node"]).select("bank_id", "nodes", "other").distinct()
+    seen = rows.select("bank_id", F.col("nodes").alias("other"), "answered_at", "id", "is_correct").join(meets, ["bank_id", "other"])
+    own = earlier_answers(seen, ("bank_id", "nodes")).filter(F.col("nodes") == F.col("other")).select("id", "n_before", "ok_before")
+    share = (F.col("ok_before") + F.when(F.col("is_correct"), 1).otherwise(0) + 1.5) / (F.col("n_before") + 1 + 3)
+    counted = rows.join(own, "id", "left").withColumn("ability", F.when(F.col("n_before").isNotNull(), rules.ability(share)).otherwise(0.0))
+    return counted.drop("nodes", "n_before", "ok_before")
+
+
+def ratings(attempts: DataFrame, questions: DataFrame, tags: DataFrame) -> DataFrame:
+    """question_id, difficulty, attempts: ratings after all decided answers to known questions.
+
+    A question starts from its type and score (``questions``: id, question_type, score);
+    the ability at an answer is that on the question's nodes at the time.
+    """
+    start = questions.select(F.col("id").alias("question_id"), rules.initial_difficulty(F.col("question_type"), F.col("score")).alias("start"))
+    return rated(node_abilities(attempts, tags).join(start, "question_id"))
+
+
+def rated(rows: DataFrame) -> DataFrame:
+    """The ordered fold: question_id, difficulty, attempts from rows with is_correct, ability and start."""
     # The fold needs the start inside: the first element carries it.
     zero = F.lit(None).cast("double")
 

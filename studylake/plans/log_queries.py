@@ -146,14 +146,24 @@ def level_histogram(spark, sf_dir):
     return T.level_histogram(R.states(B.attempts(spark, sf_dir)))
 
 
-@query(f"""WITH RECURSIVE {LOG}, o AS (SELECT question_id, is_correct, row_number() OVER (PARTITION BY question_id ORDER BY answered_at, id) AS rn,
-  coalesce(count(*) FILTER (WHERE is_correct) OVER w, 0) AS ok, count(*) OVER w AS n FROM g WHERE is_correct IS NOT NULL WINDOW w AS (PARTITION BY bank_id ORDER BY answered_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-x AS (SELECT *, greatest(-400, least(400, 400 * (2 * ((ok + 1.5) / (n + 3)) - 1)))::DOUBLE AS ability FROM o),
-r AS (SELECT question_id, 0::BIGINT AS rn, 400::DOUBLE AS d FROM (SELECT DISTINCT question_id FROM x)
-  UNION ALL SELECT x.question_id, x.rn, greatest(-400, least(1200, d + 16 * (1 / (1 + pow(10::DOUBLE, (d - ability) / 400)) - CASE WHEN is_correct THEN 1 ELSE 0 END)))::DOUBLE FROM r JOIN x ON x.question_id = r.question_id AND x.rn = r.rn + 1)
+#: Two nodes a question: its type and its brand.
+_TWO_TAGS = "t AS (SELECT p_partkey AS question_id, p_type AS node_id FROM part UNION ALL SELECT p_partkey, p_brand FROM part)"
+
+
+def _two_tags(spark, sf_dir):
+    q = B.questions(spark, sf_dir)
+    return q.select(F.col("id").alias("question_id"), F.explode(F.array("topic", "category")).alias("node_id"))
+
+
+@query(f"""WITH RECURSIVE {LOG}, {QUESTIONS}, {_TWO_TAGS}, p AS (SELECT DISTINCT a.question_id AS mine, b.question_id AS other FROM t a JOIN t b USING (node_id)),
+o AS (SELECT id, question_id, bank_id, answered_at, grade = 'CORRECT' AS ok, row_number() OVER (PARTITION BY question_id ORDER BY answered_at, id) AS rn FROM g WHERE grade IS NOT NULL),
+c AS (SELECT o.id, count(r.id) AS n, count(*) FILTER (WHERE r.ok) AS k FROM o JOIN p ON p.mine = o.question_id JOIN o r ON r.question_id = p.other AND r.bank_id = o.bank_id WHERE (r.answered_at, r.id) <= (o.answered_at, o.id) GROUP BY 1),
+x AS (SELECT o.question_id, rn, ok, CASE WHEN c.id IS NULL THEN 0 ELSE greatest(-400, least(400, 400 * (2 * ((k + 1.5) / (n + 3)) - 1))) END::DOUBLE AS ability FROM o LEFT JOIN c USING (id)),
+r AS (SELECT q.id AS question_id, 0::BIGINT AS rn, (CASE question_type WHEN 'SUBJECTIVE' THEN 520 WHEN 'MULTIPLE' THEN 460 WHEN 'JUDGE' THEN 320 ELSE 400 END + CASE WHEN score > 2 AND question_type <> 'SUBJECTIVE' THEN 40 ELSE 0 END)::DOUBLE AS d FROM q WHERE id IN (SELECT question_id FROM x)
+  UNION ALL SELECT x.question_id, x.rn, greatest(-400, least(1200, d + 16 * (1 / (1 + pow(10::DOUBLE, (d - ability) / 400)) - CASE WHEN ok THEN 1 ELSE 0 END)))::DOUBLE FROM r JOIN x ON x.question_id = r.question_id AND x.rn = r.rn + 1)
 SELECT question_id, round(max_by(d, rn), 4) AS difficulty, max(rn) AS attempts FROM r GROUP BY 1""")
 def ratings(spark, sf_dir):
-    found = R.ratings(B.attempts(spark, sf_dir), F.lit(400.0))
+    found = R.ratings(B.attempts(spark, sf_dir), B.questions(spark, sf_dir), _two_tags(spark, sf_dir))
     return found.select("question_id", F.round("difficulty", 4).alias("difficulty"), "attempts")
 
 
@@ -253,7 +263,7 @@ def target_success_order(spark, sf_dir):
     return first.select("question_id", F.row_number().over(Window.orderBy("rank")).alias("place"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN m < 0.4 THEN 0.2 WHEN m < 0.7 THEN 0.4 ELSE 0.6 END::DOUBLE AS share FROM (SELECT p_partkey, p_size / 50 AS m FROM part)")
+@query("SELECT p_partkey AS id, CASE WHEN m >= 0.85 THEN 0.35 WHEN m >= 0.6 THEN 0.15 ELSE 0 END::DOUBLE AS share FROM (SELECT p_partkey, p_size / 50 AS m FROM part)")
 def interleave_shares(spark, sf_dir):
     return B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), rules.interleave(F.col("p_size") / 50).alias("share"))
 
@@ -303,7 +313,7 @@ def predicted_success(spark, sf_dir):
     return B.questions(spark, sf_dir).select("id", d.alias("difficulty"), F.floor(p * 100 + 0.5).alias("percent"))
 
 
-@query(f"WITH {LOG}, r AS (SELECT question_id, count(grade) AS n, count(*) FILTER (WHERE grade = 'CORRECT') AS ok FROM g GROUP BY 1) SELECT question_id, n, ok, CASE WHEN n < 3 THEN 'few answers' WHEN ok / n >= 0.8 THEN 'strong' WHEN ok / n >= 0.5 THEN 'mixed' ELSE 'weak' END AS phrase, round((ok + 1.5) / (n + 3), 6) AS shrunk FROM r")
+@query(f"WITH {LOG}, r AS (SELECT question_id, count(grade) AS n, count(*) FILTER (WHERE grade = 'CORRECT') AS ok FROM g GROUP BY 1) SELECT question_id, n, ok, CASE WHEN n < 3 THEN '数据还太少' WHEN ok / n >= 0.8 THEN '较好' WHEN ok / n >= 0.5 THEN '一般' ELSE '较弱' END AS phrase, round((ok + 1.5) / (n + 3), 6) AS shrunk FROM r")
 def performance_phrase(spark, sf_dir):
     r = B.attempts(spark, sf_dir).groupBy("question_id").agg(F.count("grade").alias("n"), F.count_if(rules.is_right(F.col("grade"))).alias("ok"))
     return r.select("*", rules.phrase(F.col("n"), F.col("ok")).alias("phrase"), F.round((F.col("ok") + 1.5) / (F.col("n") + 3), 6).alias("shrunk"))

@@ -207,7 +207,7 @@ def open_conversations(spark, sf_dir):
 
 
 @query(f"""WITH {LOG}, {TAGS}, o AS (SELECT question_id, count(*) FILTER (WHERE grade <> 'CORRECT') AS wrong_times, max(answered_at) AS last_at, count(grade) AS n, count(*) FILTER (WHERE grade = 'CORRECT') AS ok FROM g GROUP BY 1), u AS (SELECT DISTINCT question_id, node_id FROM t),
-n AS (SELECT node_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(ok) AS BIGINT) AS ok FROM u JOIN o USING (question_id) GROUP BY 1), w AS (SELECT node_id, node_id || ': ' || CASE WHEN ok / n >= 0.8 THEN 'strong' WHEN ok / n >= 0.5 THEN 'mixed' ELSE 'weak' END AS text FROM n WHERE n >= 3),
+n AS (SELECT node_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(ok) AS BIGINT) AS ok FROM u JOIN o USING (question_id) GROUP BY 1), w AS (SELECT node_id, node_id || ': ' || CASE WHEN ok / n >= 0.8 THEN '较好' WHEN ok / n >= 0.5 THEN '一般' ELSE '较弱' END AS text FROM n WHERE n >= 3),
 x AS (SELECT question_id, string_agg(text, '; ' ORDER BY text) AS phrases FROM u JOIN w USING (node_id) GROUP BY 1)
 SELECT question_id, wrong_times, last_at, coalesce(phrases, '') AS phrases FROM o LEFT JOIN x USING (question_id) WHERE wrong_times > 0""")
 def question_histories(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import pytest
@@ -91,6 +92,46 @@ def test_running_counts_equal_a_window_of_the_whole_bank(spark):
     assert {r["id"]: (r["n_before"], r["ok_before"]) for r in review.earlier_answers(rows).collect()} == want
 
 
+def test_interleave_and_phrases_are_the_fixed_ones(spark):
+    assert one(spark, *[rules.interleave(F.lit(m)) for m in (0.0, 0.59, 0.6, 0.84, 0.85, 1.0)]) == [0.0, 0.0, 0.15, 0.15, 0.35, 0.35]
+    assert one(spark, *[rules.phrase(F.lit(n), F.lit(k)) for n, k in ((2, 2), (5, 4), (4, 2), (3, 1))]) == ["数据还太少", "较好", "一般", "较弱"]
+
+
+def test_ratings_equal_a_replay(spark):
+    """Row by row: the ability is the shrunk rate of all answers so far, this one too, to questions that share a node in the bank."""
+    rng = random.Random(6)
+    nodes = {q: set(rng.sample("abcdef", rng.randrange(0, 4))) for q in range(14)}
+    kinds = {q: rng.choice(["SINGLE", "MULTIPLE", "JUDGE", "SUBJECTIVE"]) for q in range(12)}  # two unknown questions
+    base = {"SINGLE": 400.0, "MULTIPLE": 460.0, "JUDGE": 320.0, "SUBJECTIVE": 520.0}
+    answers = [(i, rng.randrange(2), rng.randrange(14), rng.choice([True, False, None]), rng.choice([None, None, "PARTIAL", "CORRECT"]), 1, datetime(2024, 3, 1 + rng.randrange(3), rng.randrange(24), rng.randrange(60))) for i in range(250)]
+    answers = [(i, q % 2, q, *rest) for i, _, q, *rest in answers]
+    grade = lambda ok, own: own or (None if ok is None else "CORRECT" if ok else "WRONG")
+    want, seen = {}, []
+    for i, bank, q, ok, own, _, at in sorted(answers, key=lambda r: (r[6], r[0])):
+        if grade(ok, own) is None:
+            continue
+        right = grade(ok, own) == "CORRECT"
+        seen.append((bank, q, right))
+        same = [r for b, other, r in seen if b == bank and nodes[other] & nodes[q]]
+        ability = max(-400, min(400, 400 * (2 * (sum(same) + 1.5) / (len(same) + 3) - 1))) if nodes[q] else 0.0
+        if q in kinds:
+            d, n = want.get(q, (base[kinds[q]], 0))
+            want[q] = max(-400, min(1200, d + 16 * (1 / (1 + 10 ** ((d - ability) / 400)) - right))), n + 1
+    questions = spark.createDataFrame([(q, k, 1.0) for q, k in kinds.items()], "id long, question_type string, score double")
+    tags = spark.createDataFrame([(q, n) for q, some in nodes.items() for n in (*some, *some)], "question_id long, node_id string")
+    got = {r["question_id"]: (r["difficulty"], r["attempts"]) for r in review.ratings(log(spark, answers), questions, tags).collect()}
+    assert set(got) == set(want) and all(abs(got[q][0] - want[q][0]) < 1e-6 and got[q][1] == want[q][1] for q in want)
+
+
+def test_more_answer_lines(spark):
+    from studylake.functions import exam as M
+
+    lines = ["12 B", "【第3题的答案】anything at all", "1－8 A", "3-5：A，B C", "1234. A", "1. ABCDEFGH", "参考答案：", "key: 1.A 2,B 3.C", "1.A；2.B；3 C"]
+    assert one(spark, *[X.is_answer_line(F.lit(x)) for x in lines[:6]]) == [True, True, False, True, False, False]
+    assert one(spark, X.answer_of(F.lit(lines[3]), F.lit(4)), X.answer_of(F.lit(lines[3]), F.lit(6))) == ["B", None]
+    assert one(spark, M.compact_answers(F.lit(lines[8])), M.compact_answers(F.lit(lines[7]))) == [{1: "A", 2: "B", 3: "C"}, {}]
+
+
 def bucket(spark, ids):
     return spark.createDataFrame([(q, r) for r, q in enumerate(ids)], "question_id long, rank int")
 
