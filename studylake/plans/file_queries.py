@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from studylake.sources import bindings as B
 from studylake.sources import files as L
+from studylake.sources import streams as T
 
 from .base import EDITED, LOG, query
 
@@ -74,7 +75,8 @@ def override_files(spark, sf_dir):
 @query(f"WITH {EDITED}, {LOG} SELECT 'question' AS \"table\", count(*) AS rows, CAST(sum(id) AS BIGINT) AS ids FROM e UNION ALL SELECT 'record', count(*), CAST(sum(id) AS BIGINT) FROM g")
 def restored_backup(spark, sf_dir):
     path = L.backup({"question": B.edited(spark, sf_dir).select("id", "content"), "record": B.attempts(spark, sf_dir).select("id", "answered_at")}, L.scratch(spark, "backup"))
-    tables = L.restore(spark, path, {"question": "id long, content string", "record": "id long, answered_at timestamp_ntz"})
+    schemas = {"question": "id long, content string", "record": "id long, answered_at timestamp_ntz"}
+    tables = L.restored(spark, L.restore_into(spark, path, schemas, L.scratch(spark, "restored")), schemas)
     one = [df.agg(F.count("*").alias("rows"), F.sum("id").alias("ids")).select(F.lit(name).alias("table"), "rows", "ids") for name, df in tables.items()]
     return one[0].unionByName(one[1])
 
@@ -86,3 +88,25 @@ def plain_text_files(spark, sf_dir):
     found = L.read_texts(spark, L.write_texts(pages, L.scratch(spark, "texts")))
     name = F.regexp_extract("path", r"([^/]+)\.txt$", 1).cast("long")
     return found.select(name.alias("page_id"), F.length("text").cast("long").alias("size"), F.md5("text").alias("digest"))
+
+
+@query("""SELECT 'bank' || p_partkey % 10 AS "packageKey", CAST(count(*) AS INT) AS n_questions FROM part GROUP BY 1""")
+def streamed_counts(spark, sf_dir):
+    """Packages of all banks written one to a file and counted as streams."""
+    key = F.concat(F.lit("bank"), (F.col("p_partkey") % 10).cast("string"))
+    question = F.struct(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("questionKey"), F.col("p_name").alias("content"))
+    made = B.table(spark, sf_dir, "part").groupBy(key.alias("packageKey")).agg(F.collect_list(question).alias("questions"))
+    texts = made.select(F.col("packageKey").alias("name"), F.to_json(F.struct("packageKey", "questions")).alias("text"))
+    return T.inspect_files(spark, L.write_texts(texts, L.scratch(spark, "streamed"))).select("packageKey", "n_questions")
+
+
+@query("""SELECT 'bank' || s_nationkey AS "packageKey", 'i' || s_suppkey || '.txt' AS name, s_name AS content, NULL::VARCHAR AS error FROM supplier""")
+def archive_entries(spark, sf_dir):
+    """Every entry of archives of suppliers, each by its own range reads."""
+    name = F.concat(F.lit("i"), F.col("s_suppkey").cast("string"), F.lit(".txt"))
+    rows = B.table(spark, sf_dir, "supplier").select(F.concat(F.lit("bank"), F.col("s_nationkey").cast("string")).alias("packageKey"), name.alias("name"), F.col("s_name").alias("text"))
+    made = rows.groupBy("packageKey").agg(F.map_from_entries(F.collect_list(F.struct("name", F.encode("text", "UTF-8")))).alias("media"))
+    path = L.write_containers(L.containers(made.select("packageKey", F.lit("1").alias("version"), F.lit("{}").alias("manifest"), "media")), L.scratch(spark, "archives"))
+    wanted = rows.select("packageKey", F.concat(F.lit(path + "/"), "packageKey", F.lit("-1.zip")).alias("path"), "name")
+    found = T.read_entries(wanted)
+    return found.select(F.regexp_extract("path", r"(bank\d+)-1\.zip$", 1).alias("packageKey"), "name", F.decode("content", "UTF-8").alias("content"), "error")

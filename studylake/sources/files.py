@@ -6,7 +6,9 @@ opened inside tasks, one file a row, with limits on entries and sizes.
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import re
 import tempfile
 import uuid
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studylake import schema
+from studylake.shipping import in_pandas
 
 #: Limits of a package container (fixed values).
 MOST_ENTRIES, MOST_ENTRY_BYTES, MOST_BYTES = 4096, 100 << 20, 512 << 20
@@ -147,10 +150,19 @@ def write_overrides(nodes: DataFrame, path: str) -> str:
     return path
 
 
+def _facts(df: DataFrame) -> dict:
+    """Rows and an order-free digest of a table."""
+    row = df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("digest")).first()
+    return {"rows": row["rows"], "digest": row["digest"]}
+
+
 def backup(tables: dict[str, DataFrame], path: str) -> str:
-    """All tables as Parquet below one folder."""
+    """All tables as Parquet below one folder, and a list of them with rows and digests, which is written last."""
+    facts = []
     for name, df in tables.items():
         df.write.parquet(f"{path}/{name}")
+        facts.append((name, *_facts(df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")).values()))
+    df.sparkSession.createDataFrame(facts, "name string, rows long, digest string").coalesce(1).write.json(f"{path}/_tables")
     return path
 
 
@@ -161,6 +173,53 @@ def restore(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str
     return {name: read_table(spark, f"{path}/{name}", s) for name, s in schemas.items()}
 
 
+def restore_into(spark: SparkSession, path: str, schemas: dict[str, str], target: str) -> str:
+    """Put a backup in the place of the tables at ``target``: all of it or nothing.
+
+    Tables are written beside the ones in use, below a folder named by the backup's
+    digests, and compared with the backup's list of rows and digests; a table of an
+    earlier, broken-off attempt that is whole is not written again.  Then one small
+    file that says which folder is in use is replaced.
+    """
+    source = restore(spark, path, schemas)
+    listed = {r["name"]: {"rows": r["rows"], "digest": r["digest"]} for r in spark.read.schema("name string, rows long, digest string").json(f"{path}/_tables").collect()}
+    if missing := sorted(set(schemas) - set(listed)):
+        raise ValueError(f"not in the backup: {missing[0]}")
+    version = hashlib.sha256(json.dumps([[n, listed[n], schemas[n]] for n in sorted(schemas)]).encode()).hexdigest()[:16]
+    for name, df in source.items():
+        place = f"{target}/{version}/{name}"
+        if _exists(spark, f"{place}/_SUCCESS") and _facts(read_table(spark, place, schemas[name])) == listed[name]:
+            continue
+        df.write.mode("overwrite").parquet(place)
+        if _facts(read_table(spark, place, schemas[name])) != listed[name]:
+            raise ValueError(f"{name} differs from the backup's list")
+    _swap(spark, target, version)
+    return target
+
+
+def restored(spark: SparkSession, target: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables in use at ``target``."""
+    version = spark.read.text(f"{target}/current").first()["value"]
+    return restore(spark, f"{target}/{version}", schemas)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _swap(spark: SparkSession, target: str, version: str) -> None:
+    """Replace the file that names the folder in use, by one rename."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    new, current = fs.Path(f"{target}/current-{uuid.uuid4().hex}"), fs.Path(f"{target}/current")
+    with_bytes = new.getFileSystem(spark._jsc.hadoopConfiguration()).create(new, True)
+    with_bytes.write(bytearray(version.encode()))
+    with_bytes.close()
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration()).rename(new, current, options)
+
+
 # --- containers and documents ----------------------------------------------------------------------------
 
 
@@ -196,7 +255,7 @@ def read_containers(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((p, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "manifest", "names", "error"])
 
-    raw = _binary(spark, path).mapInPandas(run, "path string, manifest string, names array<string>, error string")
+    raw = in_pandas(_binary(spark, path), run, "path string, manifest string, names array<string>, error string")
     return raw.select("path", "names", "error", F.from_json("manifest", schema.PACKAGE).alias("package"))
 
 
@@ -211,7 +270,7 @@ def read_entry(spark: SparkSession, path: str, name: str) -> DataFrame:
                     out.append(z.read(name) if name in z.namelist() else None)
             yield pd.DataFrame({"path": batch["path"], "content": out})
 
-    return _binary(spark, path).mapInPandas(run, "path string, content binary")
+    return in_pandas(_binary(spark, path), run, "path string, content binary")
 
 
 def containers(packages: DataFrame) -> DataFrame:
@@ -228,7 +287,7 @@ def containers(packages: DataFrame) -> DataFrame:
                 out.append(held.getvalue())
             yield batch[["packageKey", "version"]].assign(content=out)
 
-    return packages.select("packageKey", "version", "manifest", F.map_entries("media").alias("entries")).select("packageKey", "version", "manifest", F.map_from_entries("entries").alias("media")).mapInPandas(run, "packageKey string, version string, content binary")
+    return in_pandas(packages.select("packageKey", "version", "manifest", F.map_entries("media").alias("entries")).select("packageKey", "version", "manifest", F.map_from_entries("entries").alias("media")), run, "packageKey string, version string, content binary")
 
 
 def _write_each(rows: DataFrame, path: str, ending: str) -> str:
@@ -244,7 +303,7 @@ def _write_each(rows: DataFrame, path: str, ending: str) -> str:
                     out.write(content)
             yield batch[["name"]]
 
-    rows.select("name", "content").mapInPandas(run, f"name {name}").write.format("noop").mode("overwrite").save()
+    in_pandas(rows.select("name", "content"), run, f"name {name}").write.format("noop").mode("overwrite").save()
     return path
 
 
@@ -271,7 +330,7 @@ def read_last_entry(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame({"path": batch["path"], "content": out})
 
     listed = spark.read.format("binaryFile").load(path).select("path")
-    return listed.mapInPandas(run, "path string, content binary")
+    return in_pandas(listed, run, "path string, content binary")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -338,4 +397,4 @@ def read_office(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((p, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "text", "error"])
 
-    return _binary(spark, path).mapInPandas(run, "path string, text string, error string")
+    return in_pandas(_binary(spark, path), run, "path string, text string, error string")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from studylake.shipping import ship
+
 LADDER = "question_id long, level int, interval_days int, due_at timestamp_ntz, answers long"
 RATING = "question_id long, difficulty double, attempts long"
 
@@ -44,6 +46,7 @@ def _ladder(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFram
 
 def ladder(answers: DataFrame) -> DataFrame:
     """The state of each question after every micro-batch that holds answers to it."""
+    ship(answers.sparkSession)
     rows = answers.filter("grade IS NOT NULL").select("question_id", "id", "answered_at", (F.col("grade") == "CORRECT").alias("right"))
     return rows.groupBy("question_id").applyInPandasWithState(_ladder, LADDER, "level int, answers long", "update", GroupStateTimeout.NoTimeout)
 
@@ -60,6 +63,7 @@ def _rating(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFram
 
 def rating(answers: DataFrame) -> DataFrame:
     """The rating of each question; answers carry the ability at their time and the initial rating."""
+    ship(answers.sparkSession)
     rows = answers.filter("is_correct IS NOT NULL").select("question_id", "id", "answered_at", "is_correct", "ability", "start")
     return rows.groupBy("question_id").applyInPandasWithState(_rating, RATING, "difficulty double, attempts long", "update", GroupStateTimeout.NoTimeout)
 

@@ -101,3 +101,77 @@ def test_texts_images_backup_and_lookup(spark, tmp_path):
         files.lookup(back, "id", 9).collect()
     with pytest.raises(ValueError):
         files.restore(spark, path, {"../x": "id long"})
+
+
+def test_packages_are_counted_as_a_stream():
+    """Any cut of the bytes gives the same counts, and a long array takes no memory."""
+    import json
+    import tracemalloc
+
+    from studylake.sources import streams
+
+    package = {"schemaVersion": 1, "packageKey": 'a"\\[{', "title": "t", "questions": [{"q": [1, 2, {"x": "]},"}]}, {}, "s,", 5, None], "materials": [], "images": {"a": "{", "b": [1, 2]}, "version": "1", "more": {"questions": [1, 2, 3]}}
+    data = json.dumps(package, indent=1).encode()
+    for size in (1, 2, 3, 7, 50, len(data)):
+        assert streams.count_package(data[i : i + size] for i in range(0, len(data), size)) == ('a"\\[{', "1", "t", 5, 0, 2)
+    for bad in (b"", b"[]", b'{"packageKey": "x"', b'{"packageKey": "x"}}', b'{"version": "1"}', b'{"packageKey": "x", "questions": [}'):
+        with pytest.raises(ValueError):
+            streams.count_package([bad])
+
+    def long(n):
+        yield b'{"packageKey": "x", "questions": ['
+        for i in range(n):
+            yield b'{"content": "' + b"y" * 2000 + b'"}' + (b"," if i < n - 1 else b"")
+        yield b"]}"
+
+    tracemalloc.start()
+    assert streams.count_package(long(20_000))[3] == 20_000
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
+
+
+def test_entries_are_read_by_range(spark, tmp_path):
+    import os
+    import zipfile
+
+    from studylake.sources import streams
+
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for i in range(50):
+            z.writestr(f"e{i}", os.urandom(20_000))
+        z.writestr("small", b"here")
+    (tmp_path / "b.zip").write_bytes(b"no archive")
+    wanted = [(f"file://{path}", "small"), (f"file://{path}", "none"), (f"file://{tmp_path}/b.zip", "x"), (f"file://{tmp_path}/c.zip", "x"), (f"file://{path}", "e7")]
+    got = {(r["path"][-5:], r["name"]): r for r in streams.read_entries(spark.createDataFrame(wanted, "path string, name string")).collect()}
+    assert bytes(got["a.zip", "small"]["content"]) == b"here" and len(got["a.zip", "e7"]["content"]) == 20_000
+    assert [got[k]["error"] for k in (("a.zip", "none"), ("b.zip", "x"), ("c.zip", "x"))] == ["no such entry", "not an archive", "no such file"]
+    directory = 51 * 60
+    assert got["a.zip", "small"]["bytes_read"] < 2 * directory + 200
+    assert got["a.zip", "e7"]["bytes_read"] < 2 * directory + 20_200
+
+
+def test_a_restore_is_whole_or_nothing(spark, tmp_path, monkeypatch):
+    """Broken off between the steps it leaves the old tables in use, and goes on where it stopped."""
+    schemas = {"bank": "id long, name string", "card": "id long"}
+    table = lambda n: {"bank": spark.range(n).selectExpr("id", "concat('b', id) AS name"), "card": spark.range(n)}
+    old, new = (files.backup(table(n), str(tmp_path / f"backup{n}")) for n in (3, 5))
+    target = str(tmp_path / "live")
+    sizes = lambda: [files.restored(spark, target, schemas)[n].count() for n in schemas]
+    files.restore_into(spark, old, schemas, target)
+    assert sizes() == [3, 3]
+    swap = files._swap
+    monkeypatch.setattr(files, "_swap", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        files.restore_into(spark, new, schemas, target)
+    assert sizes() == [3, 3]
+    written = {p: p.stat().st_mtime_ns for p in (tmp_path / "live").rglob("*.parquet")}
+    monkeypatch.setattr(files, "_swap", swap)
+    files.restore_into(spark, new, schemas, target)
+    assert sizes() == [5, 5] and written == {p: p.stat().st_mtime_ns for p in (tmp_path / "live").rglob("*.parquet")}
+    # A table that isn't what the list says is refused before anything is replaced.
+    spark.range(7).write.mode("overwrite").parquet(f"{old}/card")
+    third = str(tmp_path / "third")
+    with pytest.raises(ValueError, match="card differs"):
+        files.restore_into(spark, old, schemas, third)
+    assert not (tmp_path / "third" / "current").exists()
