@@ -29,3 +29,24 @@ def starts(lengths: Column) -> Column:
         return bound(cut, lambda blocks: F.flatten(F.zip_with(blocks, _along(sums(blocks), F.lit(0)), _along)))
 
     return bound(lengths, whole)
+
+
+def scan(values: Column, zero: Column, state: str, step: Callable[[Column, Column], Column]) -> Column:
+    """The state after each element, from ``zero`` by ``step(state, element)``; ``state`` is its type.
+
+    States are appended within blocks, so that a long array isn't copied for each element.
+    """
+    none, no_blocks = F.array().cast(f"array<{state}>"), F.array().cast(f"array<array<{state}>>")
+
+    def one(t: Column, x: Column) -> Column:
+        return bound(step(t["s"], x), lambda s: F.struct(s.alias("s"), F.concat(t["out"], F.array(s)).alias("out")))
+
+    def block(t: Column, b: Column) -> Column:
+        inside = F.aggregate(b, F.struct(t["s"].alias("s"), none.alias("out")), one)
+        return bound(inside, lambda r: F.struct(r["s"].alias("s"), F.concat(t["out"], F.array(r["out"])).alias("out")))
+
+    def whole(all_: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(all_, at + 1, F.lit(BLOCK)))
+        return F.aggregate(cut, F.struct(zero.cast(state).alias("s"), no_blocks.alias("out")), block, lambda t: F.flatten(t["out"]))
+
+    return bound(values, whole)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from studylake.functions import exam as M
+from studylake.functions import pages as P
 from studylake.functions import text as X
 from studylake.operators import exams as E
 from studylake.operators import search as Q
@@ -54,6 +55,54 @@ def cleaned_pages(spark, sf_dir):
     return X.without_repeats(B.table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "n_lines", "n_kept", F.md5("text").alias("digest"))
 
 
+#: Pages of twenty lines (sentences have lines of their own); lines by turns as they are, or numbers, stems, decimals, options, feet and repeats.
+_PAGED = r"""own AS (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), '. ', '.' || chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(coalesce(text, ''), '. ', '.' || chr(10)), chr(10)), 1) - 1 AS i FROM documents),
+made AS (SELECT doc_id, i, i // 20 AS page, CASE (doc_id * 7 + i * 5 + length(line)) % 12 WHEN 0 THEN i % 90 || '.' WHEN 1 THEN ' 下列' || i || '是：' WHEN 2 THEN '属于' || i || '的？ ' || i % 90 || ' 、' WHEN 3 THEN i % 90 || '.' || doc_id || ' m' WHEN 4 THEN 'B. ' || line
+  WHEN 5 THEN '' WHEN 6 THEN 'head ' || i % 3 WHEN 7 THEN '第 ' || i || '页 共 99 页' WHEN 8 THEN '要求' || i WHEN 9 THEN i % 90 || ' ．' ELSE line END AS line FROM own),
+paged AS (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY i) AS text FROM made GROUP BY ALL)"""
+_BARE = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+_BEHIND = r"'^(.+[：:？?）)]\s*)([0-9]{1,3})\s*[.．、]\s*$'"
+
+
+@query(rf"""WITH RECURSIVE {_PAGED}, l AS (SELECT doc_id, page, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, page, regexp_split_to_array(text, '\r\n|[\n\x0b\x0c\r\x{{85}}\x{{2028}}\x{{2029}}]') AS a FROM paged)),
+t AS (SELECT *, {_BARE.format("x")} AS t FROM l), c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS n FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS nth FROM c WHERE t = '' OR (n < 3 AND NOT regexp_matches(t, '第\s*[0-9０-９]+\s*页\s*[,，]?\s*共\s*[0-9０-９]+\s*页'))),
+w AS (SELECT *, nth > 1 AND regexp_matches(t, '^[0-9]{{1,3}}\.[0-9]') AS wraps, regexp_matches(t, {_BEHIND}) AS behind FROM k),
+p AS (SELECT doc_id, page, i, 0 AS part, wraps, CASE WHEN wraps THEN t WHEN behind THEN regexp_extract(t, {_BEHIND}, 1) ELSE x END AS x FROM w UNION ALL SELECT doc_id, page, i, 1, false, regexp_extract(t, {_BEHIND}, 2) || '.' FROM w WHERE behind AND NOT wraps),
+g AS (SELECT *, count(*) FILTER (WHERE NOT wraps) OVER (PARTITION BY doc_id, page ORDER BY i, part) AS g FROM p), j AS (SELECT doc_id, page, g, string_agg(x, '' ORDER BY i, part) AS x FROM g GROUP BY ALL),
+b AS (SELECT *, {_BARE.format("x")} AS t FROM j),
+e AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(t, '^[0-9]{{1,3}}\s*[.．、]\s*$') THEN 'n' WHEN t <> '' AND NOT regexp_matches(t, '^([A-Ha-h]\s*[.．、]|答案|参考答案|解析)') AND regexp_matches(t, '[{P.STEM_ENDS}]$|{"|".join(P.STEM_WORDS)}') THEN 's' ELSE 'o' END AS kind FROM b),
+r AS (SELECT doc_id, page, CAST(0 AS BIGINT) AS g, 0 AS stretch, 0 AS rank, 0 AS lines, 0 AS chars, 1 AS next, false AS moved FROM e GROUP BY ALL
+  UNION ALL SELECT e.doc_id, e.page, e.g, CASE WHEN kind = 'o' THEN next + 1 ELSE next END, CASE WHEN kind = 's' THEN 1 WHEN kind = 'n' AND (lines > 4 OR chars > 300) THEN 2 ELSE 0 END,
+    CASE WHEN kind = 's' THEN lines + 1 WHEN kind = 'n' AND lines <= 4 AND chars <= 300 THEN lines ELSE 0 END, CASE WHEN kind = 's' THEN chars + CAST(length(t) AS INT) WHEN kind = 'n' AND lines <= 4 AND chars <= 300 THEN chars ELSE 0 END,
+    CASE WHEN kind = 'o' THEN next + 2 WHEN kind = 'n' AND (lines > 4 OR chars > 300) THEN next + 1 ELSE next END, kind = 'n' AND lines BETWEEN 1 AND 4 AND chars <= 300
+  FROM r JOIN e ON e.doc_id = r.doc_id AND e.page = r.page AND e.g = r.g + 1),
+o AS (SELECT e.doc_id, e.page, stretch, rank, e.g, CASE WHEN kind = 's' AND max(CASE WHEN moved THEN e.g END) OVER (PARTITION BY e.doc_id, e.page, stretch) > e.g THEN t ELSE e.x END AS x FROM e JOIN r ON e.doc_id = r.doc_id AND e.page = r.page AND e.g = r.g),
+f AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY stretch, rank, g) AS n, regexp_replace(replace(regexp_replace(x, '[\x{{200B}}-\x{{200D}}\x{{FEFF}}]', '', 'g'), chr(12288), ' '), '[ \t]+$', '') AS x FROM o),
+z AS (SELECT *, {_BARE.format("x")} = '' AS blank, lag({_BARE.format("x")} = '') OVER (PARTITION BY doc_id, page ORDER BY n) AS before FROM f),
+y AS (SELECT doc_id, page, string_agg(CASE WHEN blank THEN '' ELSE x END, chr(10) ORDER BY n) || chr(10) AS text FROM z WHERE NOT (blank AND coalesce(before, false)) GROUP BY ALL)
+SELECT doc_id, CAST(paged.page AS INT) AS page, CAST(coalesce(length(y.text), 0) AS INT) AS characters, md5(coalesce(y.text, '')) AS digest FROM paged LEFT JOIN y USING (doc_id, page)""")
+def page_texts(spark, sf_dir):
+    """Pages without running lines, decimals joined, numbers before their stems."""
+
+    def made(line, i):
+        n, two = i.cast("string"), (i % 90).cast("string")
+        cases = (F.concat(two, F.lit(".")), F.concat(F.lit(" 下列"), n, F.lit("是：")), F.concat(F.lit("属于"), n, F.lit("的？ "), two, F.lit(" 、")), F.concat(two, F.lit("."), F.col("doc_id").cast("string"), F.lit(" m")), F.concat(F.lit("B. "), line),
+                 F.lit(""), F.concat(F.lit("head "), (i % 3).cast("string")), F.concat(F.lit("第 "), n, F.lit("页 共 99 页")), F.concat(F.lit("要求"), n), F.concat(two, F.lit(" ．")))
+        kind = (F.col("doc_id") * 7 + i * 5 + F.length(line)) % 12
+        out = line
+        for k, text in enumerate(cases):
+            out = F.when(kind == k, text).otherwise(out)
+        return out
+
+    lines = F.transform(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n")), "\n"), made)
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+    first = F.sequence(F.lit(0), F.size("lines") - 1, F.lit(20))
+    pages = docs.select("doc_id", F.transform(first, lambda at: F.array_join(F.slice("lines", at + 1, F.lit(20)), "\n")).alias("pages"))
+    found = pages.select("doc_id", F.posexplode(P.clean_pages(F.col("pages"))).alias("page", "text"))
+    return found.select("doc_id", "page", F.length("text").alias("characters"), F.md5("text").alias("digest"))
+
+
 @query("SELECT doc_id, CAST(coalesce(length(trim(text)), 0) AS INT) AS characters, coalesce(length(trim(text)), 0) < 200 AS cover FROM documents")
 def cover_pages(spark, sf_dir):
     size = F.coalesce(F.length(F.trim("text")), F.lit(0))
