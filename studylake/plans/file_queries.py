@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from studylake.sources import bindings as B
 from studylake.sources import files as L
+from studylake.sources import office as O
 from studylake.sources import streams as T
 
 from .base import EDITED, LOG, query
@@ -110,3 +111,45 @@ def archive_entries(spark, sf_dir):
     wanted = rows.select("packageKey", F.concat(F.lit(path + "/"), "packageKey", F.lit("-1.zip")).alias("path"), "name")
     found = T.read_entries(wanted)
     return found.select(F.regexp_extract("path", r"(bank\d+)-1\.zip$", 1).alias("packageKey"), "name", F.decode("content", "UTF-8").alias("content"), "error")
+
+
+_WORD = "xmlns:w='w' xmlns:m='m' xmlns:a='a' xmlns:v='v' xmlns:r='http://r'"
+_RELATED = "<Relationships><Relationship Id='r1' Target='media/a.png'/><Relationship Id='r2' Target='media/b.wmf'/><Relationship Id='r3' Target='media/a.png'/><Relationship Id='r4' Target='media/c.svg'/></Relationships>"
+
+
+@query(r"""WITH s AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS n, s_suppkey % 6 AS k FROM supplier),
+f AS (SELECT *, CASE k WHEN 0 THEN '\frac{' || n || '}{' || id || 'x}' WHEN 1 THEN '{' || n || '}^{' || id || '}' WHEN 2 THEN '\sqrt[' || n || ']{' || id || '}' WHEN 3 THEN '\sum_{i=' || n || '}^{' || id || '}{i}' WHEN 4 THEN '\left(' || n || '\le ' || id || '\right)' ELSE '\begin{matrix}' || n || ' & 1 \\ 0 & ' || id || '\end{matrix}' END AS formula FROM s),
+t AS (SELECT *, name || ' ' || n || chr(10) || 'so $' || formula || '$ holds' || CASE WHEN n % 2 = 0 THEN '[图片1]' ELSE '' END || chr(10) || 'a' || id || ' | ' || CASE WHEN n % 2 = 0 THEN '[图片2]' ELSE '[图片1]' END || chr(10) || 'end' || CASE WHEN n % 2 = 1 THEN ' [图片2]' ELSE '' END AS text FROM f)
+SELECT id, 'DOCX' AS kind, text, CAST(2 AS INT) AS images, CAST(CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END AS INT) AS formula_image, CAST(1 AS INT) AS skipped FROM t""")
+def word_documents(spark, sf_dir):
+    """A word file of each supplier: a formula, images named twice, a table, an image of another kind."""
+    n, k, id_ = F.col("s_nationkey").cast("string"), F.col("s_suppkey") % 6, F.col("s_suppkey").cast("string")
+    run = lambda x: F.concat(F.lit("<m:r><m:t>"), x, F.lit("</m:t></m:r>"))
+    tag = lambda name, *xs: F.concat(F.lit(f"<m:{name}>"), *[F.lit(x) if isinstance(x, str) else x for x in xs], F.lit(f"</m:{name}>"))
+    cell = lambda x: tag("e", run(x))
+    formula = (
+        F.when(k == 0, tag("f", tag("num", run(n)), tag("den", run(F.concat(id_, F.lit("x"))))))
+        .when(k == 1, tag("sSup", cell(n), tag("sup", run(id_))))
+        .when(k == 2, tag("rad", tag("deg", run(n)), cell(id_)))
+        .when(k == 3, tag("nary", "<m:naryPr><m:chr m:val='∑'/></m:naryPr>", tag("sub", run(F.concat(F.lit("i="), n))), tag("sup", run(id_)), cell(F.lit("i"))))
+        .when(k == 4, tag("d", cell(F.concat(n, F.lit("≤"), id_))))
+        .otherwise(tag("m", tag("mr", cell(n), cell(F.lit("1"))), tag("mr", cell(F.lit("0")), cell(id_))))
+    )
+    image = lambda r: f"<w:r><w:drawing><a:blip r:embed='{r}'/></w:drawing></w:r>"
+    even = F.col("s_nationkey") % 2 == 0
+    words = lambda *xs: F.concat(F.lit("<w:p>"), *[F.lit(x) if isinstance(x, str) else x for x in xs], F.lit("</w:p>"))
+    text = lambda x: F.concat(F.lit("<w:r><w:t>"), F.lit(x) if isinstance(x, str) else x, F.lit("</w:t></w:r>"))
+    body = F.concat(
+        F.lit(f"<w:document {_WORD}><w:body>"),
+        words(text(F.col("s_name")), "<w:r><w:tab/></w:r>", text(n)),
+        words(text("so "), F.concat(F.lit("<m:oMath>"), formula, F.lit("</m:oMath>")), text(" holds"), F.when(even, image("r1")).otherwise("")),
+        F.lit("<w:tbl><w:tr><w:tc>"), words(text(F.concat(F.lit("a"), id_))), F.lit("</w:tc><w:tc>"),
+        words("<w:r><w:object><v:imagedata r:id='r2'/></w:object></w:r>"), F.lit("</w:tc></w:tr></w:tbl>"),
+        words(text(F.when(even, "end").otherwise("end ")), image("r3"), image("r4")), F.lit("</w:body></w:document>"),
+    )
+    parts = {"word/document.xml": body, "word/_rels/document.xml.rels": F.lit(_RELATED), **{f"word/media/{m}": F.lit(m) for m in ("a.png", "b.wmf", "c.svg")}}
+    media = F.map_from_arrays(F.array(*[F.lit(p) for p in parts]), F.array(*[F.encode(c, "UTF-8") for c in parts.values()]))
+    rows = B.table(spark, sf_dir, "supplier").select(id_.alias("packageKey"), F.lit("docx").alias("version"), F.lit("{}").alias("manifest"), media.alias("media"))
+    found = O.read_documents(spark, L.write_containers(L.containers(rows), L.scratch(spark, "word")))
+    number = F.element_at(F.transform(F.filter("images", lambda i: i["formula"]), lambda i: i["number"]), 1)
+    return found.select(F.regexp_extract("path", r"(\d+)-docx\.zip$", 1).cast("long").alias("id"), "kind", "text", F.size("images").alias("images"), number.alias("formula_image"), "skipped")
