@@ -216,3 +216,37 @@ def grids(boxes: DataFrame, key: str, gap: float = 25.0, column: float = 12.0, a
     whole = per.groupBy(key).agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("columns"), F.max("off").alias("off"), F.coalesce(F.max("step"), F.lit(0.0)).alias("step"))
     grid = F.col("rows").between(2, 3) & (F.col("least") == F.col("columns")) & (F.col("columns") >= 2) & (F.col("off") <= column) & (F.col("step") <= apart)
     return whole.select(key, "rows", "columns", grid.alias("grid"))
+
+
+#: So much of a question goes with a formula's image as its context (fixed value).
+CONTEXT = 120
+
+
+def plain_delimiters(questions: DataFrame, *fields: str) -> DataFrame:
+    """Dollar signs around formulas in every text of the questions: the named fields, and the options where there are any."""
+    given = {c: X.latex(F.col(c)) for c in fields}
+    if "options" in questions.columns:
+        given["options"] = F.transform("options", lambda o: o.withField("text", X.latex(o["text"])))
+    return questions.withColumns(given)
+
+
+def leftover_formulas(questions: DataFrame, materials: DataFrame, formulas: DataFrame, key: str) -> DataFrame:
+    """key, number, context, places: images of formulas (key, number) that texts still refer to.
+
+    Looked for in contents, options, reference answers and answer texts of the
+    questions (key, position, content, options, reference, answer_text) and in
+    the materials (key, position, content).  ``context``: the beginning of the
+    first content around such a reference that isn't blank, without marks, one
+    line; empty if there is none.  ``places``: questions and materials that
+    refer to it.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    options = F.array_join(F.transform(F.coalesce("options", F.array().cast("array<struct<key:string,text:string>>")), lambda o: text(o["text"])), "\n")
+    whole = F.concat_ws("\n", text(F.col("content")), options, text(F.col("reference")), text(F.col("answer_text")))
+    line = F.trim(F.regexp_replace(F.regexp_replace(text(F.col("content")), r"\s+", " "), X.IMAGE, " "))
+    context = F.substring(line, 1, CONTEXT).alias("context")
+    rows = questions.select(key, F.lit(0).alias("kind"), "position", context, F.explode(X.images(whole)).alias("number"))
+    rows = rows.unionByName(materials.select(key, F.lit(1).alias("kind"), "position", context, F.explode(X.images(text(F.col("content")))).alias("number")))
+    known = formulas.select(key, F.col("number").cast("int").alias("number")).distinct()
+    place = F.when(F.trim("context") != "", F.struct("kind", "position"))
+    return rows.join(known, [key, "number"]).groupBy(key, "number").agg(F.coalesce(F.min_by("context", place), F.lit("")).alias("context"), F.count("*").alias("places"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -175,3 +177,52 @@ def apply(action: str, tags: DataFrame, nodes: DataFrame, questions: DataFrame |
     affected = rows.filter("_hit").select("question_id").distinct()
     after = rows.filter("NOT _hit") if action == "reject" else rows.withColumn("confirmed", F.col("confirmed") | F.col("_hit"))
     return after.select(*tags.columns), affected
+
+
+# --- nodes of groups, kept between runs -------------------------------------------------------------------
+
+GROUP_NODES = "key string, version string, fingerprint string, nodes array<struct<node_id:string,confidence:double>>, run int"
+
+
+def fingerprints(questions: DataFrame, *of: str) -> DataFrame:
+    """key, fingerprint: a group's number of questions and the sum of their digests, whatever their order."""
+    part = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in of]).cast("decimal(38,0)")
+    return questions.filter("key IS NOT NULL").groupBy("key").agg(F.concat_ws("-", F.count("*"), F.sum(part)).alias("fingerprint"))
+
+
+def kept_nodes(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The newest row of each group and version in the runs' table (those before a run)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], GROUP_NODES)
+    rows = spark.read.schema(GROUP_NODES).parquet(path)
+    rows = rows.filter(F.col("run") < before) if before is not None else rows
+    return rows.groupBy("key", "version").agg(F.max_by(F.struct("fingerprint", "nodes", "run"), "run").alias("r")).select("key", "version", "r.*")
+
+
+def refresh_nodes(questions: DataFrame, path: str, run: int, version: str, find: Callable[[DataFrame], DataFrame], *of: str) -> DataFrame:
+    """key, nodes, run of each group of the questions (key, ...), read from the table at ``path`` where it holds them.
+
+    A group is stale if the table has no row of this graph's version with the
+    group's fingerprint over the columns ``of``.  ``find`` (questions of stale
+    groups -> key, node_id, confidence) is called for those alone; what it says
+    is appended as run ``run``, a group that it passes over with no nodes.
+    Runs are numbered upward; a run that is repeated replaces its own rows, so
+    one that was broken off can be repeated.
+    """
+    spark = questions.sparkSession
+    groups = fingerprints(questions, *of)
+    held = kept_nodes(spark, path, run).filter(F.col("version") == version)
+    stale = groups.join(held.select("key", "fingerprint"), ["key", "fingerprint"], "left_anti")
+    found = find(questions.join(stale.select("key"), "key", "left_semi")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node_id", F.col("confidence").cast("double").alias("confidence")))).alias("nodes"))
+    none = F.array().cast("array<struct<node_id:string,confidence:double>>")
+    rows = stale.join(found, "key", "left").select("key", F.lit(version).alias("version"), "fingerprint", F.coalesce("nodes", none).alias("nodes"))
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
+    now = kept_nodes(spark, path, run + 1).filter(F.col("version") == version)
+    return groups.join(now, ["key", "fingerprint"]).select("key", "nodes", "run")
+
+
+def inherited_tags(questions: DataFrame, nodes: DataFrame, tags: DataFrame) -> DataFrame:
+    """question_id, node_id, confidence: questions (question_id, key) take their group's nodes, those that a person tagged none."""
+    human = tags.filter("source = 'human'").select("question_id").distinct()
+    return questions.join(human, "question_id", "left_anti").join(nodes, "key").select("question_id", F.explode("nodes").alias("n")).select("question_id", "n.*")

@@ -15,6 +15,7 @@ from studylake.operators import search as Q
 from studylake.operators import sessions as S
 from studylake.operators import skills as K
 from studylake.sources import bindings as B
+from studylake.sources import files as L
 
 from .base import AS_OF, AS_OF_SHIPPED, EDITED, LOG, QUESTIONS, STATES, query
 
@@ -309,6 +310,20 @@ def group_tags(spark, sf_dir):
     return keyed.join(given, "key").select(F.col("id").alias("question_id"), F.col("node").cast("string").alias("node_id"))
 
 
+@query(f"""WITH {EDITED}, k AS (SELECT id, substr(coalesce(nullif(trim(topic), ''), nullif(trim(category), ''), nullif(regexp_extract(external_id, '^([^-_.]+)', 1), '')), 1, 160) AS key FROM e),
+m AS (SELECT key, min(id) % 25 AS node, bool_or(id % 50 = 0) AS changed FROM k GROUP BY 1)
+SELECT key, CAST(CASE WHEN changed THEN 2 ELSE 1 END AS INT) AS run, CAST(CASE WHEN changed THEN node + 1 ELSE node END AS VARCHAR) AS node_id FROM m""")
+def kept_group_nodes(spark, sf_dir):
+    """Nodes of groups after two runs: every fiftieth question changed between them, and only its group was asked again."""
+    keyed = B.edited(spark, sf_dir).select("id", "content", X.group_key(F.col("topic"), F.col("category"), F.col("external_id")).alias("key"))
+    asked = lambda more: lambda rows: rows.groupBy("key").agg((F.min("id") % 25 + more).cast("string").alias("node_id"), F.lit(0.8).alias("confidence"))
+    path = L.scratch(spark, "group-nodes")
+    K.refresh_nodes(keyed, path, 1, "g-1", asked(0), "id", "content")
+    changed = keyed.withColumn("content", F.when(F.col("id") % 50 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    found = K.refresh_nodes(changed, path, 2, "g-1", asked(1), "id", "content")
+    return found.select("key", "run", F.element_at("nodes", 1)["node_id"].alias("node_id"))
+
+
 @query(f"WITH {TAGS}, {LOG}, l AS (SELECT question_id, grade, row_number() OVER (PARTITION BY question_id ORDER BY answered_at DESC, id DESC) AS rn FROM g) SELECT node_id, count(*) AS wrong FROM t JOIN l USING (question_id) WHERE rn = 1 AND grade <> 'CORRECT' GROUP BY 1")
 def wrong_by_node(spark, sf_dir):
     wrong = A.wrong_questions(B.attempts(spark, sf_dir)).select("question_id")

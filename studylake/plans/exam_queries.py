@@ -252,3 +252,23 @@ def image_grids(spark, sf_dir):
 def layout_noise(spark, sf_dir):
     line = _case(4, " B．", "ab_1/x.y-z", "B. two words", "a code line that is far too long to be one")
     return _part(spark, sf_dir).select(F.col("p_partkey").alias("id"), M.layout_noise(line).alias("noise"))
+
+
+# --- formulas left as images -----------------------------------------------------------------------------
+
+
+@query(f"""WITH {EDITED}, q AS (SELECT bank_id, id, CASE WHEN id % 9 = 0 THEN ' [图片' || id % 40 || ']' ELSE content || chr(10) || '$x_' || id || '$ [图片' || id % 40 || ']  more [图片7] ' || repeat(content || ' ', CAST(id % 5 AS INT)) END AS content, len(options) AS n, id % 6 = 0 AS answered FROM e),
+t AS (SELECT bank_id, 0 AS kind, id, content, unnest(list_distinct([CAST(id % 40 AS BIGINT)] || CASE WHEN id % 9 <> 0 THEN [7::BIGINT] ELSE [] END || CASE WHEN n > 1 THEN [id % 40 + 50] ELSE [] END || CASE WHEN answered THEN [id % 30 + 100] ELSE [] END)) AS number FROM q
+  UNION ALL SELECT s_suppkey % 10, 1, s_suppkey, s_name || ' [图片' || s_suppkey % 70 + 60 || ']', s_suppkey % 70 + 60 FROM supplier),
+c AS (SELECT *, substr(trim(regexp_replace(regexp_replace(content, '\\s+', ' ', 'g'), '\\[图片\\d+\\]', ' ', 'g')), 1, 120) AS context FROM t WHERE number % 3 <> 1 AND number < 125)
+SELECT bank_id, CAST(number AS INT) AS number, coalesce(arg_min(context, kind * 1000000000 + id) FILTER (WHERE trim(context) <> ''), '') AS context, count(*) AS places FROM c GROUP BY ALL""")
+def leftover_formulas(spark, sf_dir):
+    """Numbers of formula images that contents, options, answers and materials still name, with what stands around them."""
+    id_, mark = F.col("id"), lambda n: F.concat(F.lit("[图片"), n.cast("string"), F.lit("]"))
+    content = F.when(id_ % 9 == 0, F.concat(F.lit(" "), mark(id_ % 40))).otherwise(F.concat("content", F.lit("\n\\(x_"), id_.cast("string"), F.lit("\\) "), mark(id_ % 40), F.lit("  more "), mark(F.lit(7)), F.lit(" "), F.repeat(F.concat("content", F.lit(" ")), (id_ % 5).cast("int"))))
+    options = F.transform("options", lambda o, i: o.withField("text", F.when(i == 1, mark(id_ % 40 + 50)).otherwise(o["text"])))
+    answer = F.when(id_ % 12 == 0, mark(id_ % 30 + 100)), F.when(id_ % 12 == 6, mark(id_ % 30 + 100))
+    rows = B.edited(spark, sf_dir).select("bank_id", "id", content.alias("content"), options.alias("options"), answer[0].alias("reference"), answer[1].alias("answer_text"), F.col("id").alias("position"))
+    supplier = B.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 10).alias("bank_id"), F.col("s_suppkey").alias("position"), F.concat("s_name", F.lit(" "), mark(F.col("s_suppkey") % 70 + 60)).alias("content"))
+    formulas = rows.select("bank_id").distinct().select("bank_id", F.explode(F.filter(F.sequence(F.lit(0), F.lit(124)), lambda n: n % 3 != 1)).alias("number"))
+    return E.leftover_formulas(E.plain_delimiters(rows, "content", "reference", "answer_text"), supplier, formulas, "bank_id")
