@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from studylake.functions import rules
 from studylake.operators import attempts
+from studylake.sources import files
 
 
 def mastery(log: DataFrame, tags: DataFrame, as_of: datetime, *more: str) -> DataFrame:
@@ -99,13 +100,45 @@ def plan(wrong: DataFrame, due: DataFrame, weak: DataFrame, new: DataFrame, stal
         rows = bucket.groupBy("question_id").agg(F.min("rank").alias("rank")).orderBy("rank", "question_id").limit(size + want)
         parts.append(rows.select(F.lit(n).alias("bucket"), F.row_number().over(Window.orderBy("rank", "question_id")).alias("n"), "question_id"))
     found = sorted(tuple(r) for r in reduce(DataFrame.unionByName, parts).collect())
+    picked = _dealt(found, want)
+    kind = wrong.schema["question_id"].dataType.simpleString()
+    return spark.createDataFrame([(reason, place, q) for place, (q, reason) in enumerate(picked.items(), 1)], f"reason string, place int, question_id {kind}")
+
+
+def _dealt(found: list, want: int) -> dict:
+    """Reasons of the picked questions in order; ``found`` holds (bucket, n, question, ...) in the order of bucket and n."""
     picked: dict = {}
-    for n, (reason, size) in enumerate(zip(("WRONG", "DUE", "WEAK", "NEW", "NEW"), sizes, strict=True)):
-        free = [q for b, _, q in found if b == n and q not in picked]
+    for n, (reason, size) in enumerate(zip(("WRONG", "DUE", "WEAK", "NEW", "NEW"), (*quotas(want), want, want), strict=True)):
+        free = [r[2] for r in found if r[0] == n and r[2] not in picked]
         for q in free[: min(size, want - len(picked))]:
             picked[q] = reason
-    kind = wrong.schema["question_id"].dataType.simpleString()
-    return spark.createDataFrame([(reason, place, q) for place, (q, reason) in enumerate(picked.items(), 1)], f"reason string, place int, question_id {kind}")
+    return picked
+
+
+def candidates(facts: DataFrame) -> DataFrame:
+    """bucket, n, question_id, node_id: the questions of every bucket in its order, the first 400 (twice the longest plan).
+
+    ``facts``: one row for each question (question_id, node_id, difficulty,
+    mastery, number, last_at, times, and whether it is wrong, due, weak).  All
+    buckets are cut from the same rows.  Wrong, due, weak and new questions go
+    for a success of 85 % (see ``by_target_success``), the stalest by their
+    last answer, those without one first.
+    """
+    number, none = F.coalesce("number", F.lit(-1)).cast("long"), F.lit(0).cast("long")
+    place = lambda n, asks, first: F.when(asks, F.struct(F.lit(n).alias("bucket"), first.alias("first")))
+    unseen = F.col("last_at").isNull()
+    buckets = F.array(place(0, F.col("wrong"), -F.col("times")), place(1, F.col("due"), none), place(2, F.col("weak"), none), place(3, unseen, number), place(4, F.lit(True), number))
+    rows = facts.select("question_id", "node_id", "difficulty", "mastery", "last_at", F.explode(F.filter(buckets, lambda b: b.isNotNull())).alias("b")).select("*", "b.*").drop("b")
+    rows = rows.withColumn("position", F.struct("first", "question_id"))
+    # Mastery has three digits and is 0.5 at least: some 2,000 groups at most.
+    groups = rows.filter("bucket < 4").groupBy("bucket", "mastery").agg(F.min("position").alias("group_first"))
+    target = F.round(rules.target_rank(rules.success(F.col("difficulty"), rules.ability(F.col("mastery")))), 9)
+    aimed = F.struct(F.col("group_first.first").alias("a"), F.col("group_first.question_id").alias("b"), target.alias("target"), "position")
+    stalest = F.struct(F.unix_micros(F.col("last_at").cast("timestamp")).alias("a"), F.lit(None).alias("b"), F.lit(0.0).alias("target"), "position")
+    ranked = rows.join(F.broadcast(groups), ["bucket", "mastery"], "left").withColumn("rank", F.when(F.col("bucket") < 4, aimed).otherwise(stalest))
+    # A bound on the number within a bucket is kept by every task before the shuffle.
+    own = F.row_number().over(Window.partitionBy("bucket").orderBy("rank"))
+    return ranked.withColumn("n", own).filter(F.col("n") <= 2 * MOST).select("bucket", "n", "question_id", "node_id")
 
 
 def practice_plan(log: DataFrame, questions: DataFrame, tags: DataFrame, states: DataFrame, as_of: datetime, count: int | None = None, stored: DataFrame | None = None, review: bool = True) -> DataFrame:
@@ -119,16 +152,21 @@ def practice_plan(log: DataFrame, questions: DataFrame, tags: DataFrame, states:
     rated = current_difficulty(questions, stored).select(F.col("id").alias("question_id"), "difficulty", "number")
     rated = rated.join(question_mastery(tags, nodes), "question_id", "left").withColumn("mastery", F.coalesce("mastery", F.lit(0.5)))
     answered = log.groupBy("question_id").agg(F.max("answered_at").alias("last_at"), F.count_if(~F.coalesce("is_correct", F.lit(True))).alias("times"))
-    wrong = attempts.wrong_questions(log).select("question_id").join(answered, "question_id").select("question_id", F.struct(-F.col("times"), "question_id").alias("position"))
-    by_id = F.struct(F.col("question_id")).alias("position")
-    live = states.filter(F.lit(review) & ~F.coalesce("suspended", F.lit(False)) & (F.col("due_at") <= F.lit(as_of))).select("question_id", by_id)
-    unseen = rated.join(answered, "question_id", "left_anti")
     untouched = tags.join(answered, "question_id", "left_anti")
-    weak = untouched.join(F.broadcast(weakest(nodes, untouched).select("node_id")), "node_id").select("question_id", by_id)
-    new = unseen.select("question_id", F.struct(F.coalesce("number", F.lit(-1)).alias("number"), "question_id").alias("position"))
-    stale = rated.join(answered, "question_id", "left").select("question_id", F.struct("last_at", F.coalesce("number", F.lit(-1)).alias("number"), "question_id").alias("rank"))
-    buckets = [by_target_success(b, rated.select("question_id", "difficulty", "mastery")) for b in (wrong, live, weak, new)]
-    return plan(*buckets, stale, count).join(rated.select("question_id", "node_id"), "question_id").select("reason", "place", "question_id", "node_id")
+    flag = lambda rows, name: rows.select("question_id").distinct().withColumn(name, F.lit(True))
+    live = states.filter(F.lit(review) & ~F.coalesce("suspended", F.lit(False)) & (F.col("due_at") <= F.lit(as_of)))
+    weak = untouched.join(F.broadcast(weakest(nodes, untouched).select("node_id")), "node_id")
+    facts = rated.join(answered, "question_id", "left")
+    for rows, name in ((attempts.wrong_questions(log), "wrong"), (live, "due"), (weak, "weak")):
+        facts = facts.join(flag(rows, name), "question_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    # Read twice (order of groups, ranks), so written once.
+    path = files.scratch(log.sparkSession, "plan")
+    facts.write.parquet(path)
+    found = sorted(map(tuple, candidates(files.read_table(log.sparkSession, path, facts.schema)).collect()), key=lambda r: r[:2])
+    node_of, want = {r[2]: r[3] for r in found}, wanted(count)
+    rows = [(reason, place, q, node_of[q]) for place, (q, reason) in enumerate(_dealt(found, want).items(), 1)]
+    kind = rated.schema["question_id"].dataType.simpleString()
+    return log.sparkSession.createDataFrame(rows, f"reason string, place int, question_id {kind}, node_id {tags.schema['node_id'].dataType.simpleString()}")
 
 
 #: The sentence of a plan (fixed values).
