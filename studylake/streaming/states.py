@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from studylake.shipping import ship
@@ -51,6 +52,47 @@ def ladder(answers: DataFrame) -> DataFrame:
     return rows.groupBy("question_id").applyInPandasWithState(_ladder, LADDER, "level int, answers long", "update", GroupStateTimeout.NoTimeout)
 
 
+class _Ladder(StatefulProcessor):
+    """One value for a question; it begins with what the batch fold left."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("ladder", "level int, answers long", self.idle_ms)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.held.update((int(row["level"]), int(row["answers"])))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        level, n = self.held.get() if self.held.exists() else (0, 0)
+        for _, right, at in pd.concat(list(rows)).sort_values(["answered_at", "id"], kind="stable")[["id", "right", "answered_at"]].itertuples(index=False):
+            level, days = ladder_step(level, right)
+            due, n = (at + pd.Timedelta(days=days) if right else at), n + 1
+        self.held.update((level, n))
+        yield pd.DataFrame({"question_id": [key[0]], "level": [level], "interval_days": [days], "due_at": [due], "answers": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def ladder_after(answers: DataFrame, before: DataFrame | None = None, idle_ms: int | None = None) -> DataFrame:
+    """``ladder`` over a stream that goes on where a batch ended.
+
+    ``before`` (question_id, level, answers; one row each) is the state of the
+    answers up to the stream's first; it counts once, in the first run of a
+    checkpoint.  A question's state goes after ``idle_ms`` without an answer,
+    if given; the question then begins anew.  Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    ship(answers.sparkSession)
+    rows = answers.filter("grade IS NOT NULL").select("question_id", "id", "answered_at", (F.col("grade") == "CORRECT").alias("right"))
+    begin = before.select("question_id", "level", F.col("answers").cast("long").alias("answers")).groupBy("question_id") if before is not None else None
+    time_mode = "None" if idle_ms is None else "ProcessingTime"
+    return rows.groupBy("question_id").transformWithStateInPandas(_Ladder(idle_ms), LADDER, "Update", time_mode, begin)
+
+
 def _rating(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(batches)).sort_values(["answered_at", "id"], kind="stable")
     d, n = state.get if state.exists else (float(rows["start"].iloc[0]), 0)

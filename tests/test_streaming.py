@@ -53,3 +53,36 @@ def test_delivered_twice_counts_once(answers, tmp_path):
     log, stream = answers
     got = _run(states.once(stream.union(stream), "question_id", "answered_at"), "once", tmp_path, "append")
     assert got.count() == log.select("question_id", "answered_at").distinct().count()
+
+
+@pytest.fixture()
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_a_stream_goes_on_where_the_batch_ended(answers, rocks, spark, tmp_path):
+    """The first third as a batch, the second in one run, the last after a restart from the same checkpoint."""
+    log, _ = answers
+    parts = [log.orderBy("answered_at", "id").offset(low).limit(80).cache() for low in range(0, 240, 80)]
+    assert sum(p.count() for p in parts) == 240
+    done = parts[0].filter("grade IS NOT NULL").groupBy("question_id").agg(F.count("*").alias("answers"))
+    review.states(parts[0]).join(done, "question_id").write.parquet(str(tmp_path / "before"))
+    before = spark.read.parquet(str(tmp_path / "before"))
+    folder, out = str(tmp_path / "more"), str(tmp_path / "out")
+    for part in parts[1:]:
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = states.ladder_after(spark.readStream.schema(log.schema).parquet(folder), before)
+        write = lambda rows, n: rows.write.mode("append").parquet(out)
+        query = stream.writeStream.foreachBatch(write).outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "point")).start()
+        query.awaitTermination(300)
+        assert query.exception() is None
+    got = states.latest(spark.read.parquet(out))
+    columns = ["question_id", "level", "interval_days", "due_at"]
+    touched = parts[1].union(parts[2]).filter("grade IS NOT NULL").select("question_id").distinct()
+    want = review.states(log).join(touched, "question_id", "left_semi")
+    assert got.count() > 10 and sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert before.join(touched, "question_id", "left_semi").count() > 0
