@@ -55,11 +55,8 @@ def ladder(answers: DataFrame) -> DataFrame:
 class _Ladder(StatefulProcessor):
     """One value for a question; it begins with what the batch fold left."""
 
-    def __init__(self, idle_ms: int | None):
-        self.idle_ms = idle_ms
-
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("ladder", "level int, answers long", self.idle_ms)
+        self.held = handle.getValueState("ladder", "level int, answers long")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         row = initialState.iloc[0]
@@ -77,20 +74,18 @@ class _Ladder(StatefulProcessor):
         pass
 
 
-def ladder_after(answers: DataFrame, before: DataFrame | None = None, idle_ms: int | None = None) -> DataFrame:
+def ladder_after(answers: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """``ladder`` over a stream that goes on where a batch ended.
 
     ``before`` (question_id, level, answers; one row each) is the state of the
     answers up to the stream's first; it counts once, in the first run of a
-    checkpoint.  A question's state goes after ``idle_ms`` without an answer,
-    if given; the question then begins anew.  Needs the RocksDB state store
+    checkpoint.  Needs the RocksDB state store
     (``spark.sql.streaming.stateStore.providerClass``).
     """
     ship(answers.sparkSession)
     rows = answers.filter("grade IS NOT NULL").select("question_id", "id", "answered_at", (F.col("grade") == "CORRECT").alias("right"))
     begin = before.select("question_id", "level", F.col("answers").cast("long").alias("answers")).groupBy("question_id") if before is not None else None
-    time_mode = "None" if idle_ms is None else "ProcessingTime"
-    return rows.groupBy("question_id").transformWithStateInPandas(_Ladder(idle_ms), LADDER, "Update", time_mode, begin)
+    return rows.groupBy("question_id").transformWithStateInPandas(_Ladder(), LADDER, "Update", "None", begin)
 
 
 def _rating(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
