@@ -391,15 +391,18 @@ def listed_numbers(text: Column) -> Column:
     def number(x: Column) -> Column:
         return F.coalesce(F.regexp_extract(x, start, 1).try_cast("int"), F.regexp_extract(x, end, 1).try_cast("int"))
 
-    rows = F.filter(F.transform(_lines(text), lambda x: F.trim(x)), lambda x: (x != "") & ~G.is_single(x))
+    rows = F.filter(F.transform(_lines(text), lambda x: F.trim(x)), lambda x: x.rlike(r"\d") & ~G.is_single(x))
     return F.array_distinct(F.filter(F.transform(rows, number), lambda n: n.between(1, 999)))
 
 
 def lost_numbers(source: Column, parsed: Column) -> Column:
     """Numbers of the text layer that the parsed text lacks; none unless both are long enough to tell."""
-    a, b = listed_numbers(source), listed_numbers(parsed)
-    told = (F.length(source) >= 200) & (F.size(a) >= 5) & (F.size(b) >= 5)
-    return F.when(told, F.array_except(a, b)).otherwise(F.array().cast("array<int>"))
+    def lost(both: Column) -> Column:
+        told = (F.size(both["a"]) >= 5) & (F.size(both["b"]) >= 5)
+        return F.when(told, F.array_except(both["a"], both["b"]))
+
+    both = F.struct(listed_numbers(source).alias("a"), listed_numbers(parsed).alias("b"))
+    return F.coalesce(F.when(F.length(source) >= 200, bound(both, lost)), F.array().cast("array<int>"))
 
 
 def with_image_marks(page: Column, images_: Column, first: Column) -> Column:

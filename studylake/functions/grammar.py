@@ -31,6 +31,10 @@ MEANS_A, MEANS_B = ("正确", "对", "√"), ("错误", "错", "×")
 SAID_BEFORE = ("正确答案", "参考答案", "答案", "【答案】", "答")
 
 _TOKEN = rf"【[^】]*】|\d+|[{ANSWER_CHARS}]+|\s+|[\s\S]"
+#: The same without white space, which a search passes over.
+_SOLID = rf"【[^】]*】|\d+|[{ANSWER_CHARS}]+|\S"
+#: How a line begins whose first token is a number, or a number or a heading: others needn't be cut into tokens.
+_DIGIT, _DIGIT_OR_HEAD = r"^\s*\d", r"^\s*[\d【]"
 
 
 def _all_tokens(line: Column) -> Column:
@@ -39,7 +43,7 @@ def _all_tokens(line: Column) -> Column:
 
 def tokens(line: Column) -> Column:
     """The tokens of a line, white space left out."""
-    return F.filter(_all_tokens(line), lambda t: F.trim(F.regexp_replace(t, r"\s+", " ")) != "")
+    return F.regexp_extract_all(line, F.lit(_SOLID), F.lit(0))
 
 
 def _number(t: Column) -> Column:
@@ -92,7 +96,7 @@ def single_answer(line: Column) -> Column:
         dotted = (n == 3) & _number(at(0)) & _among(at(1), AFTER_NUMBER) & _short_answer(last)
         return F.when(after_head, F.struct(headed.alias("number"), last.alias("answer"))).when(dotted, F.struct(at(0).try_cast("int").alias("number"), last.alias("answer")))
 
-    return _read(line, of)
+    return F.when(line.rlike(_DIGIT_OR_HEAD), _read(line, of))
 
 
 def answer_range(line: Column) -> Column:
@@ -106,7 +110,7 @@ def answer_range(line: Column) -> Column:
         fine = begins & _answer(F.coalesce(F.get(rest, F.lit(0)), F.lit(""))) & F.forall(rest, lambda t: _answer(t) | _among(t, BETWEEN_ANSWERS))
         return F.when(fine, F.struct(at(0).try_cast("int").alias("start"), at(2).try_cast("int").alias("end"), answers.alias("answers")))
 
-    return _read(line, of)
+    return F.when(line.rlike(_DIGIT), _read(line, of))
 
 
 def is_single(line: Column) -> Column:
@@ -117,7 +121,7 @@ def is_single(line: Column) -> Column:
         code = _number(at(0)) & (((n == 2) & _short_answer(at(1))) | ((n == 3) & _among(at(1), AFTER_NUMBER) & _short_answer(at(2))))
         return code | heading_number(at(0)).isNotNull()
 
-    return F.coalesce(_read(line, of), F.lit(False))
+    return F.coalesce(line.rlike(_DIGIT_OR_HEAD) & _read(line, of), F.lit(False))
 
 
 def is_answer_heading(line: Column) -> Column:
@@ -143,7 +147,7 @@ def compact_codes(text: Column) -> Column:
     zero = F.struct(F.lit(apart).alias("state"), F.lit(0).alias("n"), F.lit(0).alias("last"))
 
     def step(t: Column, x: Column) -> Column:
-        s, blank = t["state"], F.trim(F.regexp_replace(x, r"\s+", " ")) == ""
+        s, blank = t["state"], x.rlike(r"^\s")
         to = (
             F.when(blank, F.when(s == answer, apart).otherwise(s))
             .when((s == apart) & _number(x), number)
@@ -161,16 +165,17 @@ def compact_codes(text: Column) -> Column:
         numbers, answers = F.filter(all_, _number), F.filter(all_, _answer)
         return F.zip_with(numbers, answers, lambda n, a: F.struct(n.try_cast("int").alias("number"), a.alias("answer"))).cast(codes)
 
-    return bound(_all_tokens(_without_word(F.trim(text))), of)
+    # Codes begin with a number.
+    return bound(_without_word(F.trim(text)), lambda line: F.when(line.rlike(_DIGIT), bound(_all_tokens(line), of)))
 
 
 def start_number(line: Column) -> Column:
     """The number that a line begins with, if a mark of questions follows it."""
-    return _read(line, lambda _, at: F.when(_number(at(0)) & _among(at(1), AFTER_QUESTION), at(0).try_cast("int")))
+    return F.when(line.rlike(_DIGIT), _read(line, lambda _, at: F.when(_number(at(0)) & _among(at(1), AFTER_QUESTION), at(0).try_cast("int"))))
 
 
 def is_number_alone(line: Column) -> Column:
-    return _read(line, lambda all_, at: (F.size(all_) == 2) & _number(at(0)) & _among(at(1), AFTER_QUESTION))
+    return line.rlike(_DIGIT) & _read(line, lambda all_, at: (F.size(all_) == 2) & _number(at(0)) & _among(at(1), AFTER_QUESTION))
 
 
 def is_decimal(line: Column) -> Column:
@@ -181,7 +186,7 @@ def is_decimal(line: Column) -> Column:
         year = (F.length(at(2)) == 4) & ((at(3) == "年") | (_among(at(3), DASHES) & (F.length(at(4)) == 4) & at(4).rlike(r"^\d+$") & (at(5) == "年")))
         return decimal & ~year
 
-    return F.coalesce(_read(line, of), F.lit(False))
+    return F.coalesce(line.rlike(_DIGIT) & _read(line, of), F.lit(False))
 
 
 def is_section(line: Column) -> Column:

@@ -14,7 +14,11 @@ from .text_queries import EXAM, exams
 
 
 def _part(spark, sf_dir):
-    return B.table(spark, sf_dir, "part")
+    return B.dealt(B.table(spark, sf_dir, "part"), "p_partkey")
+
+
+def _edited(spark, sf_dir):
+    return B.dealt(B.edited(spark, sf_dir), "id")
 
 
 def _case(n, *values, of="p_size"):
@@ -29,13 +33,13 @@ def _case(n, *values, of="p_size"):
 SELECT id, type, CAST(n AS INT) AS n, coalesce(given, CASE WHEN type = 'SUBJECTIVE' THEN 5.0 ELSE 1.0 END)::DOUBLE AS score FROM x""")
 def checked_questions(spark, sf_dir):
     c = M.checked_question(F.lower("question_type"), F.col("options"), F.when(F.col("id") % 3 != 0, F.col("score")))
-    return B.edited(spark, sf_dir).select("id", c.alias("c")).select("id", "c.type", F.size("c.options").alias("n"), "c.score")
+    return _edited(spark, sf_dir).select("id", c.alias("c")).select("id", "c.type", F.size("c.options").alias("n"), "c.score")
 
 
 @query(f"""WITH {EDITED} SELECT id, CASE WHEN question_type = 'SUBJECTIVE' AND len(options) >= 2 AND id % 3 = 1 THEN 'SINGLE' ELSE question_type END AS type FROM e""")
 def relabelled_choices(spark, sf_dir):
     asked = F.concat("content", _case(3, "", "，下列正确的是", "，请简述下列各项", of="id"))
-    return B.edited(spark, sf_dir).select("id", M.mislabelled_choice(F.col("question_type"), asked, F.col("options")).alias("type"))
+    return _edited(spark, sf_dir).select("id", M.mislabelled_choice(F.col("question_type"), asked, F.col("options")).alias("type"))
 
 
 @query(f"""WITH {EDITED} SELECT id, (len(options) >= 2 AND id % 4 = 0) OR (question_type IN ('SINGLE', 'MULTIPLE') AND len(options) < 3) OR id % 5 = 0 AS junk FROM e""")
@@ -43,7 +47,7 @@ def junk_questions(spark, sf_dir):
     same = F.transform("options", lambda o: F.struct(o["key"].alias("key"), F.lit(" same").alias("text")))
     options = F.when(F.col("id") % 4 == 0, same).otherwise(F.col("options"))
     content = F.when(F.col("id") % 5 == 0, F.concat("content", F.lit(" 7.\n next"))).otherwise(F.col("content"))
-    return B.edited(spark, sf_dir).select("id", M.is_junk(F.col("question_type"), content, options).alias("junk"))
+    return _edited(spark, sf_dir).select("id", M.is_junk(F.col("question_type"), content, options).alias("junk"))
 
 
 @query("SELECT p_partkey AS id, CASE p_size % 4 WHEN 1 THEN 'ORIGINAL' WHEN 2 THEN 'AI_SUPPLEMENT' END AS source FROM part")
@@ -207,7 +211,7 @@ def _replies(spark, sf_dir):
     materials = F.lit('[{"materialKey": "m2", "content": "first"}, {"materialKey": "m2", "content": "second"}, {"materialKey": "none", "content": " "}]')
     whole = F.concat(F.lit('```json\n{"materials": '), materials, F.lit(', "questions": '), array, F.lit("}\n```"))
     reply = F.when(F.col("id") % 4 == 3, "sorry, nothing").when(F.col("id") % 4 == 1, whole).otherwise(array)
-    return B.edited(spark, sf_dir).select("id", reply.alias("reply"))
+    return _edited(spark, sf_dir).select("id", reply.alias("reply"))
 
 
 @query(f"""WITH {EDITED} SELECT id, 0 AS position, CAST(id AS INT) AS number, content, 'SINGLE' AS type, 1.0::DOUBLE AS score, CASE WHEN id % 4 = 1 THEN 'm2' END AS material FROM e WHERE id % 4 <> 3
@@ -268,7 +272,7 @@ def leftover_formulas(spark, sf_dir):
     content = F.when(id_ % 9 == 0, F.concat(F.lit(" "), mark(id_ % 40))).otherwise(F.concat("content", F.lit("\n\\(x_"), id_.cast("string"), F.lit("\\) "), mark(id_ % 40), F.lit("  more "), mark(F.lit(7)), F.lit(" "), F.repeat(F.concat("content", F.lit(" ")), (id_ % 5).cast("int"))))
     options = F.transform("options", lambda o, i: o.withField("text", F.when(i == 1, mark(id_ % 40 + 50)).otherwise(o["text"])))
     answer = F.when(id_ % 12 == 0, mark(id_ % 30 + 100)), F.when(id_ % 12 == 6, mark(id_ % 30 + 100))
-    rows = B.edited(spark, sf_dir).select("bank_id", "id", content.alias("content"), options.alias("options"), answer[0].alias("reference"), answer[1].alias("answer_text"), F.col("id").alias("position"))
+    rows = _edited(spark, sf_dir).select("bank_id", "id", content.alias("content"), options.alias("options"), answer[0].alias("reference"), answer[1].alias("answer_text"), F.col("id").alias("position"))
     supplier = B.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 10).alias("bank_id"), F.col("s_suppkey").alias("position"), F.concat("s_name", F.lit(" "), mark(F.col("s_suppkey") % 70 + 60)).alias("content"))
     formulas = rows.select("bank_id").distinct().select("bank_id", F.explode(F.filter(F.sequence(F.lit(0), F.lit(124)), lambda n: n % 3 != 1)).alias("number"))
     return E.leftover_formulas(E.plain_delimiters(rows, "content", "reference", "answer_text"), supplier, formulas, "bank_id")

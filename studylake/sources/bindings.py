@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores, a few tasks for each: a small file is read by one task, which would do all the work on its rows."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def parts(df: DataFrame, rows: int = 500_000) -> int:
+    """So many tasks that each gets about ``rows`` rows, however large the table is; a count of a file reads its footers."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def _graded(df: DataFrame) -> DataFrame:
     return df.withColumn("grade", rules.effective_grade(F.col("self_grade"), F.col("is_correct")))
 

@@ -4,7 +4,15 @@ from __future__ import annotations
 
 import zipfile
 
-
+import pytest
+from pyspark.sql import functions as F
+
+from studylake.functions import exam as M
+from studylake.operators import exams as E
+from studylake.operators import layout as L
+from studylake.operators import sessions as S
+from studylake.plans import registry
+from studylake.sources import bindings as B
 from studylake.sources import streams
 
 
@@ -22,3 +30,17 @@ def test_a_directory_is_read_once_for_many_entries(spark, tmp_path):
     assert {r["name"]: bytes(r["content"]).decode() for r in got} == {f"entry{i}": str(i) for i in range(400)}
     tasks, whole = 2 * spark.sparkContext.defaultParallelism, path.stat().st_size
     assert sum(r["bytes_read"] for r in got) < (tasks + 2) * whole
+
+
+#: Queries of much work on each row of a small file.
+DEALT = ["lost_numbers"]
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_rows_are_dealt_over_all_cores(spark, sf_dir, name):
+    assert registry.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_numbers_of_a_text_are_listed_once(spark):
+    rows = spark.createDataFrame([("a", "b")], "source string, parsed string")
+    assert _optimised(rows.select(M.lost_numbers(F.col("source"), F.col("parsed")))).count("split(") <= 4  # a plan's text names an array's source twice
