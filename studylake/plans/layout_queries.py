@@ -32,7 +32,7 @@ SELECT id, w, cuts FROM k LEFT JOIN cuts USING (id)""")
 def panel_cuts(spark, sf_dir):
     """Cuts of wide images with two to six panels, between bare columns or frames, some uneven."""
     n = F.col("p_partkey").cast("int")
-    rows = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (120 + (n * 13) % 300).alias("w"), (2 + n % 5).alias("p"), (1 + F.col("p_size")).cast("int").alias("j"), (F.floor(n / 5) % 4).cast("int").alias("g"))
+    rows = B.dealt(B.table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), (120 + (n * 13) % 300).alias("w"), (2 + n % 5).alias("p"), (1 + F.col("p_size")).cast("int").alias("j"), (F.floor(n / 5) % 4).cast("int").alias("g"))
     ink = _ink(F.col("w"), F.col("p"), F.col("j"), F.col("g"), F.col("id"))
     return rows.select("id", "w", L.column_cuts(ink, F.lit(60)).alias("cuts"))
 

@@ -33,7 +33,7 @@ def test_a_directory_is_read_once_for_many_entries(spark, tmp_path):
 
 
 #: Queries of much work on each row of a small file.
-DEALT = ["lost_numbers"]
+DEALT = ["lost_numbers", "panel_cuts"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -44,3 +44,8 @@ def test_rows_are_dealt_over_all_cores(spark, sf_dir, name):
 def test_numbers_of_a_text_are_listed_once(spark):
     rows = spark.createDataFrame([("a", "b")], "source string, parsed string")
     assert _optimised(rows.select(M.lost_numbers(F.col("source"), F.col("parsed")))).count("split(") <= 4  # a plan's text names an array's source twice
+
+
+def test_ink_is_computed_once(spark):
+    rows = spark.createDataFrame([([1],)], "raw array<int>")
+    assert _optimised(rows.select(L.column_cuts(F.transform("raw", lambda x: x + 1717), F.lit(60)))).count("1717") <= 2
