@@ -109,10 +109,18 @@ def seconds_per_question(records: DataFrame, sessions: DataFrame) -> DataFrame:
     return rows.select("session_id", "id", F.coalesce("seconds", gap).alias("seconds"))
 
 
-def contains(session_questions: DataFrame, asked: DataFrame) -> DataFrame:
-    """session_id, question_id, known: whether a session holds a question."""
-    own = session_questions.select("session_id", "question_id").distinct().withColumn("_own", F.lit(True))
-    return asked.join(own, ["session_id", "question_id"], "left").select("session_id", "question_id", F.coalesce("_own", F.lit(False)).alias("known"))
+def contains(session_questions: DataFrame, asked: DataFrame, parts: int | None = None) -> DataFrame:
+    """session_id, question_id, known: whether a session holds a question; each asked pair once, a null key is never known.
+
+    Both sides meet in one grouping by the pair, in ``parts`` tasks if given.
+    """
+    pair = ["session_id", "question_id"]
+    rows = session_questions.select(*pair, F.lit(True).alias("_own")).unionByName(asked.select(*pair, F.lit(False).alias("_own")))
+    if parts:
+        rows = rows.repartition(parts, *pair)
+    met = rows.groupBy(*pair).agg(F.max("_own").alias("_own"), F.min("_own").alias("_only"))
+    known = F.col("_own") & F.col("session_id").isNotNull() & F.col("question_id").isNotNull()
+    return met.filter("NOT _only").select(*pair, known.alias("known"))
 
 
 def submit(answers: DataFrame, questions: DataFrame, sessions_: DataFrame, session_questions: DataFrame) -> DataFrame:

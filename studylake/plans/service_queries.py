@@ -68,8 +68,10 @@ def states_after_import(spark, sf_dir):
 @query("SELECT o_orderkey AS session_id, l_partkey AS question_id, bool_or(l_linenumber <= 3) AS known FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def session_membership(spark, sf_dir):
     line = B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("question_id"), "l_linenumber")
-    asked = line.join(B.sessions(spark, sf_dir).select("session_id"), "session_id", "left_semi").select("session_id", "question_id").distinct()
-    return S.contains(line.filter("l_linenumber <= 3"), asked)
+    parts = B.parts(line)
+    sessions = B.sessions(spark, sf_dir).select("session_id").repartition(parts, "session_id")
+    asked = line.repartition(parts, "session_id").join(sessions, "session_id", "left_semi")
+    return S.contains(line.filter("l_linenumber <= 3"), asked, parts)
 
 
 @query("SELECT o_orderkey AS session_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE o_orderpriority || ',' || o_orderstatus END AS scope_topics, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus END AS scope_categories FROM orders")

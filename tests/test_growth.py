@@ -49,3 +49,16 @@ def test_numbers_of_a_text_are_listed_once(spark):
 def test_ink_is_computed_once(spark):
     rows = spark.createDataFrame([([1],)], "raw array<int>")
     assert _optimised(rows.select(L.column_cuts(F.transform("raw", lambda x: x + 1717), F.lit(60)))).count("1717") <= 2
+
+
+def test_membership_of_repeats_and_nulls(spark):
+    own = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (None, 3)], "session_id int, question_id int")
+    asked = spark.createDataFrame([(1, 1), (1, 1), (1, 3), (None, 3)], "session_id int, question_id int")
+    got = {tuple(r) for r in S.contains(own, asked, 3).collect()}
+    assert got == {(1, 1, True), (1, 3, False), (None, 3, False)}
+
+
+def test_membership_tasks_follow_the_rows(spark, sf_dir, monkeypatch):
+    assert B.parts(spark.range(1000), 10) == 100
+    monkeypatch.setattr(B, "parts", lambda _: 37)
+    assert registry.QUERIES["session_membership"](spark, sf_dir).rdd.getNumPartitions() == 37
