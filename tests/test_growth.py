@@ -33,7 +33,7 @@ def test_a_directory_is_read_once_for_many_entries(spark, tmp_path):
 
 
 #: Queries of much work on each row of a small file.
-DEALT = ["lost_numbers", "panel_cuts", "answer_lists", "trimmed_chunks", "image_quota_ranges"]
+DEALT = ["lost_numbers", "panel_cuts", "answer_lists", "trimmed_chunks", "image_quota_ranges", "decoded_replies"]
 
 
 @pytest.mark.parametrize("name", DEALT)
