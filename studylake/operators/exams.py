@@ -126,7 +126,8 @@ def reply_questions(decoded: DataFrame, key: str) -> DataFrame:
     material that the reply doesn't hold with content is no reference.
     """
     known = F.transform(F.filter("materials", lambda m: (F.trim(F.coalesce(m["materialKey"], F.lit(""))) != "") & (F.trim(F.coalesce(m["content"], F.lit(""))) != "")), lambda m: m["materialKey"])
-    rows = decoded.select(key, known.alias("known"), F.posexplode("questions").alias("position", "q")).filter(F.trim("q.content") != "")
+    # Outer: for a plain one Spark puts a filter on the array's size before it, which decodes the reply once more; the filter on content drops its nulls.
+    rows = decoded.select(key, known.alias("known"), F.posexplode_outer("questions").alias("position", "q")).filter(F.trim("q.content") != "")
     rows = rows.withColumn("c", M.checked_question(F.col("q.type"), F.col("q.options"), F.col("q.score")))
     material = F.when(F.array_contains("known", F.col("q.materialKey")), F.col("q.materialKey"))
     return rows.select(key, "position", F.col("q.questionNumber").alias("number"), F.trim("q.content").alias("content"), "c.type", "c.options", "c.score", F.coalesce("q.answerKeys", F.array().cast("array<string>")).alias("answer_keys"), material.alias("material"))
@@ -134,7 +135,7 @@ def reply_questions(decoded: DataFrame, key: str) -> DataFrame:
 
 def reply_materials(decoded: DataFrame, key: str) -> DataFrame:
     """key, material, content: the first of each key that has both."""
-    rows = decoded.select(key, F.posexplode("materials").alias("place", "m")).filter((F.trim("m.materialKey") != "") & (F.trim("m.content") != ""))
+    rows = decoded.select(key, F.posexplode_outer("materials").alias("place", "m")).filter((F.trim("m.materialKey") != "") & (F.trim("m.content") != ""))
     return rows.groupBy(key, F.col("m.materialKey").alias("material")).agg(F.min_by("m.content", "place").alias("content"))
 
 

@@ -33,7 +33,7 @@ def test_a_directory_is_read_once_for_many_entries(spark, tmp_path):
 
 
 #: Queries of much work on each row of a small file.
-DEALT = ["lost_numbers", "panel_cuts", "answer_lists", "trimmed_chunks", "image_quota_ranges", "decoded_replies"]
+DEALT = ["lost_numbers", "panel_cuts", "answer_lists", "trimmed_chunks", "image_quota_ranges", "decoded_replies", "reply_questions"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -51,6 +51,12 @@ def test_ink_is_computed_once(spark):
     assert _optimised(rows.select(L.column_cuts(F.transform("raw", lambda x: x + 1717), F.lit(60)))).count("1717") <= 2
 
 
+def test_replies_are_decoded_once_before_their_questions(spark):
+    rows = spark.createDataFrame([(1, "[]")], "id int, reply string")
+    plan = _optimised(E.reply_questions(E.decode(rows, "id"), "id"))
+    assert plan.count("+- Filter") == 1  # that on content
+
+
 def test_membership_of_repeats_and_nulls(spark):
     own = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (None, 3)], "session_id int, question_id int")
     asked = spark.createDataFrame([(1, 1), (1, 1), (1, 3), (None, 3)], "session_id int, question_id int")
