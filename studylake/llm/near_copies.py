@@ -6,7 +6,10 @@ Jaccard similarity of at least ``least``.  Each document has ``BANDS`` keys of
 candidate is verified on the shingles.  A pair of similarity s has no key in
 common with probability (1 - s**5)**32: 3e-6 at 0.8, less above.
 
-Documents of equal words are one class before any key is compared.  Candidates
+Documents of equal words are one class before any key is compared.  The first
+candidates are those of SimHash and its covering masks (``simhash_dedup.links``):
+classes whose fingerprints of five-word shingles differ in at most ``RADIUS`` bits.
+The min-hash keys add those that the radius can't reach.  Their candidates
 are taken in passes, so that a large group costs no square:
 
 * in each of ``STARS`` passes the members of a bucket meet its hub, the one that
@@ -49,10 +52,11 @@ from pyspark.sql import functions as F
 
 from .bytewords import mix
 from .common import drop, in_arrow, join_on_hot, stage, texts_of
-from .simhash_dedup import SEED, components, smallest_ids
+from .simhash_dedup import SEED, components, links, majority, smallest_ids
 
 SHINGLE = 5
 SIMILARITY = 0.8
+RADIUS = 2
 BANDS, ROWS = 32, 5
 STARS = 2
 SMALL = 8
@@ -69,14 +73,19 @@ def _joined(text: str | None) -> tuple[list[bytes], bytes]:
     return words, b" ".join(words)
 
 
-def shingle_set(words: list[bytes], joined: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``size`` words."""
+def shingle_hashes(words: list[bytes], joined: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the runs of ``size`` words, repeats included."""
     if len(words) <= size:
         hashes = [xxhash.xxh64_intdigest(joined, SEED)] if words else []
     else:
         ends = list(accumulate(len(w) + 1 for w in words))
         hashes = [xxhash.xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[size - 1 :], strict=False)]
-    return np.unique(np.array(hashes, np.uint64))
+    return np.array(hashes, np.uint64)
+
+
+def shingle_set(words: list[bytes], joined: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``size`` words."""
+    return np.unique(shingle_hashes(words, joined, size))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -107,21 +116,32 @@ def _node(joined: bytes) -> int:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (the class of equal words) and the band keys."""
+    """doc_id, node (the class of equal words), fp (the SimHash fingerprint) and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, prints, keys = [], [], []
             for text in texts_of(batch):
                 words, joined = _joined(text)
+                hashes = shingle_hashes(words, joined)
                 nodes.append(_node(joined))
-                keys.append(band_keys(shingle_set(words, joined)).view(np.int64))
+                prints.append(majority(hashes) if len(hashes) else 0)
+                keys.append(band_keys(np.unique(hashes)).view(np.int64))
             offsets = pa.array(range(0, BANDS * (len(keys) + 1), BANDS), pa.int32())
             bands = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), bands], ["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in (nodes, prints)], bands], ["doc_id", "node", "fp", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, node bigint, bands array<bigint>")
+    return in_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, node bigint, fp bigint, bands array<bigint>")
+
+
+def simhash_pairs(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of classes (node, fp) that the SimHash tables link: one class of each fingerprint stands for it and meets the others of it."""
+    prints = stage(classes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "copies-fingerprints")
+    same = join_on_hot(classes.select("node", "fp"), prints.filter("n > 1"), "fp", "n").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    name = lambda side: prints.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node"))
+    near = links(prints.select("fp"), radius).distinct().join(name("a"), "a").join(name("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return same.unionByName(near).distinct()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -231,17 +251,18 @@ def _allowed(rows: DataFrame, least: float) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
 
-def _linked(edges: DataFrame | None, pairs: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _linked(edges: DataFrame, pairs: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """The edges with those of ``pairs`` that are near copies, and the components."""
     found = stage(_verified(pairs, texts, least), "copies-links")
-    edges = found if edges is None else edges.unionByName(found)
+    edges = edges.unionByName(found)
     return edges, components(edges)
 
 
 def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id)."""
     prints = stage(_signatures(docs), "copies-prints")
-    classes = stage(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")), "copies-classes")
+    classes = stage(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "copies-classes")
+    hashed = stage(simhash_pairs(classes), "copies-simhash")
     rows = classes.select("node", F.posexplode("bands").alias("band", "key"))
     crowded = rows.groupBy("band", "key").agg(F.count("*").alias("members")).filter("members > 1")
     # Narrow rows by a key that is unique on the other side: where a bucket is crowded, Spark splits its partition.
@@ -249,9 +270,10 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     shared = joined.groupBy("node").agg(F.sum("members").alias("weight"))
     met = stage(joined.drop("members").join(shared, "node"), "copies-met")
     drop(joined)
-    texts = stage(_texts(docs).join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "copies-texts")
+    wanted = met.select("node").union(hashed.select("a")).union(hashed.select("b")).distinct()
+    texts = stage(_texts(docs).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "copies-texts")
 
-    edges, roots = None, None
+    edges, roots = stage(_verified(hashed, texts, least), "copies-links"), None
     for _ in range(STARS):
         edges, roots = _linked(edges, _stars(met, roots), texts, least)
 

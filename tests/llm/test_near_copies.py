@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from studylake.llm import near_copies
+from studylake.llm import near_copies, simhash_dedup
 
 from .conftest import frame
 
@@ -115,3 +115,16 @@ def test_null_and_repeated_ids_and_no_rows(spark, odd_docs, no_docs):
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [1, 4, 6, 6, 7, 9, 10, 11]
     assert sum(r["doc_id"] is None for r in kept) == 1
     assert near_copies.keep_one(no_docs).count() == 0
+
+
+def test_simhash_tables_give_the_first_candidates(spark, monkeypatch):
+    """One word of 4,000 changed: within two bits, linked by the tables and verified; a text of other words isn't."""
+    words = [f"w{k}" for k in range(4000)]
+    texts = [" ".join(words), " ".join([*words[:7], "other", *words[8:]]), " ".join(f"v{k}" for k in range(4000))]
+    found = []
+    plain = near_copies.simhash_pairs
+    monkeypatch.setattr(near_copies, "simhash_pairs", lambda classes: (found.append(plain(classes).count()), plain(classes))[1])
+    assert _stage(spark, frame(spark, [(i, t, None) for i, t in enumerate(texts)])) == {0, 2}
+    assert found == [1]
+    hashes = [near_copies.shingle_hashes(t.encode().split(), t.encode()) for t in texts]
+    assert [simhash_dedup.majority(h) for h in hashes] == [simhash_dedup.fingerprint(t, near_copies.SHINGLE) for t in texts]
