@@ -113,7 +113,7 @@ def _canvas(members: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
     return F.when(F.size(scales) > 0, bound(F.get(scales, F.floor(F.size(scales) / 2).cast("int")), sized))
 
 
-def image_results(items: DataFrame, key: str) -> DataFrame:
+def image_results(items: DataFrame, key: str, whole_grids: bool = True) -> DataFrame:
     """key, page, chain, place, form, ids, x0, y0, x1, y1, new_line, canvas, part, cut: the images that a page's layout gives.
 
     ``items`` as for ``image_chains``, and ``pixels`` (an image's width in
@@ -123,6 +123,8 @@ def image_results(items: DataFrame, key: str) -> DataFrame:
     width (``form`` panel, ``cut`` the first pixel column and the one after
     the last).  ``new_line``: the image stands in another row than the one
     before it.  Images without a box come after the others of their chain.
+    Without ``whole_grids`` a grid's rows that would be rows of six to nine, and
+    its other ones, are an image each.
     """
     rows = image_chains(items, key)
     unit_row = F.when(~F.col("grid"), F.col("row"))
@@ -131,7 +133,8 @@ def image_results(items: DataFrame, key: str) -> DataFrame:
     cuts = F.when(F.col("wide") & (F.col("n") == 1) & ~F.col("grid"), column_cuts(F.col("ink"), F.col("ink_height")))
     rows = rows.withColumn("cuts", F.when(F.col("wide"), cuts)).withColumn("ink_width", F.size("ink"))
     member = F.struct("row", "column", "place", "id", "x", "y", "width", "height", "pixels")
-    parts = rows.groupBy(key, "page", "chain", "boxed", "unit_row", "unit_column", "form").agg(
+    rows = rows.withColumn("grid_rows", F.when(F.col("grid") & F.lit(not whole_grids), F.col("band")))
+    parts = rows.groupBy(key, "page", "chain", "boxed", "unit_row", "unit_column", "form", "grid_rows").agg(
         F.array_sort(F.collect_list(member)).alias("members"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.max(F.col("y") + F.col("height")).alias("y1"),
         F.max(F.struct("cuts", "ink_width")).alias("c"),
     )

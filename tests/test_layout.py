@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from studylake.operators import layout as L
+from studylake.plans import registry
 
 ITEM = "doc long, page int, place int, kind string, id int, text string, x double, y double, width double, height double, pixels int, ink array<int>, ink_height int"
 
@@ -47,6 +49,20 @@ def test_grid_row_and_what_ends_a_chain(spark):
     assert [r for r in results(spark, [*six, image(0, 200)], "form", "new_line")] == [("row", False), ("one", True)]
 
 
+def test_grid_of_a_row_of_like_heights_and_another(spark, tmp_path):
+    """Two rows of seven, the upper one of unlike heights: one grid, as the SQL of layout_images groups it two."""
+    lines = [(15, 16 * i + 21 - i, 1, i, (1.0, 50.0)[i % 2] if i <= 7 else 10.0, 1000.0, 0.0, 0.0) for i in range(1, 15)]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame(lines, kinds).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(r) for r in registry.QUERIES["layout_images"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        assert got == sorted(con.execute(registry.ORACLE["layout_images"]).fetchall())
+    assert [r[4:6] for r in got] == [("grid", 7)] * 2
+    upper = [image(90 * k, 40 - h / 2, h=h) for k, h in enumerate((30, 80, 30, 80, 30, 80))]
+    assert [(f, len(i)) for f, i in results(spark, [*upper, *[image(90 * k, 110) for k in range(6)]])] == [("grid", 12)]
+
+
 def test_canvas_is_bounded(spark):
     (canvas,) = results(spark, [image(0, 0), image(100, 0), image(0, 100), image(100, 100)], "canvas")[0]
     assert (canvas["width"], canvas["height"]) == (360, 320) and [tuple(p) for p in canvas["placed"]] == [(0, 0, 0, 160, 120), (1, 200, 0, 160, 120), (2, 0, 200, 160, 120), (3, 200, 200, 160, 120)]
