@@ -22,6 +22,8 @@ from studylake.shipping import ship
 
 #: Texts handed to a Python worker at once; a batch is cut further by size.
 ROWS_PER_BATCH = 1000
+#: And so many bytes at most (one row at least): a thousand long texts, or pairs with one, would be 64 MB in each task's JVM and worker.
+BYTES_PER_BATCH = 4 << 20
 #: Characters of text that one numpy pass works on.
 CHARS_PER_PASS = 4_000_000
 
@@ -84,8 +86,9 @@ def join_on_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, most:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch: whole documents are wide rows."""
+    """Bound the rows and bytes of an Arrow batch: whole documents are wide rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from studylake.llm import near_copies, simhash_dedup
+from studylake.llm import common, near_copies, simhash_dedup
 
 from .conftest import frame
 
@@ -128,3 +130,15 @@ def test_simhash_tables_give_the_first_candidates(spark, monkeypatch):
     assert found == [1]
     hashes = [near_copies.shingle_hashes(t.encode().split(), t.encode()) for t in texts]
     assert [simhash_dedup.majority(h) for h in hashes] == [simhash_dedup.fingerprint(t, near_copies.SHINGLE) for t in texts]
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """A hub's text stands in each of its pairs: a batch is bounded in bytes too."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    pairs = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("x"))
+    got = [r["n"] for r in common.in_arrow(pairs, sizes, "n bigint").collect()]
+    assert sum(got) >= 400 * 100_000 and max(got) < 2 * common.BYTES_PER_BATCH
