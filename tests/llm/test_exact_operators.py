@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from studylake.llm import decontamination, line_dedup, media, packing, pii, simhash_dedup, token_store
+from studylake.llm import decontamination, line_dedup, media, packing, pii, simhash_dedup, token_store, word_tokens
 from studylake.llm import queries as Q
 from studylake.llm.bytewords import text_words
 from studylake.llm.token_store import Segment, encode_segment
@@ -78,6 +78,28 @@ def test_encoder_equals_library(name, byte_level, documents):
         assert a.tolist() == b, text[:80]
 
 
+def test_new_pieces_go_to_the_library_joined():
+    """A call for each word costs more than its ids: 5,000 new ones are few texts, with the same ids."""
+    encoder = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    library, asked = encoder.library, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    encoder.library = Counted()
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdeé1'中", k=6)) + rng.choice(["", ",", ".", "\nx"]) for _ in range(1000)) for _ in range(5)] + ["end ", "end\n"]
+    got = [a.tolist() for a in encoder.encode(texts)]
+    assert got == _ids("byte_bpe_50k.json", texts)
+    assert len(encoder.pieces) > 5000 and len(asked) < 50
+
+
+def test_odd_white_space_is_that_of_python():
+    assert sorted(word_tokens._SPACE) == [c for c in map(chr, range(0x110000)) if c.isspace()]
+
+
 def test_single_tokens_are_read_from_the_files(spark, sf_dir, documents, tmp_path):
     """Tokens by number over the whole store, over several segments, equal those of the texts in order."""
     order = sorted(documents)
