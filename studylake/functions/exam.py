@@ -35,10 +35,16 @@ def bracket_answer(text: Column, number: Column) -> Column:
 
 def is_answer_list(text: Column) -> Column:
     """Whether a text is a list of answers: one compact line, or two matching lines and at least half."""
-    t = F.regexp_replace(text, r"^\s+|\s+$", "")
-    some = F.filter(F.transform(_lines(t), lambda x: F.trim(x)), lambda x: x != "")
-    hits = F.size(F.filter(some, lambda x: X.is_answer_line(x) | G.is_answer_heading(x)))
-    return F.coalesce((F.length(text) <= MOST_ANSWER_LIST) & (G.compact_codes(t).isNotNull() | ((hits >= 2) & (hits * 2 >= F.size(some)))), F.lit(False))
+
+    def listed(some: Column) -> Column:
+        hits = F.size(F.filter(some, lambda x: X.is_answer_line(x) | G.is_answer_heading(x)))
+        return bound(hits, lambda n: (n >= 2) & (n * 2 >= F.size(some)))
+
+    def of(t: Column) -> Column:
+        some = F.filter(F.transform(_lines(t), lambda x: F.trim(x)), lambda x: x != "")
+        return G.compact_codes(t).isNotNull() | bound(some, listed)
+
+    return F.coalesce((F.length(text) <= MOST_ANSWER_LIST) & bound(F.regexp_replace(text, r"^\s+|\s+$", ""), of), F.lit(False))
 
 
 def compact_answers(line: Column) -> Column:

@@ -35,6 +35,8 @@ _TOKEN = rf"【[^】]*】|\d+|[{ANSWER_CHARS}]+|\s+|[\s\S]"
 _SOLID = rf"【[^】]*】|\d+|[{ANSWER_CHARS}]+|\S"
 #: How a line begins whose first token is a number, or a number or a heading: others needn't be cut into tokens.
 _DIGIT, _DIGIT_OR_HEAD = r"^\s*\d", r"^\s*[\d【]"
+#: What a text of compact codes is made of.
+_CODES = rf"^\s*\d[\s\d{ANSWER_CHARS}{AFTER_NUMBER}{BETWEEN_ANSWERS}]*$"
 
 
 def _all_tokens(line: Column) -> Column:
@@ -133,7 +135,7 @@ def _without_word(text: Column) -> Column:
     """A compact line without the word and colon before its codes."""
     words = [*ANSWER_WORDS, "keys", "key"]
     bare = F.coalesce(*[F.when(F.startswith(text, F.lit(w)), F.ltrim(F.substring(text, len(w) + 1, 1_000_000_000))) for w in words], text)
-    return F.ltrim(F.when(_among(F.substring(bare, 1, 1), COLONS), F.substring(bare, 2, 1_000_000_000)).otherwise(bare))
+    return bound(bare, lambda b: F.ltrim(F.when(_among(F.substring(b, 1, 1), COLONS), F.substring(b, 2, 1_000_000_000)).otherwise(b)))
 
 
 def compact_codes(text: Column) -> Column:
@@ -156,7 +158,7 @@ def compact_codes(text: Column) -> Column:
             .when(((s == answer) | ((s == apart) & (t["n"] > 0))) & _among(x, BETWEEN_ANSWERS), apart)
             .otherwise(wrong)
         )
-        return F.struct(to.alias("state"), (t["n"] + F.when(to == answer, 1).otherwise(0) * F.when(blank, 0).otherwise(1)).alias("n"), F.when(blank, t["last"]).otherwise(to).alias("last"))
+        return bound(to, lambda to: F.struct(to.alias("state"), (t["n"] + F.when(to == answer, 1).otherwise(0)).alias("n"), F.when(blank, t["last"]).otherwise(to).alias("last")))
 
     def of(all_: Column) -> Column:
         return bound(F.aggregate(all_, zero, step), lambda end: F.when((end["state"] != wrong) & (end["last"] == answer) & (end["n"] >= 3), _codes(all_)))
@@ -165,8 +167,9 @@ def compact_codes(text: Column) -> Column:
         numbers, answers = F.filter(all_, _number), F.filter(all_, _answer)
         return F.zip_with(numbers, answers, lambda n, a: F.struct(n.try_cast("int").alias("number"), a.alias("answer"))).cast(codes)
 
-    # Codes begin with a number.
-    return bound(_without_word(F.trim(text)), lambda line: F.when(line.rlike(_DIGIT), bound(_all_tokens(line), of)))
+    # Codes begin with a number and hold no other character: other texts needn't be walked.
+    walked = lambda line: F.when(line.rlike(_CODES), bound(_all_tokens(line), of))
+    return bound(F.trim(text), lambda t: bound(_without_word(t), walked))
 
 
 def start_number(line: Column) -> Column:

@@ -46,6 +46,24 @@ def test_numbers_of_a_text_are_listed_once(spark):
     assert _optimised(rows.select(M.lost_numbers(F.col("source"), F.col("parsed")))).count("split(") <= 4  # a plan's text names an array's source twice
 
 
+def test_an_answer_list_is_read_once(spark):
+    """Headings looked for once in a plan, a token's kind found once in a step of the walk."""
+    plan = _optimised(spark.createDataFrame([("a",)], "text string").select(M.is_answer_list(F.col("text"))))
+    assert plan.count("正确答案：") <= 2  # a plan's text names an array's source twice
+    codes = _optimised(spark.createDataFrame([("a",)], "text string").select(M.G.compact_codes(F.col("text"))))
+    assert codes.count(r"^\d{1,3}$") <= 4  # in the walk and among the tokens, each named twice
+
+
+def test_compact_texts_of_every_character(spark):
+    """A text of codes with one more character: only white space, marks and the codes' own may stand there."""
+    texts = [f"1.A 2.B{c} 3.CD" for c in " \n\t,，、;；AH√×对错.．:：)）()xI-【】9\u2028\u0085\u00a0"] + ["1.A 2.B 3.CD\n", "答案：1.A 2.B 3.CD", " 1 A\n2、B;3) C ", "x1.A 2.B 3.C", "", None]
+    got = {r["text"]: r["codes"] and [tuple(c) for c in r["codes"]] for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", M.G.compact_codes(F.col("text")).alias("codes")).collect()}
+    abc, cd = [(1, "A"), (2, "B"), (3, "C")], [(1, "A"), (2, "B"), (3, "CD")]
+    want = {f"1.A 2.B{c} 3.CD": cd for c in " \n\t,，、;；"} | {f"1.A 2.B{c} 3.CD": [(1, "A"), (2, f"B{c}"), (3, "CD")] for c in "AH√×对错"}
+    want |= {"1.A 2.B 3.CD\n": cd, "答案：1.A 2.B 3.CD": cd, " 1 A\n2、B;3) C ": abc}
+    assert got == {t: want.get(t) for t in texts}
+
+
 def test_ink_is_computed_once(spark):
     rows = spark.createDataFrame([([1],)], "raw array<int>")
     assert _optimised(rows.select(L.column_cuts(F.transform("raw", lambda x: x + 1717), F.lit(60)))).count("1717") <= 2
