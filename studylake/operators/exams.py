@@ -105,7 +105,8 @@ def decode(replies: DataFrame, key: str) -> DataFrame:
 
     A fence around the JSON goes; elements that don't fit are left out, the others stay.
     """
-    body = X.fenced(F.col("reply"))
+    # A column of its own, as every use in one select would look for the fence again.
+    replies, body = replies.select(key, X.fenced(F.col("reply")).alias("body")), F.col("body")
     raw = F.from_json(body, "questions string, materials string")
     array = body.rlike(r"^\s*\[")
     listed = lambda text, kind: F.filter(F.transform(F.from_json(text, "array<string>"), lambda x: F.from_json(x, kind)), lambda x: x.isNotNull())

@@ -75,6 +75,11 @@ def test_replies_are_decoded_once_before_their_questions(spark):
     assert plan.count("+- Filter") == 1  # that on content
 
 
+def test_a_reply_is_searched_for_its_fence_once(spark):
+    rows = spark.createDataFrame([(1, "[]")], "id int, reply string")
+    assert _optimised(E.decode(rows, "id")).count("(?:json)") <= 2  # asked for and taken
+
+
 def test_membership_of_repeats_and_nulls(spark):
     own = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (None, 3)], "session_id int, question_id int")
     asked = spark.createDataFrame([(1, 1), (1, 1), (1, 3), (None, 3)], "session_id int, question_id int")
