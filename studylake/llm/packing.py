@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_arrow, passes, stage, texts_of
-from .word_tokens import encoder
+from .word_tokens import shared_encoder
 
 CAPACITY = 4096
 END_ID = 2
@@ -70,9 +70,10 @@ def pieces_of(docs: DataFrame, vocabulary: str, byte_level: bool, end_id: int, c
     """Every piece, its class and its number within task and class."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, size int, task int, number bigint" + ", ids array<int>" * tokens
+    shared = shared_encoder(docs.sparkSession, vocabulary, byte_level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, sizes = encoder(vocabulary, byte_level).encode, TaskContext.get().partitionId(), class_sizes(capacity)
+        encode, task, sizes = shared.value.encode, TaskContext.get().partitionId(), class_sizes(capacity)
         plans: dict[int, list[tuple[int, int]]] = {}
         counts = dict.fromkeys(sizes, 0)
         for batch in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_arrow, passes, scratch_path, texts_of
-from .word_tokens import encoder
+from .word_tokens import shared_encoder
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
@@ -116,9 +116,10 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json
     kind = docs.schema["doc_id"].dataType
     schema = f"part int, segment int, first bigint, n_tokens bigint, doc_ids array<{kind.simpleString()}>, doc_tokens array<bigint>, file string, place bigint, size bigint"
     spark = docs.sparkSession
+    shared = shared_encoder(spark, vocabulary, byte_level)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(vocabulary, byte_level).encode, TaskContext.get().partitionId()
+        encode, part = shared.value.encode, TaskContext.get().partitionId()
         files, root = pafs.FileSystem.from_uri(f"{path}/codes")
         files.create_dir(root)
         name, out = f"{part:06d}-{uuid.uuid4().hex[:12]}.dac", None

@@ -44,6 +44,8 @@ WINDOW = 2 * STEP
 WORDS, GRAMS = 1 << 13, 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 16, 8, 8
 KEPT_WORDS = 200_000
+#: Words whose n-grams are looked up at once: a row for each n-gram of 100,000 words would be 100 MB.
+WORDS_PER_PASS = 8192
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»’‘…¡¿"
 
 
@@ -254,7 +256,12 @@ class Scorer:
 
     def project(self, words: Grams) -> np.ndarray:
         """Input projections (direction, word, gate units) of some words."""
-        x = np.concatenate([self.p["word"][words.word], _mean_rows(self.p["char"], words.flat, words.sizes)], 1)
+        x = np.empty((len(words.word), WORD_DIM + CHAR_DIM), np.float32)
+        x[:, :WORD_DIM] = self.p["word"][words.word]
+        for i in range(0, len(x), WORDS_PER_PASS):
+            sizes = words.sizes[i : i + WORDS_PER_PASS]
+            end = words.ends[i + len(sizes) - 1]
+            x[i : i + len(sizes), WORD_DIM:] = _mean_rows(self.p["char"], words.flat[end - sizes.sum() : end], sizes)
         rows = x @ self.p["wx"] + self.p["b"]
         rows[..., : 2 * HIDDEN] *= 0.5  # sigmoid by tanh
         return rows

@@ -17,6 +17,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 #: Pieces that one worker keeps before it starts anew.
 KEPT_PIECES = 800_000
@@ -176,12 +178,26 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[tuple[str, bool], WordEncoder] = {}
+class KeptEncoder:
+    """A worker's encoder of a vocabulary file (a public name or a path), built at its first text."""
 
+    def __init__(self, name: str, byte_level: bool):
+        self.name, self.byte_level = name, byte_level
+        self.built: WordEncoder | None = None
 
-def encoder(name: str, byte_level: bool) -> WordEncoder:
-    """This worker's encoder of a vocabulary file (a public name or a path)."""
-    path = name if os.path.isabs(name) else vocabulary(name)
-    if (path, byte_level) not in _encoders:
-        _encoders[path, byte_level] = WordEncoder(path, byte_level)
-    return _encoders[path, byte_level]
+    def __getstate__(self):
+        return self.name, self.byte_level
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.built is None:
+            path = self.name if os.path.isabs(self.name) else vocabulary(self.name)
+            self.built = WordEncoder(path, self.byte_level)
+        return self.built.encode(texts)
+
+
+def shared_encoder(spark: SparkSession, name: str, byte_level: bool) -> Broadcast:
+    """An encoder for all tasks of a query: as a broadcast value it goes, with its pieces, once a worker does other work."""
+    return spark.sparkContext.broadcast(KeptEncoder(name, byte_level))

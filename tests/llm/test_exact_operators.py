@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
 import re
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -17,6 +19,7 @@ from tokenizers import Tokenizer
 from studylake.llm import decontamination, line_dedup, media, packing, pii, simhash_dedup, token_store, word_tokens
 from studylake.llm import queries as Q
 from studylake.llm.bytewords import text_words
+from studylake.llm.common import in_arrow, scratch_path
 from studylake.llm.token_store import Segment, encode_segment
 from studylake.llm.word_tokens import WordEncoder
 
@@ -96,6 +99,19 @@ def test_new_pieces_go_to_the_library_joined():
     assert len(encoder.pieces) > 5000 and len(asked) < 50
 
 
+def test_workers_let_go_of_an_encoder_after_its_query(spark, sf_dir):
+    """Its pieces took some 200 MB of each worker while other queries ran."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(4)
+    assert packing.pack(docs).count() and token_store.write_store(docs, scratch_path(spark, "store"))
+
+    def held(batches):
+        for _ in batches:
+            n = sum(isinstance(x, word_tokens.WordEncoder) for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    assert [r["n"] for r in in_arrow(spark.range(0, 4, 1, 4), held, "n long").collect()] == [0] * 4
+
+
 def test_odd_white_space_is_that_of_python():
     assert sorted(word_tokens._SPACE) == [c for c in map(chr, range(0x110000)) if c.isspace()]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -77,6 +78,22 @@ def test_folded_scorer_equals_network():
         assert abs(toxicity.forward(p, mine, vocab)[0].max() - t) < 1e-4
 
 
+def test_projections_need_little_beside_their_rows():
+    """A row for each n-gram of all words at once took more than the projections themselves; the values stay."""
+    rng = random.Random(1)
+    words = toxicity.Grams(["", *("".join(rng.choices("abcdefgh", k=rng.randrange(1, 14))) for _ in range(50_000))])
+    p = toxicity.new_parameters(np.random.default_rng(1))
+    x = np.concatenate([p["word"][words.word], toxicity._mean_rows(p["char"], words.flat, words.sizes)], 1)
+    want = x @ p["wx"] + p["b"]
+    want[..., : 2 * toxicity.HIDDEN] *= 0.5
+    scorer = toxicity.Scorer(p, np.array([0.0, 1.0, 0.0]), 0.1)
+    tracemalloc.start()
+    got = scorer.project(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and peak < 3.5 * got.nbytes
+
+
 def test_query_equals_the_plain_network(spark, sf_dir):
     """Every document's score by the query's operator against windows, network and logistic function one by one."""
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
