@@ -100,7 +100,7 @@ def test_new_pieces_go_to_the_library_joined():
 
 
 def test_workers_let_go_of_an_encoder_after_its_query(spark, sf_dir):
-    """Its pieces took some 200 MB of each worker while other queries ran."""
+    """Its pieces stayed in every worker while other queries ran."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(4)
     assert packing.pack(docs).count() and token_store.write_store(docs, scratch_path(spark, "store"))
 
