@@ -72,6 +72,7 @@ def layout_images(spark, sf_dir):
     rows = rows.withColumn("width", F.when(F.col("flat"), 150.0 + F.col("q") * 5).otherwise(60.0 + F.col("d"))).withColumn("x", F.when(F.col("supp") % 17 != 0, 50.0 + at % F.col("c") * 80 + F.col("d") + F.col("t")))
     rows = rows.withColumn("y", 100.0 + F.floor(at / F.col("c")) * pitch + F.col("part") % 12 - F.col("height") / 2)
     ink = _ink((200 + F.col("part") % 150).cast("int"), (2 + F.col("doc") % 5).cast("int"), 1 + F.col("q"), F.col("place") % 3, F.col("part"))
-    items = rows.select("doc", "page", "place", "kind", F.col("place").alias("id"), "text", "x", "y", "width", "height", (F.col("width") * 2).alias("pixels"), F.when(F.col("flat"), ink).alias("ink"), F.lit(60).alias("ink_height"))
+    flat_image = (F.col("kind") == "image") & (F.col("width") / F.col("height") >= L.WIDE_RATIO)  # in documents of columns too
+    items = rows.select("doc", "page", "place", "kind", F.col("place").alias("id"), "text", "x", "y", "width", "height", (F.col("width") * 2).alias("pixels"), F.when(flat_image, ink).alias("ink"), F.lit(60).alias("ink_height"))
     found = L.image_results(items, "doc", whole_grids=False)  # the SQL groups a grid's images by ``band`` too
     return found.select("doc", "page", "chain", "place", "form", F.size("ids").alias("images"), F.round("x0", 3).alias("x0"), "y0", F.round("x1", 3).alias("x1"), "y1", "new_line", F.col("canvas.width").alias("canvas_width"), F.col("cut.start").alias("cut_start"))

@@ -63,6 +63,18 @@ def test_grid_of_a_row_of_like_heights_and_another(spark, tmp_path):
     assert [(f, len(i)) for f, i in results(spark, [*upper, *[image(90 * k, 110) for k in range(6)]])] == [("grid", 12)]
 
 
+def test_wide_image_in_columns_is_cut_as_in_the_sql(spark, tmp_path):
+    """A low image of a document in columns, right above a line of letters: three panels."""
+    lines = [(5532341, 165899, 59109, 2, 38.0, 56395.0, 0.07, 0.03), (5532341, 623421, 23106, 2, 1.0, 72556.05, 0.09, 0.05), (5532341, 1023998, 34865, 7, 34.0, 15729.48, 0.02, 0.08)]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame(lines, kinds).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [tuple(r) for r in registry.QUERIES["layout_images"](spark, str(tmp_path)).orderBy("chain", "place").collect()]
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        assert got == con.execute(f"SELECT * FROM ({registry.ORACLE['layout_images']}) ORDER BY chain, place").fetchall()
+    assert [r[4] for r in got] == ["panel"] * 3 + ["one"]
+
+
 def test_canvas_is_bounded(spark):
     (canvas,) = results(spark, [image(0, 0), image(100, 0), image(0, 100), image(100, 100)], "canvas")[0]
     assert (canvas["width"], canvas["height"]) == (360, 320) and [tuple(p) for p in canvas["placed"]] == [(0, 0, 0, 160, 120), (1, 200, 0, 160, 120), (2, 0, 200, 160, 120), (3, 200, 200, 160, 120)]
