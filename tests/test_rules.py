@@ -233,6 +233,18 @@ def test_text_builders(spark):
     assert one(spark, rules.round_half_up(F.lit(-2.5)), rules.round_half_up(F.lit(2.5))) == [-2.0, 3.0]
 
 
+def test_answers_begin_where_the_text_says(spark, sf_dir, monkeypatch):
+    """answer_lists with its texts dealt to other parts: where answers begin follows the text, not the part."""
+    from studylake.plans import exam_queries, registry
+
+    case = exam_queries._case
+    monkeypatch.setattr(exam_queries, "_case", lambda n, *texts: case(n, *texts[2:], *texts[:2]))
+    got = {r["id"]: (r["n"], r["begins"]) for r in registry.QUERIES["answer_lists"](spark, sf_dir).collect()}
+    parts = exam_queries._part(spark, sf_dir).select("p_partkey", "p_name", "p_size").collect()
+    assert got == {p["p_partkey"]: ((0, len(p["p_name"]) + 1), (0, -1), (0, -1), (3, 0), (0, 0))[p["p_size"] % 5] for p in parts}
+    assert {p["p_size"] % 5 for p in parts} == set(range(5))
+
+
 def test_exam_builders(spark):
     from studylake.functions import exam as M
 
